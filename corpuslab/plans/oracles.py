@@ -118,3 +118,205 @@ roll AS (
 
 oracle("decade_rollup", DECADE_ROLLUP + """
 SELECT *, CAST(complete_cases - short_summaries - oneword_summaries AS BIGINT) AS viable_cases FROM roll""")
+
+
+# --- derived views shared by many keys ----------------------------------------
+VIABLE = f"""
+viable AS (
+  SELECT identifier, summary, description, class FROM cases
+  WHERE missing_parts = 'none' AND summary <> '-' AND {wc('summary')} >= 10
+    AND {wc('description')} <= 1024)"""
+
+PREP = f"""
+prep AS (
+  SELECT identifier, summary, description, class,
+    {tokens("replace(description, '|', ' ')")} AS d_tok, {sentences("replace(description, '|', ' ')")} AS d_sent,
+    {tokens("replace(summary, '|', ' ')")} AS s_tok, {sentences("replace(summary, '|', ' ')")} AS s_sent
+  FROM viable)"""
+
+ALL_STOP = _lit_list(all_stop_words())
+
+
+def jaccard(a: str, b: str) -> str:
+    u = f"len(list_distinct(list_concat({a}, {b})))"
+    return (f"(CASE WHEN {u} > 0 THEN len(list_intersect(list_distinct({a}), list_distinct({b}))) / {u} "
+            f"ELSE 0.0 END)")
+
+
+def coherence(sents: str, k: int | None = None) -> str:
+    s = f"{sents}[1:{k}]" if k else sents
+    toks = f"list_transform({s}, lambda x: {tokens('x')})"
+    return (f"(SELECT CASE WHEN len(tk) >= 2 THEN round(list_reduce(list_prepend(0.0::DOUBLE, "
+            f"list_transform(range(1, len(tk)), lambda i: {jaccard('tk[i]', 'tk[i + 1]')} / (len(tk) - 1))), "
+            f"lambda a, v: a + v), 4) ELSE 0.0 END FROM (SELECT {toks} AS tk))")
+
+
+def unigram_sim(a: str, b: str) -> str:
+    pq = (f"list_transform(list_distinct(list_concat({a}, {b})), lambda t: {{'p': len(list_filter({a}, lambda x: x = t)) / len({a}), "
+          f"'q': len(list_filter({b}, lambda x: x = t)) / len({b})}})")
+    term = ("list_transform(pq, lambda e: (CASE WHEN e.p > 0 THEN e.p * ln(e.p / ((e.p + e.q) / 2)) ELSE 0.0 END) "
+            "+ (CASE WHEN e.q > 0 THEN e.q * ln(e.q / ((e.p + e.q) / 2)) ELSE 0.0 END))")
+    return (f"(CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN (SELECT round(1.0 - sqrt(greatest(list_sum({term}) / 2, 0.0)), 4) "
+            f"FROM (SELECT {pq} AS pq)) END)")
+
+
+FEATS = f"""
+feats0 AS (
+  SELECT identifier,
+    {unigram_sim('s_tok', 'd_tok')} AS topic_similarity,
+    CASE WHEN len(s_tok) > 0 THEN round(1.0 - len(list_filter(s_tok, lambda t: list_contains(d_tok, t))) / len(s_tok), 4) END AS abstractivity,
+    (SELECT CASE WHEN len(rs) > 0 THEN round(1.0 - len(list_distinct(rs)) / len(rs), 4) END
+       FROM (SELECT list_filter(s_tok, lambda t: NOT list_contains({ALL_STOP}, t)) AS rs)) AS redundancy,
+    {coherence('s_sent')} AS semantic_coherence,
+    CAST(len(s_tok) AS INTEGER) AS sum_words, CAST(len(s_sent) AS INTEGER) AS sum_sents,
+    CAST(len(d_tok) AS INTEGER) AS desc_words, CAST(len(d_sent) AS INTEGER) AS desc_sents,
+    CASE WHEN len(s_tok) > 0 AND len(d_tok) > 0 THEN round(1.0 - len(s_tok) / len(d_tok), 4) END AS cmp_words,
+    CASE WHEN len(s_sent) > 0 AND len(d_sent) > 0 THEN round(1.0 - len(s_sent) / len(d_sent), 4) END AS cmp_sents
+  FROM prep),
+feats AS (
+  SELECT identifier, coalesce(topic_similarity, 999.0) AS topic_similarity, coalesce(abstractivity, 999.0) AS abstractivity,
+    coalesce(redundancy, 999.0) AS redundancy, coalesce(semantic_coherence, 999.0) AS semantic_coherence,
+    sum_words, sum_sents, desc_words, desc_sents,
+    coalesce(cmp_words, 999.0) AS cmp_words, coalesce(cmp_sents, 999.0) AS cmp_sents
+  FROM feats0)"""
+
+FEATURE_COLS = ["topic_similarity", "abstractivity", "redundancy", "semantic_coherence", "cmp_words", "cmp_sents"]
+NO_SENT = " AND ".join(f"{c} <> 999" for c in FEATURE_COLS)
+ANY_SENT = " OR ".join(f"{c} = 999" for c in FEATURE_COLS)
+
+
+def quota(src: str, n: str, draws: str, out: str) -> str:
+    """Largest-remainder apportionment, as SQL over a one-row-per-class table."""
+    return f"""
+SELECT *, CAST(fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS BIGINT) AS {out} FROM (
+  SELECT *, row_number() OVER (ORDER BY rem DESC, class) AS rk FROM (
+    SELECT *, cont - fl AS rem, {draws} - sum(fl) OVER () AS need FROM (
+      SELECT *, floor(cont) AS fl FROM (
+        SELECT *, CAST({n} AS DOUBLE) / sum({n}) OVER () * {draws} AS cont FROM {src}))))"""
+
+
+SPLIT = VIABLE + f""",
+cc AS (SELECT class, count(*) AS n FROM viable GROUP BY class),
+s1 AS (SELECT class, n, sum(n) OVER () - ceil(0.3::DOUBLE * sum(n) OVER ()) AS d1 FROM cc),
+q1 AS ({quota('s1', 'n', 'd1', 'train')}),
+s2 AS (SELECT class, n, train, n - train AS tmp, sum(n - train) OVER () - ceil(0.33::DOUBLE * sum(n - train) OVER ()) AS d2 FROM q1),
+q2 AS ({quota('s2', 'tmp', 'd2', 'validation')}),
+ranked AS (SELECT v.*, row_number() OVER (PARTITION BY v.class ORDER BY md5(v.identifier || ':42')) AS rk FROM viable v),
+split_case AS (
+  SELECT r.identifier, r.summary, r.description, r.class,
+    CASE WHEN r.rk <= q.train THEN 'train' WHEN r.rk <= q.train + q.validation THEN 'validation' ELSE 'test' END AS split
+  FROM ranked r JOIN q2 q ON r.class = q.class)"""
+
+# --- 2.3 ------------------------------------------------------------------------
+oracle("viable_filter", with_(CASES, VIABLE) + "SELECT identifier, summary, description FROM viable")
+oracle("complete_filter", with_(CASES) + f"""
+SELECT identifier, summary, description FROM cases
+WHERE missing_parts = 'none' AND summary <> '-' AND {wc('summary')} >= 10""")
+oracle("id_subset", with_(CASES) + """
+SELECT identifier, summary, missing_parts FROM cases
+WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+oracle("id_lookup", with_(CASES, GENERATED) + """
+SELECT c.identifier, c.summary AS reference, g.model, g.c_summary
+FROM cases c LEFT JOIN generated g ON c.identifier = g.identifier
+WHERE c.identifier = 'ID:XX:SRC1:1911:1'""")
+oracle("length_equals", with_(CASES, VIABLE, PREP, FEATS) + "SELECT identifier, desc_words FROM feats WHERE desc_words = 1000")
+oracle("quantile_trim", with_(CASES, VIABLE, PREP, FEATS) + """
+SELECT identifier, desc_words FROM feats
+WHERE desc_words BETWEEN (SELECT min(desc_words) FROM feats) AND (SELECT quantile_cont(desc_words, 0.99) FROM feats)""")
+oracle("drop_sentinel", with_(CASES, VIABLE, PREP, FEATS) + f"SELECT * FROM feats WHERE {NO_SENT}")
+oracle("sentinel_audit", with_(CASES, VIABLE, PREP, FEATS) + f"SELECT * FROM feats WHERE {ANY_SENT}")
+oracle("computed_only", with_(CASES, VIABLE, PREP) + """
+SELECT identifier, round(1.0 - len(list_filter(s_tok, lambda t: list_contains(d_tok, t))) / len(s_tok), 4) AS abstractivity
+FROM prep WHERE len(s_tok) > 0""")
+oracle("decade_of_id", with_(CASES) + f"SELECT identifier, {decade('identifier')} AS decade FROM cases")
+oracle("add_score_columns", with_(CASES, SPLIT) + "SELECT identifier, class, split, " + ", ".join(
+    f"CAST(0 AS INTEGER) AS {c}" for c in SCORE_COLUMNS) + " FROM split_case WHERE split = 'test'")
+oracle("rename_prefix", with_(CURVES) + "SELECT run, epoch AS train_epoch, n AS train_n, loss AS train_loss FROM curves")
+
+# --- 2.5 ------------------------------------------------------------------------
+oracle("year_rollup", with_(CASES) + f"""
+SELECT CAST(split_part(identifier, ':', 4) AS INTEGER) AS current_year, CAST(count(*) AS BIGINT) AS case_count,
+  CAST(count(*) FILTER (WHERE missing_parts = 'none') AS BIGINT) AS complete_cases,
+  CAST(count(*) FILTER (WHERE description = 'none') AS BIGINT) AS missing_desc,
+  CAST(count(*) FILTER (WHERE summary = 'none') AS BIGINT) AS missing_sums,
+  CAST(count(*) FILTER (WHERE summary <> 'none' AND {wc("replace(summary, '|', ' ')")} BETWEEN 1 AND 9) AS BIGINT) AS short_summary
+FROM cases GROUP BY 1""")
+oracle("grand_totals", DECADE_ROLLUP + """
+SELECT CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(complete_cases) AS BIGINT) AS complete_cases,
+  CAST(sum(oneword_summaries) AS BIGINT) AS oneword_summaries, CAST(sum(short_summaries) AS BIGINT) AS short_summaries,
+  CAST(sum(missing_summaries) AS BIGINT) AS missing_summaries,
+  CAST(sum(complete_cases - short_summaries - oneword_summaries) AS BIGINT) AS viable_cases FROM roll""")
+oracle("feature_means", with_(CASES, VIABLE, PREP, FEATS) + "SELECT " + ", ".join(
+    f"round(avg({c}), 6) AS mean_{c}" for c in FEATURE_COLS + ["sum_words", "sum_sents", "desc_words", "desc_sents"])
+    + f" FROM feats WHERE {NO_SENT}")
+oracle("class_mean_std", with_(CASES, SCORES) + "SELECT class, " + ", ".join(
+    f"round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std" for c in SCORE_COLUMNS)
+    + " FROM scores GROUP BY class")
+UNPIV = ("long AS (SELECT metric, score FROM (UNPIVOT (SELECT " + ", ".join(SCORE_COLUMNS) + " FROM scores) ON "
+         + ", ".join(SCORE_COLUMNS) + " INTO NAME metric VALUE score))")
+oracle("overall_mean_std", with_(CASES, SCORES, UNPIV) + """
+SELECT metric, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std FROM long GROUP BY metric""")
+oracle("score_freq", with_(CASES, SCORES, UNPIV) + "SELECT metric, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE score = {s}) AS BIGINT) AS n_{s}" for s in range(1, 6)) + " FROM long GROUP BY metric")
+oracle("score_cumfreq", with_(CASES, SCORES, UNPIV) + """
+, grid AS (SELECT m.metric, CAST(s.s AS INTEGER) AS score FROM (SELECT DISTINCT metric FROM long) m, range(1, 6) s(s)),
+cnt AS (SELECT g.metric, g.score, CAST(count(l.score) AS BIGINT) AS n FROM grid g
+        LEFT JOIN long l ON g.metric = l.metric AND g.score = l.score GROUP BY g.metric, g.score),
+c2 AS (SELECT *, CAST(sum(n) OVER (PARTITION BY metric ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum,
+       CAST(sum(n) OVER (PARTITION BY metric) AS BIGINT) AS total FROM cnt)
+SELECT metric, score, n, cum, CAST(cum - n AS BIGINT) AS start, total, CAST(max(total) OVER () AS BIGINT) AS max_total FROM c2""")
+oracle("distinct_count", with_(CASES, VIABLE, PREP, FEATS) + "SELECT CAST(count(DISTINCT desc_words) AS BIGINT) AS n_distinct FROM feats")
+oracle("quantile", with_(CASES, VIABLE, PREP, FEATS) + """
+SELECT round(CAST(min(desc_words) AS DOUBLE), 6) AS q0, round(quantile_cont(desc_words, 0.99), 6) AS q99 FROM feats""")
+oracle("histogram_density", with_(CASES, VIABLE, PREP, FEATS) + """
+, b AS (SELECT CAST(min(desc_words) AS DOUBLE) AS lo, quantile_cont(desc_words, 0.99) AS hi,
+               count(DISTINCT desc_words) AS bins FROM feats),
+w AS (SELECT lo, hi, bins, (hi - lo) / bins AS width FROM b),
+x AS (SELECT CAST(least(w.bins - 1, floor((f.desc_words - w.lo) / w.width)) AS INTEGER) AS bin, w.width
+      FROM feats f, w WHERE f.desc_words BETWEEN w.lo AND w.hi),
+per AS (SELECT bin, any_value(width) AS width, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY bin)
+SELECT bin, n, round(n / (sum(n) OVER () * width), 8) AS density FROM per""")
+oracle("size_totals", """
+SELECT doc_id, n_chars AS size,
+  CAST(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running,
+  CAST(sum(n_chars) OVER () AS BIGINT) AS total FROM documents""")
+oracle("curve_bounds", with_(CURVES) + "SELECT run, max(epoch) AS max_step, max(loss) AS max_value FROM curves GROUP BY run")
+oracle("best_checkpoint", with_(CURVES) + """
+, b AS (SELECT run, min(loss) AS best_value FROM curves GROUP BY run)
+SELECT c.run, min(c.epoch) AS best_step, b.best_value FROM curves c JOIN b ON c.run = b.run AND c.loss = b.best_value
+GROUP BY c.run, b.best_value""")
+oracle("weighted_curve", with_(CURVES) + """
+, sz AS (SELECT run, CAST(sum(n) AS DOUBLE) AS size FROM curves GROUP BY run),
+w AS (SELECT run, size / (SELECT sum(size) FROM sz) AS w FROM sz)
+SELECT c.epoch, round(sum(c.loss * w.w), 6) AS weighted_loss, CAST(count(*) AS BIGINT) AS n_runs
+FROM curves c JOIN w ON c.run = w.run GROUP BY c.epoch""")
+
+# --- 2.6 ------------------------------------------------------------------------
+oracle("shuffle", with_(CASES) + """
+SELECT identifier, CAST(row_number() OVER (ORDER BY md5(identifier || ':42')) AS BIGINT) AS pos FROM cases""")
+oracle("sample_n", with_(CASES) + "SELECT identifier, class FROM cases ORDER BY md5(identifier || ':42') LIMIT 20")
+oracle("sample_per_class", with_(CASES) + """
+SELECT identifier, class FROM (
+  SELECT identifier, class, row_number() OVER (PARTITION BY class ORDER BY md5(identifier || ':42')) AS rk,
+         round_even(count(*) OVER (PARTITION BY class) * 0.004::DOUBLE, 0) AS quota FROM cases)
+WHERE rk <= quota""")
+UNIFORM = "((('0x' || substr(md5(identifier || ':42'), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
+oracle("sample_weighted", with_(CASES) + f"""
+SELECT identifier, n_chars FROM cases WHERE n_chars > 0
+ORDER BY -ln({UNIFORM}) / n_chars, identifier LIMIT 20""")
+oracle("stratified_split", with_(CASES, SPLIT) + "SELECT identifier, class, split FROM split_case")
+oracle("first_k_sentences", with_(CASES, VIABLE) + f"""
+SELECT identifier, array_to_string(({sentences('description')})[1:10], chr(10)) AS lead,
+  CAST(least(len({sentences('description')}), 10) AS INTEGER) AS n FROM viable""")
+oracle("argmax_topic", """
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS topic FROM embeddings""")
+oracle("keep_last_k", with_(CURVES) + """
+SELECT run, epoch, n, loss FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch DESC) AS rn FROM curves)
+WHERE rn <= 3""")
+oracle("cumsum", with_(CURVES) + """
+SELECT run, epoch, n, loss,
+  CAST(sum(n) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_n
+FROM curves""")
+oracle("row_index", with_(CURVES) + """
+SELECT run, epoch, CAST(row_number() OVER (PARTITION BY run ORDER BY epoch) AS INTEGER) AS val_epoch FROM curves""")
+oracle("sort", "SELECT doc_id, source FROM documents ORDER BY source, doc_id")

@@ -29,3 +29,246 @@ def query(key: str):
 @query("decade_rollup")
 def q_decade_rollup(spark, sf):
     return agg.decade_rollup(fx.cases(spark, sf))
+
+
+# --- shared derived tables ----------------------------------------------------
+from corpuslab.functions import text as tx  # noqa: E402
+from corpuslab.operators import filters as flt  # noqa: E402
+from corpuslab.operators import metrics as mt  # noqa: E402
+from corpuslab.operators import sampling as smp  # noqa: E402
+from corpuslab.operators.ranking import exact_quantiles, exact_running_sum, range_bucket  # noqa: E402
+from corpuslab.sources.tables import table  # noqa: E402
+
+FEATURES = ["topic_similarity", "abstractivity", "redundancy", "semantic_coherence", "cmp_words", "cmp_sents"]
+
+
+def viable(spark, sf):
+    return flt.viable_filter(fx.cases(spark, sf))
+
+
+def features(spark, sf):
+    """descriptive_feature over viable cases, with the SQL-checkable metric twins:
+    topic similarity on unigram distributions, type-token redundancy of the
+    summary, Jaccard coherence.  999 marks undefined values, as in the reference."""
+    p = mt.prepare(viable(spark, sf))
+    p = mt.length_features(p)
+    f = p.select("identifier", mt.unigram_similarity().alias("topic_similarity"),
+                 mt.abstractivity().alias("abstractivity"),
+                 mt.redundancy_ttr(tx.remove_stop("s_tok")).alias("redundancy"),
+                 mt.coherence(F.col("s_sent")).alias("semantic_coherence"),
+                 "sum_words", "sum_sents", "desc_words", "desc_sents", "cmp_words", "cmp_sents")
+    return flt.with_sentinels(f, FEATURES)
+
+
+def split_cases(spark, sf):
+    return smp.stratified_split(flt.viable_filter(fx.cases(spark, sf), keep=("class",)))
+
+
+# --- 2.3 projections, filters, predicates ----------------------------------
+@query("viable_filter")
+def q_viable_filter(spark, sf):
+    return viable(spark, sf)
+
+
+@query("complete_filter")
+def q_complete_filter(spark, sf):
+    return flt.complete_filter(fx.cases(spark, sf))
+
+
+@query("id_subset")
+def q_id_subset(spark, sf):
+    ids = table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")
+    return flt.id_subset(fx.cases(spark, sf), ids, "doc_id").select("identifier", "summary", "missing_parts")
+
+
+@query("id_lookup")
+def q_id_lookup(spark, sf):
+    c = fx.cases(spark, sf)
+    hit = flt.id_lookup(c, "ID:XX:SRC1:1911:1")
+    gen = fx.generated(spark, sf, c)
+    return (hit.join(gen, "identifier", "left")
+            .select("identifier", F.col("summary").alias("reference"), "model", "c_summary"))
+
+
+@query("length_equals")
+def q_length_equals(spark, sf):
+    return flt.length_equals(features(spark, sf), 1000).select("identifier", "desc_words")
+
+
+@query("quantile_trim")
+def q_quantile_trim(spark, sf):
+    return flt.quantile_trim(features(spark, sf), "desc_words", 0.99).select("identifier", "desc_words")
+
+
+@query("drop_sentinel")
+def q_drop_sentinel(spark, sf):
+    return flt.drop_sentinel(features(spark, sf), FEATURES)
+
+
+@query("sentinel_audit")
+def q_sentinel_audit(spark, sf):
+    return flt.sentinel_audit(features(spark, sf), FEATURES)
+
+
+@query("computed_only")
+def q_computed_only(spark, sf):
+    p = mt.prepare(viable(spark, sf))
+    f = p.select("identifier", "summary", "description", mt.abstractivity().alias("abstractivity"))
+    return flt.computed_only(f, "abstractivity")
+
+
+@query("decade_of_id")
+def q_decade_of_id(spark, sf):
+    return fx.cases(spark, sf).select("identifier", tx.decade_of_id("identifier").alias("decade"))
+
+
+@query("add_score_columns")
+def q_add_score_columns(spark, sf):
+    return flt.add_score_columns(split_cases(spark, sf).where(F.col("split") == "test"),
+                                 drop=["summary", "description"])
+
+
+@query("rename_prefix")
+def q_rename_prefix(spark, sf):
+    return flt.rename_prefix(fx.curves(spark, sf), "train_", ["epoch", "n", "loss"])
+
+
+# --- 2.5 aggregations (continued) --------------------------------------------
+@query("year_rollup")
+def q_year_rollup(spark, sf):
+    return agg.year_rollup(fx.cases(spark, sf))
+
+
+@query("grand_totals")
+def q_grand_totals(spark, sf):
+    return agg.grand_totals(agg.decade_rollup(fx.cases(spark, sf)))
+
+
+@query("feature_means")
+def q_feature_means(spark, sf):
+    f = flt.drop_sentinel(features(spark, sf), FEATURES)
+    return agg.feature_means(f, FEATURES + ["sum_words", "sum_sents", "desc_words", "desc_sents"])
+
+
+@query("class_mean_std")
+def q_class_mean_std(spark, sf):
+    return agg.class_mean_std(fx.eval_scores(spark, sf), fx.SCORE_COLUMNS)
+
+
+@query("overall_mean_std")
+def q_overall_mean_std(spark, sf):
+    return agg.overall_mean_std(fx.eval_scores(spark, sf), fx.SCORE_COLUMNS)
+
+
+@query("score_freq")
+def q_score_freq(spark, sf):
+    return agg.score_freq(fx.eval_scores(spark, sf), fx.SCORE_COLUMNS)
+
+
+@query("score_cumfreq")
+def q_score_cumfreq(spark, sf):
+    return agg.score_cumfreq(fx.eval_scores(spark, sf), fx.SCORE_COLUMNS)
+
+
+@query("distinct_count")
+def q_distinct_count(spark, sf):
+    return features(spark, sf).agg(F.count_distinct("desc_words").alias("n_distinct"))
+
+
+@query("quantile")
+def q_quantile(spark, sf):
+    lo, hi = exact_quantiles(features(spark, sf), "desc_words", [0.0, 0.99])
+    return spark.createDataFrame([(round(lo, 6), round(hi, 6))], "q0 double, q99 double")
+
+
+@query("histogram_density")
+def q_histogram_density(spark, sf):
+    f = features(spark, sf).select("desc_words")
+    lo, hi = exact_quantiles(f, "desc_words", [0.0, 0.99])
+    bins = f.agg(F.count_distinct("desc_words")).first()[0]
+    return agg.histogram_density(f, "desc_words", lo, hi, bins)
+
+
+@query("size_totals")
+def q_size_totals(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("size"))
+    out = exact_running_sum(d, "doc_id", "size", bucket=range_bucket(d, "doc_id"), out="running")
+    tot = d.agg(F.sum("size").alias("total"))
+    return out.crossJoin(F.broadcast(tot)).select("doc_id", "size", F.col("running").cast("bigint").alias("running"),
+                                                  F.col("total").cast("bigint").alias("total"))
+
+
+@query("curve_bounds")
+def q_curve_bounds(spark, sf):
+    return agg.curve_bounds(fx.curves(spark, sf))
+
+
+@query("best_checkpoint")
+def q_best_checkpoint(spark, sf):
+    return agg.best_checkpoint(fx.curves(spark, sf))
+
+
+@query("weighted_curve")
+def q_weighted_curve(spark, sf):
+    return agg.weighted_curve(fx.curves(spark, sf))
+
+
+# --- 2.6 windows, sampling, ordering --------------------------------------
+@query("shuffle")
+def q_shuffle(spark, sf):
+    return smp.shuffle(fx.cases(spark, sf).select("identifier"))
+
+
+@query("sample_n")
+def q_sample_n(spark, sf):
+    return smp.sample_n(fx.cases(spark, sf).select("identifier", "class"), 20)
+
+
+@query("sample_per_class")
+def q_sample_per_class(spark, sf):
+    return smp.sample_per_class(fx.cases(spark, sf).select("identifier", "class"), 0.004)
+
+
+@query("sample_weighted")
+def q_sample_weighted(spark, sf):
+    return smp.sample_weighted(fx.cases(spark, sf).select("identifier", "n_chars"), "n_chars", 20)
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    return split_cases(spark, sf).select("identifier", "class", "split")
+
+
+@query("first_k_sentences")
+def q_first_k_sentences(spark, sf):
+    s = tx.sentences(F.col("description"))
+    return viable(spark, sf).select("identifier", F.array_join(F.slice(s, 1, 10), "\n").alias("lead"),
+                                    F.least(F.size(s), F.lit(10)).cast("int").alias("n"))
+
+
+@query("argmax_topic")
+def q_argmax_topic(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", tx.argmax("embedding").alias("topic"))
+
+
+@query("keep_last_k")
+def q_keep_last_k(spark, sf):
+    return smp.keep_last_k(fx.curves(spark, sf), 3)
+
+
+@query("cumsum")
+def q_cumsum(spark, sf):
+    out = smp.cumsum(fx.curves(spark, sf), "n", "epoch", ["run"], "cum_n")
+    return out.withColumn("cum_n", F.col("cum_n").cast("bigint"))
+
+
+@query("row_index")
+def q_row_index(spark, sf):
+    c = fx.curves(spark, sf)
+    return smp.row_index(c, "epoch", ["run"], start=1, out="val_epoch").select("run", "epoch", "val_epoch")
+
+
+@query("sort")
+def q_sort(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    return d.orderBy("source", "doc_id")
