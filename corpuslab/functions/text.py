@@ -24,6 +24,19 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(values: dict, body) -> Column:
+    """Evaluate each value once and hand it to ``body`` as a lambda variable.
+
+    Catalyst inlines a projected expression wherever it is referenced, and a
+    reference inside a higher-order function's lambda is evaluated per element:
+    ``transform(a, x -> x / array_sum(tokens(text)))`` would re-tokenise the
+    text for every element.  Packing the values into a one-element array and
+    mapping ``body`` over it binds them once, whatever the optimizer does.
+    """
+    packed = F.array(F.struct(*[_c(v).alias(k) for k, v in values.items()]))
+    return F.element_at(F.transform(packed, lambda x: body({k: x[k] for k in values})), 1)
+
+
 def pipes_to_space(c) -> Column:
     """Multi-valued tags are pipe-joined; turn the pipes into spaces."""
     return F.replace(_c(c), F.lit("|"), F.lit(" "))
@@ -88,10 +101,12 @@ def year_of_id(c) -> Column:
 
 def ngrams(words, n: int) -> Column:
     """Space-joined n-grams of a word array (empty when shorter than n)."""
-    w = _c(words)
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1),
-                        lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def body(v):
+        w = v["w"]
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1),
+                            lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return let({"w": words}, body)
 
 
 def array_sum(arr) -> Column:
@@ -99,15 +114,17 @@ def array_sum(arr) -> Column:
 
 
 def softmax(arr) -> Column:
+    def body(v):
+        ex = F.transform(v["a"], lambda x: F.exp(x - v["mx"]))
+        return let({"ex": ex}, lambda e: let({"s": array_sum(e["ex"])},
+                                             lambda t: F.transform(e["ex"], lambda x: x / t["s"])))
     a = _c(arr)
-    mx = F.array_max(a)
-    ex = F.transform(a, lambda v: F.exp(v - mx))
-    return F.transform(ex, lambda v: v / array_sum(ex))
+    return let({"a": a, "mx": F.array_max(a)}, body)
 
 
 def normalise(arr) -> Column:
-    a = _c(arr)
-    return F.transform(a, lambda v: v / array_sum(a))
+    return let({"a": arr}, lambda v: let({"s": array_sum(v["a"])},
+                                         lambda t: F.transform(v["a"], lambda x: x / t["s"])))
 
 
 def _kl_to(p, m) -> Column:
@@ -117,16 +134,16 @@ def _kl_to(p, m) -> Column:
 
 def js_distance(p, q) -> Column:
     """Jensen-Shannon distance (natural log, square root); inputs are normalised first."""
-    pn, qn = normalise(p), normalise(q)
-    m = F.zip_with(pn, qn, lambda a, b: (a + b) / 2)
-    js = (_kl_to(pn, m) + _kl_to(qn, m)) / 2
-    return F.sqrt(F.greatest(js, F.lit(0.0)))
+    def body(v):
+        m = F.zip_with(v["p"], v["q"], lambda a, b: (a + b) / 2)
+        return let({"m": m}, lambda w: F.sqrt(F.greatest(
+            (_kl_to(v["p"], w["m"]) + _kl_to(v["q"], w["m"])) / 2, F.lit(0.0))))
+    return let({"p": normalise(p), "q": normalise(q)}, body)
 
 
 def argmax(arr) -> Column:
     """0-based position of the largest value, the first one on ties."""
-    a = _c(arr)
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let({"a": arr}, lambda v: (F.array_position(v["a"], F.array_max(v["a"])) - 1).cast("int"))
 
 
 def rouge_words(c) -> Column:

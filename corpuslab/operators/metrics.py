@@ -46,23 +46,28 @@ def abstractivity(s_tok="s_tok", d_tok="d_tok") -> Column:
     or extends a fragment, and every fragment token occurs in the text.  Empty
     summary -> NULL.  ``array_contains`` is a per-row scan, no shuffle.
     """
-    s, d = F.col(s_tok), F.col(d_tok)
-    matched = F.size(F.filter(s, lambda t: F.array_contains(d, t)))
-    return F.when(F.size(s) > 0, F.round(F.lit(1.0) - matched / F.size(s), 4))
+    def body(v):
+        s, d = v["s"], v["d"]
+        matched = F.size(F.filter(s, lambda t: F.array_contains(d, t)))
+        return F.when(F.size(s) > 0, F.round(F.lit(1.0) - matched / F.size(s), 4))
+    return tx.let({"s": s_tok, "d": d_tok}, body)
 
 
 def redundancy_ttr(tokens: Column) -> Column:
     """round(1 - distinct/total, 4) on stop-word-free tokens; no tokens -> NULL."""
-    n = F.size(tokens)
-    return F.when(n > 0, F.round(F.lit(1.0) - F.size(F.array_distinct(tokens)) / n, 4))
+    def body(v):
+        n = F.size(v["t"])
+        return F.when(n > 0, F.round(F.lit(1.0) - F.size(F.array_distinct(v["t"])) / n, 4))
+    return tx.let({"t": tokens}, body)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Default pair score for coherence: Jaccard of the two token sets (0 if both empty)."""
-    sa, sb = F.array_distinct(a), F.array_distinct(b)
-    inter = F.size(F.array_intersect(sa, sb))
-    union = F.size(F.array_union(sa, sb))
-    return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+    def body(v):
+        inter = F.size(F.array_intersect(v["a"], v["b"]))
+        union = F.size(F.array_union(v["a"], v["b"]))
+        return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+    return tx.let({"a": F.array_distinct(a), "b": F.array_distinct(b)}, body)
 
 
 def coherence(sents: Column, score=None, first_k: int | None = None) -> Column:
@@ -73,22 +78,34 @@ def coherence(sents: Column, score=None, first_k: int | None = None) -> Column:
     """
     score = score or jaccard
     s = F.slice(sents, 1, first_k) if first_k else sents
+
+    def body(v):
+        toks, n = v["toks"], v["n"]
+        vals = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+                           lambda i: score(F.element_at(toks, i), F.element_at(toks, i + 1)))
+        total = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x / (n - 1))
+        return F.when(n >= 2, F.round(total, 4)).otherwise(F.lit(0.0))
     toks = F.transform(s, lambda x: tx.tokenize(x))
-    n = F.size(toks)
-    vals = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                       lambda i: score(F.element_at(toks, i), F.element_at(toks, i + 1)))
-    total = F.aggregate(vals, F.lit(0.0), lambda a, v: a + v / (n - 1))
-    return F.when(n >= 2, F.round(total, 4)).otherwise(F.lit(0.0))
+    return tx.let({"toks": toks}, lambda v: tx.let({"toks": v["toks"], "n": F.size(v["toks"])}, body))
 
 
 def js_of_counts(a: Column, b: Column) -> Column:
     """Jensen-Shannon distance between the token frequency distributions of two
     token arrays, in one pass over the merged, sorted tokens (no explode/shuffle)."""
-    na, nb = F.size(a).cast("double"), F.size(b).cast("double")
-    tagged = F.array_sort(F.concat(
+    return tx.let({"a": a, "b": b}, lambda v: tx.let(
+        {"na": F.size(v["a"]).cast("double"), "nb": F.size(v["b"]).cast("double"),
+         "tagged": _tagged(v["a"], v["b"])}, _js_fold))
+
+
+def _tagged(a: Column, b: Column) -> Column:
+    return F.array_sort(F.concat(
         F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))),
         F.transform(b, lambda t: F.struct(t.alias("t"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))))
 
+
+def _js_fold(v) -> Column:
+    na, nb, tagged = v["na"], v["nb"], v["tagged"]
+
     def term(cx, cy):
         p, q = cx / na, cy / nb
         m = (p + q) / 2
@@ -112,8 +129,10 @@ def js_of_counts(a: Column, b: Column) -> Column:
 
 def unigram_similarity(a: str = "s_tok", b: str = "d_tok") -> Column:
     """round(1 - JS distance of unigram distributions, 4); NULL when a side is empty."""
-    x, y = F.col(a), F.col(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.round(F.lit(1.0) - js_of_counts(x, y), 4))
+    def body(v):
+        x, y = v["x"], v["y"]
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.round(F.lit(1.0) - js_of_counts(x, y), 4))
+    return tx.let({"x": F.col(a), "y": F.col(b)}, body)
 
 
 def topic_similarity(p: Column, q: Column) -> Column:

@@ -320,3 +320,85 @@ FROM curves""")
 oracle("row_index", with_(CURVES) + """
 SELECT run, epoch, CAST(row_number() OVER (PARTITION BY run ORDER BY epoch) AS INTEGER) AS val_epoch FROM curves""")
 oracle("sort", "SELECT doc_id, source FROM documents ORDER BY source, doc_id")
+
+
+# --- 2.7 ------------------------------------------------------------------------
+def rouge_words(x: str) -> str:
+    return (f"flatten(list_transform(list_filter(string_split({x}, '.'), lambda s: length(s) > 0), "
+            f"lambda s: string_split(trim(regexp_replace(s, '\\s+', ' ', 'g')), ' ')))")
+
+
+def ngrams(w: str, n: int) -> str:
+    return (f"(CASE WHEN len({w}) >= {n} THEN list_transform(range(1, len({w}) - {n} + 2), "
+            f"lambda i: array_to_string({w}[i:i + {n - 1}], ' ')) ELSE [] END)")
+
+
+def n_parts(x: str) -> str:
+    return f"len(list_filter(string_split({x}, '.'), lambda s: length(s) > 0))"
+
+
+def rouge_n(h: str, r: str, n: int) -> str:
+    hg, rg_ = f"list_distinct({ngrams(rouge_words(h), n)})", f"list_distinct({ngrams(rouge_words(r), n)})"
+    return (f"(SELECT CASE WHEN {n_parts(h)} > 0 AND {n_parts(r)} > 0 THEN round(2.0 * ((p * rc) / (p + rc + 1e-8)), 6) END FROM ("
+            f"SELECT CASE WHEN len(hg) > 0 THEN len(list_intersect(hg, rg)) / len(hg) ELSE 0.0 END AS p, "
+            f"CASE WHEN len(rg) > 0 THEN len(list_intersect(hg, rg)) / len(rg) ELSE 0.0 END AS rc "
+            f"FROM (SELECT {hg} AS hg, {rg_} AS rg)))")
+
+
+STRIP = "substring(c_summary, 8, greatest(length(c_summary) - 11, 0))"
+
+oracle("pipes_to_space", with_(CASES) + "SELECT identifier, replace(missing_parts, '|', ' ') AS parts_spaced FROM cases")
+oracle("word_count", with_(CASES) + f"""
+SELECT identifier, {wc('summary')} AS summary_words, {wc('description')} AS desc_words FROM cases""")
+oracle("tokenize", f"""
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
+FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)""")
+oracle("tokenize_nostop", f"""
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
+FROM (SELECT doc_id, {tokens_nostop('text', 'lang')} AS t FROM documents)""")
+oracle("sentences", f"""
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, chr(10))) AS sentences_md5
+FROM (SELECT doc_id, {sentences('text')} AS s FROM documents)""")
+oracle("strip_markers", with_(PAIRS) + f"SELECT conv_id, turn, {STRIP} AS hyp FROM pairs")
+oracle("id_fields", with_(CASES) + "SELECT identifier, " + ", ".join(
+    f"split_part(identifier, ':', {i}) AS f{i}" for i in range(1, 6)) + " FROM cases")
+oracle("round4", "SELECT event_id, round(value / 3, 4) AS v4 FROM events")
+oracle("round2", "SELECT event_id, round(value / 7, 2) AS v2 FROM events")
+oracle("array_join_tags", with_(CASES) + """
+SELECT identifier, array_to_string(string_split(identifier, ':')[2:3], '|') AS tags FROM cases""")
+oracle("array_pos", with_(CASES) + "SELECT identifier, string_split(identifier, ':')[4] AS year FROM cases")
+oracle("array_distinct", f"SELECT doc_id, CAST(len(list_distinct({tokens('text')})) AS BIGINT) AS n_types FROM documents")
+oracle("softmax", """
+SELECT vec_id, round(list_max(p), 6) AS p_max, round(p[1], 6) AS p_first FROM (
+  SELECT vec_id, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: exp(x - list_max(embedding))) AS ex FROM embeddings))""")
+oracle("js_distance", """
+SELECT vec_id, round(sqrt(greatest((kl_p + kl_q) / 2, 0.0)), 6) AS js FROM (
+  SELECT vec_id,
+    list_sum(list_transform(range(1, 33), lambda i: CASE WHEN p[i] > 0 THEN p[i] * ln(p[i] / ((p[i] + q[i]) / 2)) ELSE 0.0 END)) AS kl_p,
+    list_sum(list_transform(range(1, 33), lambda i: CASE WHEN q[i] > 0 THEN q[i] * ln(q[i] / ((p[i] + q[i]) / 2)) ELSE 0.0 END)) AS kl_q
+  FROM (
+    SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p, list_transform(b, lambda x: x / list_sum(b)) AS q
+    FROM (SELECT vec_id, list_transform(embedding[1:32], lambda x: abs(x)::DOUBLE) AS a,
+                 list_transform(embedding[33:64], lambda x: abs(x)::DOUBLE) AS b FROM embeddings)))""")
+oracle("ngrams", with_(PAIRS) + f"""
+SELECT conv_id, turn, CAST(len(list_distinct({ngrams('w', 1)})) AS BIGINT) AS n_uni,
+  CAST(len(list_distinct({ngrams('w', 2)})) AS BIGINT) AS n_bi
+FROM (SELECT conv_id, turn, {rouge_words('ref')} AS w FROM pairs)""")
+
+# --- 2.8 ------------------------------------------------------------------------
+oracle("length_features", with_(CASES, VIABLE, PREP, FEATS) + """
+SELECT identifier, sum_words, sum_sents, desc_words, desc_sents, cmp_words, cmp_sents FROM feats""")
+oracle("length_features_text", with_(CASES, VIABLE, PREP) + """
+SELECT identifier, CAST(len(d_tok) AS INTEGER) AS desc_words, CAST(len(d_sent) AS INTEGER) AS desc_sents FROM prep""")
+oracle("abstractivity", with_(CASES, VIABLE, PREP, FEATS) + "SELECT identifier, abstractivity FROM feats")
+oracle("redundancy_ttr", with_(CASES, VIABLE) + f"""
+SELECT identifier, coalesce((SELECT CASE WHEN len(rs) > 0 THEN round(1.0 - len(list_distinct(rs)) / len(rs), 4) END
+  FROM (SELECT {tokens_nostop("replace(description, '|', ' ')", 'class')} AS rs)), 999.0) AS redundancy FROM viable""")
+oracle("coherence", with_(CASES, VIABLE, PREP) + f"SELECT identifier, {coherence('s_sent')} AS semantic_coherence FROM prep")
+oracle("coherence_top10", with_(CASES, VIABLE, PREP) + f"""
+SELECT identifier, {coherence('d_sent', 10)} AS semantic_coherence FROM prep""")
+oracle("unigram_similarity", with_(CASES, VIABLE, PREP, FEATS) + "SELECT identifier, topic_similarity FROM feats")
+oracle("rouge_n", with_(PAIRS) + f"""
+SELECT conv_id, turn, {rouge_n('hyp', 'ref', 1)} AS rouge1, {rouge_n('hyp', 'ref', 2)} AS rouge2
+FROM (SELECT conv_id, turn, ref, {STRIP} AS hyp FROM pairs)""")

@@ -272,3 +272,167 @@ def q_row_index(spark, sf):
 def q_sort(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source")
     return d.orderBy("source", "doc_id")
+
+
+# --- 2.7 scalar functions and text preparation -----------------------------
+from corpuslab.functions import rouge as rg  # noqa: E402
+
+
+@query("pipes_to_space")
+def q_pipes_to_space(spark, sf):
+    return fx.cases(spark, sf).select("identifier", tx.pipes_to_space("missing_parts").alias("parts_spaced"))
+
+
+@query("word_count")
+def q_word_count(spark, sf):
+    return fx.cases(spark, sf).select("identifier", tx.word_count("summary").alias("summary_words"),
+                                      tx.word_count("description").alias("desc_words"))
+
+
+def _digest(arr, sep=" "):
+    return F.md5(F.array_join(arr, sep))
+
+
+@query("tokenize")
+def q_tokenize(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tx.let({"t": tx.tokenize("text")}, lambda v: F.struct(
+        F.size(v["t"]).cast("bigint").alias("n_tokens"), _digest(v["t"]).alias("tokens_md5"))).alias("r")) \
+        .select("doc_id", "r.*")
+
+
+@query("tokenize_nostop")
+def q_tokenize_nostop(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tx.let({"t": tx.tokenize_nostop("text", "lang")}, lambda v: F.struct(
+        F.size(v["t"]).cast("bigint").alias("n_tokens"), _digest(v["t"]).alias("tokens_md5"))).alias("r")) \
+        .select("doc_id", "r.*")
+
+
+@query("sentences")
+def q_sentences(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tx.let({"s": tx.sentences("text")}, lambda v: F.struct(
+        F.size(v["s"]).cast("bigint").alias("n_sentences"), _digest(v["s"], "\n").alias("sentences_md5")))
+        .alias("r")).select("doc_id", "r.*")
+
+
+@query("strip_markers")
+def q_strip_markers(spark, sf):
+    return fx.pairs(spark, sf).select("conv_id", "turn", tx.strip_markers("c_summary").alias("hyp"))
+
+
+@query("id_fields")
+def q_id_fields(spark, sf):
+    f = tx.id_fields("identifier")
+    return fx.cases(spark, sf).select("identifier", *[F.element_at(f, i).alias(f"f{i}") for i in range(1, 6)])
+
+
+@query("round4")
+def q_round4(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(F.col("value") / 3, 4).alias("v4"))
+
+
+@query("round2")
+def q_round2(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(F.col("value") / 7, 2).alias("v2"))
+
+
+@query("array_join_tags")
+def q_array_join_tags(spark, sf):
+    return fx.cases(spark, sf).select("identifier", F.array_join(F.slice(tx.id_fields("identifier"), 2, 2), "|")
+                                      .alias("tags"))
+
+
+@query("array_pos")
+def q_array_pos(spark, sf):
+    return fx.cases(spark, sf).select("identifier", F.element_at(tx.id_fields("identifier"), 4).alias("year"))
+
+
+@query("array_distinct")
+def q_array_distinct(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.size(F.array_distinct(tx.tokenize("text"))).cast("bigint").alias("n_types"))
+
+
+@query("softmax")
+def q_softmax(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", tx.let({"p": tx.softmax("embedding")}, lambda v: F.struct(
+        F.round(F.array_max(v["p"]), 6).alias("p_max"), F.round(F.element_at(v["p"], 1), 6).alias("p_first")))
+        .alias("r")).select("vec_id", "r.*")
+
+
+def _halves(c):
+    a = F.transform(F.slice(F.col(c), 1, 32), lambda x: F.abs(x).cast("double"))
+    b = F.transform(F.slice(F.col(c), 33, 32), lambda x: F.abs(x).cast("double"))
+    return a, b
+
+
+@query("js_distance")
+def q_js_distance(spark, sf):
+    a, b = _halves("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", F.round(tx.js_distance(a, b), 6).alias("js"))
+
+
+@query("ngrams")
+def q_ngrams(spark, sf):
+    w = rg.rouge_words("ref")
+    return fx.pairs(spark, sf).select(
+        "conv_id", "turn", tx.let({"w": w}, lambda v: F.struct(
+            F.size(F.array_distinct(tx.ngrams(v["w"], 1))).cast("bigint").alias("n_uni"),
+            F.size(F.array_distinct(tx.ngrams(v["w"], 2))).cast("bigint").alias("n_bi"))).alias("r")
+    ).select("conv_id", "turn", "r.*")
+
+
+# --- 2.8 document metrics ----------------------------------------------------
+@query("length_features")
+def q_length_features(spark, sf):
+    f = mt.length_features(mt.prepare(viable(spark, sf)))
+    out = f.select("identifier", "sum_words", "sum_sents", "desc_words", "desc_sents", "cmp_words", "cmp_sents")
+    return flt.with_sentinels(out, ["cmp_words", "cmp_sents"])
+
+
+@query("length_features_text")
+def q_length_features_text(spark, sf):
+    f = mt.length_features_text(mt.prepare(viable(spark, sf), summary=None))
+    return f.select("identifier", "desc_words", "desc_sents")
+
+
+@query("abstractivity")
+def q_abstractivity(spark, sf):
+    p = mt.prepare(viable(spark, sf))
+    return flt.with_sentinels(p.select("identifier", mt.abstractivity().alias("abstractivity")), ["abstractivity"])
+
+
+@query("redundancy_ttr")
+def q_redundancy_ttr(spark, sf):
+    v = flt.viable_filter(fx.cases(spark, sf), keep=("class",))
+    t = tx.tokenize_nostop(tx.pipes_to_space("description"), "class")
+    return flt.with_sentinels(v.select("identifier", mt.redundancy_ttr(t).alias("redundancy")), ["redundancy"])
+
+
+@query("coherence")
+def q_coherence(spark, sf):
+    p = mt.prepare(viable(spark, sf))
+    return p.select("identifier", mt.coherence(F.col("s_sent")).alias("semantic_coherence"))
+
+
+@query("coherence_top10")
+def q_coherence_top10(spark, sf):
+    p = mt.prepare(viable(spark, sf), summary=None)
+    return p.select("identifier", mt.coherence(F.col("d_sent"), first_k=10).alias("semantic_coherence"))
+
+
+@query("unigram_similarity")
+def q_unigram_similarity(spark, sf):
+    p = mt.prepare(viable(spark, sf))
+    return flt.with_sentinels(p.select("identifier", mt.unigram_similarity().alias("topic_similarity")),
+                              ["topic_similarity"])
+
+
+@query("rouge_n")
+def q_rouge_n(spark, sf):
+    p = fx.pairs(spark, sf).withColumn("hyp", tx.strip_markers("c_summary"))
+    return p.select("conv_id", "turn", F.round(rg.rouge_n("hyp", "ref", 1), 6).alias("rouge1"),
+                    F.round(rg.rouge_n("hyp", "ref", 2), 6).alias("rouge2"))
