@@ -337,9 +337,11 @@ def n_parts(x: str) -> str:
     return f"len(list_filter(string_split({x}, '.'), lambda s: length(s) > 0))"
 
 
-def rouge_n(h: str, r: str, n: int) -> str:
+def rouge_n(h: str, r: str, n: int, digits: int | None = 6) -> str:
     hg, rg_ = f"list_distinct({ngrams(rouge_words(h), n)})", f"list_distinct({ngrams(rouge_words(r), n)})"
-    return (f"(SELECT CASE WHEN {n_parts(h)} > 0 AND {n_parts(r)} > 0 THEN round(2.0 * ((p * rc) / (p + rc + 1e-8)), 6) END FROM ("
+    f = "2.0 * ((p * rc) / (p + rc + 1e-8))"
+    f = f"round({f}, {digits})" if digits is not None else f
+    return (f"(SELECT CASE WHEN {n_parts(h)} > 0 AND {n_parts(r)} > 0 THEN {f} END FROM ("
             f"SELECT CASE WHEN len(hg) > 0 THEN len(list_intersect(hg, rg)) / len(hg) ELSE 0.0 END AS p, "
             f"CASE WHEN len(rg) > 0 THEN len(list_intersect(hg, rg)) / len(rg) ELSE 0.0 END AS rc "
             f"FROM (SELECT {hg} AS hg, {rg_} AS rg)))")
@@ -402,3 +404,113 @@ oracle("unigram_similarity", with_(CASES, VIABLE, PREP, FEATS) + "SELECT identif
 oracle("rouge_n", with_(PAIRS) + f"""
 SELECT conv_id, turn, {rouge_n('hyp', 'ref', 1)} AS rouge1, {rouge_n('hyp', 'ref', 2)} AS rouge2
 FROM (SELECT conv_id, turn, ref, {STRIP} AS hyp FROM pairs)""")
+
+
+# --- 2.4 ------------------------------------------------------------------------
+TEST = "test_case AS (SELECT * FROM split_case WHERE split = 'test')"
+oracle("split_join", with_(CASES, SPLIT) + "SELECT identifier, summary, description, class, split FROM split_case")
+oracle("reference_lookup", with_(CASES, GENERATED, SPLIT, TEST) + """
+SELECT g.identifier, g.c_summary, t.summary, t.class FROM generated g JOIN test_case t ON g.identifier = t.identifier
+WHERE g.model = 'full'""")
+oracle("eval_sheet_full", with_(CASES, GENERATED, SPLIT, TEST) + f"""
+SELECT t.*, g.summary_full_model FROM test_case t LEFT JOIN (
+  SELECT identifier, {STRIP} AS summary_full_model FROM generated WHERE model = 'full') g ON t.identifier = g.identifier""")
+oracle("eval_sheet_cluster", with_(CASES, GENERATED, SPLIT, TEST) + f"""
+SELECT t.*, g.summary_cluster_model FROM test_case t LEFT JOIN (
+  SELECT identifier, model, {STRIP} AS summary_cluster_model FROM generated) g
+  ON t.identifier = g.identifier AND t.class = g.model""")
+
+ASSIGN = """
+cen AS (SELECT label, list(c ORDER BY i) AS c FROM (
+          SELECT label, i, avg(embedding[i]) AS c FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
+dd AS (SELECT e.vec_id, e.label, cen.label AS center,
+         list_sum(list_transform(range(1, 65), lambda i: (e.embedding[i]::DOUBLE - cen.c[i]) * (e.embedding[i]::DOUBLE - cen.c[i]))) AS dist
+       FROM embeddings e, cen),
+best AS (SELECT vec_id, label, center, dist FROM (
+          SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, center) AS rn FROM dd) WHERE rn = 1)"""
+oracle("kmeans_assign_step", with_(ASSIGN) + "SELECT vec_id, center, round(dist, 6) AS dist FROM best")
+oracle("predictions_concat", with_(ASSIGN) + "SELECT vec_id, label, center AS class FROM best")
+oracle("class_counts", with_(ASSIGN) + "SELECT center AS class, CAST(count(*) AS BIGINT) AS n FROM best GROUP BY center")
+oracle("assignment_audit", with_(ASSIGN) + """
+SELECT a.vec_id, a.center AS stored_class, b.center AS predicted_class FROM best a JOIN best b ON a.vec_id = b.vec_id
+WHERE a.center <> b.center""")
+oracle("curve_align", with_(CURVES) + "PIVOT (SELECT epoch, run, loss FROM curves) ON run USING first(loss) GROUP BY epoch")
+oracle("score_align_outer", with_(CASES, SCORES, UNPIV) + "SELECT CAST(g.s AS INTEGER) AS score, " + ", ".join(
+    f"CAST(count(l.score) FILTER (WHERE l.metric = '{c}') AS BIGINT) AS {c}" for c in SCORE_COLUMNS[:4])
+    + " FROM range(1, 6) g(s) LEFT JOIN long l ON l.score = g.s GROUP BY g.s")
+oracle("token_semi", with_(CASES, VIABLE, PREP) + """
+SELECT identifier, CAST(len(k) AS BIGINT) AS n_shared, md5(array_to_string(k, ' ')) AS shared_md5 FROM (
+  SELECT identifier, list_filter(s_tok, lambda t: list_contains(d_tok, t)) AS k FROM prep)""")
+TOKS = f"toks AS (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents)"
+DFS = "dfs AS (SELECT token, CAST(count(*) AS BIGINT) AS tf, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM toks GROUP BY token)"
+VOCAB2 = ("vocab AS (SELECT token, tf, df, CAST(row_number() OVER (ORDER BY df DESC, token) + 2 AS BIGINT) AS term_id "
+          "FROM dfs WHERE df >= 2)")
+oracle("token_anti", with_(TOKS, DFS) + """
+SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_dropped FROM toks t JOIN dfs d ON t.token = d.token
+WHERE d.df < 2 GROUP BY t.doc_id""")
+EQ = ("CAST(list_sum(list_transform(list_distinct(d_sent), lambda x: len(list_filter(d_sent, lambda y: y = x)) "
+      "* (len(list_filter(d_sent, lambda y: y = x)) - 1) // 2)) AS BIGINT)")
+oracle("sentence_pairs", with_(CASES, VIABLE, PREP) + f"""
+SELECT identifier, CAST(len(d_sent) AS BIGINT) AS n_sentences, CAST(len(d_sent) * (len(d_sent) - 1) // 2 AS BIGINT) AS n_pairs,
+  coalesce({EQ}, 0) AS n_equal_pairs FROM prep""")
+oracle("sentence_pairs_unequal", with_(CASES, VIABLE, PREP) + f"""
+SELECT identifier, CAST(len(d_sent) * (len(d_sent) - 1) - 2 * coalesce({EQ}, 0) AS BIGINT) AS n_ordered_unequal_pairs FROM prep""")
+oracle("adjacent_pairs", with_(CASES, VIABLE, PREP) + """
+SELECT identifier, CAST(i - 1 AS INTEGER) AS pos, s_sent[i] AS sentence, s_sent[i + 1] AS next_sentence FROM (
+  SELECT identifier, s_sent, unnest(range(1, len(s_sent))) AS i FROM prep)""")
+oracle("union_files", """
+SELECT 'documents' AS origin, doc_id AS id, md5(text) AS text_md5 FROM documents
+UNION ALL SELECT 'benchmark', item_id, md5(text) FROM benchmark""")
+
+# --- 2.5 evaluation roll-ups -----------------------------------------------------
+RS_FULL = f"""
+rs AS (SELECT t.identifier, t.class,
+         {rouge_n('hyp', 't.summary', 1, None)} AS rouge1, {rouge_n('hyp', 't.summary', 2, None)} AS rouge2
+       FROM test_case t JOIN (SELECT identifier, {STRIP} AS hyp FROM generated WHERE model = 'full') g
+         ON t.identifier = g.identifier)"""
+RS_CLU = f"""
+rs AS (SELECT t.identifier, t.class,
+         {rouge_n('hyp', 't.summary', 1, None)} AS rouge1, {rouge_n('hyp', 't.summary', 2, None)} AS rouge2
+       FROM test_case t JOIN (SELECT identifier, model, {STRIP} AS hyp FROM generated) g
+         ON t.identifier = g.identifier AND t.class = g.model)"""
+oracle("rouge_means", with_(CASES, GENERATED, SPLIT, TEST, RS_FULL) + """
+SELECT round(avg(rouge1 * 100), 2) AS rouge1_mean, round(avg(rouge2 * 100), 2) AS rouge2_mean FROM rs""")
+oracle("rouge_means_by_class", with_(CASES, GENERATED, SPLIT, TEST, RS_CLU) + """
+SELECT class, round(avg(rouge1 * 100), 2) AS rouge1_mean, round(avg(rouge2 * 100), 2) AS rouge2_mean FROM rs GROUP BY class""")
+oracle("weighted_combine", with_(CASES, GENERATED, SPLIT, TEST, RS_CLU) + """
+, m AS (SELECT class, round(avg(rouge1 * 100), 2) AS rouge1_mean, round(avg(rouge2 * 100), 2) AS rouge2_mean FROM rs GROUP BY class),
+sz AS (SELECT class, count(*) AS size FROM split_case GROUP BY class)
+SELECT round(sum(rouge1_mean * size) / sum(size), 2) AS rouge1_mean, round(sum(rouge2_mean * size) / sum(size), 2) AS rouge2_mean
+FROM m JOIN sz ON m.class = sz.class""")
+oracle("split_dimensions", with_(CASES, SPLIT) + """
+SELECT coalesce(class, 'full') AS dataset,
+  CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS train,
+  CAST(count(*) FILTER (WHERE split = 'validation') AS BIGINT) AS validation,
+  CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS test, CAST(count(*) AS BIGINT) AS total
+FROM split_case GROUP BY ROLLUP (class)""")
+
+# --- 2.9 ------------------------------------------------------------------------
+oracle("vocabulary", with_(TOKS, DFS) + """
+SELECT token, tf, df, CAST(row_number() OVER (ORDER BY df DESC, token) + 2 AS BIGINT) AS term_id FROM dfs""")
+oracle("doc_term_counts", with_(TOKS, DFS, VOCAB2) + """
+SELECT t.doc_id, t.token, CAST(count(*) AS BIGINT) AS n, any_value(v.term_id) AS term_id
+FROM toks t JOIN vocab v ON t.token = v.token GROUP BY t.doc_id, t.token""")
+ENC = with_(TOKS, DFS, VOCAB2) + f"""
+, t AS (SELECT doc_id, ({tokens('text')})[1:1024] AS tk FROM documents),
+ex AS (SELECT doc_id, unnest(range(1, len(tk) + 1)) AS pos, unnest(tk) AS token FROM t),
+m AS (SELECT ex.doc_id, ex.pos, coalesce(v.term_id, 1) AS id FROM ex LEFT JOIN vocab v ON ex.token = v.token),
+ids AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM m GROUP BY doc_id),
+enc AS (SELECT t.doc_id, coalesce(ids.ids, []::BIGINT[]) AS ids FROM t LEFT JOIN ids ON t.doc_id = ids.doc_id),
+padded AS (SELECT doc_id, len(ids) AS n_real,
+             list_concat(ids, list_transform(range(1024 - len(ids)), lambda x: 0::BIGINT)) AS input_ids FROM enc)
+"""
+oracle("encode_pad", ENC + """
+SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_ids, CAST(n_real AS BIGINT) AS n_real,
+  md5(array_to_string(input_ids, ' ')) AS ids_md5 FROM padded""")
+UMASK = ("((('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR) || ':42'), 1, 13))::BIGINT)::DOUBLE"
+         " + 0.5) / 4503599627370496.0")
+oracle("mask_examples", ENC + f"""
+, mk AS (SELECT doc_id, list_transform(input_ids, lambda t, i: CASE WHEN t <> 0 AND {UMASK} < 0.15 THEN 2::BIGINT ELSE t END) AS masked
+         FROM padded)
+SELECT doc_id, CAST(len(list_filter(masked, lambda t: t = 2)) AS BIGINT) AS n_masked,
+  md5(array_to_string(masked, ' ')) AS masked_md5 FROM mk""")

@@ -436,3 +436,204 @@ def q_rouge_n(spark, sf):
     p = fx.pairs(spark, sf).withColumn("hyp", tx.strip_markers("c_summary"))
     return p.select("conv_id", "turn", F.round(rg.rouge_n("hyp", "ref", 1), 6).alias("rouge1"),
                     F.round(rg.rouge_n("hyp", "ref", 2), 6).alias("rouge2"))
+
+
+# --- 2.4 joins and set operations --------------------------------------------
+from corpuslab.operators import cluster as cl  # noqa: E402
+from corpuslab.operators import joins as jn  # noqa: E402
+from corpuslab.operators import vocab as vc  # noqa: E402
+from corpuslab.sources.tables import union_files  # noqa: E402
+
+
+def test_split(spark, sf):
+    return split_cases(spark, sf).where(F.col("split") == "test")
+
+
+@query("split_join")
+def q_split_join(spark, sf):
+    v = flt.viable_filter(fx.cases(spark, sf), keep=("class",))
+    split_map = smp.stratified_split(v.select("identifier", "class")).select("identifier", "split")
+    return jn.split_join(v, split_map)
+
+
+@query("reference_lookup")
+def q_reference_lookup(spark, sf):
+    gen = fx.generated(spark, sf).where(F.col("model") == "full").select("identifier", "c_summary")
+    refs = test_split(spark, sf).select("identifier", "summary", "class")
+    return jn.reference_lookup(gen, refs)
+
+
+@query("eval_sheet_full")
+def q_eval_sheet_full(spark, sf):
+    return jn.eval_sheet_full(test_split(spark, sf), fx.generated(spark, sf))
+
+
+@query("eval_sheet_cluster")
+def q_eval_sheet_cluster(spark, sf):
+    return jn.eval_sheet_cluster(test_split(spark, sf), fx.generated(spark, sf))
+
+
+def label_centres(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e, cl.centres_by_label(e, "embedding", "label", 64)
+
+
+def fixed_assignments(spark, sf):
+    e, centres = label_centres(spark, sf)
+    return cl.assign_to_centres(e, "embedding", centres)
+
+
+@query("kmeans_assign_step")
+def q_kmeans_assign_step(spark, sf):
+    a = fixed_assignments(spark, sf)
+    return a.select("vec_id", F.col("class").alias("center"), F.round("dist", 6).alias("dist"))
+
+
+@query("predictions_concat")
+def q_predictions_concat(spark, sf):
+    return fixed_assignments(spark, sf).select("vec_id", "label", "class")
+
+
+@query("class_counts")
+def q_class_counts(spark, sf):
+    return agg.class_counts(fixed_assignments(spark, sf))
+
+
+@query("curve_align")
+def q_curve_align(spark, sf):
+    return jn.curve_align(fx.curves(spark, sf))
+
+
+@query("score_align_outer")
+def q_score_align_outer(spark, sf):
+    return jn.score_align_outer(fx.eval_scores(spark, sf), fx.SCORE_COLUMNS[:4])
+
+
+@query("token_semi")
+def q_token_semi(spark, sf):
+    p = mt.prepare(viable(spark, sf))
+    return p.select("identifier", tx.let({"k": jn.token_semi(F.col("s_tok"), F.col("d_tok"))}, lambda v: F.struct(
+        F.size(v["k"]).cast("bigint").alias("n_shared"), _digest(v["k"]).alias("shared_md5"))).alias("r")) \
+        .select("identifier", "r.*")
+
+
+def doc_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.tokenize("text").alias("tokens"))
+
+
+def fixed_vocab(spark, sf, min_df=2):
+    return vc.vocabulary(doc_tokens(spark, sf), "doc_id", "tokens", min_df=min_df)
+
+
+@query("token_anti")
+def q_token_anti(spark, sf):
+    toks = jn.explode_tokens(doc_tokens(spark, sf), "doc_id", "tokens")
+    dropped = jn.keep_in_vocabulary(toks, fixed_vocab(spark, sf), "left_anti")
+    return dropped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_dropped"))
+
+
+@query("sentence_pairs")
+def q_sentence_pairs(spark, sf):
+    p = mt.prepare(viable(spark, sf), summary=None)
+    return p.select("identifier", jn.equal_pair_stats(F.col("d_sent")).alias("r")).select(
+        "identifier", "r.n_sentences", "r.n_pairs", "r.n_equal_pairs")
+
+
+@query("sentence_pairs_unequal")
+def q_sentence_pairs_unequal(spark, sf):
+    p = mt.prepare(viable(spark, sf), summary=None)
+    return p.select("identifier", jn.equal_pair_stats(F.col("d_sent")).alias("r")).select(
+        "identifier", "r.n_ordered_unequal_pairs")
+
+
+@query("adjacent_pairs")
+def q_adjacent_pairs(spark, sf):
+    return jn.adjacent_pairs(mt.prepare(viable(spark, sf)), "identifier", "s_sent")
+
+
+@query("union_files")
+def q_union_files(spark, sf):
+    d = table(spark, sf, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
+    b = table(spark, sf, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), "text")
+    u = union_files(spark, [d, b])
+    return u.select("origin", "id", F.md5("text").alias("text_md5"))
+
+
+# --- 2.5 (continued): evaluation roll-ups ----------------------------------------
+def rouge_scores(spark, sf, model: str):
+    """R1/R2 F of generated summaries against the reference summary, test split."""
+    t = test_split(spark, sf).select("identifier", "summary", "class")
+    g = fx.generated(spark, sf)
+    if model == "full":
+        g = g.where(F.col("model") == "full").select("identifier", "c_summary")
+        j = t.join(g, "identifier")
+    else:
+        j = t.join(g, [t.identifier == g.identifier, t["class"] == g.model]).drop(g.identifier)
+    j = j.withColumn("hyp", tx.strip_markers("c_summary"))
+    return j.select("identifier", "class", rg.rouge_n("hyp", "summary", 1).alias("rouge1"),
+                    rg.rouge_n("hyp", "summary", 2).alias("rouge2"))
+
+
+@query("rouge_means")
+def q_rouge_means(spark, sf):
+    return agg.rouge_means(rouge_scores(spark, sf, "full"), ["rouge1", "rouge2"])
+
+
+@query("rouge_means_by_class")
+def q_rouge_means_by_class(spark, sf):
+    return agg.rouge_means(rouge_scores(spark, sf, "cluster"), ["rouge1", "rouge2"], by=["class"])
+
+
+@query("weighted_combine")
+def q_weighted_combine(spark, sf):
+    means = agg.rouge_means(rouge_scores(spark, sf, "cluster"), ["rouge1", "rouge2"], by=["class"])
+    sizes = split_cases(spark, sf).groupBy("class").agg(F.count(F.lit(1)).alias("size"))
+    return agg.weighted_combine(means, sizes, "class", ["rouge1_mean", "rouge2_mean"])
+
+
+@query("split_dimensions")
+def q_split_dimensions(spark, sf):
+    return agg.split_dimensions(split_cases(spark, sf))
+
+
+# --- 2.9 learned tables (SQL-checkable parts) ------------------------------------
+@query("vocabulary")
+def q_vocabulary(spark, sf):
+    return vc.vocabulary(doc_tokens(spark, sf), "doc_id", "tokens", min_df=1)
+
+
+@query("doc_term_counts")
+def q_doc_term_counts(spark, sf):
+    return vc.doc_term_counts(doc_tokens(spark, sf), "doc_id", "tokens", fixed_vocab(spark, sf))
+
+
+def encoded(spark, sf, max_len=1024):
+    ids = vc.encode_ids(doc_tokens(spark, sf), "doc_id", "tokens", fixed_vocab(spark, sf), max_len)
+    return ids.select("doc_id", vc.pad(F.col("ids"), max_len).alias("e")).select("doc_id", "e.*")
+
+
+@query("encode_pad")
+def q_encode_pad(spark, sf):
+    e = encoded(spark, sf)
+    return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_ids"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_real"),
+                    F.md5(F.array_join(F.col("input_ids").cast("array<string>"), " ")).alias("ids_md5"))
+
+
+@query("mask_examples")
+def q_mask_examples(spark, sf):
+    e = encoded(spark, sf)
+    m = e.select("doc_id", vc.mask_ids(F.col("input_ids"), F.col("doc_id")).alias("masked"))
+    return m.select("doc_id", F.size(F.filter("masked", lambda t: t == vc.MASK_ID)).cast("bigint").alias("n_masked"),
+                    F.md5(F.array_join(F.col("masked").cast("array<string>"), " ")).alias("masked_md5"))
+
+
+@query("assignment_audit")
+def q_assignment_audit(spark, sf):
+    from corpuslab.session import fresh_dir
+    stored_path = fresh_dir(spark, "cluster-map")
+    fixed_assignments(spark, sf).select("vec_id", "class").write.parquet(stored_path)
+    stored = spark.read.parquet(stored_path)
+    e, centres = label_centres(spark, sf)
+    again = cl.assign_to_centres(e, "embedding", centres)
+    return cl.audit(stored, again, "vec_id")
