@@ -514,3 +514,34 @@ oracle("mask_examples", ENC + f"""
          FROM padded)
 SELECT doc_id, CAST(len(list_filter(masked, lambda t: t = 2)) AS BIGINT) AS n_masked,
   md5(array_to_string(masked, ' ')) AS masked_md5 FROM mk""")
+
+
+# --- 2.1 / 2.2 ------------------------------------------------------------------
+oracle("xml_dates", """
+SELECT event_id,
+  strftime(try_strptime(strftime(ts, '%Y-%m-%d'), '%Y-%m-%d'), '%Y-%m-%d %H:%M:%S') AS judgment_date,
+  strftime(try_strptime(props, '%Y-%m-%d'), '%Y-%m-%d %H:%M:%S') AS issue_date,
+  strftime(try_strptime(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS modified
+FROM events""")
+HTML = ("regexp_replace(regexp_replace(replace(replace(replace(replace(replace("
+        "regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), "
+        "'<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), "
+        "'\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')")
+oracle("markup_to_text", f"""
+SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {HTML} AS t FROM pages)""")
+oracle("missing_flag", with_(CASES) + """
+SELECT identifier, coalesce(nullif(concat_ws('|', CASE WHEN summary = 'none' THEN 'summary' END,
+  CASE WHEN description = 'none' THEN 'description' END), ''), 'none') AS missing_flag FROM cases""")
+oracle("parquet_scan", "SELECT doc_id, lang, n_chars FROM documents")
+oracle("csv_scan", with_(CASES) + "SELECT identifier, class, n_chars FROM cases")
+oracle("text_column_source", "SELECT text FROM documents")
+oracle("generated_scan", with_(CASES, GENERATED) + "SELECT identifier, model, c_summary FROM generated")
+oracle("size_balanced_chunks", """
+SELECT doc_id, CAST(least(3, floor(4 * (cum - n_chars) / total)) AS INTEGER) AS chunk FROM (
+  SELECT doc_id, n_chars,
+    sum(n_chars) OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42') ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+    sum(n_chars) OVER () AS total FROM documents)""")
+oracle("shuffled_chunk_write", with_(CASES) + f"""
+, r AS (SELECT *, row_number() OVER (ORDER BY md5(identifier || ':42')) AS rn, count(*) OVER () AS total FROM cases)
+SELECT identifier, CAST(least(9, floor((rn - 1) / greatest(total // 10, 1))) AS INTEGER) AS chunk FROM r
+WHERE missing_parts = 'none' AND summary <> '-' AND {wc('summary')} >= 10 AND {wc('description')} <= 1024""")

@@ -637,3 +637,192 @@ def q_assignment_audit(spark, sf):
     e, centres = label_centres(spark, sf)
     again = cl.assign_to_centres(e, "embedding", centres)
     return cl.audit(stored, again, "vec_id")
+
+
+# --- 2.1 sources, 2.2 sinks --------------------------------------------------
+from corpuslab.session import fresh_dir  # noqa: E402
+from corpuslab.sinks import writers as wr  # noqa: E402
+from corpuslab.sources import archives as ar  # noqa: E402
+from corpuslab.sources import tables as tb  # noqa: E402
+
+
+def built_archives(spark, sf):
+    """Month archives derived from the cases table, written to a fresh shared folder."""
+    root = fresh_dir(spark, "archives")
+    ar.write_archives(ar.case_xml(fx.cases(spark, sf)), root).collect()
+    return root
+
+
+def parsed_cases(spark, sf):
+    return ar.parse_cases(ar.archive_explode(spark, built_archives(spark, sf)))
+
+
+@query("archive_scan")
+def q_archive_scan(spark, sf):
+    return ar.archive_scan(spark, built_archives(spark, sf)).orderBy("year", "name")
+
+
+@query("archive_explode")
+def q_archive_explode(spark, sf):
+    return ar.archive_explode(spark, built_archives(spark, sf)).select(
+        "year", "month", "member", F.md5("xml").alias("xml_md5"))
+
+
+@query("xml_single_tags")
+def q_xml_single_tags(spark, sf):
+    return ar.with_none(parsed_cases(spark, sf).select("identifier", *[k for k in ar.SINGLE_TAGS if k != "identifier"]))
+
+
+@query("xml_multi_tags")
+def q_xml_multi_tags(spark, sf):
+    return ar.with_none(parsed_cases(spark, sf).select("identifier", *ar.MULTI_TAGS))
+
+
+@query("text_fallback")
+def q_text_fallback(spark, sf):
+    p = parsed_cases(spark, sf)
+    return p.select("identifier", "missing_parts", F.md5("description").alias("description_md5"),
+                    tx.word_count("description").alias("desc_words"))
+
+
+@query("xml_dates")
+def q_xml_dates(spark, sf):
+    ev = table(spark, sf, "events")
+    raw = ev.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("judgment_raw"),
+                    F.col("props").alias("issue_raw"),
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_raw"))
+    fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return raw.select("event_id",
+                      fmt(F.try_to_timestamp("judgment_raw", F.lit(ar.DATE_FMT))).alias("judgment_date"),
+                      fmt(F.try_to_timestamp("issue_raw", F.lit(ar.DATE_FMT))).alias("issue_date"),
+                      fmt(F.try_to_timestamp("modified_raw", F.lit(ar.DATETIME_FMT))).alias("modified"))
+
+
+# HTML cleanup patterns (dropped blocks, tags, whitespace) and entities.
+HTML_DROP = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+HTML_TAG = r"<[^>]*>"
+HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def html_text(c):
+    x = F.regexp_replace(F.regexp_replace(c, HTML_DROP, " "), HTML_TAG, " ")
+    for ent, ch in HTML_ENTITIES:
+        x = F.replace(x, F.lit(ent), F.lit(ch))
+    return F.regexp_replace(F.regexp_replace(x, r"\s+", " "), EDGE, "")
+
+
+EDGE = tx.EDGE_SPACE
+
+
+@query("markup_to_text")
+def q_markup_to_text(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", tx.let({"t": html_text(F.col("html"))}, lambda v: F.struct(
+        F.length(v["t"]).cast("bigint").alias("n_chars"), F.md5(v["t"]).alias("text_md5"))).alias("r")) \
+        .select("page_id", "r.*")
+
+
+@query("missing_flag")
+def q_missing_flag(spark, sf):
+    c = fx.cases(spark, sf)
+    flag = F.concat_ws("|", F.when(F.col("summary") == "none", F.lit("summary")),
+                       F.when(F.col("description") == "none", F.lit("description")))
+    return c.select("identifier", F.coalesce(F.nullif(flag, F.lit("")), F.lit("none")).alias("missing_flag"))
+
+
+@query("parquet_scan")
+def q_parquet_scan(spark, sf):
+    return tb.parquet_scan(spark, f"{sf}/documents.parquet", ["doc_id", "lang", "n_chars"])
+
+
+@query("repartition_by_size")
+def q_repartition_by_size(spark, sf, target_mb: float = 100.0):
+    """Re-cut to about target_mb per partition from the on-disk size of the input."""
+    path = f"{sf}/documents.parquet"
+    size = (spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]) or 0
+    n = max(1, -(-int(size) // int(target_mb * 1e6)))
+    d = spark.read.parquet(path).repartition(n)
+    return d.select("doc_id", F.spark_partition_id().alias("partition"), F.lit(n).alias("n_partitions"))
+
+
+CASES_CSV_SCHEMA = "row_index long, identifier string, class string, n_chars long"
+
+
+@query("csv_write")
+def q_csv_write(spark, sf):
+    path = fresh_dir(spark, "csv")
+    wr.csv_write(fx.cases(spark, sf).select(F.col("doc_id").alias("row_index"), "identifier", "class", "n_chars"), path)
+    return spark.read.option("header", True).schema(CASES_CSV_SCHEMA).csv(path)
+
+
+@query("csv_scan")
+def q_csv_scan(spark, sf):
+    path = fresh_dir(spark, "csv")
+    wr.csv_write(fx.cases(spark, sf).select(F.col("doc_id").alias("row_index"), "identifier", "class", "n_chars"), path)
+    return tb.csv_scan(spark, path, CASES_CSV_SCHEMA, drop=["row_index"])
+
+
+@query("curve_scan")
+def q_curve_scan(spark, sf):
+    root = fresh_dir(spark, "curves")
+    c = fx.curves(spark, sf)
+    tags = F.explode(F.array(F.lit("train_loss"), F.lit("eval_loss")))
+    (c.select("run", tags.alias("tag"), F.col("n").cast("double").alias("wall_time"),
+              F.col("epoch").cast("bigint").alias("step"), F.col("loss").alias("value"))
+     .write.partitionBy("run", "tag").option("header", True).csv(root))
+    return tb.curve_scan(spark, root)
+
+
+@query("text_column_source")
+def q_text_column_source(spark, sf):
+    return tb.text_column_source(spark, f"{sf}/documents.parquet", "text")
+
+
+@query("generated_scan")
+def q_generated_scan(spark, sf):
+    root = fresh_dir(spark, "generated")
+    g = fx.generated(spark, sf)
+    g.write.partitionBy("model").parquet(root)
+    models = [r[0] for r in spark.read.parquet(root).select("model").distinct().collect()]
+    mapping = {m: f"{root}/model={m}" for m in models}
+    return tb.generated_scan(spark, mapping)
+
+
+@query("write_per_archive")
+def q_write_per_archive(spark, sf):
+    path = fresh_dir(spark, "raw-cases")
+    wr.write_per_archive(parsed_cases(spark, sf), path)
+    return spark.read.parquet(path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("size_balanced_chunks")
+def q_size_balanced_chunks(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return wr.size_balanced_chunks(d, "n_chars", "doc_id", 4).select("doc_id", "chunk")
+
+
+@query("shuffled_chunk_write")
+def q_shuffled_chunk_write(spark, sf):
+    path = fresh_dir(spark, "interim")
+    c = wr.shuffled_chunks(fx.cases(spark, sf), "identifier", 10)
+    wr.write_chunks(flt.viable_filter(c, keep=("chunk",)), path)
+    return spark.read.parquet(path).select("identifier", "chunk")
+
+
+@query("split_write")
+def q_split_write(spark, sf):
+    path = fresh_dir(spark, "splits")
+    wr.split_write(split_cases(spark, sf), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cluster_split_write")
+def q_cluster_split_write(spark, sf):
+    path = fresh_dir(spark, "cluster-splits")
+    wr.cluster_split_write(split_cases(spark, sf), path)
+    return spark.read.parquet(path).groupBy("split", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("format_compare")
+def q_format_compare(spark, sf):
+    return wr.format_compare(fx.cases(spark, sf), fresh_dir(spark, "formats"))

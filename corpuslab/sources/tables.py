@@ -55,10 +55,18 @@ def generated_scan(spark: SparkSession, mapping: dict[str, str], id_col: str = "
 CURVE_SCHEMA = "wall_time double, step bigint, value double"
 
 
-def curve_scan(spark: SparkSession, glob: str) -> DataFrame:
-    """Loss CSVs named ``run-<run>-tag-<tag>.csv`` read with one scan; run and
-    tag come from the file name."""
-    df = spark.read.schema(CURVE_SCHEMA).option("header", True).csv(glob)
-    name = F.regexp_extract(F.input_file_name(), r"run-([^/]+)-tag-([^/]+)\.csv$", 1)
-    tag = F.regexp_extract(F.input_file_name(), r"run-([^/]+)-tag-([^/]+)\.csv$", 2)
-    return df.select(name.alias("run"), tag.alias("tag"), "wall_time", "step", "value")
+def curve_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Loss-curve CSVs under ``root`` read with one scan.
+
+    Run and tag come from the file path: either the reference's file names
+    ``run-<run>-tag-<tag>.csv`` or a Spark layout ``run=<run>/tag=<tag>/``.
+    """
+    df = (spark.read.schema(CURVE_SCHEMA).option("header", True).option("recursiveFileLookup", "true")
+          .option("pathGlobFilter", "*.csv").csv(root))
+    f = F.input_file_name()
+
+    def pick(key_dir, key_file):
+        return F.coalesce(F.nullif(F.regexp_extract(f, key_dir, 1), F.lit("")), F.regexp_extract(f, key_file, 1))
+    run = pick(r"run=([^/]+)/tag=", r"run-([^/]+)-tag-[^/]+\.csv$")
+    tag = pick(r"/tag=([^/]+)/", r"run-[^/]+-tag-([^/]+)\.csv$")
+    return df.select(run.alias("run"), tag.alias("tag"), "wall_time", "step", "value")
