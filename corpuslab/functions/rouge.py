@@ -99,3 +99,117 @@ def rouge_l_text(hyp: str | None, ref: str | None) -> float | None:
 def rouge_l(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """Summary-level ROUGE-L F (see module docstring)."""
     return pd.Series([rouge_l_text(h, r) for h, r in zip(hyp, ref)], dtype="float64")
+
+
+# --- sentence-pair ROUGE-L, vectorised over all pairs of one document -------
+PAIR_BATCH = 4096
+
+
+def _ids(sents: list[list[str]]):
+    vocab: dict[str, int] = {}
+    return [[vocab.setdefault(w, len(vocab)) for w in s] for s in sents], len(vocab)
+
+
+def _lcs_set_sizes(X: np.ndarray, Y: np.ndarray, lx: np.ndarray, ly: np.ndarray, vsize: int) -> np.ndarray:
+    """Distinct reference words on the back-traced LCS path, for a batch of pairs.
+
+    X (p, mx) reference ids padded with -1, Y (p, my) hypothesis ids padded with -2.
+    The table is laid out (i, j, pair) so every cell update is one contiguous
+    vector operation across the batch."""
+    p, mx = X.shape
+    my = Y.shape[1]
+    T = np.zeros((mx + 1, my + 1, p), dtype=np.int32)
+    Yt = Y.T
+    for i in range(1, mx + 1):
+        eq = X[:, i - 1][None, :] == Yt          # (my, p)
+        prev, row = T[i - 1], T[i]
+        for j in range(1, my + 1):
+            row[j] = np.where(eq[j - 1], prev[j - 1] + 1, np.maximum(prev[j], row[j - 1]))
+    seen = np.zeros((p, vsize + 1), dtype=bool)
+    i, j = lx.copy(), ly.copy()
+    rows = np.arange(p)
+    active = (i > 0) & (j > 0)
+    while active.any():
+        a = rows[active]
+        ia, ja = i[a], j[a]
+        xw, yw = X[a, ia - 1], Y[a, ja - 1]
+        match = xw == yw
+        seen[a[match], xw[match]] = True
+        up = ~match & (T[ia - 1, ja, a] > T[ia, ja - 1, a])
+        left_ = ~match & ~up
+        i[a[match | up]] -= 1
+        j[a[match | left_]] -= 1
+        active = (i > 0) & (j > 0)
+    return seen.sum(axis=1).astype(np.float64)
+
+
+def pair_rouge_l(words: list[list[str]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """ROUGE-L F of every pair (hyp = words[left[p]], ref = words[right[p]]) of
+    single-part sentences, vectorised over pairs: pairs are sorted by length
+    and cut into batches, the LCS table of a batch is filled cell by cell
+    across the pair axis, and the back-trace (diagonal on a match, else up when
+    strictly larger, else left) marks the reference words on the path."""
+    ids, vsize = _ids(words)
+    lens = np.array([len(v) for v in ids])
+    distinct = np.array([len(set(v)) for v in ids], dtype=np.float64)
+    order = np.lexsort((lens[left], lens[right]))
+    out = np.empty(len(left), dtype=np.float64)
+    for s in range(0, len(order), PAIR_BATCH):
+        idx = order[s:s + PAIR_BATCH]
+        li, ri = left[idx], right[idx]
+        lx, ly = lens[ri], lens[li]
+        X = np.full((len(idx), int(lx.max())), -1, dtype=np.int64)
+        Y = np.full((len(idx), int(ly.max())), -2, dtype=np.int64)
+        for k in range(len(idx)):
+            X[k, :lx[k]] = ids[ri[k]]
+            Y[k, :ly[k]] = ids[li[k]]
+        hits = _lcs_set_sizes(X, Y, lx, ly, vsize)
+        r, pr = hits / distinct[ri], hits / distinct[li]
+        out[idx] = 2.0 * ((pr * r) / (pr + r + EPS))
+    return out
+
+
+def _parts(sentence: str) -> list[list[str]]:
+    return _sentences(sentence)
+
+
+def redundancy_pairs(sents, ordered_unequal: bool = False) -> float | None:
+    """Mean sentence-pair ROUGE-L F of one document.
+
+    unordered (default): pairs i < j; one sentence -> 0.0; no sentence, or a
+    sentence without words (just '.'), -> None (the reference's 999).
+    ordered_unequal: all ordered pairs with different text; none -> 998.0.
+    """
+    sents = list(sents) if sents is not None else []
+    if not sents:
+        return None
+    parts = [_parts(s) for s in sents]
+    if any(len(p) == 0 for p in parts):
+        return None
+    if not ordered_unequal and len(sents) == 1:
+        return 0.0
+    n = len(sents)
+    a, b = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
+    if ordered_unequal:
+        keep = np.array([[sents[x] != sents[y] for y in range(n)] for x in range(n)])
+    else:
+        keep = a < b
+    left, right = a[keep], b[keep]
+    if len(left) == 0:
+        return 998.0
+    if all(len(p) == 1 for p in parts):
+        words = [p[0] for p in parts]
+        scores = pair_rouge_l(words, left, right)
+    else:  # multi-part sentences: the summary-level definition, pair by pair
+        scores = np.array([rouge_l_text(sents[x], sents[y]) for x, y in zip(left, right)])
+    return round(float(scores.sum() / len(scores)), 4)
+
+
+@F.pandas_udf(T.DoubleType())
+def redundancy_rouge(sents: pd.Series) -> pd.Series:
+    return pd.Series([redundancy_pairs(s) for s in sents], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def redundancy_ordered(sents: pd.Series) -> pd.Series:
+    return pd.Series([redundancy_pairs(s, ordered_unequal=True) for s in sents], dtype="float64")

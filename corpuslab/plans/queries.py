@@ -826,3 +826,36 @@ def q_cluster_split_write(spark, sf):
 @query("format_compare")
 def q_format_compare(spark, sf):
     return wr.format_compare(fx.cases(spark, sf), fresh_dir(spark, "formats"))
+
+
+# --- 2.8 metrics with Python inner loops (Arrow batches) -----------------------
+from corpuslab.functions import fragments as fr  # noqa: E402
+
+
+@query("fragments")
+def q_fragments(spark, sf):
+    p = mt.prepare(viable(spark, sf))
+    f = p.select("identifier", fr.fragments("s_tok", "d_tok").alias("frags"))
+    return f.select("identifier", F.size("frags").cast("bigint").alias("n_fragments"),
+                    F.aggregate("frags", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x)).alias("n_tokens"),
+                    F.md5(F.array_join(F.transform("frags", lambda x: F.array_join(x, " ")), "|")).alias("frags_md5"))
+
+
+@query("redundancy_rouge")
+def q_redundancy_rouge(spark, sf):
+    p = mt.prepare(viable(spark, sf))
+    out = p.select("identifier", rg.redundancy_rouge("s_sent").alias("redundancy"))
+    return flt.with_sentinels(out, ["redundancy"])
+
+
+@query("redundancy_ordered")
+def q_redundancy_ordered(spark, sf):
+    p = mt.prepare(viable(spark, sf), summary=None)
+    out = p.select("identifier", rg.redundancy_ordered("d_sent").alias("redundancy"))
+    return flt.with_sentinels(out, ["redundancy"])
+
+
+@query("rouge_l")
+def q_rouge_l(spark, sf):
+    p = fx.pairs(spark, sf).withColumn("hyp", tx.strip_markers("c_summary"))
+    return p.select("conv_id", "turn", F.round(rg.rouge_l("hyp", "ref"), 6).alias("rouge_l"))
