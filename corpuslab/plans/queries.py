@@ -834,7 +834,7 @@ from corpuslab.functions import fragments as fr  # noqa: E402
 
 @query("fragments")
 def q_fragments(spark, sf):
-    p = mt.prepare(viable(spark, sf))
+    p = mt.prepare(mt.spread_for_python(viable(spark, sf)))
     f = p.select("identifier", fr.fragments("s_tok", "d_tok").alias("frags"))
     return f.select("identifier", F.size("frags").cast("bigint").alias("n_fragments"),
                     F.aggregate("frags", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x)).alias("n_tokens"),
@@ -850,7 +850,7 @@ def q_redundancy_rouge(spark, sf):
 
 @query("redundancy_ordered")
 def q_redundancy_ordered(spark, sf):
-    p = mt.prepare(viable(spark, sf), summary=None)
+    p = mt.prepare(mt.spread_for_python(viable(spark, sf)), summary=None)
     out = p.select("identifier", rg.redundancy_ordered("d_sent").alias("redundancy"))
     return flt.with_sentinels(out, ["redundancy"])
 
@@ -859,3 +859,121 @@ def q_redundancy_ordered(spark, sf):
 def q_rouge_l(spark, sf):
     p = fx.pairs(spark, sf).withColumn("hyp", tx.strip_markers("c_summary"))
     return p.select("conv_id", "turn", F.round(rg.rouge_l("hyp", "ref"), 6).alias("rouge_l"))
+
+
+# --- 2.9 topic model, k-means, mixtures ----------------------------------------
+from corpuslab.operators import mixture as mx  # noqa: E402
+from corpuslab.operators import topics as tp  # noqa: E402
+
+CLUSTER_FEATURES = ["topic_class", "redundancy", "semantic_coherence", "desc_words", "desc_sents"]
+
+
+def lda_docs(spark, sf):
+    v = flt.viable_filter(fx.cases(spark, sf), keep=("class",))
+    return tp.text_tokens(v, "description", "class")
+
+
+def lda_model(spark, sf):
+    return tp.lda_fit(lda_docs(spark, sf), k=5, seed=42, max_iter=20)
+
+
+def clustering_features(spark, sf):
+    """clustering_feature: topic class of the text, type-token redundancy, coherence
+    of the first 10 sentences, text words and sentences (999 where undefined)."""
+    docs = lda_docs(spark, sf)
+    model = tp.lda_fit(docs)
+    t = tp.topic_distribution(model, docs)
+    p = mt.length_features_text(mt.prepare(t, summary=None))
+    out = p.select("identifier", tp.topic_class("topics").alias("topic_class"),
+                   mt.redundancy_ttr(F.col("tokens")).alias("redundancy"),
+                   mt.coherence(F.col("d_sent"), first_k=10).alias("semantic_coherence"),
+                   "desc_words", "desc_sents")
+    return flt.with_sentinels(out, ["redundancy"])
+
+
+@query("lda_fit")
+def q_lda_fit(spark, sf):
+    model = lda_model(spark, sf)
+    lda = model.stages[-1]
+    return spark.createDataFrame([(lda.getK(), len(model.stages[0].vocabulary), float(lda.logPerplexity(
+        model.stages[0].transform(lda_docs(spark, sf)))))], "k int, vocab_size int, log_perplexity double")
+
+
+@query("lda_topics")
+def q_lda_topics(spark, sf):
+    return tp.lda_topics(lda_model(spark, sf), 10)
+
+
+@query("topic_distribution")
+def q_topic_distribution(spark, sf):
+    docs = lda_docs(spark, sf)
+    t = tp.topic_distribution(tp.lda_fit(docs), docs)
+    return t.select("identifier", "topics")
+
+
+@query("topic_class")
+def q_topic_class(spark, sf):
+    docs = lda_docs(spark, sf)
+    t = tp.topic_distribution(tp.lda_fit(docs), docs)
+    return t.select("identifier", tp.topic_class("topics").alias("topic_class"))
+
+
+@query("topic_similarity")
+def q_topic_similarity(spark, sf):
+    docs = lda_docs(spark, sf)
+    model = tp.lda_fit(docs)
+    summ = tp.text_tokens(docs.drop("tokens"), "summary", "class")
+    ts = tp.topic_distribution(model, summ).select("identifier", F.col("topics").alias("s_topics"))
+    td = tp.topic_distribution(model, docs).select("identifier", F.col("topics").alias("d_topics"))
+    return ts.join(td, "identifier").select("identifier", tp.topic_similarity("s_topics", "d_topics")
+                                            .alias("topic_similarity"))
+
+
+def cluster_input(spark, sf):
+    """Assembled features, checkpointed to the shared folder: the iterative fits
+    that follow re-read it many times, and a lost executor then re-reads the
+    checkpoint instead of recomputing the topic model."""
+    from corpuslab.session import shared_dir
+    shared_dir(spark, "")  # makes sure a checkpoint folder is set
+    return cl.assemble(clustering_features(spark, sf), CLUSTER_FEATURES).checkpoint(eager=True)
+
+
+@query("kmeans_fit_assign")
+def q_kmeans_fit_assign(spark, sf):
+    return cl.kmeans_fit_assign(cluster_input(spark, sf), k=6, seed=0).select("identifier", "class")
+
+
+@query("kmeans_elbow")
+def q_kmeans_elbow(spark, sf):
+    pts = cl.elbow(cluster_input(spark, sf), range(1, 12), seed=0)
+    best = cl.knee(pts)
+    return spark.createDataFrame([(k, v, k == best) for k, v in pts], "k int, distortion double, is_elbow boolean")
+
+
+@query("gmm_fit_assign")
+def q_gmm_fit_assign(spark, sf):
+    return mx.gmm_fit_assign(cluster_input(spark, sf), k=6, seed=0).select("identifier", "class")
+
+
+@query("gmm_bic_sweep")
+def q_gmm_bic_sweep(spark, sf):
+    x = clustering_features(spark, sf).select(F.array(*[F.col(c).cast("double") for c in CLUSTER_FEATURES]).alias("x"))
+    configs = [(k, c) for c in ("tied", "diag", "full") for k in range(1, 10)]
+    fits = mx.em_sweep(x, configs, seed=0)
+    best = min(fits, key=lambda f: f["bic"])
+    return spark.createDataFrame(
+        [(f["k"], f["covariance_type"], float(f["bic"]), float(f["mean_loglik"]), f["n_iter"], f is best) for f in fits],
+        "n_components int, covariance_type string, bic double, mean_loglik double, n_iter int, is_best boolean")
+
+
+@query("model_store")
+def q_model_store(spark, sf):
+    from pyspark.ml.clustering import KMeansModel
+    data = cluster_input(spark, sf)
+    model = cl.kmeans_fit(data, k=6, seed=0)
+    path = fresh_dir(spark, "kmeans-model")
+    model.write().overwrite().save(path)
+    loaded = KMeansModel.load(path)
+    a = model.transform(data).select("identifier", F.col("class").alias("saved_class"))
+    b = loaded.transform(data).select("identifier", F.col("class").alias("loaded_class"))
+    return a.join(b, "identifier")
