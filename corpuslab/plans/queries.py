@@ -977,3 +977,76 @@ def q_model_store(spark, sf):
     a = model.transform(data).select("identifier", F.col("class").alias("saved_class"))
     b = loaded.transform(data).select("identifier", F.col("class").alias("loaded_class"))
     return a.join(b, "identifier")
+
+
+# --- 2.9 subword vocabulary, batch apply ----------------------------------------
+from corpuslab.operators import subword as sw  # noqa: E402
+from corpuslab.streaming import incremental as inc  # noqa: E402
+
+BPE_ROUNDS = 50
+
+
+@query("bpe_vocabulary")
+def q_bpe_vocabulary(spark, sf):
+    from corpuslab.session import shared_dir
+    shared_dir(spark, "")
+    words = sw.word_table(tb.text_column_source(spark, f"{sf}/documents.parquet", "text")).checkpoint(eager=True)
+    merges = sw.learn_merges(words, BPE_ROUNDS)
+    return spark.createDataFrame(merges, "round int, left string, right string, count long")
+
+
+def lead_summary(texts: pd.Series, max_words: int = 150) -> pd.Series:
+    """Default text->text function: leading sentences up to ``max_words`` words."""
+    import re as _re
+    out = []
+    for t in texts:
+        words, picked = 0, []
+        for s in _re.findall(r"[^.!?]+[.!?]*", t or ""):
+            s = s.strip()
+            n = len(s.split())
+            if not s:
+                continue
+            if picked and words + n > max_words:
+                break
+            picked.append(s)
+            words += n
+        out.append("</s><s>" + " ".join(picked) + "</s>")
+    return pd.Series(out)
+
+
+def batch_apply(df, fn=lead_summary, id_col="identifier", text_col="description"):
+    """Apply a text->text function to every row in Arrow batches; (identifier, c_summary)."""
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({id_col: pdf[id_col], "c_summary": fn(pdf[text_col])})
+    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} string, c_summary string")
+
+
+import pandas as pd  # noqa: E402
+
+
+@query("batch_apply")
+def q_batch_apply(spark, sf):
+    return batch_apply(mt.spread_for_python(test_split(spark, sf)))
+
+
+# --- 2.10 streaming ---------------------------------------------------------------
+@query("incremental_ingest")
+def q_incremental_ingest(spark, sf):
+    root = built_archives(spark, sf)
+    out, ck = fresh_dir(spark, "stream-raw"), fresh_dir(spark, "stream-raw-ckpt")
+    inc.incremental_ingest(spark, root, out, ck)
+    return spark.read.parquet(out).select("identifier", "year", "month", "missing_parts")
+
+
+CASES_SCHEMA = "doc_id long, identifier string, summary string, description string, missing_parts string, " \
+               "class string, n_chars long"
+
+
+@query("incremental_decade_rollup")
+def q_incremental_decade_rollup(spark, sf):
+    chunks = fresh_dir(spark, "case-chunks")
+    wr.write_chunks(wr.shuffled_chunks(fx.cases(spark, sf), "identifier", 10), chunks)
+    out, ck = fresh_dir(spark, "stream-decades"), fresh_dir(spark, "stream-decades-ckpt")
+    inc.incremental_decade_rollup(spark, chunks, CASES_SCHEMA, out, ck)
+    return spark.read.parquet(out)
