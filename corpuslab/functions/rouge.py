@@ -197,7 +197,7 @@ def redundancy_pairs(sents, ordered_unequal: bool = False) -> float | None:
     left, right = a[keep], b[keep]
     if len(left) == 0:
         return 998.0
-    if all(len(p) == 1 for p in parts):
+    if len(left) > 64 and all(len(p) == 1 for p in parts):
         words = [p[0] for p in parts]
         scores = pair_rouge_l(words, left, right)
     else:  # multi-part sentences: the summary-level definition, pair by pair

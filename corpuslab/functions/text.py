@@ -109,6 +109,23 @@ def ngrams(words, n: int) -> Column:
     return let({"w": words}, body)
 
 
+def token_counts(tokens) -> Column:
+    """array<struct<token, n>>: each distinct token of the row with its count,
+    from one pass over the sorted array (in-row; no explode/groupBy shuffle)."""
+    init = F.struct(F.array().cast("array<struct<token:string,n:bigint>>").alias("out"),
+                    F.lit(None).cast("string").alias("cur"), F.lit(0).cast("bigint").alias("n"))
+
+    def flush(acc):
+        return F.when(acc["cur"].isNull(), acc["out"]).otherwise(
+            F.concat(acc["out"], F.array(F.struct(acc["cur"].alias("token"), acc["n"].alias("n")))))
+
+    def step(acc, t):
+        return F.when(acc["cur"] == t, F.struct(acc["out"].alias("out"), acc["cur"].alias("cur"),
+                                                (acc["n"] + 1).alias("n"))) \
+            .otherwise(F.struct(flush(acc).alias("out"), t.alias("cur"), F.lit(1).cast("bigint").alias("n")))
+    return F.aggregate(F.array_sort(_c(tokens)), init, step, flush)
+
+
 def array_sum(arr) -> Column:
     return F.aggregate(_c(arr), F.lit(0.0).cast("double"), lambda a, x: a + x)
 

@@ -96,8 +96,8 @@ def score_cumfreq(df: DataFrame, cols: list[str], scores=(1, 2, 3, 4, 5)) -> Dat
     """Running count across scores per metric; bar start = cum - width; and the
     largest total over metrics (the axis maximum)."""
     lf = long_scores(df, cols)
-    grid = (lf.select("metric").distinct()
-            .crossJoin(df.sparkSession.createDataFrame([(s,) for s in scores], "score int")))
+    grid = lf.select("metric").distinct().withColumn(
+        "score", F.explode(F.array(*[F.lit(s).cast("int") for s in scores])))
     cnt = lf.groupBy("metric", "score").agg(F.count(F.lit(1)).alias("n"))
     full = grid.join(cnt, ["metric", "score"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     w = W.partitionBy("metric").orderBy("score").rowsBetween(W.unboundedPreceding, 0)
@@ -146,8 +146,8 @@ def weighted_curve(curve: DataFrame, run="run", idx="epoch", value="loss", weigh
     """Per index, sum of value x (run weight / total weight): one run's weight is
     the sum of its ``weight`` column."""
     sizes = curve.groupBy(run).agg(F.sum(weight).alias("_size"))
-    total = sizes.agg(F.sum("_size").alias("_total"))
-    w = sizes.crossJoin(total).select(run, (F.col("_size") / F.col("_total")).alias("_w"))
+    # one row per run: the window over it is tiny, and so is the broadcast
+    w = sizes.select(run, (F.col("_size") / F.sum("_size").over(W.partitionBy())).alias("_w"))
     j = curve.join(F.broadcast(w), run, "inner")
     return j.groupBy(idx).agg(F.round(F.sum(F.col(value) * F.col("_w")), 6).alias("weighted_loss"),
                               F.count(F.lit(1)).alias("n_runs"))

@@ -32,23 +32,37 @@ def hex_bucket(key_col: str, digits: int = 3) -> Column:
 
 
 def _offsets(df: DataFrame, parts: list[str], bucket: str, value: Column | None) -> DataFrame:
+    """Per (partition, bucket): total and offset (sum of the earlier buckets).
+
+    The table is small (#partitions x #buckets rows) and is checkpointed to the
+    shared folder, so the large input is read once for it and the size check
+    and the join below do not recompute the input.
+    """
+    from corpuslab.session import shared_dir
+    shared_dir(df.sparkSession, "")
     agg = F.count(F.lit(1)) if value is None else F.sum(value)
     per = df.groupBy(*parts, bucket).agg(agg.alias("_bucket_total"))
     w = W.partitionBy(*parts).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    out = per.select(*parts, bucket, F.coalesce(F.sum("_bucket_total").over(w), F.lit(0)).alias("_offset"))
-    return out
+    out = per.select(*parts, bucket, "_bucket_total",
+                     F.coalesce(F.sum("_bucket_total").over(w), F.lit(0)).alias("_offset"))
+    return out.checkpoint(eager=True)
 
 
 def _attach(df: DataFrame, offs: DataFrame, keys: list[str]) -> DataFrame:
     # The offsets table is bounded by #partitions x #buckets; check before broadcasting.
+    offs = offs.drop("_bucket_total")
     if offs.count() <= BROADCAST_ROWS:
         offs = F.broadcast(offs)
     return df.join(offs, keys, "inner")
 
 
 def exact_rank(df: DataFrame, key_col: str, parts: list[str] | None = None,
-               bucket: Column | None = None, out: str = "rank") -> DataFrame:
-    """Add ``out`` = 1-based rank of ``key_col`` inside ``parts`` (ties broken arbitrarily)."""
+               bucket: Column | None = None, out: str = "rank", with_sizes: bool = False):
+    """Add ``out`` = 1-based rank of ``key_col`` inside ``parts`` (ties broken arbitrarily).
+
+    With ``with_sizes`` also return the rows per partition, taken from the same
+    per-bucket pass (no extra read of the input).
+    """
     parts = list(parts or [])
     b = "_bucket"
     df = df.withColumn(b, bucket if bucket is not None else hex_bucket(key_col))
@@ -56,7 +70,11 @@ def exact_rank(df: DataFrame, key_col: str, parts: list[str] | None = None,
     inner = F.row_number().over(W.partitionBy(*parts, b).orderBy(key_col))
     ranked = df.withColumn("_inner", inner)
     ranked = _attach(ranked, offs, parts + [b])
-    return ranked.withColumn(out, (F.col("_offset") + F.col("_inner")).cast("bigint")).drop(b, "_inner", "_offset")
+    ranked = ranked.withColumn(out, (F.col("_offset") + F.col("_inner")).cast("bigint")).drop(b, "_inner", "_offset")
+    if not with_sizes:
+        return ranked
+    sizes = offs.groupBy(*parts).agg(F.sum("_bucket_total").cast("bigint").alias("n"))
+    return ranked, sizes
 
 
 def exact_running_sum(df: DataFrame, key_col: str, value_col: str, parts: list[str] | None = None,

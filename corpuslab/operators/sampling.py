@@ -47,9 +47,9 @@ def class_sizes(df: DataFrame, class_col: str = "class") -> DataFrame:
 def sample_per_class(df: DataFrame, frac: float = 0.004, class_col: str = "class",
                      id_col: str = "identifier", seed: int = 42) -> DataFrame:
     """round-half-even(frac x class size) rows per class, seeded."""
-    sizes = class_sizes(df, class_col).select(class_col, F.bround(F.col("n") * frac, 0).cast("bigint").alias("_quota"))
     keyed = df.withColumn("_key", seeded_key(id_col, seed))
-    ranked = exact_rank(keyed, "_key", parts=[class_col], out="_rank")
+    ranked, sizes = exact_rank(keyed, "_key", parts=[class_col], out="_rank", with_sizes=True)
+    sizes = sizes.select(class_col, F.bround(F.col("n") * frac, 0).cast("bigint").alias("_quota"))
     # One row per class: a bounded broadcast.
     return (ranked.join(F.broadcast(sizes), class_col).where(F.col("_rank") <= F.col("_quota"))
             .drop("_key", "_rank", "_quota"))
@@ -101,9 +101,9 @@ def stratified_split(df: DataFrame, class_col: str = "class", id_col: str = "ide
     Rows are ranked inside their class by the seeded md5 key (two-pass rank, so
     a class holding a third of the data is still ranked by many tasks).
     """
-    quotas = split_quotas(class_sizes(df, class_col), test_size, second_test_size, class_col)
     keyed = df.withColumn("_key", seeded_key(id_col, seed))
-    ranked = exact_rank(keyed, "_key", parts=[class_col], out="_rank")
+    ranked, sizes = exact_rank(keyed, "_key", parts=[class_col], out="_rank", with_sizes=True)
+    quotas = split_quotas(sizes, test_size, second_test_size, class_col)
     j = ranked.join(F.broadcast(quotas.select(class_col, "train", "validation")), class_col)
     split = (F.when(F.col("_rank") <= F.col("train"), "train")
              .when(F.col("_rank") <= F.col("train") + F.col("validation"), "validation")

@@ -24,11 +24,16 @@ MAX_DF_DIGITS = 12
 def vocabulary(docs: DataFrame, id_col: str, tokens_col: str, min_df: int = 1) -> DataFrame:
     """(token, tf, df, term_id): term frequency, document frequency and an id
     ordered by df descending, then token (ids start at FIRST_ID)."""
-    per_doc = (docs.select(id_col, F.explode(tokens_col).alias("token"))
-               .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n")))
+    # (token, n) per document is counted inside the row, so the only shuffle is
+    # the per-token aggregate, combined map-side (a hot token costs one row per task).
+    per_doc = docs.select(F.explode(tx.token_counts(tokens_col)).alias("c")).select("c.token", "c.n")
     v = per_doc.groupBy("token").agg(F.sum("n").cast("bigint").alias("tf"),
                                      F.count(F.lit(1)).cast("bigint").alias("df"))
-    v = v.where(F.col("df") >= min_df)
+    from corpuslab.session import shared_dir
+    shared_dir(docs.sparkSession, "")
+    # The vocabulary is far smaller than the corpus and is read several times
+    # by the rank below: materialise it once.
+    v = v.where(F.col("df") >= min_df).checkpoint(eager=True)
     # Order key (df desc, token asc) as one string; buckets = the df part plus
     # the token's first character, so the many df=1 tokens spread out too.
     inv = F.lpad((F.lit(10 ** MAX_DF_DIGITS - 1) - F.col("df")).cast("string"), MAX_DF_DIGITS, "0")
@@ -40,8 +45,7 @@ def vocabulary(docs: DataFrame, id_col: str, tokens_col: str, min_df: int = 1) -
 
 def doc_term_counts(docs: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
     """(doc, token, term_id, n) against a fixed vocabulary; unknown tokens dropped."""
-    counts = (docs.select(id_col, F.explode(tokens_col).alias("token"))
-              .groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+    counts = docs.select(id_col, F.explode(tx.token_counts(tokens_col)).alias("c")).select(id_col, "c.token", "c.n")
     return counts.join(maybe_broadcast(vocab.select("token", "term_id")), "token", "inner")
 
 
@@ -52,15 +56,13 @@ def encode_ids(docs: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame,
     ``max_len`` rows to the regrouping shuffle.
     """
     t = docs.select(id_col, F.slice(tokens_col, 1, max_len).alias("_t"))
-    ex = t.select(id_col, F.posexplode("_t").alias("pos", "token"))
+    # posexplode_outer keeps documents without tokens (one row, NULL token).
+    ex = t.select(id_col, F.posexplode_outer("_t").alias("pos", "token"))
     j = ex.join(maybe_broadcast(vocab.select("token", "term_id")), "token", "left")
-    ids = (j.groupBy(id_col)
-           .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("term_id", F.lit(UNK_ID)).alias("id"))))
-                .alias("_p")))
-    ids = ids.select(id_col, F.transform("_p", lambda s: s["id"]).alias("ids"))
-    # Documents without tokens still get a (fully padded) row.
-    return t.select(id_col).join(ids, id_col, "left").select(
-        id_col, F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    item = F.when(F.col("token").isNotNull(),
+                  F.struct("pos", F.coalesce("term_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
+    ids = j.groupBy(id_col).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    return ids.select(id_col, F.transform("_p", lambda s: s["id"]).alias("ids"))
 
 
 def pad(ids, max_len: int) -> Column:

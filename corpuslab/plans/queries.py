@@ -95,9 +95,16 @@ def q_length_equals(spark, sf):
     return flt.length_equals(features(spark, sf), 1000).select("identifier", "desc_words")
 
 
+def desc_words_table(spark, sf):
+    """(identifier, desc_words), materialised once: the exact quantile reads it several times."""
+    from corpuslab.session import shared_dir
+    shared_dir(spark, "")
+    return features(spark, sf).select("identifier", "desc_words").checkpoint(eager=True)
+
+
 @query("quantile_trim")
 def q_quantile_trim(spark, sf):
-    return flt.quantile_trim(features(spark, sf), "desc_words", 0.99).select("identifier", "desc_words")
+    return flt.quantile_trim(desc_words_table(spark, sf), "desc_words", 0.99)
 
 
 @query("drop_sentinel")
@@ -177,13 +184,13 @@ def q_distinct_count(spark, sf):
 
 @query("quantile")
 def q_quantile(spark, sf):
-    lo, hi = exact_quantiles(features(spark, sf), "desc_words", [0.0, 0.99])
+    lo, hi = exact_quantiles(desc_words_table(spark, sf), "desc_words", [0.0, 0.99])
     return spark.createDataFrame([(round(lo, 6), round(hi, 6))], "q0 double, q99 double")
 
 
 @query("histogram_density")
 def q_histogram_density(spark, sf):
-    f = features(spark, sf).select("desc_words")
+    f = desc_words_table(spark, sf).select("desc_words")
     lo, hi = exact_quantiles(f, "desc_words", [0.0, 0.99])
     bins = f.agg(F.count_distinct("desc_words")).first()[0]
     return agg.histogram_density(f, "desc_words", lo, hi, bins)
@@ -193,9 +200,9 @@ def q_histogram_density(spark, sf):
 def q_size_totals(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("size"))
     out = exact_running_sum(d, "doc_id", "size", bucket=range_bucket(d, "doc_id"), out="running")
-    tot = d.agg(F.sum("size").alias("total"))
-    return out.crossJoin(F.broadcast(tot)).select("doc_id", "size", F.col("running").cast("bigint").alias("running"),
-                                                  F.col("total").cast("bigint").alias("total"))
+    total = d.agg(F.sum("size")).first()[0] or 0  # a scalar
+    return out.select("doc_id", "size", F.col("running").cast("bigint").alias("running"),
+                      F.lit(total).cast("bigint").alias("total"))
 
 
 @query("curve_bounds")
@@ -527,9 +534,11 @@ def fixed_vocab(spark, sf, min_df=2):
 
 @query("token_anti")
 def q_token_anti(spark, sf):
-    toks = jn.explode_tokens(doc_tokens(spark, sf), "doc_id", "tokens")
+    # per-document (token, n) counted in the row, then an anti join on the token
+    toks = doc_tokens(spark, sf).select("doc_id", F.explode(tx.token_counts("tokens")).alias("c")) \
+        .select("doc_id", "c.token", "c.n")
     dropped = jn.keep_in_vocabulary(toks, fixed_vocab(spark, sf), "left_anti")
-    return dropped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_dropped"))
+    return dropped.groupBy("doc_id").agg(F.sum("n").cast("bigint").alias("n_dropped"))
 
 
 @query("sentence_pairs")
@@ -843,7 +852,7 @@ def q_fragments(spark, sf):
 
 @query("redundancy_rouge")
 def q_redundancy_rouge(spark, sf):
-    p = mt.prepare(viable(spark, sf))
+    p = mt.prepare(mt.spread_for_python(viable(spark, sf)))
     out = p.select("identifier", rg.redundancy_rouge("s_sent").alias("redundancy"))
     return flt.with_sentinels(out, ["redundancy"])
 
@@ -857,7 +866,7 @@ def q_redundancy_ordered(spark, sf):
 
 @query("rouge_l")
 def q_rouge_l(spark, sf):
-    p = fx.pairs(spark, sf).withColumn("hyp", tx.strip_markers("c_summary"))
+    p = mt.spread_for_python(fx.pairs(spark, sf)).withColumn("hyp", tx.strip_markers("c_summary"))
     return p.select("conv_id", "turn", F.round(rg.rouge_l("hyp", "ref"), 6).alias("rouge_l"))
 
 

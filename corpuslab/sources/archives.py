@@ -28,7 +28,7 @@ from corpuslab.functions.text import EDGE_SPACE, word_count  # noqa: F401
 # metadata elements carry the dcterms / psi namespace prefixes).
 NS = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
       "dcterms": "http://purl.org/dc/terms/",
-      "psi": "http://psi.rechtspraak.nl/"}
+      "psi": "urn:corpuslab:psi"}
 SINGLE_TAGS = {"identifier": "identifier", "seat_location": "spatial", "creator": "creator", "case_type": "type"}
 MULTI_TAGS = {"jurisdiction": "subject", "case_number": "zaaknummer", "procedures": "procedure",
               "references": "references", "relation": "relation"}
@@ -88,8 +88,8 @@ def case_xml(cases: DataFrame) -> DataFrame:
     body = F.when(F.col("description") != "none",
                   F.concat(F.lit("<"), body_tag, F.lit(">"), _paras(F.col("description")),
                            F.lit("</"), body_tag, F.lit(">")))
-    xml = F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?><open-rechtspraak>'), meta,
-                   F.coalesce(summary, F.lit("")), F.coalesce(body, F.lit("")), F.lit("</open-rechtspraak>"))
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?><document>'), meta,
+                   F.coalesce(summary, F.lit("")), F.coalesce(body, F.lit("")), F.lit("</document>"))
     return cases.select("identifier", year.alias("year"), month.alias("month"), xml.alias("xml"))
 
 
@@ -118,27 +118,28 @@ def write_archives(xml_df: DataFrame, out_dir: str, max_rows: int = MAX_ROWS_PER
     return j.groupBy("year", "month", "part").applyInPandas(write, "path string, members long, bytes long")
 
 
+def _archives(spark, root: str, cols: list[str]) -> DataFrame:
+    df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
+          .option("recursiveFileLookup", "true").load(root).select("path", *cols))
+    name = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+    out = df.select("path", name.alias("name"), F.substring(name, 1, 4).alias("year"),
+                    F.substring(name, 5, 2).alias("month"), *cols)
+    y = F.col("year").cast("int")
+    return out.where(y.between(FIRST_YEAR, LAST_YEAR) & ~y.isin(*MISSING_YEARS))
+
+
 def archive_scan(spark, root: str) -> DataFrame:
     """Archives under year folders (1911-2022 without 1912): path, name, year, month, length.
 
     year = name[:4], month = the two characters after it (the archive part
     suffix is ignored).  The file content is not read here.
     """
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
-          .option("recursiveFileLookup", "true").load(root).select("path", "length"))
-    name = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
-    out = df.select("path", name.alias("name"), F.substring(name, 1, 4).alias("year"),
-                    F.substring(name, 5, 2).alias("month"), "length")
-    y = F.col("year").cast("int")
-    return out.where(y.between(FIRST_YEAR, LAST_YEAR) & ~y.isin(*MISSING_YEARS))
+    return _archives(spark, root, ["length"])
 
 
 def archive_explode(spark, root: str) -> DataFrame:
-    """One row per archive member: (year, month, member, xml)."""
-    arch = archive_scan(spark, root).select("path", "year", "month")
-    content = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
-               .option("recursiveFileLookup", "true").load(root).select("path", "content"))
-    j = arch.join(content, "path")
+    """One row per archive member: (year, month, member, xml); one read of each archive."""
+    j = _archives(spark, root, ["content"])
 
     def unzip(batches):
         for pdf in batches:

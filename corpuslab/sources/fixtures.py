@@ -82,9 +82,10 @@ def generated(spark: SparkSession, sf_dir: str, cases_df: DataFrame | None = Non
     c = c.where(F.col("description") != "none")
     wrap = lambda x: F.concat(F.lit("</s><s>"), x, F.lit("</s>"))
     line = lambda k: F.split_part(F.col("description"), F.lit("\n"), F.lit(k))
-    full = c.select("identifier", F.lit("full").alias("model"), wrap(line(2)).alias("c_summary"))
-    own = c.select("identifier", F.col("class").alias("model"), wrap(line(3)).alias("c_summary"))
-    return full.unionByName(own)
+    # both models from one pass over the cases (no union of two scans)
+    both = F.array(F.struct(F.lit("full").alias("model"), wrap(line(2)).alias("c_summary")),
+                   F.struct(F.col("class").alias("model"), wrap(line(3)).alias("c_summary")))
+    return c.select("identifier", F.explode(both).alias("g")).select("identifier", "g.model", "g.c_summary")
 
 
 def eval_scores(spark: SparkSession, sf_dir: str, cases_df: DataFrame | None = None) -> DataFrame:
