@@ -110,20 +110,25 @@ def ngrams(words, n: int) -> Column:
 
 
 def token_counts(tokens) -> Column:
-    """array<struct<token, n>>: each distinct token of the row with its count,
-    from one pass over the sorted array (in-row; no explode/groupBy shuffle)."""
-    init = F.struct(F.array().cast("array<struct<token:string,n:bigint>>").alias("out"),
-                    F.lit(None).cast("string").alias("cur"), F.lit(0).cast("bigint").alias("n"))
-
-    def flush(acc):
-        return F.when(acc["cur"].isNull(), acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(F.struct(acc["cur"].alias("token"), acc["n"].alias("n")))))
-
-    def step(acc, t):
-        return F.when(acc["cur"] == t, F.struct(acc["out"].alias("out"), acc["cur"].alias("cur"),
-                                                (acc["n"] + 1).alias("n"))) \
-            .otherwise(F.struct(flush(acc).alias("out"), t.alias("cur"), F.lit(1).cast("bigint").alias("n")))
-    return F.aggregate(F.array_sort(_c(tokens)), init, step, flush)
+    """array<struct<token, n>>: each distinct token of the row with its count.
+
+    Sort once, find where runs of equal tokens start, and take run lengths from
+    consecutive starts: linear after the sort, inside the row (no explode /
+    groupBy shuffle per (document, token))."""
+    def body(v):
+        s, n = v["s"], v["n"]
+        starts = F.filter(F.sequence(F.lit(1), n),
+                          lambda i: F.when(i == 1, F.lit(True))
+                          .otherwise(F.element_at(s, i) != F.element_at(s, i - 1)))
+
+        def runs(w):
+            st = w["st"]
+            ends = F.concat(F.slice(st, 2, F.greatest(F.size(st) - 1, F.lit(0))), F.array(n + 1))
+            return F.zip_with(st, ends, lambda a, b: F.struct(F.element_at(s, a).alias("token"),
+                                                             (b - a).cast("bigint").alias("n")))
+        return F.when(n > 0, let({"st": starts}, runs)).otherwise(
+            F.array().cast("array<struct<token:string,n:bigint>>"))
+    return let({"s": F.array_sort(_c(tokens))}, lambda v: let({"s": v["s"], "n": F.size(v["s"])}, body))
 
 
 def array_sum(arr) -> Column:

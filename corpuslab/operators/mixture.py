@@ -179,7 +179,8 @@ def em_sweep(df: DataFrame, configs: list[tuple[int, str]], x_col: str = "x", se
 
 def predict(df: DataFrame, params: dict, x_col: str = "x", out: str = "class") -> DataFrame:
     """Hard labels: the component with the largest responsibility."""
-    schema = df.schema.add(out, "int")
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    schema = StructType([*list(df.schema.fields), StructField(out, IntegerType())])
 
     def fn(batches):
         for pdf in batches:
