@@ -61,12 +61,16 @@ def any_sentinel(cols: list[str], sentinel=SENTINEL) -> Column:
     return cond
 
 
-def drop_sentinel(df: DataFrame, cols: list[str], sentinel=SENTINEL) -> DataFrame:
+def no_sentinel(cols: list[str], sentinel=SENTINEL) -> Column:
     cond = None
     for c in cols:
         x = F.col(c) != sentinel
         cond = x if cond is None else cond & x
-    return df.where(cond)
+    return cond
+
+
+def drop_sentinel(df: DataFrame, cols: list[str], sentinel=SENTINEL) -> DataFrame:
+    return df.where(no_sentinel(cols, sentinel))
 
 
 def sentinel_audit(df: DataFrame, cols: list[str], sentinel=SENTINEL) -> DataFrame:

@@ -77,8 +77,9 @@ def score_align_outer(scores: DataFrame, cols: list[str], values=(1, 2, 3, 4, 5)
 
 def token_semi(s_tok, d_tok):
     """Summary tokens (with repeats, in order) that also occur in the text; per row."""
-    return tx.let({"s": s_tok, "d": d_tok},
-                  lambda v: F.filter(v["s"], lambda t: F.array_contains(v["d"], t)))
+    return tx.let({"s": s_tok, "d": d_tok}, lambda v: tx.let(
+        {"s": v["s"], "shared": F.array_intersect(F.array_distinct(v["s"]), v["d"])},
+        lambda w: F.filter(w["s"], lambda t: F.array_contains(w["shared"], t))))
 
 
 def explode_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:

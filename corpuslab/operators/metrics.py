@@ -58,10 +58,13 @@ def abstractivity(s_tok="s_tok", d_tok="d_tok") -> Column:
     summary -> NULL.  ``array_contains`` is a per-row scan, no shuffle.
     """
     def body(v):
-        s, d = v["s"], v["d"]
-        matched = F.size(F.filter(s, lambda t: F.array_contains(d, t)))
+        s, shared = v["s"], v["shared"]
+        matched = F.size(F.filter(s, lambda t: F.array_contains(shared, t)))
         return F.when(F.size(s) > 0, F.round(F.lit(1.0) - matched / F.size(s), 4))
-    return tx.let({"s": s_tok, "d": d_tok}, body)
+    # hash-based intersection first (linear in the text), then a scan over the
+    # few shared summary types per summary position
+    return tx.let({"s": s_tok, "d": d_tok}, lambda v: tx.let(
+        {"s": v["s"], "shared": F.array_intersect(F.array_distinct(v["s"]), v["d"])}, body))
 
 
 def redundancy_ttr(tokens: Column) -> Column:
@@ -100,42 +103,34 @@ def coherence(sents: Column, score=None, first_k: int | None = None) -> Column:
     return tx.let({"toks": toks}, lambda v: tx.let({"toks": v["toks"], "n": F.size(v["toks"])}, body))
 
 
-def js_of_counts(a: Column, b: Column) -> Column:
-    """Jensen-Shannon distance between the token frequency distributions of two
-    token arrays, in one pass over the merged, sorted tokens (no explode/shuffle)."""
-    return tx.let({"a": a, "b": b}, lambda v: tx.let(
-        {"na": F.size(v["a"]).cast("double"), "nb": F.size(v["b"]).cast("double"),
-         "tagged": _tagged(v["a"], v["b"])}, _js_fold))
-
-
-def _tagged(a: Column, b: Column) -> Column:
-    return F.array_sort(F.concat(
-        F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))),
-        F.transform(b, lambda t: F.struct(t.alias("t"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))))
-
+def _xlogx(x: Column) -> Column:
+    return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
 
-def _js_fold(v) -> Column:
-    na, nb, tagged = v["na"], v["nb"], v["tagged"]
 
-    def term(cx, cy):
-        p, q = cx / na, cy / nb
-        m = (p + q) / 2
-        return (F.when(p > 0, p * F.log(p / m)).otherwise(F.lit(0.0))
-                + F.when(q > 0, q * F.log(q / m)).otherwise(F.lit(0.0)))
-
-    init = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(0.0).alias("cx"),
-                    F.lit(0.0).alias("cy"), F.lit(0.0).alias("tot"))
-
-    def step(acc, e):
-        same = acc["cur"] == e["t"]
-        return F.when(same, F.struct(acc["cur"].alias("cur"), (acc["cx"] + e["x"]).alias("cx"),
-                                     (acc["cy"] + e["y"]).alias("cy"), acc["tot"].alias("tot"))) \
-            .otherwise(F.struct(e["t"].alias("cur"), e["x"].alias("cx"), e["y"].alias("cy"),
-                                (acc["tot"] + F.when(acc["cur"].isNull(), F.lit(0.0))
-                                 .otherwise(term(acc["cx"], acc["cy"]))).alias("tot")))
+def js_of_counts(a: Column, b: Column) -> Column:
+    """Jensen-Shannon distance between the token frequency distributions of two
+    token arrays, inside the row and linear in the text.
 
-    fin = F.aggregate(tagged, init, step, lambda acc: acc["tot"] + term(acc["cx"], acc["cy"]))
-    return F.sqrt(F.greatest(fin / 2, F.lit(0.0)))
+    With m = (p + q) / 2:  JS^2 = (sum p ln p + sum q ln q) / 2 - sum m ln m.
+    Each side is counted once (sort + run lengths); the text's counts become a
+    map, and only the summary's distinct tokens are looked up in it."""
+    def body(v):
+        sc, dc, na, nb, dmap = v["sc"], v["dc"], v["na"], v["nb"], v["dmap"]
+        hp = tx.array_sum(F.transform(sc, lambda e: _xlogx(e["n"] / na)))
+        hq = tx.array_sum(F.transform(dc, lambda e: _xlogx(e["n"] / nb)))
+        half_q = tx.array_sum(F.transform(dc, lambda e: _xlogx(e["n"] / nb / 2)))
+
+        def own(e):
+            q = F.coalesce(F.element_at(dmap, e["token"]), F.lit(0)) / nb
+            return _xlogx((e["n"] / na + q) / 2) - _xlogx(q / 2)
+        hm = tx.array_sum(F.transform(sc, own)) + half_q
+        return F.sqrt(F.greatest((hp + hq) / 2 - hm, F.lit(0.0)))
+
+    def counts(v):
+        return tx.let({"sc": v["sc"], "dc": v["dc"], "na": F.size(v["a"]).cast("double"),
+                       "nb": F.size(v["b"]).cast("double"), "dmap": F.map_from_entries(v["dc"])}, body)
+    return tx.let({"a": a, "b": b}, lambda v: tx.let(
+        {"a": v["a"], "b": v["b"], "sc": tx.token_counts(v["a"]), "dc": tx.token_counts(v["b"])}, counts))
 
 
 def unigram_similarity(a: str = "s_tok", b: str = "d_tok") -> Column:

@@ -434,7 +434,8 @@ oracle("class_counts", with_(ASSIGN) + "SELECT center AS class, CAST(count(*) AS
 oracle("assignment_audit", with_(ASSIGN) + """
 SELECT a.vec_id, a.center AS stored_class, b.center AS predicted_class FROM best a JOIN best b ON a.vec_id = b.vec_id
 WHERE a.center <> b.center""")
-oracle("curve_align", with_(CURVES) + "PIVOT (SELECT epoch, run, loss FROM curves) ON run USING first(loss) GROUP BY epoch")
+oracle("curve_align", with_(CURVES) + """
+SELECT * FROM (PIVOT (SELECT epoch, run, loss FROM curves) ON run USING first(loss) GROUP BY epoch)""")
 oracle("score_align_outer", with_(CASES, SCORES, UNPIV) + "SELECT CAST(g.s AS INTEGER) AS score, " + ", ".join(
     f"CAST(count(l.score) FILTER (WHERE l.metric = '{c}') AS BIGINT) AS {c}" for c in SCORE_COLUMNS[:4])
     + " FROM range(1, 6) g(s) LEFT JOIN long l ON l.score = g.s GROUP BY g.s")

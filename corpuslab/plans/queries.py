@@ -153,8 +153,13 @@ def q_grand_totals(spark, sf):
 
 @query("feature_means")
 def q_feature_means(spark, sf):
-    f = flt.drop_sentinel(features(spark, sf), FEATURES)
-    return agg.feature_means(f, FEATURES + ["sum_words", "sum_sents", "desc_words", "desc_sents"])
+    # the sentinel filter goes into the aggregate (conditional means): a
+    # separate filter would be pushed below the metric projection and make
+    # Spark evaluate every metric twice
+    f = features(spark, sf)
+    keep = flt.no_sentinel(FEATURES)
+    return f.agg(*[F.round(F.avg(F.when(keep, F.col(c))), 6).alias(f"mean_{c}")
+                   for c in FEATURES + ["sum_words", "sum_sents", "desc_words", "desc_sents"]])
 
 
 @query("class_mean_std")

@@ -34,10 +34,15 @@ def _unzip(batches):
         yield pd.DataFrame(rows, columns=["year", "month", "member", "xml"])
 
 
-def incremental_ingest(spark: SparkSession, archive_root: str, out_path: str, checkpoint: str) -> None:
-    """New month archives -> parsed rows appended to ``out_path`` (exactly once)."""
+def incremental_ingest(spark: SparkSession, archive_root: str, out_path: str, checkpoint: str,
+                       max_files: int = 1000) -> None:
+    """New month archives -> parsed rows appended to ``out_path`` (exactly once).
+
+    ``max_files`` bounds one micro-batch, so a large backlog is worked off in
+    several committed batches instead of one huge one."""
     src = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-           .option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(archive_root))
+           .option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
+           .option("maxFilesPerTrigger", max_files).load(archive_root))
     y = F.substring(F.regexp_extract("path", r"([^/]+)\.zip$", 1), 1, 4).cast("int")
     src = src.where(y.between(ar.FIRST_YEAR, ar.LAST_YEAR) & ~y.isin(*ar.MISSING_YEARS))
     rows = src.select("path", "content").mapInPandas(_unzip, "year string, month string, member string, xml string")
@@ -48,13 +53,13 @@ def incremental_ingest(spark: SparkSession, archive_root: str, out_path: str, ch
 
 
 def incremental_decade_rollup(spark: SparkSession, chunk_root: str, schema: str, out_path: str,
-                              checkpoint: str) -> None:
+                              checkpoint: str, max_files: int = 1000) -> None:
     """Decade counts kept up to date as chunk files arrive.
 
     The streaming aggregate keeps one state row per decade; every micro-batch
     writes the complete, zero-filled roll-up (12 rows) over ``out_path``.
     """
-    src = spark.readStream.schema(schema).parquet(chunk_root)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(chunk_root)
     sw = word_count(pipes_to_space("summary"))
     has_sum = F.col("summary") != "none"
     counts = (src.select(decade_of_id("identifier").alias("decade"), "missing_parts", "summary", sw.alias("_sw"))
