@@ -24,11 +24,14 @@ MAX_DF_DIGITS = 12
 def vocabulary(docs: DataFrame, id_col: str, tokens_col: str, min_df: int = 1) -> DataFrame:
     """(token, tf, df, term_id): term frequency, document frequency and an id
     ordered by df descending, then token (ids start at FIRST_ID)."""
-    # (token, n) per document is counted inside the row, so the only shuffle is
-    # the per-token aggregate, combined map-side (a hot token costs one row per task).
-    per_doc = docs.select(F.explode(tx.token_counts(tokens_col)).alias("c")).select("c.token", "c.n")
-    v = per_doc.groupBy("token").agg(F.sum("n").cast("bigint").alias("tf"),
-                                     F.count(F.lit(1)).cast("bigint").alias("df"))
+    # Occurrences (tf) and the row's distinct tokens (df) go through one
+    # per-token aggregate; the partial aggregate combines map-side, so a hot
+    # token costs one row per task in the shuffle, never one per occurrence.
+    occ = docs.select(F.explode(tokens_col).alias("token"), F.lit(1).alias("o"), F.lit(0).alias("d"))
+    dist = docs.select(F.explode(F.array_distinct(tokens_col)).alias("token"), F.lit(0).alias("o"),
+                       F.lit(1).alias("d"))
+    v = occ.unionByName(dist).groupBy("token").agg(F.sum("o").cast("bigint").alias("tf"),
+                                                   F.sum("d").cast("bigint").alias("df"))
     from corpuslab.session import shared_dir
     shared_dir(docs.sparkSession, "")
     # The vocabulary is far smaller than the corpus and is read several times
@@ -45,7 +48,8 @@ def vocabulary(docs: DataFrame, id_col: str, tokens_col: str, min_df: int = 1) -
 
 def doc_term_counts(docs: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
     """(doc, token, term_id, n) against a fixed vocabulary; unknown tokens dropped."""
-    counts = docs.select(id_col, F.explode(tx.token_counts(tokens_col)).alias("c")).select(id_col, "c.token", "c.n")
+    counts = (docs.select(id_col, F.explode(tokens_col).alias("token"))
+              .groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     return counts.join(maybe_broadcast(vocab.select("token", "term_id")), "token", "inner")
 
 
