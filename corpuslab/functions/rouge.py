@@ -191,7 +191,8 @@ def redundancy_pairs(sents, ordered_unequal: bool = False) -> float | None:
     n = len(sents)
     a, b = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
     if ordered_unequal:
-        keep = np.array([[sents[x] != sents[y] for y in range(n)] for x in range(n)])
+        codes = pd.factorize(pd.Series(sents))[0]
+        keep = codes[:, None] != codes[None, :]
     else:
         keep = a < b
     left, right = a[keep], b[keep]

@@ -15,7 +15,8 @@ from corpuslab.functions.stopwords import STOP_WORDS, all_stop_words
 
 # The patterns that define words, tokens and sentences.
 WHITESPACE = r"\s+"
-TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+TOKEN_PATTERN = r"[\p{L}\p{N}]{2,}"
+WORD_PATTERN = r"\S+"
 SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
 EDGE_SPACE = r"^\s+|\s+$"
 
@@ -42,15 +43,16 @@ def pipes_to_space(c) -> Column:
     return F.replace(_c(c), F.lit("|"), F.lit(" "))
 
 
-def word_count(c, pattern: str = WHITESPACE) -> Column:
-    """Whitespace word count; the empty string has 0 words (``split`` would say 1)."""
-    return F.size(F.filter(F.split(_c(c), pattern), lambda t: t != "")).cast("bigint")
+def word_count(c) -> Column:
+    """Whitespace-separated word count (runs of non-space); the empty string has 0.
+    One codegen'd regex count, no array is built."""
+    return F.regexp_count(_c(c), F.lit(WORD_PATTERN)).cast("bigint")
 
 
 def tokenize(c) -> Column:
-    """Lower-cased letter/digit runs longer than one character."""
-    toks = F.regexp_extract_all(_c(c), F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.transform(F.filter(toks, lambda t: F.length(t) > 1), lambda t: F.lower(t))
+    """Lower-cased letter/digit runs of at least two characters (the text is
+    lower-cased first, so no per-token lambda runs)."""
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def stop_words_for(lang) -> Column:

@@ -62,8 +62,7 @@ def wc(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return (f"list_transform(list_filter(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+'), "
-            f"lambda t: length(t) > 1), lambda t: lower(t))")
+    return f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]{{2,}}')"
 
 
 def sentences(x: str) -> str:
