@@ -51,25 +51,27 @@ def _sentences(text: str) -> list[list[str]]:
     return [" ".join(p.split()).split(" ") for p in text.split(".") if len(p) > 0]
 
 
-def lcs_table(x: list[str], y: list[str]) -> np.ndarray:
-    t = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i in range(1, len(x) + 1):
-        xi = x[i - 1]
-        row, prev = t[i], t[i - 1]
-        for j in range(1, len(y) + 1):
-            row[j] = prev[j - 1] + 1 if xi == y[j - 1] else max(prev[j], row[j - 1])
+def lcs_table(x: list[str], y: list[str]) -> list[list[int]]:
+    """LCS length table (plain lists: faster than numpy for sentence-sized inputs)."""
+    t = [[0] * (len(y) + 1)]
+    for xi in x:
+        prev, row = t[-1], [0]
+        for j, yj in enumerate(y, 1):
+            row.append(prev[j - 1] + 1 if xi == yj else (prev[j] if prev[j] > row[j - 1] else row[j - 1]))
+        t.append(row)
     return t
 
 
 def lcs_words(x: list[str], y: list[str]) -> set[str]:
-    """Words on one LCS path (back-trace prefers moving left on ties)."""
+    """Words on one LCS path (back-trace: diagonal on a match, else up when
+    strictly larger, else left)."""
     t = lcs_table(x, y)
     i, j, out = len(x), len(y), set()
     while i > 0 and j > 0:
         if x[i - 1] == y[j - 1]:
             out.add(x[i - 1])
             i, j = i - 1, j - 1
-        elif t[i - 1, j] > t[i, j - 1]:
+        elif t[i - 1][j] > t[i][j - 1]:
             i -= 1
         else:
             j -= 1

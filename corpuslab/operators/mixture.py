@@ -149,7 +149,7 @@ def em_sweep(df: DataFrame, configs: list[tuple[int, str]], x_col: str = "x", se
             for m in mids:
                 n = st[m][0]
                 params[m] = _m_step(st[m][2:], n, k, d, kinds[m][1])
-        state = {m: {"params": params[m], "ll": -np.inf, "iter": 0, "done": False} for m in models}
+        state = {m: {"params": params[m], "ll": -np.inf, "iter": 0, "done": False, "hist": []} for m in models}
         for _ in range(max_iter):
             active = {m: s["params"] for m, s in state.items() if not s["done"]}
             if not active:
@@ -160,6 +160,7 @@ def em_sweep(df: DataFrame, configs: list[tuple[int, str]], x_col: str = "x", se
                 k, kind = kinds[m]
                 s = state[m]
                 s["iter"] += 1
+                s["hist"].append(ll)
                 if abs(ll - s["ll"]) < tol:
                     s["done"] = True
                 s["ll"] = ll
@@ -171,7 +172,8 @@ def em_sweep(df: DataFrame, configs: list[tuple[int, str]], x_col: str = "x", se
             k, kind = kinds[m]
             n, ll = st[m][0], st[m][1]
             out.append({"k": k, "covariance_type": kind, "params": s["params"], "mean_loglik": ll / n,
-                        "bic": -2.0 * ll + n_parameters(k, d, kind) * math.log(n), "n_iter": s["iter"]})
+                        "bic": -2.0 * ll + n_parameters(k, d, kind) * math.log(n), "n_iter": s["iter"],
+                        "loglik_history": s["hist"] + [ll / n]})
         return out
     finally:
         data.unpersist()

@@ -25,11 +25,13 @@ def test_bic_sweep_finds_three(spark):
     assert purity > 0.99
 
 
-def test_tied_and_spherical_run(spark):
+def test_tied_and_spherical_run_and_likelihood_never_falls(spark):
     df = planted(spark, 1)
-    fits = mx.em_sweep(df, [(3, "tied"), (3, "spherical")], seed=0)
+    fits = mx.em_sweep(df, [(3, "tied"), (3, "spherical"), (4, "full"), (2, "diag")], seed=0)
     for f in fits:
         assert np.isfinite(f["bic"]) and f["n_iter"] >= 1
+        h = f["loglik_history"]
+        assert all(b >= a - 1e-9 for a, b in zip(h, h[1:])), (f["covariance_type"], h)
 
 
 def test_parameter_counts():
