@@ -23,17 +23,6 @@ def prepare(df: DataFrame, text: str = "description", summary: str | None = "sum
     return df.withColumns(cols)
 
 
-def spread_for_python(df: DataFrame) -> DataFrame:
-    """Before a Python-heavy stage: if the input has fewer partitions than the
-    cluster has cores (a small input read as one split), spread rows round-robin
-    so every core works; at scale the input already has enough partitions and
-    this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def _ratio_cmp(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.round(F.lit(1.0) - a / b, 4))
 

@@ -9,11 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.functions import fragments as fr
+from corpuslab.functions import rouge as rg
+from corpuslab.functions import text as tx
 from corpuslab.operators import aggregates as agg
+from corpuslab.operators import cluster as cl
+from corpuslab.operators import filters as flt
+from corpuslab.operators import joins as jn
+from corpuslab.operators import metrics as mt
+from corpuslab.operators import mixture as mx
+from corpuslab.operators import sampling as smp
+from corpuslab.operators import subword as sw
+from corpuslab.operators import topics as tp
+from corpuslab.operators import vocab as vc
+from corpuslab.operators.ranking import exact_quantiles, exact_running_sum, range_bucket
+from corpuslab.session import fresh_dir, shared_dir
+from corpuslab.sinks import writers as wr
+from corpuslab.sources import archives as ar
 from corpuslab.sources import fixtures as fx
+from corpuslab.sources import tables as tb
+from corpuslab.sources.tables import table, union_files
+from corpuslab.streaming import incremental as inc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,12 +52,6 @@ def q_decade_rollup(spark, sf):
 
 
 # --- shared derived tables ----------------------------------------------------
-from corpuslab.functions import text as tx  # noqa: E402
-from corpuslab.operators import filters as flt  # noqa: E402
-from corpuslab.operators import metrics as mt  # noqa: E402
-from corpuslab.operators import sampling as smp  # noqa: E402
-from corpuslab.operators.ranking import exact_quantiles, exact_running_sum, range_bucket  # noqa: E402
-from corpuslab.sources.tables import table  # noqa: E402
 
 FEATURES = ["topic_similarity", "abstractivity", "redundancy", "semantic_coherence", "cmp_words", "cmp_sents"]
 
@@ -97,7 +111,6 @@ def q_length_equals(spark, sf):
 
 def desc_words_table(spark, sf):
     """(identifier, desc_words), materialised once: the exact quantile reads it several times."""
-    from corpuslab.session import shared_dir
     shared_dir(spark, "")
     return features(spark, sf).select("identifier", "desc_words").checkpoint(eager=True)
 
@@ -287,7 +300,6 @@ def q_sort(spark, sf):
 
 
 # --- 2.7 scalar functions and text preparation -----------------------------
-from corpuslab.functions import rouge as rg  # noqa: E402
 
 
 @query("pipes_to_space")
@@ -451,10 +463,6 @@ def q_rouge_n(spark, sf):
 
 
 # --- 2.4 joins and set operations --------------------------------------------
-from corpuslab.operators import cluster as cl  # noqa: E402
-from corpuslab.operators import joins as jn  # noqa: E402
-from corpuslab.operators import vocab as vc  # noqa: E402
-from corpuslab.sources.tables import union_files  # noqa: E402
 
 
 def test_split(spark, sf):
@@ -642,7 +650,6 @@ def q_mask_examples(spark, sf):
 
 @query("assignment_audit")
 def q_assignment_audit(spark, sf):
-    from corpuslab.session import fresh_dir
     stored_path = fresh_dir(spark, "cluster-map")
     fixed_assignments(spark, sf).select("vec_id", "class").write.parquet(stored_path)
     stored = spark.read.parquet(stored_path)
@@ -652,10 +659,6 @@ def q_assignment_audit(spark, sf):
 
 
 # --- 2.1 sources, 2.2 sinks --------------------------------------------------
-from corpuslab.session import fresh_dir  # noqa: E402
-from corpuslab.sinks import writers as wr  # noqa: E402
-from corpuslab.sources import archives as ar  # noqa: E402
-from corpuslab.sources import tables as tb  # noqa: E402
 
 
 def built_archives(spark, sf):
@@ -841,12 +844,11 @@ def q_format_compare(spark, sf):
 
 
 # --- 2.8 metrics with Python inner loops (Arrow batches) -----------------------
-from corpuslab.functions import fragments as fr  # noqa: E402
 
 
 @query("fragments")
 def q_fragments(spark, sf):
-    p = mt.prepare(mt.spread_for_python(viable(spark, sf)))
+    p = mt.prepare(viable(spark, sf))
     f = p.select("identifier", fr.fragments("s_tok", "d_tok").alias("frags"))
     return f.select("identifier", F.size("frags").cast("bigint").alias("n_fragments"),
                     F.aggregate("frags", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x)).alias("n_tokens"),
@@ -855,27 +857,25 @@ def q_fragments(spark, sf):
 
 @query("redundancy_rouge")
 def q_redundancy_rouge(spark, sf):
-    p = mt.prepare(mt.spread_for_python(viable(spark, sf)))
+    p = mt.prepare(viable(spark, sf))
     out = p.select("identifier", rg.redundancy_rouge("s_sent").alias("redundancy"))
     return flt.with_sentinels(out, ["redundancy"])
 
 
 @query("redundancy_ordered")
 def q_redundancy_ordered(spark, sf):
-    p = mt.prepare(mt.spread_for_python(viable(spark, sf)), summary=None)
+    p = mt.prepare(viable(spark, sf), summary=None)
     out = p.select("identifier", rg.redundancy_ordered("d_sent").alias("redundancy"))
     return flt.with_sentinels(out, ["redundancy"])
 
 
 @query("rouge_l")
 def q_rouge_l(spark, sf):
-    p = mt.spread_for_python(fx.pairs(spark, sf)).withColumn("hyp", tx.strip_markers("c_summary"))
+    p = fx.pairs(spark, sf).withColumn("hyp", tx.strip_markers("c_summary"))
     return p.select("conv_id", "turn", F.round(rg.rouge_l("hyp", "ref"), 6).alias("rouge_l"))
 
 
 # --- 2.9 topic model, k-means, mixtures ----------------------------------------
-from corpuslab.operators import mixture as mx  # noqa: E402
-from corpuslab.operators import topics as tp  # noqa: E402
 
 CLUSTER_FEATURES = ["topic_class", "redundancy", "semantic_coherence", "desc_words", "desc_sents"]
 
@@ -945,7 +945,6 @@ def cluster_input(spark, sf):
     """Assembled features, checkpointed to the shared folder: the iterative fits
     that follow re-read it many times, and a lost executor then re-reads the
     checkpoint instead of recomputing the topic model."""
-    from corpuslab.session import shared_dir
     shared_dir(spark, "")  # makes sure a checkpoint folder is set
     return cl.assemble(clustering_features(spark, sf), CLUSTER_FEATURES).checkpoint(eager=True)
 
@@ -992,15 +991,12 @@ def q_model_store(spark, sf):
 
 
 # --- 2.9 subword vocabulary, batch apply ----------------------------------------
-from corpuslab.operators import subword as sw  # noqa: E402
-from corpuslab.streaming import incremental as inc  # noqa: E402
 
 BPE_ROUNDS = 50
 
 
 @query("bpe_vocabulary")
 def q_bpe_vocabulary(spark, sf):
-    from corpuslab.session import shared_dir
     shared_dir(spark, "")
     words = sw.word_table(tb.text_column_source(spark, f"{sf}/documents.parquet", "text")).checkpoint(eager=True)
     merges = sw.learn_merges(words, BPE_ROUNDS)
@@ -1034,12 +1030,11 @@ def batch_apply(df, fn=lead_summary, id_col="identifier", text_col="description"
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} string, c_summary string")
 
 
-import pandas as pd  # noqa: E402
 
 
 @query("batch_apply")
 def q_batch_apply(spark, sf):
-    return batch_apply(mt.spread_for_python(test_split(spark, sf)))
+    return batch_apply(test_split(spark, sf))
 
 
 # --- 2.10 streaming ---------------------------------------------------------------
