@@ -46,25 +46,24 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession, sub: str) -> str:
     """A folder under the cluster's shared checkpoint location.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only a local session
-    without one gets a fresh temporary folder (tests, laptops); a cluster
-    session without one is an error, since a machine-local folder is not
-    visible to other executors.
+    ``spark.checkpoint.dir`` (or a checkpoint folder already set on the
+    context) is read from the session.  Only a local session without one gets a
+    fresh temporary folder (tests, laptops); a cluster session without one is
+    an error, since a machine-local folder is not visible to other executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jdir.get() if jdir.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="corpuslab-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    path = base.rstrip("/") + "/" + sub
-    return path
+        try:
+            spark.conf.set("spark.checkpoint.dir", base)
+        except Exception:  # noqa: BLE001 - some deployments forbid setting it at run time
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/") + "/" + sub
 
 
 def fresh_dir(spark: SparkSession, sub: str) -> str:
