@@ -504,9 +504,23 @@ enc AS (SELECT t.doc_id, coalesce(ids.ids, []::BIGINT[]) AS ids FROM t LEFT JOIN
 padded AS (SELECT doc_id, len(ids) AS n_real,
              list_concat(ids, list_transform(range(1024 - len(ids)), lambda x: 0::BIGINT)) AS input_ids FROM enc)
 """
-oracle("encode_pad", ENC + """
-SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_ids, CAST(n_real AS BIGINT) AS n_real,
-  md5(array_to_string(input_ids, ' ')) AS ids_md5 FROM padded""")
+def enc_cases(col: str, n: int, prefix: str) -> str:
+    return f"""
+{prefix}_t AS (SELECT identifier, ({tokens(f"replace({col}, '|', ' ')")})[1:{n}] AS tk FROM viable),
+{prefix}_ex AS (SELECT identifier, unnest(range(1, len(tk) + 1)) AS pos, unnest(tk) AS token FROM {prefix}_t),
+{prefix}_m AS (SELECT e.identifier, e.pos, coalesce(v.term_id, 1) AS id FROM {prefix}_ex e LEFT JOIN vocab v ON e.token = v.token),
+{prefix}_ids AS (SELECT identifier, list(id ORDER BY pos) AS ids FROM {prefix}_m GROUP BY identifier),
+{prefix}_enc AS (SELECT t.identifier, coalesce(i.ids, []::BIGINT[]) AS ids FROM {prefix}_t t
+                 LEFT JOIN {prefix}_ids i ON t.identifier = i.identifier),
+{prefix}_out AS (SELECT identifier, CAST({n} AS BIGINT) AS n_{prefix}, CAST(len(ids) AS BIGINT) AS n_{prefix}_real,
+  md5(array_to_string(list_concat(ids, list_transform(range({n} - len(ids)), lambda x: 0::BIGINT)), ' ')) AS {prefix}_md5
+  FROM {prefix}_enc)"""
+
+
+oracle("encode_pad", with_(CASES, VIABLE, TOKS, DFS, VOCAB2) + "," + enc_cases("description", 1024, "ids") + ","
+       + enc_cases("summary", 256, "labels") + """
+SELECT a.identifier, a.n_ids, a.n_ids_real, a.ids_md5, b.n_labels, b.n_labels_real, b.labels_md5
+FROM ids_out a JOIN labels_out b ON a.identifier = b.identifier""")
 UMASK = ("((('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR) || ':42'), 1, 13))::BIGINT)::DOUBLE"
          " + 0.5) / 4503599627370496.0")
 oracle("mask_examples", ENC + f"""

@@ -634,10 +634,22 @@ def encoded(spark, sf, max_len=1024):
 
 @query("encode_pad")
 def q_encode_pad(spark, sf):
-    e = encoded(spark, sf)
-    return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_ids"),
-                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_real"),
-                    F.md5(F.array_join(F.col("input_ids").cast("array<string>"), " ")).alias("ids_md5"))
+    """Training inputs of the viable cases: description ids truncated/padded to
+    1024 with an attention mask, summary ids (the labels) to 256."""
+    v = viable(spark, sf).select(
+        "identifier", tx.tokenize(tx.pipes_to_space("description")).alias("d"),
+        tx.tokenize(tx.pipes_to_space("summary")).alias("s"))
+    vocab = fixed_vocab(spark, sf)
+
+    def enc(col, n, prefix):
+        ids = vc.encode_ids(v.select("identifier", F.col(col).alias("tokens")), "identifier", "tokens", vocab, n)
+        e = ids.select("identifier", vc.pad(F.col("ids"), n).alias("e"))
+        return e.select("identifier",
+                        F.size("e.input_ids").cast("bigint").alias(f"n_{prefix}"),
+                        F.aggregate("e.attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+                        .alias(f"n_{prefix}_real"),
+                        F.md5(F.array_join(F.col("e.input_ids").cast("array<string>"), " ")).alias(f"{prefix}_md5"))
+    return enc("d", 1024, "ids").join(enc("s", 256, "labels"), "identifier")
 
 
 @query("mask_examples")
