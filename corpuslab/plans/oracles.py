@@ -559,3 +559,26 @@ oracle("shuffled_chunk_write", with_(CASES) + f"""
 , r AS (SELECT *, row_number() OVER (ORDER BY md5(identifier || ':42')) AS rn, count(*) OVER () AS total FROM cases)
 SELECT identifier, CAST(least(9, floor((rn - 1) / greatest(total // 10, 1))) AS INTEGER) AS chunk FROM r
 WHERE missing_parts = 'none' AND summary <> '-' AND {wc('summary')} >= 10 AND {wc('description')} <= 1024""")
+
+
+# --- archive round trip: what parsing the generated archives must give back -------
+ARCHIVED = """
+archived AS (
+  SELECT *, split_part(identifier, ':', 4) AS year,
+    lpad(CAST(CAST(doc_id // 111 AS BIGINT) % 12 + 1 AS VARCHAR), 2, '0') AS month
+  FROM cases WHERE CAST(split_part(identifier, ':', 4) AS INTEGER) NOT IN (1910, 1912))"""
+PARAS = ("array_to_string(list_filter(list_transform(string_split({x}, chr(10)), "
+         "lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> ''), ' ')")
+oracle("xml_single_tags", with_(CASES, ARCHIVED) + """
+SELECT identifier, split_part(identifier, ':', 3) AS seat_location, 'court-' || split_part(identifier, ':', 3) AS creator,
+  'uitspraak' AS case_type FROM archived""")
+oracle("xml_multi_tags", with_(CASES, ARCHIVED) + """
+SELECT identifier, class || '|' || split_part(identifier, ':', 2) AS jurisdiction, split_part(identifier, ':', 5) AS case_number,
+  'none' AS procedures, 'none' AS "references", 'none' AS relation FROM archived""")
+oracle("text_fallback", with_(CASES, ARCHIVED) + f"""
+SELECT identifier, missing_parts, md5(d) AS description_md5, coalesce({wc('d')}, 0) AS desc_words FROM (
+  SELECT identifier, missing_parts,
+    CASE WHEN description <> 'none' THEN {PARAS.format(x='description')} END AS d FROM archived)""")
+oracle("write_per_archive", with_(CASES, ARCHIVED) + """
+SELECT year, month, CAST(count(*) AS BIGINT) AS n FROM archived GROUP BY year, month""")
+oracle("incremental_ingest", with_(CASES, ARCHIVED) + "SELECT identifier, year, month, missing_parts FROM archived")

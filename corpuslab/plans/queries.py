@@ -709,7 +709,7 @@ def q_xml_multi_tags(spark, sf):
 def q_text_fallback(spark, sf):
     p = parsed_cases(spark, sf)
     return p.select("identifier", "missing_parts", F.md5("description").alias("description_md5"),
-                    tx.word_count("description").alias("desc_words"))
+                    F.coalesce(tx.word_count("description"), F.lit(0)).cast("bigint").alias("desc_words"))
 
 
 @query("xml_dates")
@@ -819,7 +819,10 @@ def q_generated_scan(spark, sf):
 def q_write_per_archive(spark, sf):
     path = fresh_dir(spark, "raw-cases")
     wr.write_per_archive(parsed_cases(spark, sf), path)
-    return spark.read.parquet(path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
+    # partition discovery reads "08" back as a number; restore the archive's text form
+    back = spark.read.parquet(path).select(F.col("year").cast("string").alias("year"),
+                                           F.lpad(F.col("month").cast("string"), 2, "0").alias("month"))
+    return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("size_balanced_chunks")
@@ -1055,7 +1058,9 @@ def q_incremental_ingest(spark, sf):
     root = built_archives(spark, sf)
     out, ck = fresh_dir(spark, "stream-raw"), fresh_dir(spark, "stream-raw-ckpt")
     inc.incremental_ingest(spark, root, out, ck)
-    return spark.read.parquet(out).select("identifier", "year", "month", "missing_parts")
+    return spark.read.parquet(out).select("identifier", F.col("year").cast("string").alias("year"),
+                                          F.lpad(F.col("month").cast("string"), 2, "0").alias("month"),
+                                          "missing_parts")
 
 
 CASES_SCHEMA = "doc_id long, identifier string, summary string, description string, missing_parts string, " \
