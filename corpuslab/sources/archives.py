@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import EDGE_SPACE, word_count  # noqa: F401
+from corpuslab.functions.text import EDGE_SPACE
 
 # Element names of the source format (local names; the
 # metadata elements carry the dcterms / psi namespace prefixes).
