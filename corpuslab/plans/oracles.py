@@ -317,7 +317,8 @@ SELECT run, epoch, n, loss,
   CAST(sum(n) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_n
 FROM curves""")
 oracle("row_index", with_(CURVES) + """
-SELECT run, epoch, CAST(row_number() OVER (PARTITION BY run ORDER BY epoch) AS INTEGER) AS val_epoch FROM curves""")
+SELECT run, epoch, CAST(row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS INTEGER) AS train_epoch,
+  CAST(row_number() OVER (PARTITION BY run ORDER BY epoch) AS INTEGER) AS val_epoch FROM curves""")
 oracle("sort", "SELECT doc_id, source FROM documents ORDER BY source, doc_id")
 
 

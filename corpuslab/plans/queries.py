@@ -290,7 +290,10 @@ def q_cumsum(spark, sf):
 @query("row_index")
 def q_row_index(spark, sf):
     c = fx.curves(spark, sf)
-    return smp.row_index(c, "epoch", ["run"], start=1, out="val_epoch").select("run", "epoch", "val_epoch")
+    # the training curve's axis counts from 0, the validation curve's from 1
+    c = smp.row_index(c, "epoch", ["run"], start=0, out="train_epoch")
+    c = smp.row_index(c, "epoch", ["run"], start=1, out="val_epoch")
+    return c.select("run", "epoch", "train_epoch", "val_epoch")
 
 
 @query("sort")
