@@ -27,11 +27,13 @@ def vocabulary(docs: DataFrame, id_col: str, tokens_col: str, min_df: int = 1) -
     # Occurrences (tf) and the row's distinct tokens (df) go through one
     # per-token aggregate; the partial aggregate combines map-side, so a hot
     # token costs one row per task in the shuffle, never one per occurrence.
-    occ = docs.select(F.explode(tokens_col).alias("token"), F.lit(1).alias("o"), F.lit(0).alias("d"))
-    dist = docs.select(F.explode(F.array_distinct(tokens_col)).alias("token"), F.lit(0).alias("o"),
-                       F.lit(1).alias("d"))
-    v = occ.unionByName(dist).groupBy("token").agg(F.sum("o").cast("bigint").alias("tf"),
-                                                   F.sum("d").cast("bigint").alias("df"))
+    # One explode per document: every occurrence (o=1) plus every distinct token (d=1).
+    marks = tx.let({"t": F.col(tokens_col)}, lambda v: F.concat(
+        F.transform(v["t"], lambda x: F.struct(x.alias("token"), F.lit(1).alias("o"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct(v["t"]),
+                    lambda x: F.struct(x.alias("token"), F.lit(0).alias("o"), F.lit(1).alias("d")))))
+    rows = docs.select(F.explode(marks).alias("m")).select("m.token", "m.o", "m.d")
+    v = rows.groupBy("token").agg(F.sum("o").cast("bigint").alias("tf"), F.sum("d").cast("bigint").alias("df"))
     from corpuslab.session import shared_dir
     shared_dir(docs.sparkSession, "")
     # The vocabulary is far smaller than the corpus and is read several times
