@@ -55,20 +55,22 @@ def doc_term_counts(docs: DataFrame, id_col: str, tokens_col: str, vocab: DataFr
     return counts.join(maybe_broadcast(vocab.select("token", "term_id")), "token", "inner")
 
 
-def encode_ids(docs: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, max_len: int) -> DataFrame:
+def encode_ids(docs: DataFrame, id_col, tokens_col: str, vocab: DataFrame, max_len: int) -> DataFrame:
     """Word-level ids of the first ``max_len`` tokens, unknown -> UNK_ID, in order.
 
-    Truncation happens before the explode, so a document contributes at most
-    ``max_len`` rows to the regrouping shuffle.
+    ``id_col`` is a column name or a list of key columns.  Truncation happens
+    before the explode, so a row contributes at most ``max_len`` rows to the
+    regrouping shuffle.
     """
-    t = docs.select(id_col, F.slice(tokens_col, 1, max_len).alias("_t"))
-    # posexplode_outer keeps documents without tokens (one row, NULL token).
-    ex = t.select(id_col, F.posexplode_outer("_t").alias("pos", "token"))
+    keys = [id_col] if isinstance(id_col, str) else list(id_col)
+    t = docs.select(*keys, F.slice(tokens_col, 1, max_len).alias("_t"))
+    # posexplode_outer keeps rows without tokens (one row, NULL token).
+    ex = t.select(*keys, F.posexplode_outer("_t").alias("pos", "token"))
     j = ex.join(maybe_broadcast(vocab.select("token", "term_id")), "token", "left")
     item = F.when(F.col("token").isNotNull(),
                   F.struct("pos", F.coalesce("term_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
-    ids = j.groupBy(id_col).agg(F.sort_array(F.collect_list(item)).alias("_p"))
-    return ids.select(id_col, F.transform("_p", lambda s: s["id"]).alias("ids"))
+    ids = j.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    return ids.select(*keys, F.transform("_p", lambda s: s["id"]).alias("ids"))
 
 
 def pad(ids, max_len: int) -> Column:

@@ -638,21 +638,28 @@ def encoded(spark, sf, max_len=1024):
 @query("encode_pad")
 def q_encode_pad(spark, sf):
     """Training inputs of the viable cases: description ids truncated/padded to
-    1024 with an attention mask, summary ids (the labels) to 256."""
+    1024 with an attention mask, summary ids (the labels) to 256.  Both texts go
+    through one explode/lookup/regroup, tagged by part."""
+    lengths = {"ids": 1024, "labels": 256}
     v = viable(spark, sf).select(
-        "identifier", tx.tokenize(tx.pipes_to_space("description")).alias("d"),
-        tx.tokenize(tx.pipes_to_space("summary")).alias("s"))
-    vocab = fixed_vocab(spark, sf)
-
-    def enc(col, n, prefix):
-        ids = vc.encode_ids(v.select("identifier", F.col(col).alias("tokens")), "identifier", "tokens", vocab, n)
-        e = ids.select("identifier", vc.pad(F.col("ids"), n).alias("e"))
-        return e.select("identifier",
-                        F.size("e.input_ids").cast("bigint").alias(f"n_{prefix}"),
-                        F.aggregate("e.attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
-                        .alias(f"n_{prefix}_real"),
-                        F.md5(F.array_join(F.col("e.input_ids").cast("array<string>"), " ")).alias(f"{prefix}_md5"))
-    return enc("d", 1024, "ids").join(enc("s", 256, "labels"), "identifier")
+        "identifier", F.explode(F.array(
+            F.struct(F.lit("ids").alias("part"), tx.tokenize(tx.pipes_to_space("description")).alias("tokens")),
+            F.struct(F.lit("labels").alias("part"), tx.tokenize(tx.pipes_to_space("summary")).alias("tokens"))))
+        .alias("p")).select("identifier", "p.part", "p.tokens")
+    # truncate each part to its own length before the shared encoding
+    v = v.withColumn("tokens", F.when(F.col("part") == "ids", F.slice("tokens", 1, lengths["ids"]))
+                     .otherwise(F.slice("tokens", 1, lengths["labels"])))
+    ids = vc.encode_ids(v, ["identifier", "part"], "tokens", fixed_vocab(spark, sf), max(lengths.values()))
+    n = F.when(F.col("part") == "ids", F.lit(lengths["ids"])).otherwise(F.lit(lengths["labels"]))
+    e = ids.select("identifier", "part", vc.pad(F.col("ids"), n).alias("e"))
+    stats = e.select("identifier", "part", F.size("e.input_ids").cast("bigint").alias("n"),
+                     F.aggregate("e.attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_real"),
+                     F.md5(F.array_join(F.col("e.input_ids").cast("array<string>"), " ")).alias("md5"))
+    pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    return stats.groupBy("identifier").agg(
+        pick("ids", "n").alias("n_ids"), pick("ids", "n_real").alias("n_ids_real"), pick("ids", "md5").alias("ids_md5"),
+        pick("labels", "n").alias("n_labels"), pick("labels", "n_real").alias("n_labels_real"),
+        pick("labels", "md5").alias("labels_md5"))
 
 
 @query("mask_examples")
