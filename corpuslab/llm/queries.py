@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import bpe, ledger, mixing, quality, ring, toxicity, warc
+from corpuslab.llm import bpe, cover, jaccard, ledger, mixing, quality, ring, toxicity, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,10 @@ QUERIES = {
     "op2_toxicity_nb": toxicity.op2_toxicity_nb,
     "op4_bpe_roundtrip": bpe.op4_bpe_roundtrip,
     "op5_secret_ledger": ledger.op5_secret_ledger,
+    "op6_parity_jaccard": jaccard.op6_parity_jaccard,
     "op7_ring_shards": ring.op7_ring_shards,
     "op8_warc_store": warc.op8_warc_store,
+    "op9_cover_tree": cover.op9_cover_tree,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
