@@ -260,6 +260,11 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids and digests of every row."""
+    return encode_table(docs).drop("decoded")
+
+
 def encode_table(docs: DataFrame, model: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (if asked for), decoded, ids_sha256, decoded_sha256 of every row of ``docs``."""
     model = model or model_path()

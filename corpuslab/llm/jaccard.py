@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.llm.common import read, saved
 from corpuslab.llm.graph import components
@@ -206,8 +207,8 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * 85).select("a", "b")
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles and node of every row of ``docs``; node, least doc_id and component of every class)."""
     docs = docs.select("doc_id", "text")
     rows = saved(docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long, sketch array<long>"), "sets")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
@@ -250,9 +251,34 @@ def linked(docs: DataFrame) -> DataFrame:
     links = links.unionByName(_verified(cross, held))
     group = components(links)
     named = (classes.select("node", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return rows.select("doc_id", "n_shingles", "node"), named
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    rows, named = groups(docs)
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return (rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    return rows.join(named, "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for every group of linked documents, that of its smallest doc_id; texts without
+    words are no group and stay."""
+    _, named = groups(docs)
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("x"), "least", "node")).alias("m"))
+    keep = best.select(F.col("m.least").alias("keep_id"), F.col("m.node").alias("keep_node"))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, key = sets(part.column("text"))
+                node = digests(row, key, part.num_rows).view(np.int64)
+                yield pa.record_batch([*part.columns, pa.array(node)], names=[*names, "keep_of"])
+    noded = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("keep_of", T.LongType())]))
+    mine = noded.join(keep, (F.col("keep_of") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return mine.dropDuplicates(["keep_of", "doc_id"]).unionByName(noded.where("keep_of = 0")).drop("keep_of")
 
 
 def op6_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,8 +59,9 @@ def find(text: Column) -> Column:
     return F.sort_array(F.concat(*[_spans(text, i, k, p) for i, (k, p) in enumerate(RULES)]))
 
 
-def scan(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: str = RULE_VERSION) -> DataFrame:
-    """``versions`` with blob and findings; the ledger folder gains the blobs that it did not have.
+def scan(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: str = RULE_VERSION,
+         with_text: bool = False) -> DataFrame:
+    """``versions`` with blob and findings (and without the text unless asked for); the ledger folder gains the blobs that it did not have.
 
     ``ledger`` may be a folder that does not exist yet.
     """
@@ -84,8 +85,14 @@ def scan(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "te
     entries = spark.read.parquet(ledger).where(F.col("rules") == rules).where(F.size("findings") > 0)
     entries = entries.groupBy("blob").agg(F.first("findings").alias("findings"))  # a rerun after a failure may add a blob twice
     empty = F.array().cast(entries.schema["findings"].dataType)
-    return (v.drop(text).join(entries, "blob", "left")
-            .withColumn("findings", F.coalesce("findings", empty)))
+    return (v if with_text else v.drop(text)).join(entries, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with every finding in ``text`` replaced by ``*``, and n_chars counted anew; null texts become empty."""
+    out = scan(docs, shared_dir(docs.sparkSession, "ledger"), with_text=True)
+    out = out.withColumn("text", redact(F.col("text"), F.col("findings")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def listed(spans: Column) -> Column:

@@ -159,17 +159,22 @@ def pieces(packed: DataFrame, block: int = BLOCK) -> DataFrame:
     return d.withColumn("first_word", first).withColumn("n_taken", past - first)
 
 
+def _sources(docs: DataFrame) -> tuple[list, list[int]]:
+    """Sources in code point order, null last, and their words: one row per source on the driver."""
+    per = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("n")).collect()
+    per = sorted(per, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    return [r["source"] for r in per], [r["n"] for r in per]
+
+
 def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 0, weights=WEIGHTS, repeats: int = REPEATS):
     """(packed documents, the mix, sizes and targets by source).
 
     The mix has a row for every part of a block in every slot: sid, shard, slot,
     block_index, start (which names the document inside its source), first_word
-    and n_taken; ``block_text`` adds the words.
+    and n_taken; ``words`` gives the words.
     """
     spark = docs.sparkSession
-    per = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("n")).collect()  # one row per source
-    per = sorted(per, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    names, sizes = [r["source"] for r in per], [r["n"] for r in per]
+    names, sizes = _sources(docs)
     goal = targets(sizes, weights, repeats)
     packed = saved(pack(docs.select("doc_id", "source", "text"), names, seed=seed).drop("text", "source"), "mix-packed")
     need, runs = plan(sizes, goal, block, shards, seed)
@@ -179,6 +184,20 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 0
     return packed, mixed, info
 
 
+def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """``docs`` as the mix takes them: each text holds the words that were taken, block after block, as often as
+    they were taken; documents of which nothing was taken are left out, and n_chars is counted anew."""
+    _, mixed, _ = mix(docs, seed=seed)
+    names, _ = _sources(docs)
+    taken = mixed.groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "first_word", "n_taken"))).alias("mix_parts"))
+    full = pack(docs, names, seed=seed).where("size > 0").join(taken, ["sid", "start"])
+    full = full.withColumn("mix_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    text = F.array_join(F.transform("mix_parts", lambda p: F.array_join(
+        F.slice("mix_words", p["first_word"].cast("int") + 1, p["n_taken"].cast("int")), " ")), " ")
+    full = full.withColumn("text", text)
+    return full.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
 def words(text: Column, first, n) -> Column:
     """``n`` words of a text from word ``first`` on, joined by spaces."""
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), first.cast("int") + 1, n.cast("int")), " ")

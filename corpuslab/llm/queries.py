@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import bpe, cover, jaccard, ledger, mixing, quality, ring, toxicity, warc
+from corpuslab.llm import bpe, cover, jaccard, ledger, mixing, quality, ring, suffixes, toxicity, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": pipeline,
     "op1_quality_model": quality.op1_quality_model,
     "op2_toxicity_nb": toxicity.op2_toxicity_nb,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_bpe_roundtrip": bpe.op4_bpe_roundtrip,
     "op5_secret_ledger": ledger.op5_secret_ledger,
     "op6_parity_jaccard": jaccard.op6_parity_jaccard,

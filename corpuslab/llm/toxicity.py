@@ -12,7 +12,7 @@ but the text enters a score.
 
 Edge cases: null and empty texts hold no n-gram and score what the bias says;
 a null doc_id is not held out; without labels of both classes every score is
-0; repeated rows are scored each; extra columns are left out.
+0; repeated rows are scored each; ``score`` and ``clean`` carry other columns along.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.llm import linear
 from corpuslab.llm.common import read
@@ -110,8 +111,9 @@ def fit(cols: list[np.ndarray], y: np.ndarray, folds: int = 5) -> tuple[np.ndarr
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """doc_id, score of every row."""
+    """``docs`` with the column score (0 to 1); a column of that name is replaced."""
     table = docs.sparkSession.sparkContext.broadcast(weights)  # DIMS doubles, whatever the input
+    docs = docs.drop("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = table.value
@@ -119,12 +121,17 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
             for part in parts(batch):
                 row, col = grams(part.column("text"))
                 z = np.bincount(row, w[col], part.num_rows) + bias
-                yield pa.record_batch([part.column("doc_id"), pa.array(linear.sigmoid(z))], names=["doc_id", "score"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+                yield pa.record_batch([*part.columns, pa.array(linear.sigmoid(z))], names=[*part.schema.names, "score"])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that the classifier calls toxic."""
+    return score(docs, *train(docs, labels)).where(F.col("score") < THRESHOLD).drop("score")
 
 
 def op2_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = score(docs, *train(docs, read(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), *train(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
