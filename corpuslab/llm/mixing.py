@@ -179,7 +179,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 0
     packed = saved(pack(docs.select("doc_id", "source", "text"), names, seed=seed).drop("text", "source"), "mix-packed")
     need, runs = plan(sizes, goal, block, shards, seed)
     at = slots(spark, runs, [-(-n // block) for n in sizes], seed)
-    mixed = at.join(pieces(packed, block).select("sid", "block_index", "start", "doc_id", "first_word", "n_taken"), ["sid", "block_index"])
+    # the plan's row count for slots is that of their runs: without the hint they would be broadcast
+    mixed = at.join(pieces(packed, block).hint("merge").select("sid", "block_index", "start", "doc_id", "first_word", "n_taken"), ["sid", "block_index"])
     info = spark.createDataFrame(list(zip(range(len(names)), names, sizes, goal)), "sid int, source string, source_size long, target double")
     return packed, mixed, info
 
