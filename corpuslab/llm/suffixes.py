@@ -14,12 +14,14 @@ merge sort that is aware of common prefixes:
    anchors, packed and sorted, and learn per anchor whether another document
    has it too, and whether the bytes around it differ anywhere.  A suffix whose
    anchor is in one document only cannot match and is never sent.
-3. *Strings.*  Where the bytes around a shared anchor are the same everywhere,
-   one string stands for all windows of that anchor: the anchor with the
-   WIDTH - K bytes on either side.  Where they differ, every window of the
-   anchor is sent as a suffix of its own.  Each run sorts its strings, keeps
-   one of each with its smallest document, and front-codes them: the length of
-   the prefix shared with the string before, and the rest.
+3. *Strings.*  First every run sends, for each shared anchor, the anchor with
+   the WIDTH - K bytes on either side: if a smaller document has the same
+   string, all windows of the anchor go at once.  For anchors whose
+   surroundings differ somewhere, what is left (of equal strings only the
+   smallest document) then sends every window as a suffix of its own.  Each
+   run sorts its strings, keeps one of each with its smallest document, and
+   front-codes them: the length of the prefix shared with the string before,
+   and the rest.
 4. *Merge.*  A reducer merges the runs of its share with a loser tree that
    compares strings from the first byte not known to be equal: of two strings
    with different common prefixes with the last winner the longer prefix wins
@@ -28,6 +30,9 @@ merge sort that is aware of common prefixes:
    whether a run has it from a smaller document.
 5. Runs turn bits into covered bytes, merge them into spans and cut them out.
 
+The texts cross the network once: every pass reads the same exchange.  What a
+run has learned travels on with what it sends, so no pass is computed twice.
+
 Shares are dealt by a hash of the string's first K bytes' anchor or, for
 windows, of the window, so that neither a frequent line nor a group of copies
 meets in one reducer as more than one string per run.  Runs and shares are
@@ -45,6 +50,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +63,8 @@ SIDE = WIDTH - K                # bytes on either side of an anchor that its win
 RUN_BYTES = 2 << 20             # of text in a run, about
 STEP = 1 << 20                  # windows whose anchors are sought at once
 DIFFERS, SHARED = 2, 1
+WIDE = SIDE + WIDTH             # bytes of an anchor with its surroundings
+ROW = WIDE + 2
 
 
 def _rolling(buf: np.ndarray, k: int) -> np.ndarray:
@@ -159,7 +167,7 @@ def share_of(keys: np.ndarray, shares: int) -> np.ndarray:
 def _fingerprints(shares: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         me, r, _ = _load(left, right)
-        out = {"share": [], "run": [], "blob": []}
+        out: dict[str, list] = {"share": [], "run": [], "blob": []}
         if r is not None and len(r.at):
             keys, _, flags = r.groups()
             s = share_of(keys, shares)                     # keys are sorted, so shares are runs of keys
@@ -185,44 +193,34 @@ def _compare(table: pa.Table) -> pa.Table:
     out = np.zeros(len(k), np.uint8)
     out[o] = np.repeat(all_, n)
     ends = np.cumsum([len(p[0]) for p in parts])
-    return pa.table({"run": table.column("run"), "share": table.column("share"),
+    return pa.table({"run": table.column("run"), "kind": pa.array([FLAGS] * len(table), pa.int32()), "share": table.column("share"),
                      "bits": pa.array([x.tobytes() for x in np.split(out, ends[:-1])], pa.binary())})
 
 
 # -- steps 3 and 4: sorted, front-coded runs and their merge ----------------------------------
 
-def _strings(r: Run, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(strings as rows of bytes, share key, first byte covered, document) of what a run sends.
+def _wholes(r: Run, flags: np.ndarray):
+    """(rows, share keys, first bytes, documents) of shared anchors with their surroundings.
 
-    A row is a tag, the string, padded, and its length: tag 1 for an anchor with its
-    surroundings, tag 0 for one window.
+    A row is the string, padded with zeros, its length, and where in it the anchor begins.
     """
-    whole = np.flatnonzero(flags == SHARED)
-    each = np.flatnonzero(flags == SHARED | DIFFERS)
+    some = np.flatnonzero(flags & SHARED)
+    a, n = r.at[some] - r.left[some], (r.left + r.right)[some]
     buf = np.r_[r.buf, np.zeros(2 * WIDTH, np.uint8)]
-    wide = SIDE + WIDTH
-    rows, keys, starts, docs = [], [], [], []
-    if len(whole):
-        a, n = r.at[whole] - r.left[whole], (r.left + r.right)[whole]
-        m = buf[a[:, None] + np.arange(wide)[None, :]]
-        m[np.arange(wide)[None, :] >= n[:, None]] = 0
-        rows.append(np.c_[np.ones(len(a), np.uint8), m, n.astype(np.uint8), r.left[whole].astype(np.uint8)])
-        keys.append(r.key[whole])
-        starts.append(a)
-        docs.append(r.doc[whole])
-    if len(each):
-        lo, hi = r.at[each] - r.left[each], np.minimum(r.at[each], r.at[each] + r.right[each] - WIDTH)
-        n = np.maximum(0, hi - lo + 1)
-        a = np.unique(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        m = np.zeros((len(a), wide), np.uint8)
-        m[:, :WIDTH] = buf[a[:, None] + np.arange(WIDTH)[None, :]]
-        rows.append(np.c_[np.zeros(len(a), np.uint8), m, np.full(len(a), WIDTH, np.uint8), np.zeros(len(a), np.uint8)])
-        keys.append(span_hashes(r.buf, a, a + WIDTH))
-        starts.append(a)
-        docs.append(np.searchsorted(r.off, a, side="right") - 1)
-    if not rows:
-        return np.zeros((0, wide + 3), np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(starts), np.concatenate(docs)
+    m = buf[a[:, None] + np.arange(WIDE)[None, :]]
+    m[np.arange(WIDE)[None, :] >= n[:, None]] = 0
+    return np.c_[m, n.astype(np.uint8), r.left[some].astype(np.uint8)], r.key[some], a, r.doc[some], some
+
+
+def _windows(r: Run, each: np.ndarray):
+    """(rows, share keys, first bytes, documents) of all windows that hold the anchors ``each``."""
+    lo, hi = r.at[each] - r.left[each], np.minimum(r.at[each], r.at[each] + r.right[each] - WIDTH)
+    n = np.maximum(0, hi - lo + 1)
+    a = np.unique(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    m = np.zeros((len(a), ROW), np.uint8)
+    m[:, :WIDTH] = r.buf[a[:, None] + np.arange(WIDTH)[None, :]] if len(a) else 0
+    m[:, WIDE] = WIDTH
+    return m, span_hashes(r.buf, a, a + WIDTH), a, np.searchsorted(r.off, a, side="right") - 1
 
 
 def _sorted_groups(rows: np.ndarray, keys: np.ndarray, shares: int):
@@ -248,28 +246,86 @@ def _front_coded(rows: np.ndarray) -> tuple[bytes, bytes]:
     return lcp.astype(np.uint8).tobytes(), rows[keep].tobytes()
 
 
-def _send(shares: int):
+def _blobs(r: Run, strings, shares: int, me: int, out: dict) -> None:
+    rows, key, _, doc = strings[:4]
+    o, s, new = _sorted_groups(rows, key, shares)
+    if not len(o):
+        return
+    least = np.minimum.reduceat(doc[o], np.flatnonzero(new))
+    rows, s = rows[o][new], s[new]
+    cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+    pack = zstandard.ZstdCompressor().compress
+    for a, b in zip(cut, cut[1:]):
+        lcp, rest = _front_coded(rows[a:b])
+        _row(out, int(s[a]), me, STRINGS, pack(lcp), pack(rest), pack(r.ids[least[a:b]].astype(np.int64).tobytes()))
+
+
+def _lost(r: Run, strings, shares: int, found: np.ndarray) -> np.ndarray:
+    """Of each string: whether a smaller document has it, in this run or by the bits from the shares."""
+    rows, key, _, doc = strings[:4]
+    o, _, new = _sorted_groups(rows, key, shares)
+    out = np.zeros(len(o), bool)
+    if len(o):
+        g = np.cumsum(new) - 1
+        least = np.minimum.reduceat(doc[o], np.flatnonzero(new))
+        # what the run's smallest document keeps, the others lose to it
+        out[o] = (r.ids[doc[o]] > r.ids[least[g]]) | (found[g] > 0)
+    return out
+
+
+SENT = "share long, run long, kind int, lcp binary, rest binary, least binary"
+FLAGS, WHOLES, WINDOWS, STRINGS = 0, 1, 2, 9
+
+
+def _row(out: dict, *values) -> None:
+    for c, v in zip(out, values):
+        out[c].append(v)
+
+
+def _sent(out: dict) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
+
+
+def _new() -> dict:
+    return {c: [] for c in ("share", "run", "kind", "lcp", "rest", "least")}
+
+
+def _keep(out: dict, me: int, kind: int, bits: np.ndarray) -> None:
+    """What the run knows travels on beside its strings, in a share of its own."""
+    _row(out, -1 - me, me, kind, None, bits.astype(np.uint8).tobytes(), None)
+
+
+def _send_wholes(shares: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        me, r, bits = _load(left, right)
-        out = {c: [] for c in ("share", "run", "lcp", "rest", "least")}
+        me, r, (flags, _, _) = _load(left, right)
+        out = _new()
         if r is not None and len(r.at):
-            keys, where, _ = r.groups()
-            rows, key, _, doc = _strings(r, bits[where])
-            o, s, new = _sorted_groups(rows, key, shares)
-            g = np.flatnonzero(new)
-            least = np.minimum.reduceat(doc[o], g) if len(g) else g
-            rows, s = rows[o][new], s[new]
-            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True]) if len(s) else []
-            for a, b in zip(cut, cut[1:]):
-                lcp, rest = _front_coded(rows[a:b])
-                for c, v in zip(out, (int(s[a]), me, lcp, rest, r.ids[least[a:b]].astype(np.int64).tobytes())):
-                    out[c].append(v)
-        return pa.table({"share": pa.array(out["share"], pa.int64()), "run": pa.array(out["run"], pa.int64()),
-                         **{c: pa.array(out[c], pa.binary()) for c in ("lcp", "rest", "least")}})
+            _keep(out, me, FLAGS, flags)
+            _blobs(r, _wholes(r, flags[r.groups()[1]]), shares, me, out)
+        return _sent(out)
     return run
 
 
-ROW = 1 + SIDE + WIDTH + 2
+def _left_over(r: Run, flags: np.ndarray, bits: np.ndarray, shares: int):
+    """(wholes, which of them are lost, the windows of the others whose surroundings differ)."""
+    of = flags[r.groups()[1]]
+    wholes = _wholes(r, of)
+    lost = _lost(r, wholes, shares, bits)
+    return wholes, lost, _windows(r, wholes[4][~lost & (of[wholes[4]] & DIFFERS > 0)])
+
+
+def _send_windows(shares: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        me, r, (flags, bits, _) = _load(left, right)
+        out = _new()
+        if r is not None and len(r.at):
+            _keep(out, me, FLAGS, flags)
+            _keep(out, me, WHOLES, bits)
+            _blobs(r, _left_over(r, flags, bits, shares)[2], shares, me, out)
+        return _sent(out)
+    return run
+
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -365,50 +421,47 @@ def merged(runs: list[tuple[bytes, bytes]]):
         shared = lcp[w]
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Per run, a bit for each of its strings: a run has it from a smaller document than this run's smallest."""
-    lcps, rests = table.column("lcp").to_pylist(), table.column("rest").to_pylist()
-    least = [np.frombuffer(x, np.int64) for x in table.column("least").to_pylist()]
-    who, number, begins = [], [], []
-    for w, i, shared in merged(list(zip(lcps, rests))):
-        who.append(w)
-        number.append(i)
-        begins.append(shared < ROW)
-    base = np.r_[0, np.cumsum([len(x) for x in least])]
-    place = base[np.array(who, np.int64)] + np.array(number, np.int64)
-    begins = np.array(begins, bool)
-    begins[:1] = True
-    docs = np.concatenate(least)[place]
-    g = np.flatnonzero(begins)
-    low = np.repeat(np.minimum.reduceat(docs, g), np.diff(np.r_[g, len(docs)]))
-    bit = np.zeros(len(docs), np.uint8)
-    bit[place] = low < docs
-    return pa.table({"run": table.column("run"), "share": table.column("share"),
-                     "bits": pa.array([x.tobytes() for x in np.split(bit, base[1:-1])], pa.binary())})
+def _merge(kind: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Per run, a bit for each of its strings: a run has it from a smaller document than this run's smallest."""
+        if table.column("share")[0].as_py() < 0:           # what a run knows goes back to it
+            return pa.table({"run": table.column("run"), "kind": table.column("kind"), "share": table.column("share"), "bits": table.column("rest")})
+        unpack = zstandard.ZstdDecompressor().decompress
+        lcps, rests, ids = ([unpack(x) for x in table.column(c).to_pylist()] for c in ("lcp", "rest", "least"))
+        least = [np.frombuffer(x, np.int64) for x in ids]
+        who, number, begins = [], [], []
+        for w, i, shared in merged(list(zip(lcps, rests))):
+            who.append(w)
+            number.append(i)
+            begins.append(shared < ROW)
+        base = np.r_[0, np.cumsum([len(x) for x in least])]
+        place = base[np.array(who, np.int64)] + np.array(number, np.int64)
+        begins = np.array(begins, bool)
+        begins[:1] = True
+        docs = np.concatenate(least)[place]
+        g = np.flatnonzero(begins)
+        low = np.repeat(np.minimum.reduceat(docs, g), np.diff(np.r_[g, len(docs)]))
+        bit = np.zeros(len(docs), np.uint8)
+        bit[place] = low < docs
+        return pa.table({"run": table.column("run"), "kind": pa.array([kind] * len(table), pa.int32()), "share": table.column("share"),
+                         "bits": pa.array([x.tobytes() for x in np.split(bit, base[1:-1])], pa.binary())})
+    return run
 
 
 # -- step 5: what goes -------------------------------------------------------------------------
 
 def _cut(shares: int, with_kept: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """``right`` has the run's anchor flags (kind 0) and string bits (kind 1)."""
-        _, r, bits, found = _load(left, right, with_strings=True)
+        _, r, (flags, bits, more) = _load(left, right)
         out: dict[str, list] = {c: [] for c in ("holder", "sha", "n_removed", "n_spans", "kept_sha256", "kept")[:6 if with_kept else 5]}
         if r is None:
             r = Run(np.zeros(0, np.int64), [])
         gone = np.zeros(len(r.buf) + 1, np.int64)
         if len(r.at):
-            keys, where, _ = r.groups()
-            rows, key, start, doc = _strings(r, bits[where])
-            o, s, new = _sorted_groups(rows, key, shares)
-            if len(o):
-                g = np.cumsum(new) - 1
-                least = np.minimum.reduceat(doc[o], np.flatnonzero(new))
-                # the run's smallest document loses what another run has from a smaller one, the others lose it anyhow
-                lost = np.where(r.ids[doc[o]] > r.ids[least[g]], True, found[g] > 0)
-                a = start[o][lost]
-                np.add.at(gone, a, 1)
-                np.add.at(gone, a + rows[o][lost][:, ROW - 2].astype(np.int64), -1)
+            wholes, lost, windows = _left_over(r, flags, bits, shares)
+            for strings, which in ((wholes, lost), (windows, _lost(r, windows, shares, more))):
+                np.add.at(gone, strings[2][which], 1)
+                np.add.at(gone, strings[2][which] + strings[0][which][:, WIDE].astype(np.int64), -1)
         covered = np.cumsum(gone[:-1]) > 0
         for i, t in enumerate(r.texts):
             c = covered[r.off[i]:r.off[i + 1]]
@@ -421,23 +474,22 @@ def _cut(shares: int, with_kept: bool):
     return run
 
 
-def _load(left: pa.Table, right: pa.Table, with_strings: bool = False):
-    """(run number, Run, flags of its distinct keys[, bits of its distinct strings]).
+def _load(left: pa.Table, right: pa.Table):
+    """(run number, Run, (flags of its distinct keys, bits of its distinct wholes, of its distinct windows)).
 
     ``right`` names the run's documents that take part (kind -1, doc_id) and has
-    what came back from the shares (kind 0 flags, kind 1 bits), by share.
+    what came back from the shares, in their order.
     """
     kind = right.column("kind").to_numpy()
     part = set(right.column("doc_id").filter(pa.array(kind == -1)).to_pylist())
-    back = {}
-    for k in (0, 1):
+    back = []
+    for k in (FLAGS, WHOLES, WINDOWS):
         some = right.filter(pa.array(kind == k)).sort_by("share")
-        back[k] = np.frombuffer(b"".join(some.column("bits").to_pylist()), np.uint8).astype(np.int64)
+        back.append(np.frombuffer(b"".join(some.column("bits").to_pylist()), np.uint8).astype(np.int64))
     ids, texts = left.column("doc_id").to_pylist(), left.column("data").to_pylist()
     some = sorted({(d, t): i for i, (d, t) in enumerate(zip(ids, texts)) if d in part}.values())  # a repeated row is the same document
     me = left.column("run")[0].as_py() if left.num_rows else -1
-    r = Run(np.array([ids[i] for i in some], np.int64), [texts[i] for i in some]) if some else None
-    return (me, r, back[0], back[1]) if with_strings else (me, r, back[0])
+    return me, Run(np.array([ids[i] for i in some], np.int64), [texts[i] for i in some]) if some else None, back
 
 
 def removed(docs: DataFrame, with_kept: bool = False) -> DataFrame:
@@ -458,13 +510,13 @@ def removed(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     def by_run(side: DataFrame, f, schema: str) -> DataFrame:
         return dealt.groupBy("run").cogroup(side.groupBy("run")).applyInArrow(f, schema)
 
-    def back(df: DataFrame, kind: int, f) -> DataFrame:
-        df = df.groupBy("share").applyInArrow(f, "run long, share long, bits binary")
-        return df.select("run", F.lit(kind).alias("kind"), "share", F.lit(None).cast("long").alias("doc_id"), "bits")
+    def back(df: DataFrame, f) -> DataFrame:
+        df = df.groupBy("share").applyInArrow(f, "run long, kind int, share long, bits binary")
+        return part.unionByName(df.select("run", "kind", "share", F.lit(None).cast("long").alias("doc_id"), "bits"))
     prints = by_run(part, _fingerprints(shares), "share long, run long, blob binary")
-    known = part.unionByName(back(prints, 0, _compare))
-    sent = by_run(known, _send(shares), "share long, run long, lcp binary, rest binary, least binary")
-    gone = by_run(known.unionByName(back(sent, 1, _merge)), _cut(shares, with_kept),
+    wholes = by_run(back(prints, _compare), _send_wholes(shares), SENT)
+    windows = by_run(back(wholes, _merge(WHOLES)), _send_windows(shares), SENT)
+    gone = by_run(back(windows, _merge(WINDOWS)), _cut(shares, with_kept),
                   "holder long, sha string, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     # a copy of a smaller document goes entirely if it has WIDTH bytes, else it stays as it is
     rows = facts.join(first, "sha").join(gone, ["sha", "holder"], "left")
