@@ -2,8 +2,8 @@
 
 ``write`` turns pages into three tables in a shared folder:
 
-* ``payloads``: one row per distinct payload, addressed by its SHA-256, which
-  ``read_back`` verifies against the bytes;
+* ``payloads``: one row per distinct payload (zstd), addressed by its SHA-256,
+  which ``read_back`` verifies against the bytes;
 * ``headers``: per record the exact header block (bytes up to and including
   the empty line), the payload's address and the record's identity;
 * nothing is stored twice: a revisit has a header and no payload of its own.
@@ -27,6 +27,7 @@ url writes an empty target; other columns are left out.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ def _record_id(page_id: Column) -> Column:
 def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> None:
     """Write the archive of ``pages`` (page_id, url, html) into ``folder``."""
     spark = pages.sparkSession
+    pack, _ = _codec()
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload"))
     rows = rows.withColumns({"address": F.sha2("payload", 256), "sha1": F.sha1("payload"),
@@ -63,9 +65,27 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> None:
         F.lit("Content-Length: "), stored.cast("string"), F.lit(EOL + EOL))
     records.select("page_id", "address", head.cast("binary").alias("header")).write.parquet(f"{folder}/headers")
     # only the holders' payloads: dealt by (address, page_id), so that no group of copies meets in one task
-    held = holder.select(F.col("address").alias("a"), F.col("holder").alias("p"))
-    (rows.join(held, (F.col("address") == F.col("a")) & F.col("page_id").eqNullSafe(F.col("p")), "left_semi")
-     .select("address", "payload").dropDuplicates(["address"]).write.parquet(f"{folder}/payloads"))
+    def key(c):
+        return [F.col(c).isNull().alias("k0"), F.coalesce(c, F.lit(0)).alias("k1")]
+    held = holder.select("address", *key("holder"))
+    (rows.select("address", *key("page_id"), pack("payload").alias("payload")).join(held, ["address", "k0", "k1"], "left_semi")
+     .dropDuplicates(["address", "k0", "k1"]).select("address", "payload").write.parquet(f"{folder}/payloads"))
+
+
+def _codec():
+    """Arrow functions that compress and restore payloads; stored and shuffled they are compressed."""
+    @F.pandas_udf("binary")
+    def pack(x: pd.Series) -> pd.Series:
+        import zstandard
+        c = zstandard.ZstdCompressor()
+        return x.map(c.compress)
+
+    @F.pandas_udf("binary")
+    def unpack(x: pd.Series) -> pd.Series:
+        import zstandard
+        d = zstandard.ZstdDecompressor()
+        return x.map(d.decompress, na_action="ignore")
+    return pack, unpack
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,9 +95,8 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     does not fit its payload, raises an error.
     """
     heads = spark.read.parquet(f"{folder}/headers")
-    payloads = spark.read.parquet(f"{folder}/payloads").withColumn(
-        "payload", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload"))
-        .otherwise(F.raise_error(F.concat(F.lit("payload differs from its address "), F.col("address"))).cast("binary")))
+    _, unpack = _codec()
+    payloads = spark.read.parquet(f"{folder}/payloads")
     text = F.col("header").cast("string")
 
     def field(name: str) -> Column:
@@ -85,7 +104,9 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
 
     def page(ref: Column) -> Column:
         return F.regexp_extract(ref, r"^<urn:page:(-?\d+)>$", 1)
-    rec = heads.join(payloads, "address", "left")
+    rec = heads.join(payloads, "address", "left").withColumn("payload", unpack("payload"))
+    rec = rec.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload"))
+                         .otherwise(F.raise_error(F.concat(F.lit("payload differs from its address "), F.col("address"))).cast("binary")))
     rec = rec.withColumns({
         "record_type": field("WARC-Type"), "payload_digest": F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", ""),
         "payload_bytes": field("WARC-Payload-Length").cast("long"), "stored_bytes": field("Content-Length").cast("long"),
