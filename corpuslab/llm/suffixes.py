@@ -93,18 +93,21 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
 
 
 class Run:
-    """The documents of a run, smallest doc_id first, as one array of bytes, and their anchors."""
+    """The documents of a run, smallest doc_id first, as one array of bytes."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes]):
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids = ids[order] if len(ids) else ids
         self.texts = [texts[i] for i in order]
-        size = np.array([len(t) for t in self.texts], np.int64)
-        self.off = np.r_[0, np.cumsum(size)]
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.off = np.r_[0, np.cumsum(self.size)]
         self.buf = np.frombuffer(b"".join(self.texts), np.uint8)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of every anchor."""
         n = max(0, len(self.buf) - WIDTH + 1)
-        end = np.repeat(self.off[1:], size)
-        at, keys = [], []
+        end = np.repeat(self.off[1:], self.size)
+        at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for a in range(0, n, STEP):
             b = min(n, a + STEP)
             h = _rolling(self.buf[a:b + WIDTH - 1], K)     # of strings that start in a .. b + SIDE - 1
@@ -114,31 +117,27 @@ class Run:
             hit = h == _slide(np.r_[np.zeros(SIDE, np.uint64), low, np.zeros(SIDE, np.uint64)], SIDE + 1, np.maximum)
             at.append(np.flatnonzero(hit) + a)
             keys.append(h[hit])
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.at, first = np.unique(self.at, return_index=True)
-        self.key = key[first]
-        self.doc = np.searchsorted(self.off, self.at, side="right") - 1
-        self.left = np.minimum(SIDE, self.at - self.off[self.doc])
-        self.right = np.minimum(WIDTH, self.off[self.doc + 1] - self.at)
-
-    def around(self) -> np.ndarray:
-        """Hash of each anchor with the bytes on either side, as far as the document goes."""
-        return span_hashes(self.buf, self.at - self.left, self.at + self.right) + self.left.astype(np.uint64) * np.uint64(MUL)
-
-    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys, place of each anchor among them, flags): SHARED if two documents of the run have it, DIFFERS."""
-        keys, where = np.unique(self.key, return_inverse=True)
-        c = self.around()
-        lo, hi = np.full(len(keys), len(self.ids)), np.full(len(keys), -1)
-        np.minimum.at(lo, where, self.doc)
-        np.maximum.at(hi, where, self.doc)
-        first = np.zeros(len(keys), np.uint64)
-        first[where] = c
-        differs = np.zeros(len(keys), bool)
-        np.logical_or.at(differs, where, first[where] != c)
-        self.first = first
-        return keys, where, SHARED * (lo < hi) + DIFFERS * differs
+        at, first = np.unique(np.concatenate(at), return_index=True)
+        return at, np.concatenate(keys)[first]
+
+    def place(self, at: np.ndarray) -> None:
+        """Take ``at`` as the anchors to work on."""
+        self.at = at
+        self.doc = np.searchsorted(self.off, at, side="right") - 1
+        self.left = np.minimum(SIDE, at - self.off[self.doc])
+        self.right = np.minimum(WIDTH, self.off[self.doc + 1] - at)
+
+    def groups(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, place of each anchor among them, flags, surroundings of one anchor of each): SHARED if two
+        documents of the run have it, DIFFERS if the bytes around it (as far as the document goes) differ."""
+        keys, where = np.unique(key, return_inverse=True)
+        c = span_hashes(self.buf, self.at - self.left, self.at + self.right) + self.left.astype(np.uint64) * np.uint64(MUL)
+        some_doc, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
+        some_doc[where], first[where] = self.doc, c
+        flags = np.zeros(len(keys), np.int64)
+        flags[where[some_doc[where] != self.doc]] |= SHARED
+        flags[where[first[where] != c]] |= DIFFERS
+        return keys, where, flags, first
 
 
 # -- step 2: fingerprints ---------------------------------------------------------------------
@@ -157,7 +156,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k = np.zeros((len(x), 8), np.uint8)
         k[:, :6] = x
         return k.view(">u8").reshape(-1).astype(np.uint64)
-    return whole(m[:, :6]), m[:, 6].astype(np.int64), whole(m[:, 7:])
+    return whole(m[:, :6]), m[:, 6], whole(m[:, 7:])
 
 
 def share_of(keys: np.ndarray, shares: int) -> np.ndarray:
@@ -168,14 +167,16 @@ def _fingerprints(shares: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         me, r, _ = _load(left, right)
         out: dict[str, list] = {"share": [], "run": [], "blob": []}
-        if r is not None and len(r.at):
-            keys, _, flags = r.groups()
+        if r is not None:
+            at, key = r.anchors()
+            r.place(at)
+            keys, _, flags, first = r.groups(key)
             s = share_of(keys, shares)                     # keys are sorted, so shares are runs of keys
             cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
             for a, b in zip(cut, cut[1:]):
                 out["share"].append(int(s[a]))
                 out["run"].append(me)
-                out["blob"].append(_pack(keys[a:b], flags[a:b], r.first[a:b]))
+                out["blob"].append(_pack(keys[a:b], flags[a:b], first[a:b]))
         return pa.table({"share": pa.array(out["share"], pa.int64()), "run": pa.array(out["run"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
     return run
 
@@ -188,8 +189,8 @@ def _compare(table: pa.Table) -> pa.Table:
     k, f, c = key[o], flag[o], near[o]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     n = np.diff(np.r_[at, len(k)])
-    all_ = np.bitwise_or.reduceat(f, at) | np.where(n > 1, SHARED, 0)
-    all_ |= np.where(np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at), DIFFERS, 0)
+    all_ = np.bitwise_or.reduceat(f, at) | np.where(n > 1, SHARED, 0).astype(np.uint8)
+    all_ |= np.where(np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at), DIFFERS, 0).astype(np.uint8)
     out = np.zeros(len(k), np.uint8)
     out[o] = np.repeat(all_, n)
     ends = np.cumsum([len(p[0]) for p in parts])
@@ -199,17 +200,16 @@ def _compare(table: pa.Table) -> pa.Table:
 
 # -- steps 3 and 4: sorted, front-coded runs and their merge ----------------------------------
 
-def _wholes(r: Run, flags: np.ndarray):
-    """(rows, share keys, first bytes, documents) of shared anchors with their surroundings.
+def _wholes(r: Run):
+    """(rows, share keys, first bytes, documents) of the run's shared anchors with their surroundings.
 
     A row is the string, padded with zeros, its length, and where in it the anchor begins.
     """
-    some = np.flatnonzero(flags & SHARED)
-    a, n = r.at[some] - r.left[some], (r.left + r.right)[some]
+    a, n = r.at - r.left, r.left + r.right
     buf = np.r_[r.buf, np.zeros(2 * WIDTH, np.uint8)]
     m = buf[a[:, None] + np.arange(WIDE)[None, :]]
     m[np.arange(WIDE)[None, :] >= n[:, None]] = 0
-    return np.c_[m, n.astype(np.uint8), r.left[some].astype(np.uint8)], r.key[some], a, r.doc[some], some
+    return np.c_[m, n.astype(np.uint8), r.left.astype(np.uint8)], span_hashes(r.buf, r.at, r.at + K), a, r.doc
 
 
 def _windows(r: Run, each: np.ndarray):
@@ -247,7 +247,7 @@ def _front_coded(rows: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def _blobs(r: Run, strings, shares: int, me: int, out: dict) -> None:
-    rows, key, _, doc = strings[:4]
+    rows, key, _, doc = strings
     o, s, new = _sorted_groups(rows, key, shares)
     if not len(o):
         return
@@ -260,14 +260,15 @@ def _blobs(r: Run, strings, shares: int, me: int, out: dict) -> None:
         _row(out, int(s[a]), me, STRINGS, pack(lcp), pack(rest), pack(r.ids[least[a:b]].astype(np.int64).tobytes()))
 
 
-def _lost(r: Run, strings, shares: int, found: np.ndarray) -> np.ndarray:
+def _lost(r: Run, strings, shares: int, bits: bytes) -> np.ndarray:
     """Of each string: whether a smaller document has it, in this run or by the bits from the shares."""
-    rows, key, _, doc = strings[:4]
+    rows, key, _, doc = strings
     o, _, new = _sorted_groups(rows, key, shares)
     out = np.zeros(len(o), bool)
     if len(o):
         g = np.cumsum(new) - 1
         least = np.minimum.reduceat(doc[o], np.flatnonzero(new))
+        found = np.frombuffer(bits, np.uint8)
         # what the run's smallest document keeps, the others lose to it
         out[o] = (r.ids[doc[o]] > r.ids[least[g]]) | (found[g] > 0)
     return out
@@ -291,43 +292,47 @@ def _new() -> dict:
     return {c: [] for c in ("share", "run", "kind", "lcp", "rest", "least")}
 
 
-def _keep(out: dict, me: int, kind: int, bits: np.ndarray) -> None:
+def _keep(out: dict, me: int, kind: int, state: bytes) -> None:
     """What the run knows travels on beside its strings, in a share of its own."""
-    _row(out, -1 - me, me, kind, None, bits.astype(np.uint8).tobytes(), None)
+    _row(out, -1 - me, me, kind, None, state, None)
 
 
 def _send_wholes(shares: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         me, r, (flags, _, _) = _load(left, right)
         out = _new()
-        if r is not None and len(r.at):
-            _keep(out, me, FLAGS, flags)
-            _blobs(r, _wholes(r, flags[r.groups()[1]]), shares, me, out)
+        if r is not None:
+            at, key = r.anchors()
+            mine = np.frombuffer(flags, np.uint8)[np.unique(key, return_inverse=True)[1]] if len(at) else np.zeros(0, np.uint8)
+            shared = mine & SHARED > 0
+            r.place(at[shared])
+            _keep(out, me, FLAGS, at[shared].astype("<i8").tobytes() + mine[shared].tobytes())
+            _blobs(r, _wholes(r), shares, me, out)
         return _sent(out)
     return run
 
 
-def _left_over(r: Run, flags: np.ndarray, bits: np.ndarray, shares: int):
+def _left_over(r: Run, state: bytes, bits: bytes, shares: int):
     """(wholes, which of them are lost, the windows of the others whose surroundings differ)."""
-    of = flags[r.groups()[1]]
-    wholes = _wholes(r, of)
+    n = len(state) // 9
+    r.place(np.frombuffer(state, "<i8", n).astype(np.int64))
+    wholes = _wholes(r)
     lost = _lost(r, wholes, shares, bits)
-    return wholes, lost, _windows(r, wholes[4][~lost & (of[wholes[4]] & DIFFERS > 0)])
+    return wholes, lost, _windows(r, np.flatnonzero(~lost & (np.frombuffer(state, np.uint8, offset=8 * n) & DIFFERS > 0)))
 
 
 def _send_windows(shares: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        me, r, (flags, bits, _) = _load(left, right)
+        me, r, (state, bits, _) = _load(left, right)
         out = _new()
-        if r is not None and len(r.at):
-            _keep(out, me, FLAGS, flags)
+        if r is not None:
+            _keep(out, me, FLAGS, state)
             _keep(out, me, WHOLES, bits)
-            _blobs(r, _left_over(r, flags, bits, shares)[2], shares, me, out)
+            _blobs(r, _left_over(r, state, bits, shares)[2], shares, me, out)
         return _sent(out)
     return run
 
 
-
 def _common(x: bytes, y: bytes) -> int:
     """Bytes that two different strings of one length have in common at their start."""
     return len(x) - ((int.from_bytes(x) ^ int.from_bytes(y)).bit_length() + 7 >> 3)
@@ -366,6 +371,12 @@ def merged(runs: list[tuple[bytes, bytes]]):
         if a == DONE:
             return True
         x, y = cur[i], cur[j]
+        if a < ROW and x[a] != y[a]:                       # most differ in the first byte not known
+            if x[a] < y[a]:
+                lcp[j] = a
+                return True
+            lcp[i] = a
+            return False
         x, y = x[a:], y[a:]
         if x == y:
             lcp[max(i, j)] = ROW
@@ -452,16 +463,15 @@ def _merge(kind: int):
 
 def _cut(shares: int, with_kept: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, r, (flags, bits, more) = _load(left, right)
+        _, r, (state, bits, more) = _load(left, right)
         out: dict[str, list] = {c: [] for c in ("holder", "sha", "n_removed", "n_spans", "kept_sha256", "kept")[:6 if with_kept else 5]}
         if r is None:
             r = Run(np.zeros(0, np.int64), [])
+        wholes, lost, windows = _left_over(r, state, bits, shares)
         gone = np.zeros(len(r.buf) + 1, np.int64)
-        if len(r.at):
-            wholes, lost, windows = _left_over(r, flags, bits, shares)
-            for strings, which in ((wholes, lost), (windows, _lost(r, windows, shares, more))):
-                np.add.at(gone, strings[2][which], 1)
-                np.add.at(gone, strings[2][which] + strings[0][which][:, WIDE].astype(np.int64), -1)
+        for strings, which in ((wholes, lost), (windows, _lost(r, windows, shares, more))):
+            first, n = strings[2][which], strings[0][which][:, WIDE].astype(np.int64)
+            gone += np.bincount(first, minlength=len(gone)) - np.bincount(first + n, minlength=len(gone))
         covered = np.cumsum(gone[:-1]) > 0
         for i, t in enumerate(r.texts):
             c = covered[r.off[i]:r.off[i + 1]]
@@ -475,7 +485,7 @@ def _cut(shares: int, with_kept: bool):
 
 
 def _load(left: pa.Table, right: pa.Table):
-    """(run number, Run, (flags of its distinct keys, bits of its distinct wholes, of its distinct windows)).
+    """(run number, Run, (flags of its distinct keys or its shared anchors, bits of its distinct wholes, of its distinct windows)).
 
     ``right`` names the run's documents that take part (kind -1, doc_id) and has
     what came back from the shares, in their order.
@@ -485,7 +495,7 @@ def _load(left: pa.Table, right: pa.Table):
     back = []
     for k in (FLAGS, WHOLES, WINDOWS):
         some = right.filter(pa.array(kind == k)).sort_by("share")
-        back.append(np.frombuffer(b"".join(some.column("bits").to_pylist()), np.uint8).astype(np.int64))
+        back.append(b"".join(some.column("bits").to_pylist()))
     ids, texts = left.column("doc_id").to_pylist(), left.column("data").to_pylist()
     some = sorted({(d, t): i for i, (d, t) in enumerate(zip(ids, texts)) if d in part}.values())  # a repeated row is the same document
     me = left.column("run")[0].as_py() if left.num_rows else -1
@@ -498,7 +508,7 @@ def removed(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     facts = saved(d.select("doc_id", F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("n_bytes")), "suffix-facts")
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     runs = max(4, total // RUN_BYTES)
-    shares = max(4, runs // 4)
+    shares = max(4, runs // 2)
     of = F.pmod(F.xxhash64("doc_id"), F.lit(runs))
     first = facts.groupBy("sha").agg(F.min("doc_id").alias("holder"))
     part = saved(first.where("holder is not null").select(F.col("holder").alias("doc_id")).distinct()

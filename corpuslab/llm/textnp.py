@@ -57,7 +57,7 @@ def _pow(n: int, base: int) -> np.ndarray:
         p = np.full(max(n, SLICE_BYTES + 4096), base, np.uint64)
         p[0] = 1
         have = np.cumprod(p, dtype=np.uint64)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 2 * SLICE_BYTES + 8192:
             _powers[base] = have
     return have[:n]
 
