@@ -39,8 +39,8 @@ from corpuslab.llm.common import read, saved
 from corpuslab.llm.graph import components
 
 COSINE = 0.93
-PIVOTS = 1024
-NODE = 512
+PIVOTS = 64
+NODE = 1500
 LEAF = 16
 SLACK = 1e-9
 
