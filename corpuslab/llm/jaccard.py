@@ -15,9 +15,10 @@ A second sketch, 512 parity bits per set, bounds the difference from below by
 its Hamming distance and drops candidates before their sets are fetched.
 
 *Links.*  Equal sets are one class from the start, so copies meet once per
-batch and never pair up.  Classes that share a key form a bucket; in every
-bucket all are verified against one member, components are formed, and then
-only pairs of one bucket that still lie in different components are verified.
+batch and never pair up.  Classes that share a key form a bucket.  Every
+class is verified against the least one of its buckets, components are formed,
+then in buckets that still hold several components against one member, and
+last every pair of one bucket that still lies in different components.
 A pair that is not verified lies inside one component, so no component can be
 missed, and a group of near copies costs about its size.
 
@@ -237,19 +238,27 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     one = F.struct("node", "n", "sketch")
     first = member.groupBy("bucket").agg(F.min_by(one, "node").alias("a"))
-    star = (member.select("bucket", one.alias("b")).join(first, "bucket").where(F.col("a.node") != F.col("b.node"))
-            .where(_near("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    near = (member.select("bucket", one.alias("b")).join(first, "bucket").where(F.col("a.node") != F.col("b.node")).where(_near("a", "b")))
+    # every class against the least one that it shares a key with
+    star = near.groupBy(F.col("b.node").alias("b")).agg(F.min("a.node").alias("a"))
     links = saved(_verified(star, held), "verified")
-    group = components(links)
-    of = member.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # pairs of one bucket that still lie apart, in buckets with several components
-    apart = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    left = saved(of.join(apart, "bucket").select("bucket", "component", one.alias("a")), "apart")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        of = member.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        return saved(of.join(apart, "bucket").select("bucket", "component", one.alias("a")), "apart")
+    # in buckets that still hold several components: all against one member, then every pair of two components
+    left = labelled(links)
+    low = left.groupBy("bucket").agg(F.min_by(F.struct("component", "a"), "component").alias("m"))
+    cross = (left.join(low.select("bucket", F.col("m.component").alias("other"), F.col("m.a").alias("b")), "bucket")
+             .where((F.col("component") != F.col("other")) & _near("a", "b"))
+             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    links = saved(links.select("a", "b").unionByName(_verified(cross, held)), "verified")
+    left = labelled(links)
     right = left.select("bucket", F.col("component").alias("other"), F.col("a").alias("b"))
     cross = (left.join(right, "bucket").where((F.col("component") < F.col("other")) & _near("a", "b"))
              .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    links = links.unionByName(_verified(cross, held))
-    group = components(links)
+    group = components(links.unionByName(_verified(cross, held)))
     named = (classes.select("node", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node")))
     return rows.select("doc_id", "n_shingles", "node"), named
 
