@@ -60,7 +60,7 @@ from corpuslab.llm.textnp import MUL, mixed, span_hashes
 WIDTH = 50
 K = 28
 SIDE = WIDTH - K                # bytes on either side of an anchor that its windows reach
-RUN_BYTES = 2 << 20             # of text in a run, about
+RUN_BYTES = 4 << 20             # of text in a run, about
 STEP = 1 << 20                  # windows whose anchors are sought at once
 DIFFERS, SHARED = 2, 1
 WIDE = SIDE + WIDTH             # bytes of an anchor with its surroundings
@@ -496,26 +496,35 @@ def _load(left: pa.Table, right: pa.Table):
     for k in (FLAGS, WHOLES, WINDOWS):
         some = right.filter(pa.array(kind == k)).sort_by("share")
         back.append(b"".join(some.column("bits").to_pylist()))
-    ids, texts = left.column("doc_id").to_pylist(), left.column("data").to_pylist()
+    unpack = zstandard.ZstdDecompressor().decompress
+    ids, texts = left.column("doc_id").to_pylist(), [unpack(x) for x in left.column("data").to_pylist()]
     some = sorted({(d, t): i for i, (d, t) in enumerate(zip(ids, texts)) if d in part}.values())  # a repeated row is the same document
     me = left.column("run")[0].as_py() if left.num_rows else -1
     return me, Run(np.array([ids[i] for i in some], np.int64), [texts[i] for i in some]) if some else None, back
 
 
+def _compressed(batches):
+    pack = zstandard.ZstdCompressor().compress
+    for batch in batches:
+        data = pa.array([pack(x) for x in batch.column("data").to_pylist()], pa.binary())
+        yield pa.record_batch([batch.column("run"), batch.column("doc_id"), data], names=["run", "doc_id", "data"])
+
+
 def removed(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row of ``docs`` (doc_id, text)."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     facts = saved(d.select("doc_id", F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("n_bytes")), "suffix-facts")
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     runs = max(4, total // RUN_BYTES)
-    shares = max(4, runs // 2)
-    of = F.pmod(F.xxhash64("doc_id"), F.lit(runs))
+    shares = max(4, runs // 8)
+    of = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("long")
     first = facts.groupBy("sha").agg(F.min("doc_id").alias("holder"))
     part = saved(first.where("holder is not null").select(F.col("holder").alias("doc_id")).distinct()
                  .select(of.alias("run"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("share"), "doc_id", F.lit(None).cast("binary").alias("bits")),
                  "suffix-part")
     # the texts cross the network once: all three passes below read the same exchange
-    dealt = d.where("doc_id is not null").select(of.alias("run"), "doc_id", "data")
+    dealt = (d.where("doc_id is not null").select(of.alias("run"), "doc_id", "data")
+             .mapInArrow(_compressed, "run long, doc_id long, data binary"))
 
     def by_run(side: DataFrame, f, schema: str) -> DataFrame:
         return dealt.groupBy("run").cogroup(side.groupBy("run")).applyInArrow(f, schema)
