@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.session import fresh_dir
+
 #: A word, wherever an operator counts words: code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,11 +16,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, sub: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
-    return f"{base.rstrip('/')}/{sub}-{uuid.uuid4().hex[:12]}"
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share (a local session without
+    that setting gets a temporary one, a cluster without it an error)."""
+    return fresh_dir(spark, sub)
 
 
 def saved(df: DataFrame, sub: str) -> DataFrame:
