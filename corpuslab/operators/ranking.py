@@ -17,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Largest offsets table we broadcast without asking Spark (rows).
-BROADCAST_ROWS = 2_000_000
 
 
 def seeded_key(id_col, seed: int | str = 42) -> Column:
@@ -49,11 +47,10 @@ def _offsets(df: DataFrame, parts: list[str], bucket: str, value: Column | None)
 
 
 def _attach(df: DataFrame, offs: DataFrame, keys: list[str]) -> DataFrame:
-    # The offsets table is bounded by #partitions x #buckets; check before broadcasting.
-    offs = offs.drop("_bucket_total")
-    if offs.count() <= BROADCAST_ROWS:
-        offs = F.broadcast(offs)
-    return df.join(offs, keys, "inner")
+    """Join the offsets on; NULL classes and keys have offsets of their own, so no row is lost."""
+    offs = offs.select("_offset", *[F.col(k).alias(f"_of_{k}") for k in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return df.join(offs, on, "inner").drop(*[f"_of_{k}" for k in keys])
 
 
 def exact_rank(df: DataFrame, key_col: str, parts: list[str] | None = None,

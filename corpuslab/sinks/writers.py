@@ -58,7 +58,7 @@ def cluster_split_write(df: DataFrame, path: str) -> None:
 
 
 def csv_write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 FORMATS = {

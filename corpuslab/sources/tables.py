@@ -7,42 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Inputs below this size are spread over all cores after the scan.
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def input_bytes(path: str) -> int:
-    """On-disk size of a file or folder (any filesystem pyarrow knows)."""
-    from pyarrow import fs as pafs
-    filesys, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-    info = filesys.get_file_info(p)
-    if info.type == pafs.FileType.File:
-        return int(info.size)
-    if info.type == pafs.FileType.Directory:
-        return int(sum(i.size or 0 for i in filesys.get_file_info(pafs.FileSelector(p, recursive=True))
-                       if i.type == pafs.FileType.File))
-    return 0
-
-
-def spread_small(df: DataFrame, size_bytes: int, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Spread a small input over the cores.
-
-    A small parquet file written as one row group is read by one task however
-    many cores there are, and every text function downstream then runs on one
-    core.  Below ``max_bytes`` (planner estimate) a round-robin repartition
-    costs little and lets all cores work; above it the scan already has one
-    split per row group and this is a no-op, so large inputs never get an
-    extra shuffle.  Filters and column pruning still reach the scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores <= 1 or size_bytes >= max_bytes:
-        return df
-    return df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return spread_small(spark.read.parquet(path), input_bytes(path))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def parquet_scan(spark: SparkSession, paths, columns: list[str] | None = None) -> DataFrame:
@@ -57,7 +23,7 @@ def csv_scan(spark: SparkSession, path: str, schema: T.StructType | str,
              drop: list[str] | None = None, usecols: list[str] | None = None) -> DataFrame:
     """CSV with header and an explicit schema (no inference pass); drop the
     stray row-index column or keep only ``usecols``."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if drop:
         df = df.drop(*drop)
     if usecols:
