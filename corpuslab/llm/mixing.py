@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslab.functions.text import let
 from corpuslab.llm.common import WORD, n_words, read, saved
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -192,9 +193,10 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     names, _ = _sources(docs)
     taken = mixed.groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "first_word", "n_taken"))).alias("mix_parts"))
     full = pack(docs, names, seed=seed).where("size > 0").join(taken, ["sid", "start"])
-    full = full.withColumn("mix_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    text = F.array_join(F.transform("mix_parts", lambda p: F.array_join(
-        F.slice("mix_words", p["first_word"].cast("int") + 1, p["n_taken"].cast("int")), " ")), " ")
+    # the words are found once a document, not once a part
+    text = let({"words": F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), "parts": F.col("mix_parts")}, lambda v: F.array_join(
+        F.transform(v["parts"], lambda p: F.array_join(
+            F.slice(v["words"], p["first_word"].cast("int") + 1, p["n_taken"].cast("int")), " ")), " "))
     full = full.withColumn("text", text)
     return full.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
