@@ -47,6 +47,7 @@ result; extra columns are left out.  One document must fit a task.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,7 @@ STEP = 1 << 20                  # windows whose anchors are sought at once
 DIFFERS, SHARED = 2, 1
 WIDE = SIDE + WIDTH             # bytes of an anchor with its surroundings
 ROW = WIDE + 2
+RANGES = 16                     # key ranges in which a share's fingerprints are compared
 
 
 def _rolling(buf: np.ndarray, k: int) -> np.ndarray:
@@ -106,13 +108,14 @@ class Run:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(first byte, hash) of every anchor."""
         n = max(0, len(self.buf) - WIDTH + 1)
-        end = np.repeat(self.off[1:], self.size)
         at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for a in range(0, n, STEP):
             b = min(n, a + STEP)
             h = _rolling(self.buf[a:b + WIDTH - 1], K)     # of strings that start in a .. b + SIDE - 1
             low = _slide(h, SIDE + 1, np.minimum)
-            low[np.arange(a, b) + WIDTH > end[a:b]] = 0    # windows do not cross documents
+            place = np.arange(a, b)
+            end = self.off[np.searchsorted(self.off, place, side="right")]
+            low[place + WIDTH > end] = 0                   # windows do not cross documents
             # an anchor is the smallest of some window: the largest of its windows' smallest is its own hash
             hit = h == _slide(np.r_[np.zeros(SIDE, np.uint64), low, np.zeros(SIDE, np.uint64)], SIDE + 1, np.maximum)
             at.append(np.flatnonzero(hit) + a)
@@ -182,20 +185,32 @@ def _fingerprints(shares: int):
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Flags of every run's keys, after all runs of a share are seen."""
-    parts = [_unpack(b) for b in table.column("blob").to_pylist()]
-    key, flag, near = (np.concatenate(x) for x in zip(*parts))
-    o = np.argsort(key, kind="stable")
-    k, f, c = key[o], flag[o], near[o]
-    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    n = np.diff(np.r_[at, len(k)])
-    all_ = np.bitwise_or.reduceat(f, at) | np.where(n > 1, SHARED, 0).astype(np.uint8)
-    all_ |= np.where(np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at), DIFFERS, 0).astype(np.uint8)
-    out = np.zeros(len(k), np.uint8)
-    out[o] = np.repeat(all_, n)
-    ends = np.cumsum([len(p[0]) for p in parts])
+    """Flags of every run's keys, after all runs of a share are seen.
+
+    Keys are sorted in every run, so a share is compared key range by key range and only the
+    fingerprints themselves are held whole.
+    """
+    parts = [_unpack(b.as_buffer()) for b in table.column("blob")]
+    out = [np.zeros(len(p[0]), np.uint8) for p in parts]
+    longest = max((p[0] for p in parts), key=len)
+    bounds = longest[np.arange(1, RANGES) * len(longest) // RANGES]
+    cuts = [np.r_[0, np.searchsorted(p[0], bounds), len(p[0])] for p in parts]
+    for j in range(RANGES):
+        some = [slice(c[j], c[j + 1]) for c in cuts]
+        key, flag, near = (np.concatenate([p[i][x] for p, x in zip(parts, some)]) for i in range(3))
+        if not len(key):
+            continue
+        o = np.argsort(key, kind="stable")
+        k, f, c = key[o], flag[o], near[o]
+        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        n = np.diff(np.r_[at, len(k)])
+        all_ = np.bitwise_or.reduceat(f, at) | np.where(n > 1, SHARED, 0).astype(np.uint8)
+        all_ |= np.where(np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at), DIFFERS, 0).astype(np.uint8)
+        flag[o] = np.repeat(all_, n)
+        for whole, x, mine in zip(out, some, np.split(flag, np.cumsum([x.stop - x.start for x in some])[:-1])):
+            whole[x] = mine
     return pa.table({"run": table.column("run"), "kind": pa.array([FLAGS] * len(table), pa.int32()), "share": table.column("share"),
-                     "bits": pa.array([x.tobytes() for x in np.split(out, ends[:-1])], pa.binary())})
+                     "bits": pa.array([x.tobytes() for x in out], pa.binary())})
 
 
 # -- steps 3 and 4: sorted, front-coded runs and their merge ----------------------------------
@@ -207,7 +222,7 @@ def _wholes(r: Run):
     """
     a, n = r.at - r.left, r.left + r.right
     buf = np.r_[r.buf, np.zeros(2 * WIDTH, np.uint8)]
-    m = buf[a[:, None] + np.arange(WIDE)[None, :]]
+    m = np.lib.stride_tricks.sliding_window_view(buf, WIDE)[a]
     m[np.arange(WIDE)[None, :] >= n[:, None]] = 0
     return np.c_[m, n.astype(np.uint8), r.left.astype(np.uint8)], span_hashes(r.buf, r.at, r.at + K), a, r.doc
 
@@ -215,10 +230,14 @@ def _wholes(r: Run):
 def _windows(r: Run, each: np.ndarray):
     """(rows, share keys, first bytes, documents) of all windows that hold the anchors ``each``."""
     lo, hi = r.at[each] - r.left[each], np.minimum(r.at[each], r.at[each] + r.right[each] - WIDTH)
-    n = np.maximum(0, hi - lo + 1)
-    a = np.unique(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    some = hi >= lo
+    steps = np.zeros(len(r.buf) + 2, np.int32)
+    np.add.at(steps, lo[some], 1)
+    np.add.at(steps, hi[some] + 1, -1)
+    a = np.flatnonzero(np.cumsum(steps) > 0)
     m = np.zeros((len(a), ROW), np.uint8)
-    m[:, :WIDTH] = r.buf[a[:, None] + np.arange(WIDTH)[None, :]] if len(a) else 0
+    if len(a):
+        m[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(r.buf, WIDTH)[a]
     m[:, WIDE] = WIDTH
     return m, span_hashes(r.buf, a, a + WIDTH), a, np.searchsorted(r.off, a, side="right") - 1
 
@@ -440,15 +459,15 @@ def _merge(kind: int):
         unpack = zstandard.ZstdDecompressor().decompress
         lcps, rests, ids = ([unpack(x) for x in table.column(c).to_pylist()] for c in ("lcp", "rest", "least"))
         least = [np.frombuffer(x, np.int64) for x in ids]
-        who, number, begins = [], [], []
+        who, number, begins = array("i"), array("q"), bytearray()
         for w, i, shared in merged(list(zip(lcps, rests))):
             who.append(w)
             number.append(i)
             begins.append(shared < ROW)
         base = np.r_[0, np.cumsum([len(x) for x in least])]
-        place = base[np.array(who, np.int64)] + np.array(number, np.int64)
-        begins = np.array(begins, bool)
-        begins[:1] = True
+        place = base[np.frombuffer(who, np.int32)] + np.frombuffer(number, np.int64)
+        begins[:1] = b"\1" * min(1, len(begins))
+        begins = np.frombuffer(begins, bool)
         docs = np.concatenate(least)[place]
         g = np.flatnonzero(begins)
         low = np.repeat(np.minimum.reduceat(docs, g), np.diff(np.r_[g, len(docs)]))
