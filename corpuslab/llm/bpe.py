@@ -37,7 +37,7 @@ from corpuslab.llm.textnp import slices
 
 BLANK = "▁"
 #: Longest chunk for the matrix, chunks kept in the cache, bytes of text per slice.
-WIDE, CACHED, SLICE = 24, 1_000_000, 2 << 20
+WIDE, CACHED, SLICE = 24, 200_000, 2 << 20
 NONE = np.int32(2**31 - 1)
 
 

@@ -35,7 +35,7 @@ ORDERS = (3, 4, 5)
 PER_CLASS = 1000
 MIN_TEXTS, RATIO, L2 = 3, 2.0, 1e-2
 THRESHOLD = 0.7
-ROWS = 200  # texts per bit table: ROWS * DIMS bytes
+ROWS = 64  # texts per bit table: ROWS * DIMS bytes
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
