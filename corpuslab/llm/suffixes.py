@@ -535,7 +535,7 @@ def removed(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     facts = saved(d.select("doc_id", F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("long").alias("n_bytes")), "suffix-facts")
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     runs = max(4, total // RUN_BYTES)
-    shares = max(4, runs // 8)
+    shares = max(4, runs // 3)                             # a share compares about 12 MB of text
     of = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("long")
     first = facts.groupBy("sha").agg(F.min("doc_id").alias("holder"))
     part = saved(first.where("holder is not null").select(F.col("holder").alias("doc_id")).distinct()
