@@ -271,9 +271,12 @@ def encode_table(docs: DataFrame, model: str | None = None, with_ids: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                yield _encoded(p, part, with_ids)
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    yield _encoded(p, part, with_ids)
+        finally:
+            p.forget()                                     # the process lives on and serves other stages
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
