@@ -7,7 +7,7 @@ Shared stand-in views are written once as CTE text and spliced in.
 from __future__ import annotations
 
 from corpuslab.functions.stopwords import STOP_WORDS, all_stop_words
-from corpuslab.sources.fixtures import SCORE_COLUMNS
+from corpuslab.sources.fixtures import CURVE_RUNS, SCORE_COLUMNS
 
 ORACLES: dict[str, str] = {}
 
@@ -435,20 +435,22 @@ oracle("assignment_audit", with_(ASSIGN) + """
 SELECT a.vec_id, a.center AS stored_class, b.center AS predicted_class FROM best a JOIN best b ON a.vec_id = b.vec_id
 WHERE a.center <> b.center""")
 oracle("curve_align", with_(CURVES) + """
-SELECT * FROM (PIVOT (SELECT epoch, run, loss FROM curves) ON run USING first(loss) GROUP BY epoch)""")
+SELECT epoch, """ + ", ".join(f"max(loss) FILTER (WHERE run = '{r}') AS {r}" for r in CURVE_RUNS) + " FROM curves GROUP BY epoch")
 oracle("score_align_outer", with_(CASES, SCORES, UNPIV) + "SELECT CAST(g.s AS INTEGER) AS score, " + ", ".join(
-    f"CAST(count(l.score) FILTER (WHERE l.metric = '{c}') AS BIGINT) AS {c}" for c in SCORE_COLUMNS[:4])
+    f"CAST(count(l.score) FILTER (WHERE l.metric = '{c}') AS BIGINT) AS {c}" for c in SCORE_COLUMNS)
     + " FROM range(1, 6) g(s) LEFT JOIN long l ON l.score = g.s GROUP BY g.s")
 oracle("token_semi", with_(CASES, VIABLE, PREP) + """
 SELECT identifier, CAST(len(k) AS BIGINT) AS n_shared, md5(array_to_string(k, ' ')) AS shared_md5 FROM (
   SELECT identifier, list_filter(s_tok, lambda t: list_contains(d_tok, t)) AS k FROM prep)""")
 TOKS = f"toks AS (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents)"
 DFS = "dfs AS (SELECT token, CAST(count(*) AS BIGINT) AS tf, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM toks GROUP BY token)"
-VOCAB2 = ("vocab AS (SELECT token, tf, df, CAST(row_number() OVER (ORDER BY df DESC, token) + 2 AS BIGINT) AS term_id "
-          "FROM dfs WHERE df >= 2)")
-oracle("token_anti", with_(TOKS, DFS) + """
-SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_dropped FROM toks t JOIN dfs d ON t.token = d.token
-WHERE d.df < 2 GROUP BY t.doc_id""")
+VOCAB2 = (f"btoks AS (SELECT item_id, unnest({tokens('text')}) AS token FROM benchmark), "
+          "bdfs AS (SELECT token, CAST(count(*) AS BIGINT) AS tf, CAST(count(DISTINCT item_id) AS BIGINT) AS df FROM btoks GROUP BY token), "
+          "vocab AS (SELECT token, tf, df, CAST(row_number() OVER (ORDER BY df DESC, token) + 2 AS BIGINT) AS term_id "
+          "FROM bdfs)")
+oracle("token_anti", with_(TOKS, VOCAB2) + """
+SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_dropped FROM toks t LEFT JOIN vocab v ON t.token = v.token
+WHERE v.token IS NULL GROUP BY t.doc_id""")
 EQ = ("CAST(list_sum(list_transform(list_distinct(d_sent), lambda x: len(list_filter(d_sent, lambda y: y = x)) "
       "* (len(list_filter(d_sent, lambda y: y = x)) - 1) // 2)) AS BIGINT)")
 oracle("sentence_pairs", with_(CASES, VIABLE, PREP) + f"""

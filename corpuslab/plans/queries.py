@@ -524,12 +524,12 @@ def q_class_counts(spark, sf):
 
 @query("curve_align")
 def q_curve_align(spark, sf):
-    return jn.curve_align(fx.curves(spark, sf))
+    return jn.curve_align(fx.curves(spark, sf), runs=fx.CURVE_RUNS)
 
 
 @query("score_align_outer")
 def q_score_align_outer(spark, sf):
-    return jn.score_align_outer(fx.eval_scores(spark, sf), fx.SCORE_COLUMNS[:4])
+    return jn.score_align_outer(fx.eval_scores(spark, sf), fx.SCORE_COLUMNS)
 
 
 @query("token_semi")
@@ -544,8 +544,10 @@ def doc_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.tokenize("text").alias("tokens"))
 
 
-def fixed_vocab(spark, sf, min_df=2):
-    return vc.vocabulary(doc_tokens(spark, sf), "doc_id", "tokens", min_df=min_df)
+def fixed_vocab(spark, sf):
+    """The unpruned vocabulary of another table: unknown tokens arise by themselves."""
+    b = table(spark, sf, "benchmark").select("item_id", tx.tokenize("text").alias("tokens"))
+    return vc.vocabulary(b, "item_id", "tokens", min_df=1)
 
 
 @query("token_anti")

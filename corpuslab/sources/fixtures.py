@@ -57,6 +57,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(a, ["conv_id", "turn"], "inner")
 
 
+# The runs of the stand-in loss curves, as the events table names them.
+CURVE_RUNS = ["click", "error", "purchase", "signup", "view"]
+
+
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss-curve stand-in: one run per event type, one point per day.
 
