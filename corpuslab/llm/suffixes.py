@@ -11,32 +11,30 @@ merge sort that is aware of common prefixes:
    prefix-doubling string sorters use).  Of every WIDTH-byte window the
    smallest of the hashes of its K-byte strings is its anchor; equal windows
    have equal anchors at equal places.  Runs exchange fingerprints of their
-   anchors, packed and sorted, and learn per anchor whether another document
-   has it too, and whether the bytes around it differ anywhere.  A suffix whose
-   anchor is in one document only cannot match and is never sent.
-3. *Strings.*  First every run sends, for each shared anchor, the anchor with
-   the WIDTH - K bytes on either side: if a smaller document has the same
-   string, all windows of the anchor go at once.  For anchors whose
-   surroundings differ somewhere, what is left (of equal strings only the
-   smallest document) then sends every window as a suffix of its own.  Each
-   run sorts its strings, keeps one of each with its smallest document, and
-   front-codes them: the length of the prefix shared with the string before,
-   and the rest.
+   anchors, packed and sorted, and learn which of them another document has
+   too.  A suffix whose anchor is in one document only cannot match and is
+   never sent.
+3. *Strings.*  For each shared anchor a run sends the suffix that begins there,
+   cut at WIDTH bytes, and after it the bytes before the anchor, nearest first:
+   together they hold every window of the anchor.  Each run sorts its strings,
+   keeps one of each with its smallest document, and front-codes them: the
+   length of the prefix shared with the string before, and the rest.
 4. *Merge.*  A reducer merges the runs of its share with a loser tree that
    compares strings from the first byte not known to be equal: of two strings
    with different common prefixes with the last winner the longer prefix wins
-   without reading a byte, and equal ones are compared only beyond it.  Groups
-   of equal strings come out together, and each run gets one bit per string:
-   whether a run has it from a smaller document.
+   without reading a byte, and equal ones are compared only beyond it.  The
+   merged order comes with the common prefixes of neighbours, so strings that
+   agree on a window's bytes from the anchor on stand together; among them the
+   bytes before the anchor tell which windows are equal.  Each run gets, per
+   string, one bit for every window that a smaller document has too.
 5. Runs turn bits into covered bytes, merge them into spans and cut them out.
 
 The texts cross the network once: every pass reads the same exchange.  What a
 run has learned travels on with what it sends, so no pass is computed twice.
 
-Shares are dealt by a hash of the string's first K bytes' anchor or, for
-windows, of the window, so that neither a frequent line nor a group of copies
-meets in one reducer as more than one string per run.  Runs and shares are
-bounded by bytes (``RUN_BYTES``), their number grows with the input.
+Shares are dealt by a hash of the anchor; copies meet there as one string per
+run.  Runs and shares are bounded by bytes (``RUN_BYTES``), their number grows
+with the input.
 
 Edge cases: a null text is empty; texts under WIDTH bytes lose nothing; a null
 doc_id is compared with nothing and loses nothing, and rows that repeat a
@@ -63,9 +61,8 @@ K = 28
 SIDE = WIDTH - K                # bytes on either side of an anchor that its windows reach
 RUN_BYTES = 4 << 20             # of text in a run, about
 STEP = 1 << 20                  # windows whose anchors are sought at once
-DIFFERS, SHARED = 2, 1
-WIDE = SIDE + WIDTH             # bytes of an anchor with its surroundings
-ROW = WIDE + 2
+ROW = WIDTH + SIDE + 2          # bytes of a string: from the anchor on, before it, both lengths
+ALL = np.uint32((1 << SIDE + 1) - 1)
 RANGES = 16                     # key ranges in which a share's fingerprints are compared
 
 
@@ -130,36 +127,32 @@ class Run:
         self.left = np.minimum(SIDE, at - self.off[self.doc])
         self.right = np.minimum(WIDTH, self.off[self.doc + 1] - at)
 
-    def groups(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys, place of each anchor among them, flags, surroundings of one anchor of each): SHARED if two
-        documents of the run have it, DIFFERS if the bytes around it (as far as the document goes) differ."""
+    def groups(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys, 1 for those that two documents of the run have)."""
         keys, where = np.unique(key, return_inverse=True)
-        c = span_hashes(self.buf, self.at - self.left, self.at + self.right) + self.left.astype(np.uint64) * np.uint64(MUL)
-        some_doc, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
-        some_doc[where], first[where] = self.doc, c
-        flags = np.zeros(len(keys), np.int64)
-        flags[where[some_doc[where] != self.doc]] |= SHARED
-        flags[where[first[where] != c]] |= DIFFERS
-        return keys, where, flags, first
+        some_doc = np.zeros(len(keys), np.int64)
+        some_doc[where] = self.doc
+        shared = np.zeros(len(keys), np.uint8)
+        shared[where[some_doc[where] != self.doc]] = 1
+        return keys, shared
 
 
 # -- step 2: fingerprints ---------------------------------------------------------------------
 
-def _pack(keys: np.ndarray, flags: np.ndarray, around: np.ndarray) -> bytes:
-    """48 bits of sorted keys, flags and 48 bits of the surroundings, laid out by byte so that they compress."""
-    def top(x):
-        return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.concatenate([top(keys), flags.astype(np.uint8)[:, None], top(around)], axis=1).T.tobytes()
+def _pack(keys: np.ndarray, shared: np.ndarray) -> bytes:
+    """48 bits of sorted keys and their flags, laid out by byte so that they compress.
 
+    Keys that agree in 48 bits by chance only cost strings that match nothing.
+    """
+    top = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return np.concatenate([top, shared[:, None]], axis=1).T.tobytes()
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = np.frombuffer(blob, np.uint8).reshape(13, -1).T
 
-    def whole(x):
-        k = np.zeros((len(x), 8), np.uint8)
-        k[:, :6] = x
-        return k.view(">u8").reshape(-1).astype(np.uint64)
-    return whole(m[:, :6]), m[:, 6], whole(m[:, 7:])
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = np.frombuffer(blob, np.uint8).reshape(7, -1).T
+    k = np.zeros((len(m), 8), np.uint8)
+    k[:, :6] = m[:, :6]
+    return k.view(">u8").reshape(-1).astype(np.uint64), m[:, 6]
 
 
 def share_of(keys: np.ndarray, shares: int) -> np.ndarray:
@@ -173,13 +166,13 @@ def _fingerprints(shares: int):
         if r is not None:
             at, key = r.anchors()
             r.place(at)
-            keys, _, flags, first = r.groups(key)
+            keys, shared = r.groups(key)
             s = share_of(keys, shares)                     # keys are sorted, so shares are runs of keys
             cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
             for a, b in zip(cut, cut[1:]):
                 out["share"].append(int(s[a]))
                 out["run"].append(me)
-                out["blob"].append(_pack(keys[a:b], flags[a:b], first[a:b]))
+                out["blob"].append(_pack(keys[a:b], shared[a:b]))
         return pa.table({"share": pa.array(out["share"], pa.int64()), "run": pa.array(out["run"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
     return run
 
@@ -197,16 +190,14 @@ def _compare(table: pa.Table) -> pa.Table:
     cuts = [np.r_[0, np.searchsorted(p[0], bounds), len(p[0])] for p in parts]
     for j in range(RANGES):
         some = [slice(c[j], c[j + 1]) for c in cuts]
-        key, flag, near = (np.concatenate([p[i][x] for p, x in zip(parts, some)]) for i in range(3))
+        key, flag = (np.concatenate([p[i][x] for p, x in zip(parts, some)]) for i in range(2))
         if not len(key):
             continue
         o = np.argsort(key, kind="stable")
-        k, f, c = key[o], flag[o], near[o]
+        k, f = key[o], flag[o]
         at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         n = np.diff(np.r_[at, len(k)])
-        all_ = np.bitwise_or.reduceat(f, at) | np.where(n > 1, SHARED, 0).astype(np.uint8)
-        all_ |= np.where(np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at), DIFFERS, 0).astype(np.uint8)
-        flag[o] = np.repeat(all_, n)
+        flag[o] = np.repeat(np.bitwise_or.reduceat(f, at) | (n > 1), n)
         for whole, x, mine in zip(out, some, np.split(flag, np.cumsum([x.stop - x.start for x in some])[:-1])):
             whole[x] = mine
     return pa.table({"run": table.column("run"), "kind": pa.array([FLAGS] * len(table), pa.int32()), "share": table.column("share"),
@@ -215,39 +206,28 @@ def _compare(table: pa.Table) -> pa.Table:
 
 # -- steps 3 and 4: sorted, front-coded runs and their merge ----------------------------------
 
-def _wholes(r: Run):
-    """(rows, share keys, first bytes, documents) of the run's shared anchors with their surroundings.
+def _strings(r: Run) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, share keys) of the run's shared anchors.
 
-    A row is the string, padded with zeros, its length, and where in it the anchor begins.
+    A row is the suffix that begins at the anchor, padded with zeros, the bytes
+    before the anchor, nearest first, padded with zeros, and both lengths.
     """
-    a, n = r.at - r.left, r.left + r.right
-    buf = np.r_[r.buf, np.zeros(2 * WIDTH, np.uint8)]
-    m = np.lib.stride_tricks.sliding_window_view(buf, WIDE)[a]
-    m[np.arange(WIDE)[None, :] >= n[:, None]] = 0
-    return np.c_[m, n.astype(np.uint8), r.left.astype(np.uint8)], span_hashes(r.buf, r.at, r.at + K), a, r.doc
-
-
-def _windows(r: Run, each: np.ndarray):
-    """(rows, share keys, first bytes, documents) of all windows that hold the anchors ``each``."""
-    lo, hi = r.at[each] - r.left[each], np.minimum(r.at[each], r.at[each] + r.right[each] - WIDTH)
-    some = hi >= lo
-    steps = np.zeros(len(r.buf) + 2, np.int32)
-    np.add.at(steps, lo[some], 1)
-    np.add.at(steps, hi[some] + 1, -1)
-    a = np.flatnonzero(np.cumsum(steps) > 0)
-    m = np.zeros((len(a), ROW), np.uint8)
-    if len(a):
-        m[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(r.buf, WIDTH)[a]
-    m[:, WIDE] = WIDTH
-    return m, span_hashes(r.buf, a, a + WIDTH), a, np.searchsorted(r.off, a, side="right") - 1
+    view = np.lib.stride_tricks.sliding_window_view
+    buf = np.r_[np.zeros(SIDE, np.uint8), r.buf, np.zeros(WIDTH, np.uint8)]
+    m = np.empty((len(r.at), ROW), np.uint8)
+    m[:, :WIDTH] = view(buf, WIDTH)[r.at + SIDE]
+    m[:, WIDTH:-2] = view(buf, SIDE)[r.at][:, ::-1]
+    m[:, -2], m[:, -1] = r.right, r.left
+    m[:, :WIDTH][np.arange(WIDTH)[None, :] >= r.right[:, None]] = 0
+    m[:, WIDTH:-2][np.arange(SIDE)[None, :] >= r.left[:, None]] = 0
+    return m, span_hashes(r.buf, r.at, r.at + K)
 
 
 def _sorted_groups(rows: np.ndarray, keys: np.ndarray, shares: int):
     """(order, share of each, whether it begins a group of equal strings) with strings sorted inside shares."""
     s = share_of(keys, shares)
     text = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").reshape(-1) if len(rows) else np.zeros(0, "S1")
-    # padding and lengths are part of the row, so comparing without trailing zeros loses nothing:
-    # rows of equal bytes up to the padding differ in their lengths before it ends
+    # all rows have one length, so comparing without trailing zeros loses nothing
     o = np.lexsort((text, s)) if len(rows) else np.zeros(0, np.int64)
     t, s = rows[o], s[o]
     new = np.r_[True, (t[1:] != t[:-1]).any(axis=1) | (s[1:] != s[:-1])][:len(o)]
@@ -265,12 +245,12 @@ def _front_coded(rows: np.ndarray) -> tuple[bytes, bytes]:
     return lcp.astype(np.uint8).tobytes(), rows[keep].tobytes()
 
 
-def _blobs(r: Run, strings, shares: int, me: int, out: dict) -> None:
-    rows, key, _, doc = strings
+def _blobs(r: Run, shares: int, me: int, out: dict) -> None:
+    rows, key = _strings(r)
     o, s, new = _sorted_groups(rows, key, shares)
     if not len(o):
         return
-    least = np.minimum.reduceat(doc[o], np.flatnonzero(new))
+    least = np.minimum.reduceat(r.doc[o], np.flatnonzero(new))
     rows, s = rows[o][new], s[new]
     cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
     pack = zstandard.ZstdCompressor().compress
@@ -279,22 +259,21 @@ def _blobs(r: Run, strings, shares: int, me: int, out: dict) -> None:
         _row(out, int(s[a]), me, STRINGS, pack(lcp), pack(rest), pack(r.ids[least[a:b]].astype(np.int64).tobytes()))
 
 
-def _lost(r: Run, strings, shares: int, bits: bytes) -> np.ndarray:
-    """Of each string: whether a smaller document has it, in this run or by the bits from the shares."""
-    rows, key, _, doc = strings
+def _lost(r: Run, shares: int, bits: bytes) -> np.ndarray:
+    """Of each shared anchor: a bit for every window that a smaller document has, in this run or by the bits from the shares."""
+    rows, key = _strings(r)
     o, _, new = _sorted_groups(rows, key, shares)
-    out = np.zeros(len(o), bool)
+    out = np.zeros(len(o), np.uint32)
     if len(o):
         g = np.cumsum(new) - 1
-        least = np.minimum.reduceat(doc[o], np.flatnonzero(new))
-        found = np.frombuffer(bits, np.uint8)
+        least = np.minimum.reduceat(r.doc[o], np.flatnonzero(new))
         # what the run's smallest document keeps, the others lose to it
-        out[o] = (r.ids[doc[o]] > r.ids[least[g]]) | (found[g] > 0)
+        out[o] = np.where(r.ids[r.doc[o]] > r.ids[least[g]], ALL, np.frombuffer(bits, "<u4")[g])
     return out
 
 
 SENT = "share long, run long, kind int, lcp binary, rest binary, least binary"
-FLAGS, WHOLES, WINDOWS, STRINGS = 0, 1, 2, 9
+FLAGS, WINDOWS, STRINGS = 0, 1, 9
 
 
 def _row(out: dict, *values) -> None:
@@ -311,43 +290,17 @@ def _new() -> dict:
     return {c: [] for c in ("share", "run", "kind", "lcp", "rest", "least")}
 
 
-def _keep(out: dict, me: int, kind: int, state: bytes) -> None:
-    """What the run knows travels on beside its strings, in a share of its own."""
-    _row(out, -1 - me, me, kind, None, state, None)
-
-
-def _send_wholes(shares: int):
+def _send(shares: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        me, r, (flags, _, _) = _load(left, right)
+        me, r, (flags, _) = _load(left, right)
         out = _new()
         if r is not None:
             at, key = r.anchors()
             mine = np.frombuffer(flags, np.uint8)[np.unique(key, return_inverse=True)[1]] if len(at) else np.zeros(0, np.uint8)
-            shared = mine & SHARED > 0
-            r.place(at[shared])
-            _keep(out, me, FLAGS, at[shared].astype("<i8").tobytes() + mine[shared].tobytes())
-            _blobs(r, _wholes(r), shares, me, out)
-        return _sent(out)
-    return run
-
-
-def _left_over(r: Run, state: bytes, bits: bytes, shares: int):
-    """(wholes, which of them are lost, the windows of the others whose surroundings differ)."""
-    n = len(state) // 9
-    r.place(np.frombuffer(state, "<i8", n).astype(np.int64))
-    wholes = _wholes(r)
-    lost = _lost(r, wholes, shares, bits)
-    return wholes, lost, _windows(r, np.flatnonzero(~lost & (np.frombuffer(state, np.uint8, offset=8 * n) & DIFFERS > 0)))
-
-
-def _send_windows(shares: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        me, r, (state, bits, _) = _load(left, right)
-        out = _new()
-        if r is not None:
-            _keep(out, me, FLAGS, state)
-            _keep(out, me, WHOLES, bits)
-            _blobs(r, _left_over(r, state, bits, shares)[2], shares, me, out)
+            r.place(at[mine > 0])
+            # what the run knows travels on beside its strings, in a share of its own
+            _row(out, -1 - me, me, FLAGS, None, r.at.astype("<i8").tobytes(), None)
+            _blobs(r, shares, me, out)
         return _sent(out)
     return run
 
@@ -451,46 +404,97 @@ def merged(runs: list[tuple[bytes, bytes]]):
         shared = lcp[w]
 
 
-def _merge(kind: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Per run, a bit for each of its strings: a run has it from a smaller document than this run's smallest."""
-        if table.column("share")[0].as_py() < 0:           # what a run knows goes back to it
-            return pa.table({"run": table.column("run"), "kind": table.column("kind"), "share": table.column("share"), "bits": table.column("rest")})
-        unpack = zstandard.ZstdDecompressor().decompress
-        lcps, rests, ids = ([unpack(x) for x in table.column(c).to_pylist()] for c in ("lcp", "rest", "least"))
-        least = [np.frombuffer(x, np.int64) for x in ids]
-        who, number, begins = array("i"), array("q"), bytearray()
-        for w, i, shared in merged(list(zip(lcps, rests))):
-            who.append(w)
-            number.append(i)
-            begins.append(shared < ROW)
-        base = np.r_[0, np.cumsum([len(x) for x in least])]
-        place = base[np.frombuffer(who, np.int32)] + np.frombuffer(number, np.int64)
-        begins[:1] = b"\1" * min(1, len(begins))
-        begins = np.frombuffer(begins, bool)
-        docs = np.concatenate(least)[place]
-        g = np.flatnonzero(begins)
-        low = np.repeat(np.minimum.reduceat(docs, g), np.diff(np.r_[g, len(docs)]))
-        bit = np.zeros(len(docs), np.uint8)
-        bit[place] = low < docs
-        return pa.table({"run": table.column("run"), "kind": pa.array([kind] * len(table), pa.int32()), "share": table.column("share"),
-                         "bits": pa.array([x.tobytes() for x in np.split(bit, base[1:-1])], pa.binary())})
-    return run
+def _tails(lcp: bytes, rest: bytes) -> np.ndarray:
+    """What every string of a front-coded run has after its first WIDTH bytes."""
+    p = np.frombuffer(lcp, np.uint8).astype(np.int64)
+    data = np.frombuffer(rest, np.uint8)
+    at, i = np.cumsum(ROW - p) - ROW, np.arange(len(p))    # at + c: where a string's byte c is, if it is spelt out
+    out = np.empty((len(p), ROW - WIDTH), np.uint8)
+    for c in range(WIDTH, ROW):
+        out[:, c - WIDTH] = data[at[np.maximum.accumulate(np.where(p <= c, i, 0))] + c]
+    return out
+
+
+def lost_windows(shared: np.ndarray, tails: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Bit j of each string: a string of a smaller document has its window j too.
+
+    Strings are distinct and in order; ``shared`` is the common prefix with the
+    one before.  Window j has K + j bytes from the anchor on, which strings
+    between two short prefixes have in common, and SIDE - j bytes before it.
+    """
+    out = np.zeros(len(docs), np.uint32)
+    anchor = np.cumsum(shared < K)
+    some = np.flatnonzero(np.bincount(anchor)[anchor] > 1)
+    if not len(some):
+        return out
+    shared, tails, docs = shared[some], tails[some], docs[some]
+    right, left = tails[:, SIDE], tails[:, SIDE + 1]
+    back = np.ascontiguousarray(tails[:, :SIDE])
+    o = np.argsort(back.view(f"S{SIDE}").reshape(-1), kind="stable")
+    differ = back[o][1:] != back[o][:-1]
+    agree = np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), SIDE)]  # with the one before, by the bytes before the anchor
+    lost, before = np.zeros(len(some), np.uint32), np.zeros(len(some), np.int64)
+    for j in range(SIDE + 1):
+        ok = np.flatnonzero((right >= K + j) & (left >= SIDE - j))
+        if not len(ok):
+            continue
+        before[o] = np.cumsum(agree < SIDE - j)
+        key = (np.cumsum(shared < K + j) * (len(some) + 1) + before)[ok]
+        by = np.argsort(key, kind="stable")
+        k, d = key[by], docs[ok][by]
+        g = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        later = np.repeat(np.minimum.reduceat(d, g), np.diff(np.r_[g, len(d)])) < d
+        lost[ok[by[later]]] |= np.uint32(1 << j)
+    out[some] = lost
+    return out
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """Per run, the bits of each of its strings: which windows a run has from a smaller document than this run's smallest."""
+    if table.column("share")[0].as_py() < 0:               # what a run knows goes back to it
+        return pa.table({"run": table.column("run"), "kind": table.column("kind"), "share": table.column("share"), "bits": table.column("rest")})
+    unpack = zstandard.ZstdDecompressor().decompress
+    lcps, rests, ids = ([unpack(x.as_buffer()) for x in table.column(c)] for c in ("lcp", "rest", "least"))
+    least = [np.frombuffer(x, np.int64) for x in ids]
+    who, number, shared = array("i"), array("i"), bytearray()
+    for w, i, p in merged(list(zip(lcps, rests))):
+        who.append(w)
+        number.append(i)
+        shared.append(p)
+    base = np.r_[0, np.cumsum([len(x) for x in least])]
+    place = base[np.frombuffer(who, np.int32)] + np.frombuffer(number, np.int32)
+    shared = np.frombuffer(shared, np.uint8)
+    new = shared < ROW
+    new[0] = True
+    docs, g, of = np.concatenate(least)[place], np.flatnonzero(new), np.cumsum(new) - 1
+    low = np.minimum.reduceat(docs, g)                     # of every distinct string
+    tails = np.concatenate([_tails(*x) for x in zip(lcps, rests)])[place[g]]
+    lost = lost_windows(np.r_[0, shared[g][1:]], tails, low)
+    bits = np.zeros(len(docs), "<u4")
+    bits[place] = np.where(low[of] < docs, ALL, lost[of])
+    return pa.table({"run": table.column("run"), "kind": pa.array([WINDOWS] * len(table), pa.int32()), "share": table.column("share"),
+                     "bits": pa.array([x.tobytes() for x in np.split(bits, base[1:-1])], pa.binary())})
 
 
 # -- step 5: what goes -------------------------------------------------------------------------
 
 def _cut(shares: int, with_kept: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, r, (state, bits, more) = _load(left, right)
+        _, r, (state, bits) = _load(left, right)
         out: dict[str, list] = {c: [] for c in ("holder", "sha", "n_removed", "n_spans", "kept_sha256", "kept")[:6 if with_kept else 5]}
         if r is None:
             r = Run(np.zeros(0, np.int64), [])
-        wholes, lost, windows = _left_over(r, state, bits, shares)
-        gone = np.zeros(len(r.buf) + 1, np.int64)
-        for strings, which in ((wholes, lost), (windows, _lost(r, windows, shares, more))):
-            first, n = strings[2][which], strings[0][which][:, WIDE].astype(np.int64)
-            gone += np.bincount(first, minlength=len(gone)) - np.bincount(first + n, minlength=len(gone))
+        r.place(np.frombuffer(state, "<i8").astype(np.int64))
+        # of a string's windows those that its document holds whole
+        mine = (1 << r.right - K + 1) - (1 << SIDE - r.left)
+        lost = _lost(r, shares, bits) & mine
+        whole = lost == mine
+        first, end = [(r.at - r.left)[whole]], [(r.at + r.right)[whole]]
+        for j in range(SIDE + 1):
+            first.append(r.at[~whole & (lost >> j & 1 > 0)] - (SIDE - j))
+            end.append(first[-1] + WIDTH)
+        gone = (np.bincount(np.concatenate(first), minlength=len(r.buf) + 1)
+                - np.bincount(np.concatenate(end), minlength=len(r.buf) + 1))
         covered = np.cumsum(gone[:-1]) > 0
         for i, t in enumerate(r.texts):
             c = covered[r.off[i]:r.off[i + 1]]
@@ -504,7 +508,7 @@ def _cut(shares: int, with_kept: bool):
 
 
 def _load(left: pa.Table, right: pa.Table):
-    """(run number, Run, (flags of its distinct keys or its shared anchors, bits of its distinct wholes, of its distinct windows)).
+    """(run number, Run, (flags of its distinct keys or its shared anchors, bits of its distinct strings)).
 
     ``right`` names the run's documents that take part (kind -1, doc_id) and has
     what came back from the shares, in their order.
@@ -512,7 +516,7 @@ def _load(left: pa.Table, right: pa.Table):
     kind = right.column("kind").to_numpy()
     part = set(right.column("doc_id").filter(pa.array(kind == -1)).to_pylist())
     back = []
-    for k in (FLAGS, WHOLES, WINDOWS):
+    for k in (FLAGS, WINDOWS):
         some = right.filter(pa.array(kind == k)).sort_by("share")
         back.append(b"".join(some.column("bits").to_pylist()))
     unpack = zstandard.ZstdDecompressor().decompress
@@ -541,7 +545,7 @@ def removed(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     part = saved(first.where("holder is not null").select(F.col("holder").alias("doc_id")).distinct()
                  .select(of.alias("run"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("share"), "doc_id", F.lit(None).cast("binary").alias("bits")),
                  "suffix-part")
-    # the texts cross the network once: all three passes below read the same exchange
+    # the texts cross the network once: all passes below read the same exchange
     dealt = (d.where("doc_id is not null").select(of.alias("run"), "doc_id", "data")
              .mapInArrow(_compressed, "run long, doc_id long, data binary"))
 
@@ -552,9 +556,8 @@ def removed(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         df = df.groupBy("share").applyInArrow(f, "run long, kind int, share long, bits binary")
         return part.unionByName(df.select("run", "kind", "share", F.lit(None).cast("long").alias("doc_id"), "bits"))
     prints = by_run(part, _fingerprints(shares), "share long, run long, blob binary")
-    wholes = by_run(back(prints, _compare), _send_wholes(shares), SENT)
-    windows = by_run(back(wholes, _merge(WHOLES)), _send_windows(shares), SENT)
-    gone = by_run(back(windows, _merge(WINDOWS)), _cut(shares, with_kept),
+    strings = by_run(back(prints, _compare), _send(shares), SENT)
+    gone = by_run(back(strings, _merge), _cut(shares, with_kept),
                   "holder long, sha string, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     # a copy of a smaller document goes entirely if it has WIDTH bytes, else it stays as it is
     rows = facts.join(first, "sha").join(gone, ["sha", "holder"], "left")

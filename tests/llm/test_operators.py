@@ -151,6 +151,29 @@ def test_loser_tree_merges_and_knows_prefixes():
         assert s == next((k for k in range(len(a)) if a[k] != b[k]), len(a))
 
 
+def test_suffix_bits_tell_every_shared_window():
+    w, k, side = suffixes.WIDTH, suffixes.K, suffixes.SIDE
+    r = np.random.default_rng(4)
+    rows = []
+    for _ in range(300):                                   # two anchors, contexts that agree for a random way, some cut short
+        right, left = r.integers(k, w + 1), r.integers(0, side + 1)
+        ahead = np.r_[np.full(k, r.integers(1, 3)), np.where(r.random(w - k) < 0.07, 2, 1)]
+        back = np.where(r.random(side) < 0.07, 2, 1)
+        ahead[right:], back[left:] = 0, 0
+        rows.append(np.r_[ahead, back, right, left])
+    m = np.unique(np.array(rows, np.uint8), axis=0)
+    docs = r.integers(0, 50, len(m))
+    shared = np.r_[0, (m[1:] != m[:-1]).argmax(axis=1)]
+    got = suffixes.lost_windows(shared, m[:, w:], docs)
+    assert (suffixes._tails(*suffixes._front_coded(m)) == m[:, w:]).all()
+
+    def window(x, j):
+        return bytes(x[w:w + side - j][::-1]) + bytes(x[:k + j]) if x[-2] >= k + j and x[-1] >= side - j else None
+    for x, d, bits in zip(m, docs, got):
+        want = [j for j in range(side + 1) if window(x, j) and any(e < d and window(y, j) == window(x, j) for y, e in zip(m, docs))]
+        assert [j for j in range(side + 1) if bits >> j & 1] == want
+
+
 def test_bpe_is_the_library(docs, none):
     p = bpe.pieces(bpe.model_path())
     want = Counter()
