@@ -7,7 +7,7 @@ agenda, until it is empty.  Characters without a piece become byte pieces.
 
 Merges never cross the start of a ``▁`` after another character, nor a line
 end, when no piece of the vocabulary does (checked when it is loaded), so a
-text is a row of chunks that are encoded once per slice and cached.  All short
+text is a row of chunks that are encoded once per slice and cached by hash.  All short
 chunks of a slice run their agendas side by side: a matrix holds the rank of
 every adjacent pair, and each round merges the best pair of every row.  Longer
 chunks use a heap.
@@ -26,6 +26,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslab.llm.common import read
-from corpuslab.llm.textnp import slices
+from corpuslab.llm.textnp import slices, tidy
 
 BLANK = "▁"
 #: Longest chunk for the matrix, chunks kept in the cache, bytes of text per slice.
 WIDE, CACHED, SLICE = 24, 1_000_000, 2 << 20
 NONE = np.int32(2**31 - 1)
+HASH_KEYS = ("first chunk hash", "other chunk hash")  # 16 bytes each
 
 
 class Pieces:
@@ -54,6 +56,7 @@ class Pieces:
         self.control = {i for i in range(n) if lib.is_control(i) or lib.is_unknown(i)}
         self.id = {self.text[i]: i for i in range(n) if not (lib.is_byte(i) or i in self.control or lib.is_unused(i))}
         self.plain = frozenset(self.id.values())
+        self.number = [str(i) for i in range(n)]
         by_score = sorted(self.id.values(), key=lambda i: -lib.get_score(i))
         rank, last, r = {}, None, -1                       # equal scores share a rank: then the left pair is first
         for i in by_score:
@@ -81,22 +84,29 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the cache: the number of each chunk, its ids (flat, with offsets), ids as text, and what they decode to."""
-        self.known: dict[str, int] = {}
-        self.flat, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.listed: list[str] = []
-        self.said: list[str] = []
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks into the cache."""
-        found = self.encode_chunks([c.replace(" ", BLANK) for c in chunks])
-        self.off = np.r_[self.off, self.off[-1] + np.cumsum([len(x) for x in found])]
-        self.flat = np.r_[self.flat, np.array([i for x in found for i in x], np.int32)]
-        for c, x in zip(chunks, found):
-            self.known[c] = len(self.listed)
-            self.listed.append(",".join(map(str, x)))
-            text = self.decode(x, start=False)
-            self.said.append(c if text == c else text)
+        """Empty the cache: per chunk two 64-bit hashes (sorted by the first), the place of its first id and their number."""
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def coded(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``flat`` of the first id, number of ids) of distinct chunks; new ones are encoded and kept."""
+        h, c = (pd.util.hash_array(chunks, hash_key=k, categorize=False) for k in HASH_KEYS)
+        at = np.searchsorted(self.hash, h)
+        known = at < len(self.hash)
+        known[known] = (self.hash[at[known]] == h[known]) & (self.check[at[known]] == c[known])
+        first, count = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        first[known], count[known] = self.first[at[known]], self.count[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            found = self.encode_chunks([x.replace(" ", BLANK) for x in chunks[new]])
+            n = np.array([len(x) for x in found], np.int64)
+            first[new], count[new] = len(self.flat) + np.cumsum(n) - n, n
+            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))]
+            o = new[np.argsort(h[new], kind="stable")]
+            self.hash, self.check, self.first, self.count = (
+                np.insert(kept, at[o], x[o]) for kept, x in ((self.hash, h), (self.check, c), (self.first, first), (self.count, count)))
+        return first, count
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Place of each pair in the pair table; its last place for pairs that do not merge."""
@@ -209,8 +219,9 @@ class Pieces:
     def decode(self, ids: list[int], start: bool = True) -> str:
         """The text of any ids: pieces joined, blanks restored, the first blank dropped (at the start of a text),
         invalid bytes replaced one by one."""
-        if not start and self.plain.issuperset(ids):
-            return "".join([self.text[i] for i in ids]).replace(BLANK, " ")
+        if self.plain.issuperset(ids):
+            text = "".join([self.text[i] for i in ids]).replace(BLANK, " ")
+            return text[1:] if start and text[:1] == " " else text
         out, raw = [], bytearray()
 
         def flush() -> None:
@@ -269,6 +280,7 @@ def encode_table(docs: DataFrame, model: str | None = None, with_ids: bool = Tru
     """doc_id, n_tokens, ids (if asked for), decoded, ids_sha256, decoded_sha256 of every row of ``docs``."""
     model = model or model_path()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
@@ -285,20 +297,16 @@ def _encoded(p: Pieces, part: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
         chunks += p.split(text or "")
         ends.append(len(chunks))
     codes, distinct = pd.factorize(np.array(chunks, dtype=object)) if chunks else (np.zeros(0, int), [])
-    if len(p.known) > CACHED:
+    if len(p.hash) > CACHED:
         p.forget()
-    if new := [c for c in distinct if c not in p.known]:
-        p.learn(new)
-    entry = np.array([p.known[c] for c in distinct], np.int64)[codes]  # of every chunk of every text
-    n = p.off[entry + 1] - p.off[entry]
+    first, count = p.coded(np.array(distinct, dtype=object))
+    n = count[codes]                                       # of every chunk of every text
     upto = np.r_[0, np.cumsum(n)]
-    flat = p.flat[np.arange(upto[-1]) + np.repeat(p.off[entry] - upto[:-1], n)]
+    flat = p.flat[np.arange(upto[-1]) + np.repeat(first[codes] - upto[:-1], n)]
     bound = upto[np.array(ends)]
     ids = [x.tolist() for x in np.split(flat, bound[1:-1])] if len(ends) > 1 else []
-    listed = [p.listed[i] for i in entry.tolist()]
-    sha = [hashlib.sha256(",".join(listed[a:b]).encode()).hexdigest() for a, b in zip(ends, ends[1:])]
-    said = [p.said[i] for i in entry.tolist()]
-    decoded = ["".join(said[a:b])[1:] for a, b in zip(ends, ends[1:])]  # the first blank of a text goes
+    sha = [hashlib.sha256(",".join([p.number[i] for i in x]).encode()).hexdigest() for x in ids]
+    decoded = [p.decode(x) for x in ids]
     for mine, theirs in zip(decoded, p.lib.decode(ids, num_threads=1) if ids else []):
         if mine != theirs:
             raise ValueError(f"the library decodes otherwise: {theirs[:80]!r}, not {mine[:80]!r}")

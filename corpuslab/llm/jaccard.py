@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from corpuslab.llm.common import read, saved
 from corpuslab.llm.graph import components
-from corpuslab.llm.textnp import flat, mixed, shingles, slices, span_hashes, words
+from corpuslab.llm.textnp import flat, mixed, shingles, slices, span_hashes, tidy, words
 
 K = 4
 WEIGHT = 3
@@ -99,6 +99,7 @@ def parity(row: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(n, BITS // 64)
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -140,6 +141,7 @@ def sketch_keys(row: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.nda
 
 
 def _send(parts: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         count = 0
@@ -222,6 +224,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = buckets.select("node").distinct()
     carriers = classes.join(nodes, "node", "left_semi").where("least is not null").select(F.col("least").alias("doc_id"), "node")
 
+    @tidy
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -279,6 +282,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     keep = best.select(F.col("m.least").alias("keep_id"), F.col("m.node").alias("keep_node"))
     names = docs.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from corpuslab.llm import linear
 from corpuslab.llm.common import read
-from corpuslab.llm.textnp import MUL, flat, slices
+from corpuslab.llm.textnp import MUL, flat, slices, tidy
 
 BITS = 18
 DIMS = 1 << BITS
@@ -71,6 +71,7 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part.slice(k, ROWS)
 
 
+@tidy
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in parts(batch):
@@ -115,6 +116,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(weights)  # DIMS doubles, whatever the input
     docs = docs.drop("score")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = table.value
         for batch in batches:
