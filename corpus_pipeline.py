@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of n-gram Jaccard links."""
-    return jaccard.representatives(docs)
+    """One document of each group of links: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return jaccard.representatives(docs, jaccard.Contract(5, 4, 5))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

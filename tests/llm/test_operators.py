@@ -246,6 +246,26 @@ def test_jaccard_brute_force_random(spark):
     assert [got[i] for i in range(len(data))] == comp
 
 
+def test_jaccard_other_contract(spark):
+    r = random.Random(12)
+    data = []
+    for f in range(70):
+        base = [f"w{r.randrange(500)}" for _ in range(r.choice([5, 8, 9, 10, 12, 16, 24, 60, 200]))]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randrange(0, 1 + len(w) // 20)):
+                w[r.randrange(len(w))] = f"w{r.randrange(500)}"
+            w += [f"w{r.randrange(500)}" for _ in range(r.randrange(0, 1 + len(w) // 4))]
+            data.append((len(data), " ".join(w)))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in data]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(data)) for j in range(i)}
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) > 20
+    comp = components(len(data), [(i, j) for i, j in alike if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])])
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.linked(docs, jaccard.Contract(5, 4, 5)).collect()}
+    assert [got[i] for i in range(len(data))] == comp
+
+
 def test_ring(docs, none):
     out = ring.shard(docs, shards=5, vnodes=16, cells=64).collect()
     load = Counter(r["shard"] for r in out)

@@ -20,3 +20,11 @@ def test_stages_keep_the_columns(spark):
         docs = saved(stage(spark, docs, SMALL), "test-stage")
         assert docs.columns == columns
         assert 0 < docs.count() <= n
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(104)]
+    texts = [base, base + [f"x{i}" for i in range(25)], base + [f"y{i}" for i in range(26)]]   # 100 / 125 and 100 / 126
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert sorted(x["doc_id"] for x in kept.collect()) == [0, 2]
