@@ -235,6 +235,20 @@ def _verified(pairs: DataFrame, held: DataFrame, by: Contract) -> DataFrame:
     return both.where(common * by.of >= (F.size("x") + F.size("y") - common) * by.like).select("a", "b")
 
 
+def _noded(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """``docs`` with the class of every row in a further column."""
+    names = [*docs.columns, name]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, key = sets(part.column("text"), k)
+                node = digests(row, key, part.num_rows).view(np.int64)
+                yield pa.record_batch([*part.columns, pa.array(node)], names=names)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def groups(docs: DataFrame, by: Contract = OP6) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles and node of every row of ``docs``; node, least doc_id and component of every class)."""
     docs = docs.select("doc_id", "text")
@@ -245,9 +259,12 @@ def groups(docs: DataFrame, by: Contract = OP6) -> tuple[DataFrame, DataFrame]:
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     sent = docs.mapInArrow(_send(parts, by), "part long, keys binary, nodes binary")
     buckets = saved(sent.groupBy("part").applyInArrow(_buckets, "bucket long, node long").distinct(), "buckets")
-    # the sets of the classes that share a key, each from the document that names it
+    # the sets of the classes that share a key, each from the document that names it, or from any row if none has a doc_id
     nodes = buckets.select("node").distinct()
-    carriers = classes.join(nodes, "node", "left_semi").where("least is not null").select(F.col("least").alias("doc_id"), "node")
+    shared = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id"), "node")
+    carried = docs.join(shared.where("doc_id is not null"), "doc_id").select("text", "node")
+    nameless = _noded(docs.where("doc_id is null").select("text"), by.k, "node").dropDuplicates(["node"])
+    carried = carried.unionByName(nameless.join(shared.where("doc_id is null").select("node"), "node", "left_semi").select("text", "node"))
 
     @tidy
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +276,7 @@ def groups(docs: DataFrame, by: Contract = OP6) -> tuple[DataFrame, DataFrame]:
                 found = np.split(key.view(np.int64), np.searchsorted(row, np.arange(1, part.num_rows)))
                 yield pa.record_batch([pa.array(node[same]), pa.array([f for f, s in zip(found, same) if s], pa.list_(pa.int64()))],
                                       names=["node", "elements"])
-    held = saved(docs.join(carriers, "doc_id").mapInArrow(elements, "node long, elements array<long>")
+    held = saved(carried.mapInArrow(elements, "node long, elements array<long>")
                  .dropDuplicates(["node"]), "elements")
     info = classes.select("node", "n", "sketch")
     member = saved(buckets.join(info, "node"), "members")
@@ -305,16 +322,7 @@ def representatives(docs: DataFrame, by: Contract = OP6) -> DataFrame:
     _, named = groups(docs, by)
     best = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("x"), "least", "node")).alias("m"))
     keep = best.select(F.col("m.least").alias("keep_id"), F.col("m.node").alias("keep_node"))
-    names = docs.columns
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, key = sets(part.column("text"), by.k)
-                node = digests(row, key, part.num_rows).view(np.int64)
-                yield pa.record_batch([*part.columns, pa.array(node)], names=[*names, "keep_of"])
-    noded = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("keep_of", T.LongType())]))
+    noded = _noded(docs, by.k, "keep_of")
     mine = noded.join(keep, (F.col("keep_of") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
     return mine.dropDuplicates(["keep_of", "doc_id"]).unionByName(noded.where("keep_of = 0")).drop("keep_of")
 

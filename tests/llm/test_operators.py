@@ -266,6 +266,17 @@ def test_jaccard_other_contract(spark):
     assert [got[i] for i in range(len(data))] == comp
 
 
+def test_jaccard_near_copies_without_id(spark):
+    w = [f"w{i}" for i in range(100)]
+    bridge, ends = w + ["p1", "p2", "p3"], (w + [f"p{i}" for i in range(1, 10)], w[13:] + ["p1", "p2", "p3"])
+    other = [f"v{i}" for i in range(100)]
+    data = [(7, ends[0]), (3, ends[1]), (None, bridge), (None, other), (None, other + ["more"])]   # 7 and 3 link only through the null
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in data], "doc_id long, text string")
+    got = Counter((x["doc_id"], x["component_id"]) for x in jaccard.linked(docs).collect())
+    assert got == Counter([(7, 3), (3, 3), (None, 3), (None, None), (None, None)])
+    assert Counter(x["doc_id"] for x in jaccard.representatives(docs).collect()) == Counter([3, None])
+
+
 def test_ring(docs, none):
     out = ring.shard(docs, shards=5, vnodes=16, cells=64).collect()
     load = Counter(r["shard"] for r in out)
