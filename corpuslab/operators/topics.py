@@ -1,10 +1,12 @@
 """Topic model (MLlib LDA) and the features built on it.
 
-Bag-of-words with ``CountVectorizer`` (a distributed count; vocabulary size
-raised above the default), then ``LDA(optimizer='online')``: each iteration
-samples a mini-batch of documents, which is Spark's form of the reference's
-base fit plus one update per remaining partition.  Spark has no public way to
-resume a fitted model with new batches, so it is one fit over all rows.
+Bag-of-words with ``CountVectorizer`` (a distributed count; no term is dropped,
+so the driver holds the whole vocabulary, as it holds the model's k weights of
+every term), then ``LDA(optimizer='online')``.  Spark has no public way to
+resume a fitted model with new batches, so it is one fit over all rows: each
+iteration draws as many documents as there are, with replacement (Spark offers
+no other drawing), so that after 20 iterations a document is unseen with a
+probability of e^-20, about 2e-9.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 
-VOCAB_SIZE = 1 << 20
+VOCAB_SIZE = (1 << 31) - 1  # CountVectorizer's largest: every term
 
 
-def lda_pipeline(k: int = 5, seed: int = 42, max_iter: int = 20, subsampling: float = 0.05,
+def lda_pipeline(k: int = 5, seed: int = 42, max_iter: int = 20, subsampling: float = 1.0,
                  tokens_col: str = "tokens") -> Pipeline:
     cv = CountVectorizer(inputCol=tokens_col, outputCol="bow", vocabSize=VOCAB_SIZE, minDF=1.0)
     lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=subsampling,
