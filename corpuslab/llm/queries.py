@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import bpe, cover, jaccard, ledger, mixing, quality, ring, suffixes, toxicity, warc
+from corpuslab.llm import bpe, cover, jaccard, ledger, mixing, phrases, quality, ring, suffixes, toxicity, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,11 @@ QUERIES = {
     "op8_warc_store": warc.op8_warc_store,
     "op9_cover_tree": cover.op9_cover_tree,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op12_phrase_mining": phrases.op12_phrase_mining,
 }
 
 ORACLES = {
     "op5_secret_ledger": ledger.ORACLE,
     "op8_warc_store": warc.ORACLE,
+    "op12_phrase_mining": phrases.ORACLE,
 }
