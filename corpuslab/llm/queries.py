@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import bpe, cover, jaccard, ledger, mixing, phrases, quality, ring, suffixes, toxicity, warc
+from corpuslab.llm import bpe, cover, impacts, jaccard, ledger, mixing, phrases, quality, ring, suffixes, toxicity, trie, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +25,15 @@ QUERIES = {
     "op8_warc_store": warc.op8_warc_store,
     "op9_cover_tree": cover.op9_cover_tree,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_phrase_mining": phrases.op12_phrase_mining,
+    "op13_impact_topk": impacts.op13_impact_topk,
 }
 
 ORACLES = {
     "op5_secret_ledger": ledger.ORACLE,
     "op8_warc_store": warc.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
     "op12_phrase_mining": phrases.ORACLE,
+    "op13_impact_topk": impacts.ORACLE,
 }
