@@ -33,7 +33,7 @@ WORDS = 4
 #: Suffixes of a group at least (more only beyond 2^20 groups).
 BUDGET = 1 << 20
 #: Bytes of text whose equal suffixes are counted together before they are sent.
-WINDOW_BYTES = 12 << 20
+WINDOW_BYTES = 4 << 20
 CELLS = 1 << 22
 SALTS = 64
 
