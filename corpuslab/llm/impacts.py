@@ -2,10 +2,11 @@
 
 Rows are packed into blocks.  In a block every dimension gives two posting lists, one for queries that are positive there
 (the impact of a row is how far its component lies above the block's least) and one for negative ones (how far it lies
-below the block's greatest), so no impact is negative.  Impacts are quantised to a few levels; the rows of one level are a
-segment.  A query reads the segments of all dimensions by descending weight times level, adds the level's least impact to
-the accumulators, and knows from the levels not yet read how much any row can still gain.  It stops when all rows but a few
-are proven to stay below the k-th best score known, and scores those few exactly.
+below the block's greatest), so no impact is negative.  Impacts are quantised to ``LEVELS`` levels of a list's own step; the
+rows of a list with levels in one band are a segment.  A group of queries reads the segments of all lists band by band, from
+the highest impacts down, and adds weight times impact to its accumulators (a band's segments are a matrix, so a group reads them
+in one product).  From the levels not yet read it is known how much any row can still gain.  A query stops when all rows but
+a few are proven to stay below the k-th best score known, and scores those few exactly.
 
 Every query first searches its own block, which gives it a score to beat; then query groups meet all other blocks,
 a block and at most ``HALF`` groups in a task.  Nothing is approximate and nothing is left out.
@@ -26,8 +27,8 @@ from corpuslab.llm.textnp import tidy
 
 K = 5
 EVERY = 50
-#: Rows of a block, levels of an impact, rounds in which a query reads its segments, rows left that are scored exactly at once.
-BLOCK, LEVELS, ROUNDS, FEW = 8192, 16, 8, 32
+#: Rows of a block, levels of an impact, least levels of the bands in which they are read, rows left that are scored exactly at once.
+BLOCK, LEVELS, BANDS, FEW = 8192, 256, (128, 64, 16, 1), 32
 #: Queries of a group, groups that meet a block in one task.
 GROUP, HALF = 256, 64
 LONG = (1 << 63) - 1
@@ -73,78 +74,71 @@ class Block:
         self.uid, self.ids, self.rows = uid, ids, rows
         n, d = rows.shape
         self.low, self.high = (rows.min(0), rows.max(0)) if n else (np.zeros(d), np.zeros(d))
-        self.step = np.maximum(1.0, np.ceil((self.high - self.low + 1) / LEVELS))
-        self.lists: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def postings(self, d: int, up: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(level of every row, rows by descending level, number of rows at or above each level) of one dimension and direction."""
-        if (d, up) not in self.lists:
-            gain = self.rows[:, d] - self.low[d] if up else self.high[d] - self.rows[:, d]
-            level = np.minimum(gain // self.step[d], LEVELS - 1).astype(np.int8)
-            order = np.argsort(-level, kind="stable").astype(np.int32)
-            above = np.searchsorted(-level[order], -np.arange(LEVELS + 1), side="right")
-            self.lists[d, up] = level, order, above
-        return self.lists[d, up]
+        self.span = self.high - self.low
+        self.step = np.maximum(1.0, np.ceil((self.span + 1) / LEVELS))
+        self.bands: dict[int, np.ndarray] = {}
+
+    def band(self, at: int) -> np.ndarray:
+        """The segments of one band: for each row its levels in the lists of positive, then of negative queries, 0 where the row
+        stands in another band's segment."""
+        if at not in self.bands:
+            gain = np.concatenate([self.rows - self.low, self.high - self.rows], 1)
+            level = gain // np.tile(self.step, 2)
+            self.bands[at] = np.where((level >= BANDS[at]) & (level < (BANDS[at - 1] if at else LEVELS)), level, 0.0)
+        return self.bands[at]
 
     def exact(self, q: np.ndarray, some: np.ndarray) -> list[int]:
-        a, b = (self.rows[some], q) if self.rows.shape[1] == len(q) else (self.rows[some][:, :len(q)], q[:self.rows.shape[1]])
-        if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, len(b)) < 2 ** 53:
-            return [int(x) for x in a @ b]
-        whole = [int(y) for y in b]
+        a = self.rows[some]
+        if float(np.abs(a).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(q)) < 2 ** 53:
+            return [int(x) for x in a @ q]
+        whole = [int(y) for y in q]
         return [sum(int(x) * y for x, y in zip(r, whole)) for r in a]
 
-    def search(self, q: np.ndarray, own: int, beat: float, k: int) -> list[tuple[int, int | None]]:
-        """The ``k`` best (score, id) of the rows other than ``own``, without some of those that score less than ``beat``."""
-        others = np.flatnonzero(self.uid != own)
-        possible = others
-        d = min(len(q), self.rows.shape[1])
-        weight = np.abs(q[:d])
-        reach = float((weight * np.maximum(np.abs(self.low[:d]), np.abs(self.high[:d]))).sum())
-        if len(others) > FEW and 4 * reach < 2 ** 53:
-            possible = self._possible(q[:d], weight, others, beat, k)
-        found = sorted(zip(self.exact(q, possible), [self.ids[i] for i in possible]), key=rank)
-        return [x for x in found[:k] if x[0] >= beat]
-
-    def _possible(self, q: np.ndarray, weight: np.ndarray, possible: np.ndarray, beat: float, k: int) -> np.ndarray:
-        used = np.flatnonzero(weight)
-        up, weight, step = q[used] > 0, weight[used], self.step[used]
-        base = float((q[used] * np.where(up, self.low[used], self.high[used])).sum())
-        span = (self.high - self.low)[used]
-        if base + float((weight * span).sum()) < beat:
-            return possible[:0]
-        post = [self.postings(int(d), bool(u)) for d, u in zip(used, up)]
-        slack = float((weight * np.minimum(step - 1, span)).sum())
-        acc = np.zeros(len(self.rows))
-        unread = np.full(len(used), LEVELS)  # all levels from here on have been read
-        heaviest = float((weight * step).max(initial=0)) * (LEVELS - 1)
-        for turn in range(1, ROUNDS + 1):
-            bar = heaviest * (1 - turn / ROUNDS)
-            # segments whose least impact is above the bar: every level over bar / (weight x step)
-            level = np.clip(np.floor(bar / (weight * step)) + 1, 1, LEVELS).astype(np.int64)
-            level = np.minimum(level, unread)
-            idx, gain = [], []
-            for j, (_, order, above) in enumerate(post):
-                for x in range(int(unread[j]) - 1, int(level[j]) - 1, -1):
-                    a, b = (above[x + 1] if x + 1 < LEVELS else 0), above[x]
-                    if b > a:
-                        idx.append(order[a:b])
-                        gain.append(np.full(b - a, weight[j] * step[j] * x))
-            unread = level
-            if idx:
-                acc += np.bincount(np.concatenate(idx), np.concatenate(gain), len(acc))
-            sure = base + acc[possible]
-            if len(possible) >= k:
-                beat = max(beat, float(np.partition(sure, len(sure) - k)[len(sure) - k]))
-            rest = float((weight * step * (unread - 1)).sum())
-            possible = possible[sure + slack + rest >= beat]
-            if len(possible) > FEW:  # what each row can still gain, from the lists that it has not been met in
-                bound = base + acc[possible] + slack
-                for j, (own, _, _) in enumerate(post):
-                    bound += np.where(own[possible] < unread[j], weight[j] * step[j] * (unread[j] - 1), 0.0)
-                possible = possible[bound >= beat]
-            if len(possible) <= FEW:
+    def search(self, q: np.ndarray, own: np.ndarray, beat: np.ndarray, k: int) -> list[list[tuple[int, int | None]]]:
+        """Of every query (a row of ``q``, itself the row ``own`` if that is here): the ``k`` best (score, id) of the other rows,
+        without some of those that score less than ``beat``."""
+        d = self.rows.shape[1]
+        q = q[:, :d] if q.shape[1] >= d else np.pad(q, ((0, 0), (0, d - q.shape[1])))
+        weight = np.abs(q)
+        reach = weight @ np.maximum(np.abs(self.low), np.abs(self.high)) if len(self.rows) else np.zeros(len(q))
+        plain = (len(self.rows) > FEW) & (4 * reach < 2 ** 53)
+        every = np.arange(len(self.rows))
+        possible: list[np.ndarray] = [every] * len(q)
+        at = np.flatnonzero(plain)
+        for some, rows in zip(at, self._possible(q[at], own[at], beat[at], k) if len(at) else []):
+            possible[some] = rows
+        out = []
+        for x, me, bar, rows in zip(q, own, beat, possible):
+            rows = rows[self.uid[rows] != me]
+            found = sorted(zip(self.exact(x, rows), [self.ids[i] for i in rows]), key=rank)
+            out.append([f for f in found[:k] if f[0] >= bar])
+        return out
+
+    def _possible(self, q: np.ndarray, own: np.ndarray, beat: np.ndarray, k: int) -> list[np.ndarray]:
+        """Of every query the rows that may be among its ``k`` best: all others are proven not to be."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        beat = beat.copy()
+        gain = np.abs(q) * self.step                       # of one level
+        slack = (np.abs(q) * np.minimum(self.step - 1, self.span)).sum(1)
+        base = np.where(q > 0, q * self.low, q * self.high).sum(1)
+        live = np.flatnonzero(base + (np.abs(q) * self.span).sum(1) >= beat)
+        weights = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], 1) * np.tile(self.step, 2)
+        acc = np.repeat(base[None, :], len(self.rows), 0)
+        for at in range(len(BANDS)):
+            if not len(live):
                 break
-        return possible
+            acc[:, live] += self.band(at) @ weights[live].T
+            rest = slack[live] + gain[live].sum(1) * (BANDS[at] - 1)
+            if at + 1 == len(BANDS) and len(self.rows) > k:     # the k-th best that is sure; a query's own row may be one of k + 1
+                sure = acc[:, live]
+                beat[live] = np.maximum(beat[live], np.partition(sure, len(sure) - k - 1, axis=0)[len(sure) - k - 1])
+            enough = acc[:, live] + rest >= beat[live]
+            count = enough.sum(0)
+            done = (count <= FEW) | (at + 1 == len(BANDS))
+            for j in np.flatnonzero(done):
+                out[live[j]] = np.flatnonzero(enough[:, j])
+            live = live[~done]
+        return out
 
 
 def rank(x: tuple[int, int | None]) -> tuple:
@@ -200,9 +194,11 @@ def _at_home(k: int, every: int) -> callable:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in ("uids", "ids", "dims", "kinds", "vecs")}
                 block, found = _open(row), []
-                for j, key in enumerate(row["ids"]):
-                    if key is not None and key % every == 0:
-                        found += [_hit(row["uids"][j], key, *x) for x in block.search(block.rows[j], row["uids"][j], -np.inf, k)]
+                asked = np.array([j for j, key in enumerate(row["ids"]) if key is not None and key % every == 0], np.int64)
+                for a in range(0, len(asked), GROUP):
+                    some = asked[a:a + GROUP]
+                    for j, hits in zip(some, block.search(block.rows[some], block.uid[some], np.full(len(some), -np.inf), k)):
+                        found += [_hit(int(block.uid[j]), row["ids"][j], *x) for x in hits]
                 yield _rows(found, *_FOUND)
     return run
 
@@ -215,11 +211,12 @@ def _away(k: int) -> callable:
             row = blocks.select(["uids", "ids", "dims", "kinds", "vecs"]).to_pylist()[0]
             block, home = _open(row), set(row["uids"])
             for group in groups.column("queries"):
-                for q in group.as_py():
-                    if q["uid"] not in home:
-                        v = matrix([q["dims"]], [q["kind"]], [q["vec"]])[0]
-                        beat = -np.inf if q["beat"] is None else float(q["beat"])
-                        found += [_hit(q["uid"], q["vec_id"], *x) for x in block.search(v, q["uid"], beat, k)]
+                asked = [q for q in group.as_py() if q["uid"] not in home]
+                if asked:
+                    v = matrix(*[[q[c] for q in asked] for c in ("dims", "kind", "vec")])
+                    beat = np.array([-np.inf if q["beat"] is None else float(q["beat"]) for q in asked])
+                    for q, hits in zip(asked, block.search(v, np.array([q["uid"] for q in asked]), beat, k)):
+                        found += [_hit(q["uid"], q["vec_id"], *x) for x in hits]
         return pa.Table.from_batches([_rows(found, *_FOUND)])
     return run
 
