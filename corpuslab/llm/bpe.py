@@ -37,8 +37,8 @@ from corpuslab.llm.common import read
 from corpuslab.llm.textnp import slices, tidy
 
 BLANK = "▁"
-#: Longest chunk for the matrix, chunks kept in the cache, bytes of text per slice.
-WIDE, CACHED, SLICE = 24, 1_000_000, 2 << 20
+#: Longest chunk for the matrix, chunks and bytes of ids kept in the cache, bytes of text per slice.
+WIDE, CACHED, CACHED_BYTES, SLICE = 24, 1_000_000, 64 << 20, 2 << 20
 NONE = np.int32(2**31 - 1)
 HASH_KEYS = ("first chunk hash", "other chunk hash")  # 16 bytes each
 
@@ -273,11 +273,15 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids and digests of every row."""
-    return encode_table(docs).drop("decoded")
+    return encode_table(docs, more=("ids",))
 
 
-def encode_table(docs: DataFrame, model: str | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (if asked for), decoded, ids_sha256, decoded_sha256 of every row of ``docs``."""
+#: What ``encode_table`` gives if asked for.
+MORE = {"ids": "array<int>", "decoded": "string"}
+
+
+def encode_table(docs: DataFrame, model: str | None = None, more: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns ``more`` (ids, decoded) of every row of ``docs``."""
     model = model or model_path()
 
     @tidy
@@ -285,40 +289,45 @@ def encode_table(docs: DataFrame, model: str | None = None, with_ids: bool = Tru
         p = pieces(model)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                yield _encoded(p, part, with_ids)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+                yield _encoded(p, part, more)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {MORE[c]}" for c in more)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _encoded(p: Pieces, part: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
+def _encoded(p: Pieces, part: pa.RecordBatch, more: tuple[str, ...]) -> pa.RecordBatch:
     chunks: list[str] = []
     ends = [0]
     for text in part.column("text").to_pylist():
         chunks += p.split(text or "")
         ends.append(len(chunks))
     codes, distinct = pd.factorize(np.array(chunks, dtype=object)) if chunks else (np.zeros(0, int), [])
-    if len(p.hash) > CACHED:
+    if len(p.hash) > CACHED or p.flat.nbytes > CACHED_BYTES:
         p.forget()
     first, count = p.coded(np.array(distinct, dtype=object))
     n = count[codes]                                       # of every chunk of every text
     upto = np.r_[0, np.cumsum(n)]
     flat = p.flat[np.arange(upto[-1]) + np.repeat(first[codes] - upto[:-1], n)]
     bound = upto[np.array(ends)]
-    ids = [x.tolist() for x in np.split(flat, bound[1:-1])] if len(ends) > 1 else []
-    sha = [hashlib.sha256(",".join([p.number[i] for i in x]).encode()).hexdigest() for x in ids]
-    decoded = [p.decode(x) for x in ids]
-    for mine, theirs in zip(decoded, p.lib.decode(ids, num_threads=1) if ids else []):
+    sha, back, decoded = [], [], []
+    for a, b in zip(bound[:-1], bound[1:]):                # a text at a time: no list of all ids or decoded texts
+        ids = flat[a:b].tolist()
+        sha.append(hashlib.sha256(",".join([p.number[i] for i in ids]).encode()).hexdigest())
+        mine, theirs = p.decode(ids), p.lib.decode(ids)
         if mine != theirs:
             raise ValueError(f"the library decodes otherwise: {theirs[:80]!r}, not {mine[:80]!r}")
-    out = [part.column("doc_id"), pa.array(np.diff(bound), pa.int64()), pa.array(sha, pa.string()),
-           pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())]
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    if with_ids:
-        out += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-        names += ["ids", "decoded"]
-    return pa.record_batch(out, names=names)
+        back.append(hashlib.sha256(mine.encode()).hexdigest())
+        if "decoded" in more:
+            decoded.append(mine)
+    out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.diff(bound), pa.int64()), "ids_sha256": pa.array(sha, pa.string()),
+           "decoded_sha256": pa.array(back, pa.string())}
+    if "ids" in more:
+        out["ids"] = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(flat, pa.int32()))
+    if "decoded" in more:
+        out["decoded"] = pa.array(decoded, pa.string())
+    return pa.record_batch([out[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more)],
+                           names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more])
 
 
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every text of ``documents``."""
-    return encode_table(read(spark, sf_dir, "documents"), with_ids=False)
+    return encode_table(read(spark, sf_dir, "documents"), more=())

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.llm.textnp import tidy
 from corpuslab.session import fresh_dir
 
 #: A word, wherever an operator counts words: code points other than ASCII white space.
@@ -38,3 +42,22 @@ def n_words(text: Column) -> Column:
 def n_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def sheltered(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(``docs`` with the columns ``used`` and all others inside one struct, so that no name an operator gives its own columns
+    clashes with theirs; the function that gives a result the columns of ``docs`` again)."""
+    rest = [c for c in docs.columns if c not in used]
+    packed = docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest_of_row")) if rest else docs.select(*used)
+
+    def whole(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(c) if c in used else F.col("rest_of_row")[c].alias(c) for c in docs.columns])
+    return packed, whole
+
+
+def scalar(f: Callable[[pa.Array], pa.Array], kind: str) -> Callable[..., Column]:
+    """``f`` from an Arrow array to one as a column function: the other columns of the rows stay in the JVM."""
+    @tidy
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(f, batches)
+    return F.arrow_udf(run, kind)

@@ -39,11 +39,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpuslab.llm.common import read, saved
+from corpuslab.llm.common import read, saved, scalar, sheltered
 from corpuslab.llm.graph import components
-from corpuslab.llm.textnp import flat, mixed, shingles, slices, span_hashes, tidy, words
+from corpuslab.llm.textnp import flat, mixed, shingles, slices, tidy, word_hashes, words
 
 BITS = 512
 WIDTH = 1.4           # of a band
@@ -88,7 +87,7 @@ def sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     buf, off = flat(texts)
     buf = _LOWER[buf]
     start, end, doc = words(buf, off)
-    h = span_hashes(buf, start, end)
+    h = word_hashes(buf, start, end)
     s = shingles(h, k)
     inside = doc[:len(s)] == doc[k - 1:] if len(s) else np.zeros(0, bool)
     n = np.bincount(doc, minlength=len(texts))
@@ -236,17 +235,12 @@ def _verified(pairs: DataFrame, held: DataFrame, by: Contract) -> DataFrame:
 
 
 def _noded(docs: DataFrame, k: int, name: str) -> DataFrame:
-    """``docs`` with the class of every row in a further column."""
-    names = [*docs.columns, name]
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, key = sets(part.column("text"), k)
-                node = digests(row, key, part.num_rows).view(np.int64)
-                yield pa.record_batch([*part.columns, pa.array(node)], names=names)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    """``docs`` with the class of every row in a further column; only the texts go to Python."""
+    def run(texts: pa.Array) -> pa.Array:
+        sets_of = (sets(part.column("text"), k) + (part.num_rows,) for part in slices(pa.record_batch([texts], ["text"]), "text"))
+        nodes = [digests(row, key, n).view(np.int64) for row, key, n in sets_of]
+        return pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))
+    return docs.withColumn(name, scalar(run, "long")(F.col("text")))
 
 
 def groups(docs: DataFrame, by: Contract = OP6) -> tuple[DataFrame, DataFrame]:
@@ -319,12 +313,13 @@ def linked(docs: DataFrame, by: Contract = OP6) -> DataFrame:
 def representatives(docs: DataFrame, by: Contract = OP6) -> DataFrame:
     """One row of ``docs`` for every group of linked documents, that of its smallest doc_id; texts without
     words are no group and stay."""
+    docs, whole = sheltered(docs, "doc_id", "text")
     _, named = groups(docs, by)
     best = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("x"), "least", "node")).alias("m"))
     keep = best.select(F.col("m.least").alias("keep_id"), F.col("m.node").alias("keep_node"))
     noded = _noded(docs, by.k, "keep_of")
     mine = noded.join(keep, (F.col("keep_of") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return mine.dropDuplicates(["keep_of", "doc_id"]).unionByName(noded.where("keep_of = 0")).drop("keep_of")
+    return whole(mine.dropDuplicates(["keep_of", "doc_id"]).unionByName(noded.where("keep_of = 0")))
 
 
 def op6_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import read, saved, shared_dir
+from corpuslab.llm.common import read, shared_dir, sheltered
 
 # The three base kinds, in the order in which equal starts are listed.
 ASSIGN = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -90,9 +90,11 @@ def scan(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "te
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``*``, and n_chars counted anew; null texts become empty."""
+    kind = docs.schema["n_chars"].dataType
+    docs, whole = sheltered(docs, "doc_id", "text", "n_chars")
     out = scan(docs, shared_dir(docs.sparkSession, "ledger"), with_text=True)
     out = out.withColumn("text", redact(F.col("text"), F.col("findings")))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return whole(out.withColumn("n_chars", F.length("text").cast(kind)))
 
 
 def listed(spans: Column) -> Column:

@@ -24,8 +24,8 @@ reruns agree.
 Edge cases: null or empty texts have no words and are never taken; a null
 source is a source of its own, last in order; null doc_ids and repeated rows
 are packed as rows of their own; an empty table gives empty results; extra
-columns are kept by ``pack`` unless they clash with its own names, which are
-``sid``, ``start`` and ``size``.
+columns of any name are kept by ``mixed_documents``; ``pack`` has ``sid``, ``start``
+and ``size`` of its own.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import let
-from corpuslab.llm.common import WORD, n_words, read, saved
+from corpuslab.llm.common import WORD, n_words, read, saved, sheltered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
@@ -64,8 +64,9 @@ def targets(sizes: list[int], weights=WEIGHTS, repeats: int = REPEATS) -> list[f
     return out
 
 
-def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Element-wise: the image of j under the pseudorandom permutation of 0..n-1 that ``key`` names."""
+def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """Element-wise: the image of j under the pseudorandom permutation of 0..n-1 that ``key`` names (or with ``back`` the place
+    whose image j is)."""
     half = np.ones(len(n), np.uint64)
     for _ in range(32):
         half = np.where((np.uint64(1) << (half + half)) < n.astype(np.uint64), half + np.uint64(1), half)
@@ -74,11 +75,13 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     at = np.arange(len(j))
     while len(at):
         left, right = x[at] >> half[at], x[at] & mask[at]
-        for r in range(4):
-            f = (right + key[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((r + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
+        for r in reversed(range(4)) if back else range(4):
+            f = ((left if back else right) + key[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                 + np.uint64((r + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
             f = (f ^ (f >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             f = (f ^ (f >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((f ^ (f >> np.uint64(31))) & mask[at])
+            f = (f ^ (f >> np.uint64(31))) & mask[at]
+            left, right = (right ^ f, left) if back else (right, left ^ f)
         x[at] = (left << half[at]) | right
         done = x[at] < n[at].astype(np.uint64)             # outside the range: walk on along the cycle
         out[at[done]] = x[at[done]].astype(np.int64)
@@ -117,8 +120,7 @@ def plan(sizes: list[int], goal: list[float], block: int = BLOCK, shards: int =
         turns, rest = divmod(t, n)
         turns = int(turns)
         # where in its last pass a source meets its short block
-        at = int(np.argmax(permuted(np.arange(blocks), np.full(blocks, blocks), np.full(blocks, _key(sid, turns, seed))) == blocks - 1)) \
-            if last < block and blocks <= 1 << 22 else blocks
+        at = int(permuted(*(np.array([x]) for x in (blocks - 1, blocks, _key(sid, turns, seed))), back=True)[0]) if last < block else blocks
         near = [q for q in range(max(0, int(rest // block) - 1), min(blocks, int(rest // block) + 3) + 1)]
         q = min(near, key=lambda q: abs(q * block - (block - last) * (q > at) - rest))
         need.append(turns * blocks + q)
@@ -189,6 +191,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 0
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``docs`` as the mix takes them: each text holds the words that were taken, block after block, as often as
     they were taken; documents of which nothing was taken are left out, and n_chars is counted anew."""
+    kind = docs.schema["n_chars"].dataType
+    docs, whole = sheltered(docs, "doc_id", "source", "text", "n_chars")
     _, mixed, _ = mix(docs, seed=seed)
     names, _ = _sources(docs)
     taken = mixed.groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("shard", "slot", "first_word", "n_taken"))).alias("mix_parts"))
@@ -198,7 +202,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
         F.transform(v["parts"], lambda p: F.array_join(
             F.slice(v["words"], p["first_word"].cast("int") + 1, p["n_taken"].cast("int")), " ")), " "))
     full = full.withColumn("text", text)
-    return full.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return whole(full.withColumn("n_chars", F.length("text").cast(kind)))
 
 
 def words(text: Column, first, n) -> Column:

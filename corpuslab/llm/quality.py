@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuslab.llm import linear
 from corpuslab.llm.common import read
-from corpuslab.llm.textnp import MUL, flat, shingles, slices, span_hashes, words
+from corpuslab.llm.textnp import MUL, flat, shingles, slices, word_hashes, words
 
 BITS = 12
 DIMS = 1 << BITS                # per family: word n-grams, character n-grams
@@ -106,7 +106,7 @@ def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
             part = some.slice(k, ROWS)
             buf, off = flat(part.column("text"))
             start, end, doc = words(buf, off)
-            yield part, buf, off, start, end, doc, span_hashes(buf, start, end)
+            yield part, buf, off, start, end, doc, word_hashes(buf, start, end)
 
 
 def base_failed(m: dict[str, np.ndarray]) -> np.ndarray:

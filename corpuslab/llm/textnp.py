@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -94,10 +95,23 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed((s[end] - s[start]) * _pow(n + 1, _INV)[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word that ``words`` gave.  Distinct words are told apart by their bytes and hashed by SipHash, so that no
+    arithmetic makes two different words collide (as it does for a polynomial modulo 2^64)."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    bounds = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=bounds[1:])
+    coded = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(buf[~_SPACE[buf]])]).dictionary_encode()
+    distinct = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False)
+    return distinct[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` consecutive items (k fewer one at the end)."""
     m = max(0, len(h) - k + 1)
     out = np.zeros(m, np.uint64)
     for j in range(k):
-        out = (out * np.uint64(MUL)) + h[j:j + m]
-    return mixed(out)
+        out = mixed(out * np.uint64(MUL) + h[j:j + m])
+    return out

@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuslab.llm import linear
-from corpuslab.llm.common import read
+from corpuslab.llm.common import read, scalar, sheltered
 from corpuslab.llm.textnp import MUL, flat, slices, tidy
 
 BITS = 18
@@ -114,22 +113,21 @@ def fit(cols: list[np.ndarray], y: np.ndarray, folds: int = 5) -> tuple[np.ndarr
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """``docs`` with the column score (0 to 1); a column of that name is replaced."""
     table = docs.sparkSession.sparkContext.broadcast(weights)  # DIMS doubles, whatever the input
-    docs = docs.drop("score")
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = table.value
-        for batch in batches:
-            for part in parts(batch):
-                row, col = grams(part.column("text"))
-                z = np.bincount(row, w[col], part.num_rows) + bias
-                yield pa.record_batch([*part.columns, pa.array(linear.sigmoid(z))], names=[*part.schema.names, "score"])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    def run(texts: pa.Array) -> pa.Array:
+        z = []
+        for part in parts(pa.record_batch([texts], ["text"])):
+            row, col = grams(part.column("text"))
+            z.append(np.bincount(row, table.value[col], part.num_rows) + bias)
+        return pa.array(linear.sigmoid(np.concatenate(z)) if z else np.zeros(0))
+    return docs.drop("score").withColumn("score", scalar(run, "double")(F.col("text")))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier calls toxic."""
-    return score(docs, *train(docs, labels)).where(F.col("score") < THRESHOLD).drop("score")
+    fitted = train(docs.select("doc_id", "text"), labels)
+    docs, whole = sheltered(docs, "doc_id", "text")
+    return whole(score(docs, *fitted).where(F.col("score") < THRESHOLD))
 
 
 def op2_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:

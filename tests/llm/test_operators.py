@@ -180,7 +180,7 @@ def test_bpe_is_the_library(docs, none):
     for r in rows():
         ids = p.lib.encode(r[1] or "")
         want[(r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(p.lib.decode(ids).encode()).hexdigest())] += 1
-    assert Counter(tuple(x) for x in bpe.encode_table(docs, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+    assert Counter(tuple(x) for x in bpe.encode_table(docs, more=()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
     assert bpe.encode_table(none).count() == 0
     r = random.Random(5)
     for _ in range(400):

@@ -9,7 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "secret_scans", "source_mixing", "sentencepiece"]
-    assert {q.split("_")[0] for q in QUERIES} == {"pipeline"} | {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {"pipeline"} | {f"op{n}" for n in range(1, 14)}
     assert set(ORACLES) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
 
 
