@@ -70,3 +70,28 @@ def fresh_dir(spark: SparkSession, sub: str) -> str:
     """A new, unique folder under the shared location (one per run)."""
     import uuid
     return shared_dir(spark, f"{sub}-{uuid.uuid4().hex[:12]}")
+
+
+def fitted_path(spark: SparkSession, name: str, sources: list[str], **settings) -> str:
+    """The shared folder for what this application fits to the Parquet files ``sources`` with ``settings``.
+
+    Files are told by path, size and time of change, so changed input never meets an old fit.
+    """
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+    seen = [tuple(r) for p in sources for r in spark.read.parquet(p).select(
+        "_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct().collect()]
+    key = json.dumps([spark.sparkContext.applicationId, sorted(seen), sorted(settings.items())])
+    return shared_dir(spark, f"{name}-{hashlib.sha256(key.encode()).hexdigest()[:24]}")
+
+
+def read_or_none(spark: SparkSession, path: str):
+    """The Parquet table at ``path``, or None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001 - told by its class of error
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
