@@ -18,6 +18,8 @@ from corpuslab.operators.ranking import exact_rank
 
 # Reserved ids of the word-level encoding.
 PAD_ID, UNK_ID, MASK_ID, FIRST_ID = 0, 1, 2, 3
+# Fixed value: the label of positions that a masked-language-model loss leaves out.
+IGNORE = -100
 MAX_DF_DIGITS = 12
 
 
@@ -81,11 +83,25 @@ def pad(ids, max_len: int) -> Column:
         .alias("attention_mask")))
 
 
-def mask_ids(ids, doc_id, prob: float = 0.15, seed: int = 42) -> Column:
-    """Masked-LM inputs: each non-pad position is replaced by MASK_ID when
-    md5('<doc>:<pos>:<seed>') maps below ``prob``."""
-    def u(i):
+def mask_ids(ids, doc_id, n_vocab: int, prob: float = 0.15, seed: int = 42) -> Column:
+    """Masked-LM examples as struct (masked, labels).
+
+    md5('<doc>:<pos>:<seed>') decides for each non-pad position whether it is
+    taken (probability ``prob``), and for a taken one what stands there: MASK_ID
+    (8 of 10), another id of the vocabulary's ``n_vocab`` (1 of 10), or what
+    stood there (1 of 10).  Labels hold the id of taken positions, IGNORE elsewhere.
+    """
+    def one(t, i):
         h = F.md5(F.concat(doc_id.cast("string"), F.lit(":"), i.cast("string"), F.lit(f":{seed}")))
-        return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16 ** 13))
-    return F.transform(ids, lambda t, i: F.when((t != PAD_ID) & (u(i) < prob), F.lit(MASK_ID).cast("bigint"))
-                       .otherwise(t))
+
+        def body(v):
+            digits = lambda a, n: F.conv(F.substring(v["h"], a, n), 16, 10)
+            u = (digits(1, 13).cast("double") + F.lit(0.5)) / F.lit(float(16 ** 13))
+            kind = digits(14, 7).cast("bigint")
+            other = F.lit(FIRST_ID).cast("bigint") + digits(21, 12).cast("bigint") % max(1, n_vocab)
+            taken = (v["t"] != PAD_ID) & (u < prob)
+            put = F.when(kind < 16 ** 7 * 8 // 10, F.lit(MASK_ID).cast("bigint")).when(kind < 16 ** 7 * 9 // 10, other).otherwise(v["t"])
+            return F.struct(F.when(taken, put).otherwise(v["t"]).alias("x"), F.when(taken, v["t"]).otherwise(F.lit(IGNORE).cast("bigint")).alias("y"))
+        return tx.let({"h": h, "t": t}, body)
+    return tx.let({"m": F.transform(ids, one)}, lambda v: F.struct(
+        F.transform(v["m"], lambda s: s["x"]).alias("masked"), F.transform(v["m"], lambda s: s["y"]).alias("labels")))

@@ -527,10 +527,19 @@ FROM ids_out a JOIN labels_out b ON a.identifier = b.identifier""")
 UMASK = ("((('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR) || ':42'), 1, 13))::BIGINT)::DOUBLE"
          " + 0.5) / 4503599627370496.0")
 oracle("mask_examples", ENC + f"""
-, mk AS (SELECT doc_id, list_transform(input_ids, lambda t, i: CASE WHEN t <> 0 AND {UMASK} < 0.15 THEN 2::BIGINT ELSE t END) AS masked
-         FROM padded)
-SELECT doc_id, CAST(len(list_filter(masked, lambda t: t = 2)) AS BIGINT) AS n_masked,
-  md5(array_to_string(masked, ' ')) AS masked_md5 FROM mk""")
+, n AS (SELECT count(*) AS n_vocab FROM vocab),
+pos AS (SELECT doc_id, unnest(range(1, 1025)) AS i, unnest(input_ids) AS t FROM padded),
+h AS (SELECT doc_id, i, t, md5(CAST(doc_id AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR) || ':42') AS h, t <> 0 AND {UMASK} < 0.15 AS taken FROM pos),
+x AS (
+  SELECT doc_id, i, CASE WHEN taken THEN t ELSE -100 END AS y, CASE WHEN NOT taken THEN t
+    WHEN ('0x' || substr(h, 14, 7))::BIGINT < 214748364 THEN 2
+    WHEN ('0x' || substr(h, 14, 7))::BIGINT < 241591910 THEN 3 + ('0x' || substr(h, 21, 12))::BIGINT % n_vocab
+    ELSE t END AS x FROM h, n)
+SELECT doc_id, CAST(count(*) FILTER (y <> -100 AND x = 2) AS BIGINT) AS n_masked,
+  CAST(count(*) FILTER (y <> -100 AND x <> 2 AND x <> y) AS BIGINT) AS n_replaced,
+  CAST(count(*) FILTER (y <> -100 AND x <> 2 AND x = y) AS BIGINT) AS n_kept,
+  md5(string_agg(CAST(x AS VARCHAR), ' ' ORDER BY i)) AS masked_md5, md5(string_agg(CAST(y AS VARCHAR), ' ' ORDER BY i)) AS labels_md5
+FROM x GROUP BY doc_id""")
 
 
 # --- 2.1 / 2.2 ------------------------------------------------------------------

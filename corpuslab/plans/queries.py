@@ -666,10 +666,16 @@ def q_encode_pad(spark, sf):
 
 @query("mask_examples")
 def q_mask_examples(spark, sf):
+    """Masked-language-model examples: how many positions were masked, replaced and kept, and digests of inputs and labels."""
+    n_vocab = fixed_vocab(spark, sf).count()
     e = encoded(spark, sf)
-    m = e.select("doc_id", vc.mask_ids(F.col("input_ids"), F.col("doc_id")).alias("masked"))
-    return m.select("doc_id", F.size(F.filter("masked", lambda t: t == vc.MASK_ID)).cast("bigint").alias("n_masked"),
-                    F.md5(F.array_join(F.col("masked").cast("array<string>"), " ")).alias("masked_md5"))
+    m = e.select("doc_id", vc.mask_ids(F.col("input_ids"), F.col("doc_id"), n_vocab).alias("m")).select("doc_id", "m.*")
+    both = F.zip_with("masked", "labels", lambda x, y: F.when(y == vc.IGNORE, F.lit(0)).when(x == vc.MASK_ID, F.lit(1)).when(x == y, F.lit(3)).otherwise(F.lit(2)))
+    n = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("bigint")
+    return m.withColumn("kinds", both).select(
+        "doc_id", n(1).alias("n_masked"), n(2).alias("n_replaced"), n(3).alias("n_kept"),
+        F.md5(F.array_join(F.col("masked").cast("array<string>"), " ")).alias("masked_md5"),
+        F.md5(F.array_join(F.col("labels").cast("array<string>"), " ")).alias("labels_md5"))
 
 
 @query("assignment_audit")
@@ -912,30 +918,33 @@ def lda_docs(spark, sf):
     return tp.text_tokens(v, "description", "class")
 
 
+def lda_blocks(spark, sf):
+    return tp.doc_blocks(lda_docs(spark, sf))
+
+
 def lda_model(spark, sf):
-    return tp.lda_fit(lda_docs(spark, sf), k=5, seed=42, max_iter=20)
+    """The topic model of the descriptions, fitted once for all queries on the same files."""
+    return tp.stored_fit(spark, [f"{sf}/documents.parquet"], lambda: lda_blocks(spark, sf), k=5, seed=42)
 
 
 def clustering_features(spark, sf):
     """clustering_feature: topic class of the text, type-token redundancy, coherence
     of the first 10 sentences, text words and sentences (999 where undefined)."""
     docs = lda_docs(spark, sf)
-    model = tp.lda_fit(docs)
-    t = tp.topic_distribution(model, docs)
-    p = mt.length_features_text(mt.prepare(t, summary=None))
-    out = p.select("identifier", tp.topic_class("topics").alias("topic_class"),
-                   mt.redundancy_ttr(F.col("tokens")).alias("redundancy"),
-                   mt.coherence(F.col("d_sent"), first_k=10).alias("semantic_coherence"),
-                   "desc_words", "desc_sents")
+    t = tp.topic_distribution(lda_model(spark, sf), lda_blocks(spark, sf))
+    p = mt.length_features_text(mt.prepare(docs, summary=None))
+    out = p.join(t, "identifier").select("identifier", tp.topic_class("topics").alias("topic_class"),
+                                         mt.redundancy_ttr(F.col("tokens")).alias("redundancy"),
+                                         mt.coherence(F.col("d_sent"), first_k=10).alias("semantic_coherence"),
+                                         "desc_words", "desc_sents")
     return flt.with_sentinels(out, ["redundancy"])
 
 
 @query("lda_fit")
 def q_lda_fit(spark, sf):
     model = lda_model(spark, sf)
-    lda = model.stages[-1]
-    return spark.createDataFrame([(lda.getK(), len(model.stages[0].vocabulary), float(lda.logPerplexity(
-        model.stages[0].transform(lda_docs(spark, sf)))))], "k int, vocab_size int, log_perplexity double")
+    n, perplexity = tp.log_perplexity(model, lda_blocks(spark, sf))
+    return spark.createDataFrame([(model.k, n, perplexity)], "k int, vocab_size int, log_perplexity double")
 
 
 @query("lda_topics")
@@ -945,25 +954,21 @@ def q_lda_topics(spark, sf):
 
 @query("topic_distribution")
 def q_topic_distribution(spark, sf):
-    docs = lda_docs(spark, sf)
-    t = tp.topic_distribution(tp.lda_fit(docs), docs)
-    return t.select("identifier", "topics")
+    return tp.topic_distribution(lda_model(spark, sf), lda_blocks(spark, sf))
 
 
 @query("topic_class")
 def q_topic_class(spark, sf):
-    docs = lda_docs(spark, sf)
-    t = tp.topic_distribution(tp.lda_fit(docs), docs)
+    t = tp.topic_distribution(lda_model(spark, sf), lda_blocks(spark, sf))
     return t.select("identifier", tp.topic_class("topics").alias("topic_class"))
 
 
 @query("topic_similarity")
 def q_topic_similarity(spark, sf):
-    docs = lda_docs(spark, sf)
-    model = tp.lda_fit(docs)
-    summ = tp.text_tokens(docs.drop("tokens"), "summary", "class")
-    ts = tp.topic_distribution(model, summ).select("identifier", F.col("topics").alias("s_topics"))
-    td = tp.topic_distribution(model, docs).select("identifier", F.col("topics").alias("d_topics"))
+    model = lda_model(spark, sf)
+    summ = tp.text_tokens(lda_docs(spark, sf).drop("tokens"), "summary", "class")
+    ts = tp.topic_distribution(model, tp.doc_blocks(summ)).select("identifier", F.col("topics").alias("s_topics"))
+    td = tp.topic_distribution(model, lda_blocks(spark, sf)).select("identifier", F.col("topics").alias("d_topics"))
     return ts.join(td, "identifier").select("identifier", tp.topic_similarity("s_topics", "d_topics")
                                             .alias("topic_similarity"))
 
@@ -1019,15 +1024,26 @@ def q_model_store(spark, sf):
 
 # --- 2.9 subword vocabulary, batch apply ----------------------------------------
 
-BPE_ROUNDS = 50
+def subword_vocabulary(spark, sf):
+    """The 25,000-entry vocabulary of the documents, learned once for all queries on the same files."""
+    source = f"{sf}/documents.parquet"
+    return sw.stored_vocabulary(spark, [source], lambda: tb.text_column_source(spark, source, "text"))
 
 
 @query("bpe_vocabulary")
 def q_bpe_vocabulary(spark, sf):
-    shared_dir(spark, "")
-    words = sw.word_table(tb.text_column_source(spark, f"{sf}/documents.parquet", "text")).checkpoint(eager=True)
-    merges = sw.learn_merges(words, BPE_ROUNDS)
-    return spark.createDataFrame(merges, "round int, left string, right string, count long")
+    return subword_vocabulary(spark, sf).select("id", "kind", "token", "left", "right", "count")
+
+
+@query("encode_pad_subword")
+def q_encode_pad_subword(spark, sf):
+    """Training inputs of the viable cases with learned subwords: descriptions cut and padded to 1024 ids, summaries to 256."""
+    v = viable(spark, sf).select("identifier", "description", "summary")
+    e = sw.encode_pad(v, {"ids": ("description", 1024), "labels": ("summary", 256)}, *sw.load_vocabulary(subword_vocabulary(spark, sf)))
+    of = lambda c: [F.size(F.col(c)["input_ids"]).cast("bigint").alias(f"n_{c}"),
+                    F.aggregate(F.col(c)["attention_mask"], F.lit(0).cast("bigint"), lambda a, x: a + x).alias(f"n_{c}_real"),
+                    F.md5(F.array_join(F.col(c)["input_ids"].cast("array<string>"), " ")).alias(f"{c}_md5")]
+    return e.select("identifier", *of("ids"), *of("labels"))
 
 
 def lead_summary(texts: pd.Series, max_words: int = 150) -> pd.Series:
