@@ -18,6 +18,7 @@ from corpuslab.functions import rouge as rg
 from corpuslab.functions import text as tx
 from corpuslab.operators import aggregates as agg
 from corpuslab.operators import cluster as cl
+from corpuslab.operators import continuation as ct
 from corpuslab.operators import filters as flt
 from corpuslab.operators import joins as jn
 from corpuslab.operators import metrics as mt
@@ -445,6 +446,30 @@ def q_coherence(spark, sf):
     return p.select("identifier", mt.coherence(F.col("s_sent")).alias("semantic_coherence"))
 
 
+def continuation_examples(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", tx.sentences("text").alias("sents"))
+    return ct.examples(d, "doc_id", "sents")
+
+
+def continuation_scorer(spark, sf):
+    """The sentence-continuation scorer of the documents, fitted once for all queries on the same files."""
+    return ct.stored_fit(spark, [f"{sf}/documents.parquet"], lambda: continuation_examples(spark, sf), steps=ct.STEPS)
+
+
+@query("coherence_learned")
+def q_coherence_learned(spark, sf):
+    """Mean learned continuation score over the summary's neighbouring sentences (``coherence`` has the scorer that SQL can express)."""
+    p = mt.prepare(viable(spark, sf))
+    score = ct.coherence(spark, *continuation_scorer(spark, sf))
+    return p.select("identifier", score(F.col("s_sent")).alias("semantic_coherence"))
+
+
+@query("coherence_scorer_quality")
+def q_coherence_scorer_quality(spark, sf):
+    """Held-out area under the curve of the learned scorer and of the share of common words."""
+    return ct.evaluate(continuation_examples(spark, sf), *continuation_scorer(spark, sf))
+
+
 @query("coherence_top10")
 def q_coherence_top10(spark, sf):
     p = mt.prepare(viable(spark, sf), summary=None)
