@@ -51,30 +51,33 @@ def _sentences(text: str) -> list[list[str]]:
     return [" ".join(p.split()).split(" ") for p in text.split(".") if len(p) > 0]
 
 
-def lcs_table(x: list[str], y: list[str]) -> list[list[int]]:
-    """LCS length table (plain lists: faster than numpy for sentence-sized inputs)."""
-    t = [[0] * (len(y) + 1)]
-    for xi in x:
-        prev, row = t[-1], [0]
-        for j, yj in enumerate(y, 1):
-            row.append(prev[j - 1] + 1 if xi == yj else (prev[j] if prev[j] > row[j - 1] else row[j - 1]))
-        t.append(row)
-    return t
-
-
 def lcs_words(x: list[str], y: list[str]) -> set[str]:
     """Words on one LCS path (back-trace: diagonal on a match, else up when
-    strictly larger, else left)."""
-    t = lcs_table(x, y)
-    i, j, out = len(x), len(y), set()
-    while i > 0 and j > 0:
-        if x[i - 1] == y[j - 1]:
-            out.add(x[i - 1])
+    strictly larger, else left).
+
+    A row of the length table is one integer: bit j is clear where the row grows
+    between columns j and j + 1.  A row follows from the one above with an
+    addition, and the back-trace needs only these bits: without a match the way
+    up is strictly larger just where the row grows.
+    """
+    places: dict[str, int] = {}
+    for j, w in enumerate(y):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    v, rows = full, []
+    for w in x:
+        u = v & places.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    i, j, out = len(x) - 1, len(y) - 1, set()
+    while i >= 0 and j >= 0:
+        if x[i] == y[j]:
+            out.add(x[i])
             i, j = i - 1, j - 1
-        elif t[i - 1][j] > t[i][j - 1]:
-            i -= 1
-        else:
+        elif rows[i] >> j & 1:
             j -= 1
+        else:
+            i -= 1
     return out
 
 
@@ -103,76 +106,92 @@ def rouge_l(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([rouge_l_text(h, r) for h, r in zip(hyp, ref)], dtype="float64")
 
 
-# --- sentence-pair ROUGE-L, vectorised over all pairs of one document -------
-PAIR_BATCH = 4096
+# --- sentence-pair ROUGE-L, vectorised over the pairs of one document -------
+#: Bytes that the tables of a batch of pairs may take.
+BATCH_BYTES = 32 << 20
 
 
-def _ids(sents: list[list[str]]):
-    vocab: dict[str, int] = {}
-    return [[vocab.setdefault(w, len(vocab)) for w in s] for s in sents], len(vocab)
-
+def _path_words(X: np.ndarray, Y: np.ndarray, lx: np.ndarray, ly: np.ndarray) -> np.ndarray:
+    """Distinct reference words on the back-traced LCS path of every pair.
 
-def _lcs_set_sizes(X: np.ndarray, Y: np.ndarray, lx: np.ndarray, ly: np.ndarray, vsize: int) -> np.ndarray:
-    """Distinct reference words on the back-traced LCS path, for a batch of pairs.
-
-    X (p, mx) reference ids padded with -1, Y (p, my) hypothesis ids padded with -2.
-    The table is laid out (i, j, pair) so every cell update is one contiguous
-    vector operation across the batch."""
+    X (pairs, mx) reference ids padded with -1, Y (pairs, my) hypothesis ids padded
+    with -2.  As in ``lcs_words`` a row of a pair's length table is a bit
+    vector, here of 64-bit words whose additions carry over.
+    """
     p, mx = X.shape
     my = Y.shape[1]
-    T = np.zeros((mx + 1, my + 1, p), dtype=np.int32)
-    Yt = Y.T
-    for i in range(1, mx + 1):
-        eq = X[:, i - 1][None, :] == Yt          # (my, p)
-        prev, row = T[i - 1], T[i]
-        for j in range(1, my + 1):
-            row[j] = np.where(eq[j - 1], prev[j - 1] + 1, np.maximum(prev[j], row[j - 1]))
-    seen = np.zeros((p, vsize + 1), dtype=bool)
-    i, j = lx.copy(), ly.copy()
-    rows = np.arange(p)
-    active = (i > 0) & (j > 0)
-    while active.any():
-        a = rows[active]
-        ia, ja = i[a], j[a]
-        xw, yw = X[a, ia - 1], Y[a, ja - 1]
-        match = xw == yw
-        seen[a[match], xw[match]] = True
-        up = ~match & (T[ia - 1, ja, a] > T[ia, ja - 1, a])
-        left_ = ~match & ~up
-        i[a[match | up]] -= 1
-        j[a[match | left_]] -= 1
-        active = (i > 0) & (j > 0)
-    return seen.sum(axis=1).astype(np.float64)
+    n_words = (my + 63) // 64
+    one = np.uint64(1)
+    V = np.full((n_words, p), ~np.uint64(0))
+    rows = np.empty((mx, n_words, p), np.uint64)
+    padded = np.zeros((p, n_words * 64), np.uint8)
+    for i in range(mx):
+        padded[:, :my] = Y == X[:, i:i + 1]
+        M = np.packbits(padded, axis=1, bitorder="little").view("<u8").T
+        carry = np.zeros(p, np.uint64)
+        for k in range(n_words):
+            v = V[k]
+            u = v & M[k]
+            t = v + u
+            total = t + carry
+            carry = ((t < v) | (total < t)).astype(np.uint64)
+            V[k] = total | (v & ~M[k])
+        rows[i] = V
+    on_path = np.zeros((p, mx), bool)
+    i, j = lx - 1, ly - 1
+    live = np.flatnonzero((i >= 0) & (j >= 0))
+    while len(live):
+        a, b = i[live], j[live]
+        match = X[live, a] == Y[live, b]
+        stay = (rows[a, b >> 6, live] >> (b & 63).astype(np.uint64)) & one == one      # the row does not grow here: left
+        on_path[live[match], a[match]] = True
+        i[live[match | ~stay]] -= 1
+        j[live[match | stay]] -= 1
+        live = live[(i[live] >= 0) & (j[live] >= 0)]
+    # a word is on the path if any of its places is
+    ids = np.sort(np.where(on_path, X, -1), axis=1)
+    return ((ids >= 0) & np.c_[np.ones((p, 1), bool), ids[:, 1:] != ids[:, :-1]]).sum(1).astype(np.float64)
 
 
 def pair_rouge_l(words: list[list[str]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """ROUGE-L F of every pair (hyp = words[left[p]], ref = words[right[p]]) of
-    single-part sentences, vectorised over pairs: pairs are sorted by length
-    and cut into batches, the LCS table of a batch is filled cell by cell
-    across the pair axis, and the back-trace (diagonal on a match, else up when
-    strictly larger, else left) marks the reference words on the path."""
-    ids, vsize = _ids(words)
+    single-part sentences: pairs are sorted by length and cut into batches whose
+    tables take at most ``BATCH_BYTES`` (or are a single pair's)."""
+    vocab: dict[str, int] = {}
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in s], np.int32) for s in words]
     lens = np.array([len(v) for v in ids])
-    distinct = np.array([len(set(v)) for v in ids], dtype=np.float64)
+    distinct = np.array([len(set(v.tolist())) for v in ids], dtype=np.float64)
+    at = np.r_[0, np.cumsum(lens)]
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     order = np.lexsort((lens[left], lens[right]))
     out = np.empty(len(left), dtype=np.float64)
-    for s in range(0, len(order), PAIR_BATCH):
-        idx = order[s:s + PAIR_BATCH]
+
+    def rows_of(which: np.ndarray, pad: int) -> np.ndarray:
+        n = lens[which]
+        made = np.full((len(which), int(n.max())), pad, np.int32)
+        cell = np.arange(made.shape[1])[None, :] < n[:, None]
+        made[cell] = flat[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return made
+    start = 0
+    while start < len(order):
+        size = len(order) - start
+        while True:
+            idx = order[start:start + size]
+            mx, my = int(lens[right[idx]].max()), int(lens[left[idx]].max())
+            most = max(1, BATCH_BYTES // (mx * ((my + 63) // 64 * 8 + 5) + my * 6 + 64))
+            if size <= most:
+                break
+            size = min(most, size - 1) if most < size else most
         li, ri = left[idx], right[idx]
-        lx, ly = lens[ri], lens[li]
-        X = np.full((len(idx), int(lx.max())), -1, dtype=np.int64)
-        Y = np.full((len(idx), int(ly.max())), -2, dtype=np.int64)
-        for k in range(len(idx)):
-            X[k, :lx[k]] = ids[ri[k]]
-            Y[k, :ly[k]] = ids[li[k]]
-        hits = _lcs_set_sizes(X, Y, lx, ly, vsize)
+        hits = _path_words(rows_of(ri, -1), rows_of(li, -2), lens[ri], lens[li])
         r, pr = hits / distinct[ri], hits / distinct[li]
         out[idx] = 2.0 * ((pr * r) / (pr + r + EPS))
+        start += size
     return out
 
 
-def _parts(sentence: str) -> list[list[str]]:
-    return _sentences(sentence)
+#: Pairs of different sentences that are formed at once.
+PAIRS_AT_ONCE = 1 << 18
 
 
 def redundancy_pairs(sents, ordered_unequal: bool = False) -> float | None:
@@ -181,31 +200,53 @@ def redundancy_pairs(sents, ordered_unequal: bool = False) -> float | None:
     unordered (default): pairs i < j; one sentence -> 0.0; no sentence, or a
     sentence without words (just '.'), -> None (the reference's 999).
     ordered_unequal: all ordered pairs with different text; none -> 998.0.
+
+    Equal sentences are scored once: an ordered pair of different texts counts as
+    often as its texts stand in that order (or in any, for the ordered mean),
+    a text against itself as often as two of its copies do.  References are
+    taken some at a time, so memory does not grow with the number of pairs.
     """
     sents = list(sents) if sents is not None else []
     if not sents:
         return None
-    parts = [_parts(s) for s in sents]
+    codes, texts = pd.factorize(np.array(sents, dtype=object))
+    parts = [_sentences(s) for s in texts]
     if any(len(p) == 0 for p in parts):
         return None
     if not ordered_unequal and len(sents) == 1:
         return 0.0
-    n = len(sents)
-    a, b = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
-    if ordered_unequal:
-        codes = pd.factorize(pd.Series(sents))[0]
-        keep = codes[:, None] != codes[None, :]
-    else:
-        keep = a < b
-    left, right = a[keep], b[keep]
-    if len(left) == 0:
+    d, n = len(texts), len(sents)
+    copies = np.bincount(codes, minlength=d)
+    single = np.array([len(p) == 1 for p in parts])
+    words = [p[0] for p in parts]
+    pairs = int(n * n - (copies * copies).sum()) if ordered_unequal else n * (n - 1) // 2
+    if not pairs:
         return 998.0
-    if len(left) > 64 and all(len(p) == 1 for p in parts):
-        words = [p[0] for p in parts]
-        scores = pair_rouge_l(words, left, right)
-    else:  # multi-part sentences: the summary-level definition, pair by pair
-        scores = np.array([rouge_l_text(sents[x], sents[y]) for x, y in zip(left, right)])
-    return round(float(scores.sum() / len(scores)), 4)
+    total = 0.0
+    if not ordered_unequal:
+        for k in np.flatnonzero(copies > 1):
+            total += copies[k] * (copies[k] - 1) / 2 * rouge_l_text(texts[k], texts[k])
+    some = max(1, PAIRS_AT_ONCE // d)
+    for first in range(0, d, some):
+        refs = np.arange(first, min(d, first + some))
+        if ordered_unequal:
+            weight = copies[:, None] * copies[refs][None, :]
+        else:                                              # how often a text stands before a reference's text
+            weight, before = np.zeros((d, len(refs)), np.int64), np.zeros(d, np.int64)
+            for c in codes.tolist():
+                if first <= c < first + len(refs):
+                    weight[:, c - first] += before
+                before[c] += 1
+        weight[refs, np.arange(len(refs))] = 0
+        left, right = np.nonzero(weight)
+        w = weight[left, right]
+        right = refs[right]
+        fast = single[left] & single[right]
+        if fast.any():
+            total += float((pair_rouge_l(words, left[fast], right[fast]) * w[fast]).sum())
+        for x, y, m in zip(left[~fast], right[~fast], w[~fast]):   # several parts: the summary-level definition
+            total += m * rouge_l_text(texts[x], texts[y])
+    return round(total / pairs, 4)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -13,13 +13,29 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 
-# Largest lookup table (rows) broadcast after a size check.
-BROADCAST_LOOKUP_ROWS = 5_000_000
+# Largest lookup table that is broadcast, in bytes of its keys and rows as measured.
+LOOKUP_BYTES = 64 << 20
+# Beyond it, a token is hot if it is on at least this share of all positions, so there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_LOOKUP_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a count proves it small; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def lookup(tokens: DataFrame, table: DataFrame, how: str = "inner", key: str = "token", most_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """Join exploded tokens with a lookup table of any size on ``key`` (inner, left, left_semi or left_anti).
+
+    A table measured to take at most ``most_bytes`` is broadcast.  Beyond that only
+    its rows of the hot tokens are (found by an exact count, summed per task
+    first), so a token on a third of all positions stays in the tasks it is in;
+    the other positions are shuffled to the table, where none of them is heavy.
+    """
+    size = table.agg(F.sum(F.octet_length(F.col(key)) + 16 * len(table.columns))).first()[0] or 0
+    if size <= most_bytes:
+        return tokens.join(F.broadcast(table), key, how)
+    counts = tokens.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
+    hot = [r[key] for r in counts.where(F.col("n") >= max(1.0, least)).select(key).collect()]
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    near = tokens.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how)
+    return near.unionByName(tokens.where(~is_hot).join(table.where(~is_hot), key, how))
 
 
 def split_join(cases: DataFrame, split_map: DataFrame, key: str = "identifier") -> DataFrame:
@@ -88,8 +104,7 @@ def explode_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
 
 def keep_in_vocabulary(tokens: DataFrame, vocab: DataFrame, how: str = "left_semi") -> DataFrame:
     """Semi (keep) or anti (drop) join of exploded tokens against a vocabulary."""
-    v = maybe_broadcast(vocab.select("token"))
-    return tokens.join(v, "token", how)
+    return lookup(tokens, vocab.select("token"), how)
 
 
 def equal_pair_stats(sents):

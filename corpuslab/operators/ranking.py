@@ -29,7 +29,16 @@ def hex_bucket(key_col: str, digits: int = 3) -> Column:
     return F.substring(F.col(key_col), 1, digits)
 
 
-def _offsets(df: DataFrame, parts: list[str], bucket: str, value: Column | None) -> DataFrame:
+GROUP = "_group"
+
+
+def _grouped(df: DataFrame, parts: list[str], bucket: Column) -> DataFrame:
+    """``df`` with its (partition, bucket) as one struct column.  A struct with NULLs inside equals another with NULLs in the
+    same places, so the window and the join below deal the rows by the same key: one exchange for both."""
+    return df.withColumn(GROUP, F.struct(*[F.col(p).alias(f"p{i}") for i, p in enumerate(parts)], bucket.alias("bucket")))
+
+
+def _offsets(df: DataFrame, n_parts: int, value: Column | None) -> DataFrame:
     """Per (partition, bucket): total and offset (sum of the earlier buckets).
 
     The table is small (#partitions x #buckets rows) and is checkpointed to the
@@ -39,20 +48,12 @@ def _offsets(df: DataFrame, parts: list[str], bucket: str, value: Column | None)
     from corpuslab.session import shared_dir
     shared_dir(df.sparkSession, "")
     agg = F.count(F.lit(1)) if value is None else F.sum(value)
-    per = df.groupBy(*parts, bucket).agg(agg.alias("_bucket_total"))
-    w = W.partitionBy(*parts).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    out = per.select(*parts, bucket, "_bucket_total",
-                     F.coalesce(F.sum("_bucket_total").over(w), F.lit(0)).alias("_offset"))
+    per = df.groupBy(GROUP).agg(agg.alias("_bucket_total"))
+    w = W.partitionBy(*[F.col(GROUP)[f"p{i}"] for i in range(n_parts)]).orderBy(F.col(GROUP)["bucket"]).rowsBetween(W.unboundedPreceding, -1)
+    out = per.select(GROUP, "_bucket_total", F.coalesce(F.sum("_bucket_total").over(w), F.lit(0)).alias("_offset"))
     return out.checkpoint(eager=True)
 
 
-def _attach(df: DataFrame, offs: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the offsets on; NULL classes and keys have offsets of their own, so no row is lost."""
-    offs = offs.select("_offset", *[F.col(k).alias(f"_of_{k}") for k in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return df.join(offs, on, "inner").drop(*[f"_of_{k}" for k in keys])
-
-
 def exact_rank(df: DataFrame, key_col: str, parts: list[str] | None = None,
                bucket: Column | None = None, out: str = "rank", with_sizes: bool = False):
     """Add ``out`` = 1-based rank of ``key_col`` inside ``parts`` (ties broken arbitrarily).
@@ -61,16 +62,14 @@ def exact_rank(df: DataFrame, key_col: str, parts: list[str] | None = None,
     per-bucket pass (no extra read of the input).
     """
     parts = list(parts or [])
-    b = "_bucket"
-    df = df.withColumn(b, bucket if bucket is not None else hex_bucket(key_col))
-    offs = _offsets(df, parts, b, None)
-    inner = F.row_number().over(W.partitionBy(*parts, b).orderBy(key_col))
-    ranked = df.withColumn("_inner", inner)
-    ranked = _attach(ranked, offs, parts + [b])
-    ranked = ranked.withColumn(out, (F.col("_offset") + F.col("_inner")).cast("bigint")).drop(b, "_inner", "_offset")
+    df = _grouped(df, parts, bucket if bucket is not None else hex_bucket(key_col))
+    offs = _offsets(df, len(parts), None)
+    ranked = df.withColumn("_inner", F.row_number().over(W.partitionBy(GROUP).orderBy(key_col)))
+    ranked = ranked.join(offs.select(GROUP, "_offset"), GROUP)
+    ranked = ranked.withColumn(out, (F.col("_offset") + F.col("_inner")).cast("bigint")).drop(GROUP, "_inner", "_offset")
     if not with_sizes:
         return ranked
-    sizes = offs.groupBy(*parts).agg(F.sum("_bucket_total").cast("bigint").alias("n"))
+    sizes = offs.groupBy(*[F.col(GROUP)[f"p{i}"].alias(p) for i, p in enumerate(parts)]).agg(F.sum("_bucket_total").cast("bigint").alias("n"))
     return ranked, sizes
 
 
@@ -78,13 +77,11 @@ def exact_running_sum(df: DataFrame, key_col: str, value_col: str, parts: list[s
                       bucket: Column | None = None, out: str = "running") -> DataFrame:
     """Add ``out`` = sum of ``value_col`` over rows with key <= this row's key (rows order)."""
     parts = list(parts or [])
-    b = "_bucket"
-    df = df.withColumn(b, bucket if bucket is not None else hex_bucket(key_col))
-    offs = _offsets(df, parts, b, F.col(value_col))
-    w = W.partitionBy(*parts, b).orderBy(key_col).rowsBetween(W.unboundedPreceding, 0)
-    ranked = df.withColumn("_inner", F.sum(value_col).over(w))
-    ranked = _attach(ranked, offs, parts + [b])
-    return ranked.withColumn(out, F.col("_offset") + F.col("_inner")).drop(b, "_inner", "_offset")
+    df = _grouped(df, parts, bucket if bucket is not None else hex_bucket(key_col))
+    offs = _offsets(df, len(parts), F.col(value_col))
+    w = W.partitionBy(GROUP).orderBy(key_col).rowsBetween(W.unboundedPreceding, 0)
+    ranked = df.withColumn("_inner", F.sum(value_col).over(w)).join(offs.select(GROUP, "_offset"), GROUP)
+    return ranked.withColumn(out, F.col("_offset") + F.col("_inner")).drop(GROUP, "_inner", "_offset")
 
 
 def range_bucket(df: DataFrame, col: str, n_buckets: int = 4096) -> Column:

@@ -2,9 +2,8 @@
 
 The token table is the only large input.  Counting is a ``groupBy`` with a
 map-side combine; the vocabulary gets term ids from an exact two-pass rank
-(no single-task sort); lookups join exploded tokens to the vocabulary, with a
-broadcast only when a count proves the vocabulary small, otherwise a shuffle
-join that AQE's skew handling splits for very frequent tokens.
+(no single-task sort); lookups join exploded tokens to the vocabulary, which is
+broadcast only if its measured bytes are few, otherwise by its hot tokens only.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
-from corpuslab.operators.joins import maybe_broadcast
+from corpuslab.operators.joins import lookup
 from corpuslab.operators.ranking import exact_rank
 
 # Reserved ids of the word-level encoding.
@@ -54,7 +53,7 @@ def doc_term_counts(docs: DataFrame, id_col: str, tokens_col: str, vocab: DataFr
     """(doc, token, term_id, n) against a fixed vocabulary; unknown tokens dropped."""
     counts = (docs.select(id_col, F.explode(tokens_col).alias("token"))
               .groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
-    return counts.join(maybe_broadcast(vocab.select("token", "term_id")), "token", "inner")
+    return lookup(counts, vocab.select("token", "term_id"))
 
 
 def encode_ids(docs: DataFrame, id_col, tokens_col: str, vocab: DataFrame, max_len: int) -> DataFrame:
@@ -68,7 +67,7 @@ def encode_ids(docs: DataFrame, id_col, tokens_col: str, vocab: DataFrame, max_l
     t = docs.select(*keys, F.slice(tokens_col, 1, max_len).alias("_t"))
     # posexplode_outer keeps rows without tokens (one row, NULL token).
     ex = t.select(*keys, F.posexplode_outer("_t").alias("pos", "token"))
-    j = ex.join(maybe_broadcast(vocab.select("token", "term_id")), "token", "left")
+    j = lookup(ex, vocab.select("token", "term_id"), "left")
     item = F.when(F.col("token").isNotNull(),
                   F.struct("pos", F.coalesce("term_id", F.lit(UNK_ID)).cast("bigint").alias("id")))
     ids = j.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_p"))

@@ -719,7 +719,7 @@ def q_assignment_audit(spark, sf):
 def built_archives(spark, sf):
     """Month archives derived from the cases table, written to a fresh shared folder."""
     root = fresh_dir(spark, "archives")
-    ar.write_archives(ar.case_xml(fx.cases(spark, sf)), root).collect()
+    ar.write_archives(ar.case_xml(fx.cases(spark, sf)), root)
     return root
 
 
@@ -907,7 +907,7 @@ def q_format_compare(spark, sf):
 @query("fragments")
 def q_fragments(spark, sf):
     p = mt.prepare(viable(spark, sf))
-    f = p.select("identifier", fr.fragments("s_tok", "d_tok").alias("frags"))
+    f = tb.spread(p.select("identifier", "s_tok", "d_tok")).select("identifier", fr.fragments("s_tok", "d_tok").alias("frags"))
     return f.select("identifier", F.size("frags").cast("bigint").alias("n_fragments"),
                     F.aggregate("frags", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x)).alias("n_tokens"),
                     F.md5(F.array_join(F.transform("frags", lambda x: F.array_join(x, " ")), "|")).alias("frags_md5"))
@@ -916,21 +916,21 @@ def q_fragments(spark, sf):
 @query("redundancy_rouge")
 def q_redundancy_rouge(spark, sf):
     p = mt.prepare(viable(spark, sf))
-    out = p.select("identifier", rg.redundancy_rouge("s_sent").alias("redundancy"))
+    out = tb.spread(p.select("identifier", "s_sent")).select("identifier", rg.redundancy_rouge("s_sent").alias("redundancy"))
     return flt.with_sentinels(out, ["redundancy"])
 
 
 @query("redundancy_ordered")
 def q_redundancy_ordered(spark, sf):
     p = mt.prepare(viable(spark, sf), summary=None)
-    out = p.select("identifier", rg.redundancy_ordered("d_sent").alias("redundancy"))
+    out = tb.spread(p.select("identifier", "d_sent")).select("identifier", rg.redundancy_ordered("d_sent").alias("redundancy"))
     return flt.with_sentinels(out, ["redundancy"])
 
 
 @query("rouge_l")
 def q_rouge_l(spark, sf):
     p = fx.pairs(spark, sf).withColumn("hyp", tx.strip_markers("c_summary"))
-    return p.select("conv_id", "turn", F.round(rg.rouge_l("hyp", "ref"), 6).alias("rouge_l"))
+    return tb.spread(p.select("conv_id", "turn", "hyp", "ref")).select("conv_id", "turn", F.round(rg.rouge_l("hyp", "ref"), 6).alias("rouge_l"))
 
 
 # --- 2.9 topic model, k-means, mixtures ----------------------------------------

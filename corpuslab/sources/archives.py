@@ -3,26 +3,21 @@
 * ``case_xml`` renders a cases table as XML documents in the layout of the
   public case-law open-data format (RDF metadata block, summary element, body
   element) with column expressions only.
-* ``write_archives`` writes zip archives from executors: one task per
-  (year, month, part), where parts keep every archive below a row bound, so
-  no task ever holds a whole month.  Files go through ``pyarrow.fs`` and are
-  rewritten identically if a task is retried.
+* ``write_archives`` writes zip archives and ``archive_explode`` reads their
+  members, both through the data source in ``ziparchives``: no task holds an
+  archive, and a failed write leaves no file.
 * ``archive_scan`` lists archives with the ``binaryFile`` source (content is
-  not read unless selected); ``archive_explode`` unzips them in
-  ``mapInPandas`` (one archive per input row); ``parse_cases`` turns the XML
-  into the raw_case table with ``xpath`` expressions.
+  not read unless selected); ``parse_cases`` turns the XML into the raw_case
+  table with ``xpath`` expressions.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import EDGE_SPACE
+from corpuslab.sources import ziparchives as zp
 
 # Element names of the source format (local names; the
 # metadata elements carry the dcterms / psi namespace prefixes).
@@ -38,7 +33,8 @@ SUMMARY_TAG, BODY_TAG, BODY_FALLBACK_TAG = "inhoudsindicatie", "uitspraak", "con
 DATE_FMT, DATETIME_FMT = "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss"
 FIRST_YEAR, LAST_YEAR, MISSING_YEARS = 1911, 2022, (1912,)
 
-MAX_ROWS_PER_ARCHIVE = 5_000
+#: Bytes of text that one archive is written with at about most; a month with more is cut into parts.
+PART_BYTES = 256 << 20
 
 
 def _esc(c: Column) -> Column:
@@ -93,29 +89,22 @@ def case_xml(cases: DataFrame) -> DataFrame:
     return cases.select("identifier", year.alias("year"), month.alias("month"), xml.alias("xml"))
 
 
-def write_archives(xml_df: DataFrame, out_dir: str, max_rows: int = MAX_ROWS_PER_ARCHIVE) -> DataFrame:
-    """Write ``<out>/<year>/<year><month>_p<part>.zip`` archives; returns one row per archive."""
-    sizes = xml_df.groupBy("year", "month").agg(F.count(F.lit(1)).alias("_n"))
-    parts = sizes.select("year", "month", F.ceil(F.col("_n") / max_rows).cast("int").alias("_parts"))
-    j = xml_df.join(F.broadcast(parts) if parts.count() < 1_000_000 else parts, ["year", "month"])
-    j = j.withColumn("part", F.pmod(F.xxhash64("identifier"), F.col("_parts")).cast("int")).drop("_parts")
-    root = out_dir.rstrip("/")
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs as pafs
-        year, month, part = pdf["year"].iloc[0], pdf["month"].iloc[0], int(pdf["part"].iloc[0])
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-            for ident, xml in sorted(zip(pdf["identifier"], pdf["xml"])):
-                z.writestr(ident.replace(":", "_") + ".xml", xml)
-        path = f"{root}/{year}/{year}{month}_p{part:04d}.zip"
-        filesys, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-        filesys.create_dir(p.rsplit("/", 1)[0], recursive=True)
-        with filesys.open_output_stream(p) as out:
-            out.write(buf.getvalue())
-        return pd.DataFrame({"path": [path], "members": [len(pdf)], "bytes": [buf.tell()]})
+def write_archives(xml_df: DataFrame, out_dir: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Write ``<out>/<year>/<year><month>_p<part>.zip`` archives of about ``part_bytes`` bytes of text; returns the archives found.
 
-    return j.groupBy("year", "month", "part").applyInPandas(write, "path string, members long, bytes long")
+    Rows are dealt out by archive and sorted by member, so a task streams them into its files; the files appear
+    together when all tasks are done (see ``ziparchives``).
+    """
+    spark = xml_df.sparkSession
+    zp.register(spark)
+    sizes = xml_df.groupBy("year", "month").agg(F.sum(F.octet_length("xml")).alias("_n"))
+    parts = sizes.select(F.col("year").alias("_y"), F.col("month").alias("_m"), F.greatest(F.ceil(F.col("_n") / part_bytes), F.lit(1)).cast("int").alias("_parts"))
+    j = xml_df.join(parts, F.col("year").eqNullSafe(F.col("_y")) & F.col("month").eqNullSafe(F.col("_m")))
+    part = F.lpad(F.pmod(F.xxhash64("identifier"), F.col("_parts")).cast("string"), 4, "0")
+    rows = j.select(F.concat("year", F.lit("/"), "year", "month", F.lit("_p"), part, F.lit(".zip")).alias("archive"),
+                    F.concat(F.replace("identifier", F.lit(":"), F.lit("_")), F.lit(".xml")).alias("member"), F.col("xml").cast("binary").alias("data"))
+    rows.repartition("archive").sortWithinPartitions("archive", "member").write.format("ziparchives").mode("append").save(out_dir)
+    return archive_scan(spark, out_dir)
 
 
 def _archives(spark, root: str, cols: list[str]) -> DataFrame:
@@ -137,21 +126,14 @@ def archive_scan(spark, root: str) -> DataFrame:
     return _archives(spark, root, ["length"])
 
 
-def archive_explode(spark, root: str) -> DataFrame:
-    """One row per archive member: (year, month, member, xml); one read of each archive."""
-    j = _archives(spark, root, ["content"])
-
-    def unzip(batches):
-        for pdf in batches:
-            rows = []
-            for year, month, blob in zip(pdf["year"], pdf["month"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                    for member in z.namelist():
-                        rows.append((year, month, member, z.read(member).decode("utf-8")))
-            yield pd.DataFrame(rows, columns=["year", "month", "member", "xml"])
-
-    return j.select("year", "month", "content").mapInPandas(
-        unzip, "year string, month string, member string, xml string")
+def archive_explode(spark, root: str, range_bytes: int = zp.RANGE_BYTES) -> DataFrame:
+    """One row per archive member: (year, month, member, xml); every task reads a byte range of one archive."""
+    zp.register(spark)
+    rows = spark.read.format("ziparchives").option("rangeBytes", range_bytes).load(root)
+    name = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+    out = rows.select(F.substring(name, 1, 4).alias("year"), F.substring(name, 5, 2).alias("month"), "member", F.decode("data", "UTF-8").alias("xml"))
+    y = F.col("year").cast("int")
+    return out.where(y.between(FIRST_YEAR, LAST_YEAR) & ~y.isin(*MISSING_YEARS))
 
 
 def _local(tag: str) -> str:

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the tasks, for work that costs far more than moving the rows (sentence pairs, LCS paths): a
+    file of one row group is one task otherwise.  Select the columns that the work needs first."""
+    return df.hint("rebalance")
+
+
 def parquet_scan(spark: SparkSession, paths, columns: list[str] | None = None) -> DataFrame:
     """Read one or many parquet files/globs; the column list reaches the scan
     (ReadSchema) instead of being cut after a full read."""
