@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm.common import read
+from corpuslab.llm.common import bounded_batches, read
 from corpuslab.llm.textnp import slices, tidy
 
 BLANK = "▁"
@@ -273,6 +273,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids and digests of every row."""
+    bounded_batches(docs.sparkSession)
     return encode_table(docs, more=("ids",))
 
 

@@ -34,6 +34,19 @@ def saved(df: DataFrame, sub: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts that Spark hands to Python at once in the pipeline's stages.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES``: a batch is held by the JVM and by the
+    Python worker at once, and 10,000 texts can be very large.  A lower bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key, "")
+    if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import read, saved, scalar, sheltered
+from corpuslab.llm.common import bounded_batches, read, saved, scalar, sheltered
 from corpuslab.llm.graph import components
 from corpuslab.llm.textnp import flat, mixed, shingles, slices, tidy, word_hashes, words
 
@@ -313,6 +313,7 @@ def linked(docs: DataFrame, by: Contract = OP6) -> DataFrame:
 def representatives(docs: DataFrame, by: Contract = OP6) -> DataFrame:
     """One row of ``docs`` for every group of linked documents, that of its smallest doc_id; texts without
     words are no group and stay."""
+    bounded_batches(docs.sparkSession)
     docs, whole = sheltered(docs, "doc_id", "text")
     _, named = groups(docs, by)
     best = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("x"), "least", "node")).alias("m"))

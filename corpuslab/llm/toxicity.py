@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import linear
-from corpuslab.llm.common import read, scalar, sheltered
+from corpuslab.llm.common import bounded_batches, read, scalar, sheltered
 from corpuslab.llm.textnp import MUL, flat, slices, tidy
 
 BITS = 18
@@ -125,6 +125,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier calls toxic."""
+    bounded_batches(docs.sparkSession)
     fitted = train(docs.select("doc_id", "text"), labels)
     docs, whole = sheltered(docs, "doc_id", "text")
     return whole(score(docs, *fitted).where(F.col("score") < THRESHOLD))
