@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Bytes of an archive that one task takes, and of its directory that are read at once.
-RANGE_BYTES, CHUNK = 64 << 20, 1 << 20
+RANGE_BYTES, OPEN_BYTES, CHUNK = 64 << 20, 4 << 20, 1 << 20
 STAGING = "_staging-"
 READ_SCHEMA = "path string, member string, data binary"
 WRITE_SCHEMA = "archive string, member string, data binary"
@@ -113,45 +113,44 @@ def content(f, start: int, packed: int, method: int) -> bytes:
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    size: int
-    first: int
-    past: int
+class Ranges(InputPartition):
+    """Ranges of archives for one task: (path, size, first byte, byte past the last)."""
+
+    ranges: list[tuple[str, int, int, int]]
 
     def __post_init__(self) -> None:
-        super().__init__(self.path)
+        super().__init__(len(self.ranges))
 
 
 class ZipReader(DataSourceReader):
     def __init__(self, root: str, range_bytes: int) -> None:
         self.root, self.range_bytes = root, range_bytes
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
+        """Large archives are cut into ranges, small ones share a task; opening a file counts as ``OPEN_BYTES``."""
         from pyarrow import fs
         system, top = file_system(self.root)
         top, shown = top.rstrip("/"), self.root.rstrip("/")
-        out = []
+        out, held = [Ranges([])], 0
         for x in sorted(system.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True)), key=lambda x: x.path):
-            if x.type == fs.FileType.File and x.path.endswith(".zip") and STAGING not in x.path:
-                out += [Range(shown + x.path[len(top):], x.size, a, min(x.size, a + self.range_bytes)) for a in range(0, max(1, x.size), self.range_bytes)]
-        return out or [Range("", 0, 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        system, path = file_system(partition.path)
-        with system.open_input_file(path) as f:
-            for name, start, packed, method, _ in list_in(f, partition):
-                if not name.endswith("/"):
-                    yield partition.path, name, content(f, start, packed, method)
-
-
-def list_in(f, part: Range) -> Iterator[tuple]:
-    """The members that begin in a range (the directory is read to its end, its entries one at a time)."""
-    for m in members(f, part.size):
-        if part.first <= m[1] < part.past:
-            yield m
+            if x.type != fs.FileType.File or not x.path.endswith(".zip") or STAGING in x.path:
+                continue
+            for a in range(0, max(1, x.size), self.range_bytes):
+                past = min(x.size, a + self.range_bytes)
+                if out[-1].ranges and held + past - a > self.range_bytes:
+                    out.append(Ranges([]))
+                    held = 0
+                out[-1].ranges.append((shown + x.path[len(top):], x.size, a, past))
+                held += past - a + min(OPEN_BYTES, self.range_bytes // 16)
+        return out
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for whole, size, first, past in partition.ranges:
+            system, path = file_system(whole)
+            with system.open_input_file(path) as f:
+                for name, start, packed, method, _ in members(f, size):
+                    if first <= start < past and not name.endswith("/"):
+                        yield whole, name, content(f, start, packed, method)
 
 
 @dataclass
