@@ -42,7 +42,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES``: a batch is held by the JVM and by the
     Python worker at once, and 10,000 texts can be very large.  A lower bound of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    have = spark.conf.get(key, "")
+    have = spark.conf.get(key)
     if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
