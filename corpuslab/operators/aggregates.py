@@ -16,31 +16,34 @@ from corpuslab.functions.text import decade_of_id, pipes_to_space, word_count, y
 DECADES = list(range(1910, 2021, 10))
 
 
-def decade_rollup(cases: DataFrame, decades: list[int] = DECADES) -> DataFrame:
-    """Per decade: cases, complete, one-word and short summaries, missing summaries, viable.
-
-    One-word/short count every summary that is not 'none' (so '-' is one word),
-    regardless of completeness; missing counts missing_parts = 'summary' only;
-    viable = complete - short - one-word.  Decades without rows give zeros.
-    """
-    spark = cases.sparkSession
+def decade_counts(cases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per decade (and the columns ``by``) that has rows: the counts of ``decade_rollup``."""
     sw = word_count(pipes_to_space("summary"))
     has_sum = F.col("summary") != "none"
-    per = (cases.select(decade_of_id("identifier").alias("decade"), "missing_parts", "summary",
+    counts = ["cases", "complete_cases", "oneword_summaries", "short_summaries", "missing_summaries"]
+    per = (cases.select(*by, decade_of_id("identifier").alias("decade"), "missing_parts", "summary",
                         sw.alias("_sw"))
-           .groupBy("decade")
+           .groupBy(*by, "decade")
            .agg(F.count(F.lit(1)).alias("cases"),
                 F.count_if(F.col("missing_parts") == "none").alias("complete_cases"),
                 F.count_if(has_sum & (F.col("_sw") == 1)).alias("oneword_summaries"),
                 F.count_if(has_sum & (F.col("_sw") > 1) & (F.col("_sw") < 10)).alias("short_summaries"),
                 F.count_if(F.col("missing_parts") == "summary").alias("missing_summaries")))
+    return per.select(*by, "decade", *[F.col(c).cast("bigint").alias(c) for c in counts], (
+        F.col("complete_cases") - F.col("short_summaries") - F.col("oneword_summaries")).cast("bigint").alias("viable_cases"))
+
+
+def decade_rollup(cases: DataFrame, decades: list[int] = DECADES) -> DataFrame:
+    """Per decade: cases, complete, one-word and short summaries, missing summaries, viable.
+
+    One-word/short count every summary that is not 'none' (so '-' is one word),
+    regardless of completeness; missing counts missing_parts = 'summary' only;
+    viable = complete - short - one-word.  Decades without rows give zeros.
+    """
     # The decade list is a fixed 12-row frame; the aggregate has <= 12 rows.
-    frame = spark.createDataFrame([(d,) for d in decades], "decade int")
-    out = frame.join(F.broadcast(per), "decade", "left")
-    counts = ["cases", "complete_cases", "oneword_summaries", "short_summaries", "missing_summaries"]
-    out = out.select("decade", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
-    return out.withColumn("viable_cases", (F.col("complete_cases") - F.col("short_summaries")
-                                           - F.col("oneword_summaries")).cast("bigint"))
+    frame = cases.sparkSession.createDataFrame([(d,) for d in decades], "decade int")
+    out = frame.join(F.broadcast(decade_counts(cases)), "decade", "left")
+    return out.select("decade", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in out.columns if c != "decade"])
 
 
 def year_rollup(cases: DataFrame) -> DataFrame:

@@ -593,4 +593,5 @@ SELECT identifier, missing_parts, md5(d) AS description_md5, coalesce({wc('d')},
     CASE WHEN description <> 'none' THEN {PARAS.format(x='description')} END AS d FROM archived)""")
 oracle("write_per_archive", with_(CASES, ARCHIVED) + """
 SELECT year, month, CAST(count(*) AS BIGINT) AS n FROM archived GROUP BY year, month""")
+oracle("incremental_replacement", with_(CASES, ARCHIVED) + "SELECT identifier, year, month, missing_parts FROM archived")
 oracle("incremental_ingest", with_(CASES, ARCHIVED) + "SELECT identifier, year, month, missing_parts FROM archived")

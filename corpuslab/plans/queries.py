@@ -35,6 +35,7 @@ from corpuslab.sources import fixtures as fx
 from corpuslab.sources import tables as tb
 from corpuslab.sources.tables import table, union_files
 from corpuslab.streaming import incremental as inc
+from corpuslab.streaming import replaceable as rpl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -1116,6 +1117,25 @@ def q_incremental_ingest(spark, sf):
                                           "missing_parts")
 
 
+def replaced_ingest(spark, sf):
+    """Archives delivered twice: first with every third month in an older state (no summaries), then as they are; both
+    deliveries are taken in by one stream, which is started again in between."""
+    root, out, ck = fresh_dir(spark, "deliveries"), fresh_dir(spark, "replaced"), fresh_dir(spark, "replaced-ckpt")
+    xml = ar.case_xml(fx.cases(spark, sf))
+    old = F.regexp_replace("xml", f"(?s)<{ar.SUMMARY_TAG}>.*</{ar.SUMMARY_TAG}>", "")
+    ar.write_archives(xml.withColumn("xml", F.when(F.col("month").cast("int") % 3 == 0, old).otherwise(F.col("xml"))), f"{root}/first")
+    rpl.ingest(spark, root, out, ck)
+    ar.write_archives(xml, f"{root}/second")
+    rpl.ingest(spark, root, out, ck)
+    return out
+
+
+@query("incremental_replacement")
+def q_incremental_replacement(spark, sf):
+    return rpl.current_rows(spark, replaced_ingest(spark, sf)).select(
+        "identifier", F.col("year").cast("string").alias("year"), F.lpad(F.col("month").cast("string"), 2, "0").alias("month"), "missing_parts")
+
+
 CASES_SCHEMA = "doc_id long, identifier string, summary string, description string, missing_parts string, " \
                "class string, n_chars long"
 

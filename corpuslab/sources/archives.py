@@ -159,8 +159,8 @@ def element_text(tag: str) -> Column:
     return F.when(_present(tag), F.array_join(clean, " "))
 
 
-def parse_cases(xml_df: DataFrame) -> DataFrame:
-    """XML documents -> raw_case columns (NULL for absent values; see ``with_none``)."""
+def parse_cases(xml_df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """XML documents -> raw_case columns (NULL for absent values; see ``with_none``) beside the columns ``keep``."""
     cols = {k: _first(t) for k, t in SINGLE_TAGS.items()}
     for k, t in MULTI_TAGS.items():
         arr = _all(t)
@@ -172,7 +172,7 @@ def parse_cases(xml_df: DataFrame) -> DataFrame:
     cols["summary"] = element_text(SUMMARY_TAG)
     cols["description"] = F.coalesce(element_text(BODY_TAG), element_text(BODY_FALLBACK_TAG))
     cols["publisher"] = F.lit(None).cast("string")
-    out = xml_df.select("year", "month", *[v.alias(k) for k, v in cols.items()])
+    out = xml_df.select(*keep, "year", "month", *[v.alias(k) for k, v in cols.items()])
     missing = F.concat_ws("|", F.when(F.col("summary").isNull(), F.lit("summary")),
                           F.when(F.col("description").isNull(), F.lit("description")))
     return out.withColumn("missing_parts", F.coalesce(F.nullif(missing, F.lit("")), F.lit("none")))
