@@ -8,13 +8,13 @@ rows are retracted, and the decade roll-up follows.
 
 Tables under the output folder:
 
-* ``rows``: the parsed rows of every delivery that ever counted, by (archive, delivery);
+* ``rows``: the parsed rows of every delivery that ever counted;
 * ``decades``: what each such delivery adds to the roll-up, a few rows each;
-* ``current``: per batch, which delivery of which archive counts from then on.
+* ``current``: which delivery of which archive counts from a batch on.
 
 ``current_rows`` and ``rollup`` read those of the deliveries that count now.  All
-three are written per delivery or batch and overwritten if a batch is run again, so
-a restart gives the same tables.  Tasks read archives member by member.
+three are written per batch and overwritten if a batch is run again, so a
+restart gives the same tables.  Tasks read archives member by member.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuslab.operators.aggregates import decade_counts
-from corpuslab.session import read_or_none
 from corpuslab.sources import archives as ar
 from corpuslab.sources import ziparchives as zp
 from corpuslab.streaming.incremental import BINARY_SCHEMA
@@ -106,40 +105,34 @@ def ingest(spark: SparkSession, archive_root: str, out: str, checkpoint: str, ma
         if not batch.isEmpty():
             xml = batch.select("archive", "path", "digest").mapInPandas(_members, "archive string, delivery string, year string, month string, xml string")
             parsed = ar.parse_cases(xml, keep=("archive", "delivery"))
-            _put(parsed, f"{out}/rows")
-            rows = spark.read.schema(parsed.schema).parquet(f"{out}/rows").join(
-                F.broadcast(batch.select("archive", F.col("digest").alias("delivery"))), ["archive", "delivery"])      # a batch's deliveries, max_files at most
-            each = decade_counts(ar.with_none(rows), by=("archive", "delivery"))
-            _put(each, f"{out}/decades")
-        batch.select("archive", F.col("digest").alias("delivery"), "modified", F.lit(epoch).alias("epoch")).coalesce(1) \
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out}/current")
+            _put(parsed, f"{out}/rows", epoch)
+            rows = spark.read.schema(parsed.schema).parquet(f"{out}/rows/epoch={epoch}")
+            _put(decade_counts(ar.with_none(rows), by=("archive", "delivery")), f"{out}/decades", epoch)
+        _put(batch.select("archive", F.col("digest").alias("delivery"), "modified").coalesce(1), f"{out}/current", epoch)
         batch.unpersist()
     (counted.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).outputMode("append")
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def _put(df: DataFrame, path: str) -> None:
-    """Write the rows of some deliveries, in the place of what an earlier try of the batch wrote for them."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("archive", "delivery").parquet(path)
+def _put(df: DataFrame, path: str, epoch: int) -> None:
+    """Write a batch's rows, in the place of what an earlier try of the batch wrote."""
+    df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """(archive, delivery) that counts now."""
+    """(archive, delivery, epoch) that counts now."""
     w = W.partitionBy("archive").orderBy(F.col("modified").desc(), F.col("epoch").desc())
     return (spark.read.schema("archive string, delivery string, modified timestamp, epoch long").parquet(f"{out}/current")
-            .withColumn("n", F.row_number().over(w)).where("n = 1").select("archive", "delivery"))
+            .withColumn("n", F.row_number().over(w)).where("n = 1").select("archive", "delivery", "epoch"))
 
 
-def _counting(spark: SparkSession, out: str, name: str) -> DataFrame | None:
-    have = read_or_none(spark, f"{out}/{name}")
-    if have is None:
-        return None
-    return have.withColumn("archive", F.col("archive").cast("string")).join(current(spark, out), ["archive", "delivery"])
+def _counting(spark: SparkSession, out: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/{name}").join(current(spark, out), ["archive", "delivery", "epoch"])
 
 
 def current_rows(spark: SparkSession, out: str) -> DataFrame:
     """The parsed rows of the deliveries that count."""
-    return _counting(spark, out, "rows").drop("archive", "delivery")
+    return _counting(spark, out, "rows").drop("archive", "delivery", "epoch")
 
 
 def rollup(spark: SparkSession, out: str) -> DataFrame:
