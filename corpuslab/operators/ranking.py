@@ -3,8 +3,8 @@
 ``row_number().over(Window.orderBy(k))`` moves every row into one task, and
 ``partitionBy(class)`` gives only as many tasks as classes, so one hot class
 stalls the job.  Here the order key is cut into buckets whose order agrees with
-the key's order (the first hex digits of an md5 key, or value ranges of a
-number).  Pass 1 counts (or sums) per (partition, bucket) - a table of at most
+the key's order (the first hex digits of an md5 key; keys that are not spread
+evenly go by ranges that Spark samples, ``ordered_sum``).  Pass 1 counts (or sums) per (partition, bucket) - a table of at most
 #partitions x #buckets rows, combined map-side - and turns it into offsets with
 a window over that small table.  Pass 2 ranks inside (partition, bucket), which
 spreads a hot partition over thousands of tasks, and adds the offset.  The
@@ -84,14 +84,29 @@ def exact_running_sum(df: DataFrame, key_col: str, value_col: str, parts: list[s
     return ranked.withColumn(out, F.col("_offset") + F.col("_inner")).drop(GROUP, "_inner", "_offset")
 
 
-def range_bucket(df: DataFrame, col: str, n_buckets: int = 4096) -> Column:
-    """Order-preserving bucket of a numeric column from its min and max (one small aggregate)."""
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
-    if lo is None:
-        return F.lit(0)
-    span = float(hi - lo) or 1.0
-    idx = F.floor((F.col(col) - F.lit(lo)) / F.lit(span) * F.lit(n_buckets - 1))
-    return F.lpad(idx.cast("bigint").cast("string"), 6, "0")
+def by_ranges(df: DataFrame, order: list) -> DataFrame:
+    """``df`` dealt into ranges of ``order`` and stored, with the range as ``_part``.
+
+    Spark samples the key to cut ranges of about equal rows, whatever the values
+    are: an outlier or a key that most rows share the start of leaves no range
+    with much more than its share (rows equal in all of ``order`` stay together).
+    """
+    from corpuslab.session import fresh_dir
+    path = fresh_dir(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def ordered_sum(df: DataFrame, order: list, value: Column, out: str) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over this row and all before it in ``order``: inside the range, plus the ranges before.
+
+    The ranges' totals are one row each, and are broadcast.
+    """
+    ranged = by_ranges(df, order)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offs = ranged.groupBy("_part").agg(F.sum(value).alias("_total")).select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inner = F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn("_inner", inner).join(F.broadcast(offs), "_part").withColumn(out, F.col("_inner") + F.col("_offset")).drop("_part", "_inner", "_offset")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
@@ -105,7 +120,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
     total = vc.agg(F.sum("_n")).first()[0]
     if not total:
         return [None for _ in probs]
-    cum = exact_running_sum(vc, col, "_n", bucket=range_bucket(vc, col), out="_end")
+    cum = ordered_sum(vc, [F.col(col)], F.col("_n"), "_end")
     wanted = set()
     pos = []
     for p in probs:

@@ -1,7 +1,7 @@
 """Vocabulary, bag-of-words counts and encoded training examples.
 
 The token table is the only large input.  Counting is a ``groupBy`` with a
-map-side combine; the vocabulary gets term ids from an exact two-pass rank
+map-side combine; the vocabulary gets term ids from an exact rank by ranges
 (no single-task sort); lookups join exploded tokens to the vocabulary, which is
 broadcast only if its measured bytes are few, otherwise by its hot tokens only.
 """
@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.operators.joins import lookup
-from corpuslab.operators.ranking import exact_rank
+from corpuslab.operators.ranking import ordered_sum
 
 # Reserved ids of the word-level encoding.
 PAD_ID, UNK_ID, MASK_ID, FIRST_ID = 0, 1, 2, 3
 # Fixed value: the label of positions that a masked-language-model loss leaves out.
 IGNORE = -100
-MAX_DF_DIGITS = 12
 
 
 def vocabulary(docs: DataFrame, id_col: str, tokens_col: str, min_df: int = 1) -> DataFrame:
@@ -35,17 +34,7 @@ def vocabulary(docs: DataFrame, id_col: str, tokens_col: str, min_df: int = 1) -
                     lambda x: F.struct(x.alias("token"), F.lit(0).alias("o"), F.lit(1).alias("d")))))
     rows = docs.select(F.explode(marks).alias("m")).select("m.token", "m.o", "m.d")
     v = rows.groupBy("token").agg(F.sum("o").cast("bigint").alias("tf"), F.sum("d").cast("bigint").alias("df"))
-    from corpuslab.session import shared_dir
-    shared_dir(docs.sparkSession, "")
-    # The vocabulary is far smaller than the corpus and is read several times
-    # by the rank below: materialise it once.
-    v = v.where(F.col("df") >= min_df).checkpoint(eager=True)
-    # Order key (df desc, token asc) as one string; buckets = the df part plus
-    # the token's first character, so the many df=1 tokens spread out too.
-    inv = F.lpad((F.lit(10 ** MAX_DF_DIGITS - 1) - F.col("df")).cast("string"), MAX_DF_DIGITS, "0")
-    v = v.withColumn("_key", F.concat(inv, F.lit("\u0001"), F.col("token")))
-    bucket = F.concat(inv, F.substring("token", 1, 1))
-    ranked = exact_rank(v, "_key", bucket=bucket, out="_rk")
+    ranked = ordered_sum(v.where(F.col("df") >= min_df), [F.col("df").desc(), F.col("token")], F.lit(1), "_rk")
     return ranked.select("token", "tf", "df", (F.col("_rk") + FIRST_ID - 1).cast("bigint").alias("term_id"))
 
 

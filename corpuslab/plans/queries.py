@@ -27,7 +27,7 @@ from corpuslab.operators import sampling as smp
 from corpuslab.operators import subword as sw
 from corpuslab.operators import topics as tp
 from corpuslab.operators import vocab as vc
-from corpuslab.operators.ranking import exact_quantiles, exact_running_sum, range_bucket
+from corpuslab.operators.ranking import exact_quantiles, ordered_sum
 from corpuslab.session import fresh_dir, shared_dir
 from corpuslab.sinks import writers as wr
 from corpuslab.sources import archives as ar
@@ -219,7 +219,7 @@ def q_histogram_density(spark, sf):
 @query("size_totals")
 def q_size_totals(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("size"))
-    out = exact_running_sum(d, "doc_id", "size", bucket=range_bucket(d, "doc_id"), out="running")
+    out = ordered_sum(d, [F.col("doc_id")], F.col("size"), "running")
     total = d.agg(F.sum("size")).first()[0] or 0  # a scalar
     return out.select("doc_id", "size", F.col("running").cast("bigint").alias("running"),
                       F.lit(total).cast("bigint").alias("total"))

@@ -70,3 +70,19 @@ def test_csv_text_round_trip(spark, tmp_path):
     rows = [("a", 'two\nlines, "quoted"'), ("b", "plain"), ("c", None), ("d", None)]  # CSV does not tell empty from null
     csv_write(spark.createDataFrame(rows[:3] + [("d", "")], "id string, t string"), str(tmp_path / "c"))
     assert sorted((r.id, r.t) for r in csv_scan(spark, str(tmp_path / "c"), "id string, t string").collect()) == rows
+
+
+def test_ranges_are_even_whatever_the_keys(spark):
+    from corpuslab.operators.ranking import by_ranges, ordered_sum
+    far = spark.range(20000).select(F.when(F.col("id") == 7, F.lit(1 << 62)).otherwise(F.col("id")).alias("x"))
+    rare = spark.range(20000).select(F.when(F.col("id") % 10 < 7, 1).otherwise(F.col("id")).alias("df"), F.concat(F.lit("enone"), F.col("id")).alias("token"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # the rows are few here
+    for df, order in ((far, [F.col("x")]), (rare, [F.col("df").desc(), F.col("token")])):
+        n = [r["count"] for r in by_ranges(df, order).groupBy("_part").count().collect()]
+        assert len(n) > 4 and max(n) <= 2 * sum(n) / len(n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = ordered_sum(far, [F.col("x")], F.col("x") % 10, "s")
+    want = far.withColumn("w", F.sum(F.col("x") % 10).over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
+    assert got.join(want, "x").where("s <> w").count() == 0
+    assert exact_quantiles(far, "x", [0.0, 0.5, 1.0]) == [0.0, 10000.5, float(1 << 62)]
+    assert ordered_sum(far.where("x < 0"), [F.col("x")], F.col("x"), "s").count() == 0
