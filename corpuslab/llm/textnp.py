@@ -21,6 +21,14 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Give the system the memory that this process no longer uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def tidy(f: Callable) -> Callable:
     """``f`` over the batches of a task; when the task ends its worker gives the system the memory that it no longer
     uses, which it would keep through later stages."""
@@ -29,10 +37,7 @@ def tidy(f: Callable) -> Callable:
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
-                trim(0)
+            give_back()
     return run
 
 

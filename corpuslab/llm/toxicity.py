@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import linear
 from corpuslab.llm.common import bounded_batches, read, scalar, sheltered
-from corpuslab.llm.textnp import MUL, flat, slices, tidy
+from corpuslab.llm.textnp import MUL, flat, give_back, slices, tidy
 
 BITS = 18
 DIMS = 1 << BITS
@@ -83,7 +83,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     """(weight of every bucket, bias) from labelled rows that are not held out."""
     rows = linear.sampled(docs, labels, "toxic", per_class, lambda i: ~held_out(i)).mapInArrow(_rows, "y int, cols array<int>").toArrow()
     y = rows.column("y").to_numpy().astype(int)
-    return fit([np.array(c.values, np.int64) for c in rows.column("cols")], y) if len(set(y)) == 2 else (np.zeros(DIMS), -40.0)
+    fitted = fit([np.array(c.values, np.int64) for c in rows.column("cols")], y) if len(set(y)) == 2 else (np.zeros(DIMS), -40.0)
+    del rows
+    give_back()                                            # the driver lives on
+    return fitted
 
 
 def nb_fit(cols: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
