@@ -75,15 +75,16 @@ def kmeans_fit_assign(df: DataFrame, k: int = 6, seed: int = 0, features: str =
 
 
 def total_variance(df: DataFrame, features: str = "features") -> float:
-    """Within-cluster sum of squares for k = 1 (MLlib rejects k = 1): sum of
-    squared distances to the global mean, from one pass of sums."""
+    """Within-cluster sum of squares for k = 1 (MLlib rejects k = 1): the sum of
+    squared distances to the mean, which a pass before has found (a difference of
+    two large sums would lose digits); 0 for an empty table."""
     arr = df.select(vector_to_array(features).alias("a"))
-    d = len(arr.first()["a"])
-    sums = arr.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.sum(F.col("a")[i]).alias(f"s{i}") for i in range(d)],
-                   *[F.sum(F.col("a")[i] * F.col("a")[i]).alias(f"q{i}") for i in range(d)]).first()
-    n = sums["n"]
-    return float(sum(sums[f"q{i}"] - sums[f"s{i}"] ** 2 / n for i in range(d)))
+    first = arr.first()
+    if first is None:
+        return 0.0
+    mean = arr.agg(*[F.avg(F.col("a")[i]) for i in range(len(first["a"]))]).first()
+    off = lambda i: F.col("a")[i] - F.lit(mean[i])
+    return float(sum(arr.agg(*[F.sum(off(i) * off(i)) for i in range(len(mean))]).first()))
 
 
 def elbow(df: DataFrame, ks=range(1, 12), seed: int = 0, features: str = "features") -> list[tuple[int, float]]:

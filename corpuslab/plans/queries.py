@@ -830,7 +830,7 @@ def q_csv_write(spark, sf):
 def q_csv_scan(spark, sf):
     path = fresh_dir(spark, "csv")
     wr.csv_write(fx.cases(spark, sf).select(F.col("doc_id").alias("row_index"), "identifier", "class", "n_chars"), path)
-    return tb.csv_scan(spark, path, CASES_CSV_SCHEMA, drop=["row_index"])
+    return tb.csv_scan(spark, path, CASES_CSV_SCHEMA, drop=["row_index"], multi_line=False)
 
 
 @query("curve_scan")

@@ -26,10 +26,11 @@ def parquet_scan(spark: SparkSession, paths, columns: list[str] | None = None) -
 
 
 def csv_scan(spark: SparkSession, path: str, schema: T.StructType | str,
-             drop: list[str] | None = None, usecols: list[str] | None = None) -> DataFrame:
+             drop: list[str] | None = None, usecols: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with header and an explicit schema (no inference pass); drop the
-    stray row-index column or keep only ``usecols``."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    stray row-index column or keep only ``usecols``.  Values with line ends need
+    ``multi_line``, which makes a file one task; without it files are split."""
+    df = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     if drop:
         df = df.drop(*drop)
     if usecols:

@@ -30,3 +30,10 @@ def test_exact_ranks_deal_the_rows_once(spark):
         assert "\n".join(plan.split("Initial Plan")[:1]).count("Exchange hashpartitioning(_group") <= 2      # the rows, and the small table
     ranked = exact_rank(d, "_key", parts=["class"], out="r")
     assert ranked.where("class is null").agg(F.max("r"), F.count("*")).first() == (200, 200)
+
+
+def test_total_variance_keeps_its_digits(spark):
+    from corpuslab.operators import cluster as cl
+    x = cl.array_features(spark.createDataFrame([([1e9 + i, float(i % 2)],) for i in range(10)], "a array<double>"), "a")
+    assert abs(cl.total_variance(x) - (82.5 + 2.5)) < 1e-6
+    assert cl.total_variance(x.limit(0)) == 0.0
