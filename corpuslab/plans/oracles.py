@@ -595,3 +595,13 @@ oracle("write_per_archive", with_(CASES, ARCHIVED) + """
 SELECT year, month, CAST(count(*) AS BIGINT) AS n FROM archived GROUP BY year, month""")
 oracle("incremental_replacement", with_(CASES, ARCHIVED) + "SELECT identifier, year, month, missing_parts FROM archived")
 oracle("incremental_ingest", with_(CASES, ARCHIVED) + "SELECT identifier, year, month, missing_parts FROM archived")
+
+
+# --- what sinks and streams give back ---------------------------------------------
+oracle("csv_write", with_(CASES) + "SELECT doc_id AS row_index, identifier, class, n_chars FROM cases")
+oracle("curve_scan", with_(CURVES) + """
+SELECT run, tag, CAST(n AS DOUBLE) AS wall_time, CAST(epoch AS BIGINT) AS step, loss AS value
+FROM curves, (VALUES ('train_loss'), ('eval_loss')) AS t(tag)""")
+oracle("split_write", with_(CASES, SPLIT) + "SELECT split, CAST(count(*) AS BIGINT) AS n FROM split_case GROUP BY split")
+oracle("cluster_split_write", with_(CASES, SPLIT) + "SELECT split, class, CAST(count(*) AS BIGINT) AS n FROM split_case GROUP BY split, class")
+oracle("incremental_decade_rollup", ORACLES["decade_rollup"])
