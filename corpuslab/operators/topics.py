@@ -40,6 +40,8 @@ from corpuslab.session import fitted_path, fresh_dir, read_or_none
 BLOCK_TOKENS = 1 << 20
 STEPS, SETTLED = 50, 1e-3
 TINY = 1e-100
+#: Cells of a document-term matrix, or rows of weights, that are worked on at once (a longer document's cells together).
+CELLS = 1 << 16
 
 
 # --- numbers ------------------------------------------------------------------
@@ -67,13 +69,32 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f / 1680))) / x
 
 
+def _runs(ptr: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, past the last) of runs of documents with at most ``CELLS`` cells, or of one document."""
+    first, n = 0, len(ptr) - 1
+    while first < n:
+        past = max(first + 1, int(np.searchsorted(ptr, ptr[first] + CELLS, "right")) - 1)
+        yield first, past
+        first = past
+
+
 def e_step(ptr: np.ndarray, idx: np.ndarray, cnt: np.ndarray, beta: np.ndarray, alpha: float) -> np.ndarray:
     """Variational topic parameters of every document of a block (documents x k).
 
     ``ptr``, ``idx``, ``cnt`` are the document-term matrix by rows, ``beta`` the
     exponentiated expected log weights of the block's terms.  A document's
-    steps do not depend on the others; one that has settled is left out.
+    steps do not depend on the others, so they are taken some at a time and
+    memory does not grow with the block.
     """
+    gamma = np.empty((len(ptr) - 1, beta.shape[1]))
+    for a, b in _runs(ptr):
+        cells = slice(ptr[a], ptr[b])
+        gamma[a:b] = _steps(ptr[a:b + 1] - ptr[a], idx[cells], cnt[cells], beta, alpha)
+    return gamma
+
+
+def _steps(ptr: np.ndarray, idx: np.ndarray, cnt: np.ndarray, beta: np.ndarray, alpha: float) -> np.ndarray:
+    """``e_step`` of all documents at once; one that has settled is left out."""
     k, n = beta.shape[1], len(ptr) - 1
     total = np.add.reduceat(np.r_[cnt, 0.0], ptr[:-1]) * (np.diff(ptr) > 0) if n else np.zeros(0)
     gamma = np.full((n, k), alpha) + (total / k)[:, None]
@@ -94,9 +115,21 @@ def e_step(ptr: np.ndarray, idx: np.ndarray, cnt: np.ndarray, beta: np.ndarray,
     return gamma
 
 
+def fits(theta: np.ndarray, ptr: np.ndarray, idx: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """sum_k theta beta of every cell."""
+    out = np.empty(len(idx))
+    for a, b in _runs(ptr):
+        cells = slice(ptr[a], ptr[b])
+        out[cells] = np.einsum("ij,ij->i", np.repeat(theta[a:b], np.diff(ptr[a:b + 1]), axis=0), beta[idx[cells]])
+    return out
+
+
 def exp_elog(rows: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """exp(E[log beta]) of terms with weights ``rows`` under topics with column sums ``sums``."""
-    return np.exp(digamma(rows) - digamma(sums)[None, :])
+    out, low = np.empty(rows.shape), digamma(sums)[None, :]
+    for a in range(0, len(rows), CELLS):
+        out[a:a + CELLS] = np.exp(digamma(rows[a:a + CELLS]) - low)
+    return out
 
 
 # --- blocks -------------------------------------------------------------------
@@ -174,7 +207,8 @@ class TopicModel:
 
     @property
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lam-{self.updates % 2}")
+        # no term is null; said here, so that all joins of an update with the table share one exchange
+        return self.spark.read.parquet(f"{self.path}/lam-{self.updates % 2}").where(F.col("term").isNotNull())
 
     def sums(self) -> np.ndarray:
         row = self.table.agg(*[F.sum(F.col("lam")[j]).alias(f"s{j}") for j in range(self.k)]).first()
@@ -233,9 +267,8 @@ def _contributions(k: int, alpha: float, sums: np.ndarray):
                 gamma = e_step(ptr, idx, cnt, beta, alpha)
                 size = np.diff(ptr)
                 theta = np.exp(digamma(gamma) - digamma(gamma.sum(1))[:, None])
-                t = np.repeat(theta, size, axis=0)
-                share = cnt / (np.einsum("ij,ij->i", t, beta[idx]) + TINY)
-                got = np.stack([np.bincount(idx, t[:, j] * share, len(rows)) for j in range(k)], 1) * beta
+                share = cnt / (fits(theta, ptr, idx, beta) + TINY)
+                got = np.stack([np.bincount(idx, np.repeat(theta[:, j], size) * share, len(rows)) for j in range(k)], 1) * beta
                 terms = block.column("terms")[i].values.take(pa.array(pos))
                 out.append(pa.table([terms.cast(pa.string()), *[pa.array(got[:, j]) for j in range(k)]], names))
         return pa.concat_tables(out)
@@ -278,11 +311,17 @@ def begin(spark: SparkSession, blocks: DataFrame, k: int, seed: int, path: str |
     return model
 
 
+def in_turns(blocks: DataFrame, batches: int) -> DataFrame:
+    """``blocks`` with ``turn``, the batch they belong to.  The turns are two numbers a block and are broadcast: otherwise
+    every update would deal out all blocks anew to pick its own."""
+    turns = blocks.select("block").withColumn("turn", (F.row_number().over(W.orderBy("block")) - 1) % batches)
+    return blocks.join(F.broadcast(turns), "block")
+
+
 def lda_fit(blocks: DataFrame, k: int = 5, seed: int = 42, batches: int = 6, base_passes: int = 3, path: str | None = None) -> TopicModel:
     """Base fit on the first batch of blocks, then one update for each other batch.  All terms of all blocks are in the model."""
     model = begin(blocks.sparkSession, blocks, k, seed, path)
-    order = blocks.select("block").withColumn("turn", (F.row_number().over(W.orderBy("block")) - 1) % batches)  # one row a block
-    parts = blocks.join(order, "block")
+    parts = in_turns(blocks, batches)
     for p in range(base_passes):
         model = update(model, parts.where("turn = 0").drop("turn"), n_docs=None if p == 0 else 0, step=1.0, grow=False)
     for b in range(1, batches):
@@ -352,8 +391,7 @@ def log_perplexity(model: TopicModel, blocks: DataFrame) -> tuple[int, float]:
             for _, ptr, idx, cnt, _, _, beta in _with_weights(block, weights, k, sums):
                 gamma = e_step(ptr, idx, cnt, beta, alpha)
                 elog = digamma(gamma) - digamma(gamma.sum(1))[:, None]
-                t = np.repeat(np.exp(elog), np.diff(ptr), axis=0)
-                bound += float((cnt * np.log(np.einsum("ij,ij->i", t, beta[idx]) + TINY)).sum())
+                bound += float((cnt * np.log(fits(np.exp(elog), ptr, idx, beta) + TINY)).sum())
                 bound += float(((alpha - gamma) * elog).sum() + (log_gamma(gamma) - log_gamma(np.array([alpha]))).sum()
                                + (log_gamma(np.array([alpha * k])) - log_gamma(gamma.sum(1))).sum())
                 tokens += float(cnt.sum())

@@ -957,13 +957,12 @@ def clustering_features(spark, sf):
     """clustering_feature: topic class of the text, type-token redundancy, coherence
     of the first 10 sentences, text words and sentences (999 where undefined)."""
     docs = lda_docs(spark, sf)
-    t = tp.topic_distribution(lda_model(spark, sf), lda_blocks(spark, sf))
+    t = tp.topic_distribution(lda_model(spark, sf), lda_blocks(spark, sf)).select("identifier", tp.topic_class("topics").alias("topic_class"))
     p = mt.length_features_text(mt.prepare(docs, summary=None))
-    out = p.join(t, "identifier").select("identifier", tp.topic_class("topics").alias("topic_class"),
-                                         mt.redundancy_ttr(F.col("tokens")).alias("redundancy"),
-                                         mt.coherence(F.col("d_sent"), first_k=10).alias("semantic_coherence"),
-                                         "desc_words", "desc_sents")
-    return flt.with_sentinels(out, ["redundancy"])
+    # numbers only go through the join, no tokens or sentences
+    p = p.select("identifier", mt.redundancy_ttr(F.col("tokens")).alias("redundancy"),
+                 mt.coherence(F.col("d_sent"), first_k=10).alias("semantic_coherence"), "desc_words", "desc_sents")
+    return flt.with_sentinels(p.join(t, "identifier").select("identifier", *CLUSTER_FEATURES), ["redundancy"])
 
 
 @query("lda_fit")

@@ -135,3 +135,46 @@ def test_many_terms(spark):
     docs = spark.range(1100).select(F.col("id").cast("string").alias("identifier"), F.transform(
         F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda x: x.cast("string")).alias("tokens"))
     assert tp.lda_fit(tp.doc_blocks(docs), k=2, batches=1, base_passes=1).table.count() == 1_100_000
+
+
+def test_blocks_are_not_dealt_out_to_find_a_batch(spark):
+    blocks = tp.doc_blocks(frame(spark, corpus(20)), block_tokens=50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = tp.in_turns(blocks, 3)
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert parts.count() == blocks.count()
+
+
+def test_memory_of_a_block_does_not_grow_with_its_cells():
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    n, per, v, k = 3000, 200, 1000, 5
+    ptr, idx, cnt = np.arange(n + 1) * per, rng.integers(0, v, n * per), np.ones(n * per)
+    beta = rng.random((v, k))
+    tracemalloc.start()
+    gamma = tp.e_step(ptr, idx, cnt, beta, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6                                     # 600,000 cells: 24 MB for each array of k numbers a cell
+    one = tp.e_step(ptr[:2], idx[:per], cnt[:per], beta, 0.2)
+    assert np.allclose(gamma[:1], one, rtol=1e-12)
+
+
+def test_only_numbers_go_through_the_join_of_clustering_features(spark, monkeypatch):
+    from corpuslab.plans import queries as qs
+    monkeypatch.setattr(qs, "lda_model", lambda *a: None)
+    monkeypatch.setattr(qs, "lda_blocks", lambda *a: None)
+    monkeypatch.setattr(qs, "lda_docs", lambda *a: spark.createDataFrame(
+        [("a", "One word. Two words.", ["one", "word", "one"])], "identifier string, description string, tokens array<string>"))
+    monkeypatch.setattr(qs.tp, "topic_distribution", lambda *a: spark.createDataFrame([("a", [0.2, 0.8])], "identifier string, topics array<double>"))
+    out = qs.clustering_features(spark, "")
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert not any("array" in plan.children().apply(i).schema().simpleString() for i in range(2))
+    assert [tuple(r)[:2] + tuple(r)[4:] for r in out.collect()] == [("a", 1, 4, 2)]
