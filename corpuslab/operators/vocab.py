@@ -8,6 +8,8 @@ broadcast only if its measured bytes are few, otherwise by its hot tokens only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,17 +81,21 @@ def mask_ids(ids, doc_id, n_vocab: int, prob: float = 0.15, seed: int = 42) -> C
     (8 of 10), another id of the vocabulary's ``n_vocab`` (1 of 10), or what
     stood there (1 of 10).  Labels hold the id of taken positions, IGNORE elsewhere.
     """
-    def one(t, i):
-        h = F.md5(F.concat(doc_id.cast("string"), F.lit(":"), i.cast("string"), F.lit(f":{seed}")))
+    # (digits + 0.5) / 16^13 < prob, as a bound of the digits; hex strings of equal length are in the order of their numbers
+    bound = math.ceil(prob * 16 ** 13 - 0.5)
+
+    def one(key, t, i):
+        h = F.md5(F.concat(key, i.cast("string"), F.lit(f":{seed}")))
+        below = F.lit(True) if bound >= 16 ** 13 else h < F.lit(f"{max(bound, 0):013x}")
+        t = t.cast("bigint")
 
         def body(v):
-            digits = lambda a, n: F.conv(F.substring(v["h"], a, n), 16, 10)
-            u = (digits(1, 13).cast("double") + F.lit(0.5)) / F.lit(float(16 ** 13))
-            kind = digits(14, 7).cast("bigint")
-            other = F.lit(FIRST_ID).cast("bigint") + digits(21, 12).cast("bigint") % max(1, n_vocab)
-            taken = (v["t"] != PAD_ID) & (u < prob)
-            put = F.when(kind < 16 ** 7 * 8 // 10, F.lit(MASK_ID).cast("bigint")).when(kind < 16 ** 7 * 9 // 10, other).otherwise(v["t"])
-            return F.struct(F.when(taken, put).otherwise(v["t"]).alias("x"), F.when(taken, v["t"]).otherwise(F.lit(IGNORE).cast("bigint")).alias("y"))
-        return tx.let({"h": h, "t": t}, body)
-    return tx.let({"m": F.transform(ids, one)}, lambda v: F.struct(
+            kind = F.substring(v["h"], 14, 7)
+            other = F.lit(FIRST_ID).cast("bigint") + F.conv(F.substring(v["h"], 21, 12), 16, 10).cast("bigint") % max(1, n_vocab)
+            put = F.when(kind < F.lit(f"{16 ** 7 * 8 // 10:07x}"), F.lit(MASK_ID).cast("bigint")).when(kind < F.lit(f"{16 ** 7 * 9 // 10:07x}"), other).otherwise(t)
+            return F.struct(put.alias("x"), t.alias("y"))
+        # no digest for padding, and no more than the digest for positions that are not taken
+        return F.when((t != PAD_ID) & below, tx.let({"h": h}, body)).otherwise(F.struct(t.alias("x"), F.lit(IGNORE).cast("bigint").alias("y")))
+    masks = lambda v: F.transform(v["ids"], lambda t, i: one(v["key"], t, i))
+    return tx.let({"m": tx.let({"ids": ids, "key": F.concat(doc_id.cast("string"), F.lit(":"))}, masks)}, lambda v: F.struct(
         F.transform(v["m"], lambda s: s["x"]).alias("masked"), F.transform(v["m"], lambda s: s["y"]).alias("labels")))
