@@ -140,31 +140,49 @@ def _local(tag: str) -> str:
     return f"//*[local-name()='{tag}']"
 
 
-def _present(tag: str) -> Column:
-    return F.expr(f"xpath_boolean(xml, \"boolean({_local(tag)})\")")
+#: Between the parts of ``_head``; no XML document may hold it.
+_SEP = "\x01"
+_FIRST_TAGS = [*SINGLE_TAGS.values(), *DATE_TAGS.values(), *DATETIME_TAGS.values()]
+_TEXT_TAGS = [SUMMARY_TAG, BODY_TAG, BODY_FALLBACK_TAG]
+
+
+def _head() -> Column:
+    """What few parses of the document tell of all tags: whether each is there, the text of the first of those with one
+    value, and if the others have text nodes.  Every xpath function parses the document anew, but an expression may
+    have no more than 100 operators."""
+    parts = [p for t in _FIRST_TAGS for p in (f"boolean({_local(t)})", f"string({_local(t)})")]
+    parts += [f"count({_local(t)}/text()) > 0" for t in MULTI_TAGS.values()] + [f"boolean({_local(t)})" for t in _TEXT_TAGS]
+    joined = [f", '{_SEP}', ".join(parts[i:i + 6]) for i in range(0, len(parts), 6)]
+    return F.split(F.concat_ws(_SEP, *[F.expr(f"xpath_string(xml, \"concat({j})\")") for j in joined]), _SEP)
+
+
+def _part(i: int) -> Column:
+    return F.get("_head", F.lit(i))
 
 
 def _first(tag: str) -> Column:
-    return F.when(_present(tag), F.expr(f"xpath_string(xml, \"{_local(tag)}\")"))
+    at = 2 * _FIRST_TAGS.index(tag)
+    return F.when(_part(at) == "true", _part(at + 1))
 
 
 def _all(tag: str) -> Column:
-    return F.expr(f"xpath(xml, \"{_local(tag)}/text()\")")
+    there = _part(2 * len(_FIRST_TAGS) + list(MULTI_TAGS.values()).index(tag))
+    return F.when(there == "true", F.array_join(F.expr(f"xpath(xml, \"{_local(tag)}/text()\")"), "|"))
 
 
 def element_text(tag: str) -> Column:
     """All text nodes under the element, each trimmed, empty ones dropped, joined by one space."""
     nodes = F.expr(f"xpath(xml, \"{_local(tag)}//text()\")")
     clean = F.filter(F.transform(nodes, lambda s: F.regexp_replace(s, EDGE_SPACE, "")), lambda s: s != "")
-    return F.when(_present(tag), F.array_join(clean, " "))
+    there = _part(2 * len(_FIRST_TAGS) + len(MULTI_TAGS) + _TEXT_TAGS.index(tag))
+    return F.when(there == "true", F.array_join(clean, " "))
 
 
 def parse_cases(xml_df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """XML documents -> raw_case columns (NULL for absent values; see ``with_none``) beside the columns ``keep``."""
     cols = {k: _first(t) for k, t in SINGLE_TAGS.items()}
     for k, t in MULTI_TAGS.items():
-        arr = _all(t)
-        cols[k] = F.when(F.size(arr) > 0, F.array_join(arr, "|"))
+        cols[k] = _all(t)
     for k, t in DATE_TAGS.items():
         cols[k] = F.try_to_timestamp(_first(t), F.lit(DATE_FMT))
     for k, t in DATETIME_TAGS.items():
@@ -172,7 +190,7 @@ def parse_cases(xml_df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     cols["summary"] = element_text(SUMMARY_TAG)
     cols["description"] = F.coalesce(element_text(BODY_TAG), element_text(BODY_FALLBACK_TAG))
     cols["publisher"] = F.lit(None).cast("string")
-    out = xml_df.select(*keep, "year", "month", *[v.alias(k) for k, v in cols.items()])
+    out = xml_df.withColumn("_head", _head()).select(*keep, "year", "month", *[v.alias(k) for k, v in cols.items()])
     missing = F.concat_ws("|", F.when(F.col("summary").isNull(), F.lit("summary")),
                           F.when(F.col("description").isNull(), F.lit("description")))
     return out.withColumn("missing_parts", F.coalesce(F.nullif(missing, F.lit("")), F.lit("none")))
