@@ -1,21 +1,28 @@
 """Gaussian mixtures with full, tied, diagonal and spherical covariance, fitted by EM on Spark.
 
 MLlib's ``GaussianMixture`` has full covariance only, so the sweep over
-covariance types runs its own EM.  Every EM iteration is one distributed pass:
-each task computes, with numpy on its Arrow batch, the responsibilities and the
-sufficient statistics (N_k, sum g x, sum g x x^T, sum ln L) of every model still
-being fitted; Spark sums them by (model, slot); the driver only sees
-k(1 + d + d^2) numbers per model and does the M-step.  All models of a sweep
-advance together, so a sweep costs one job per iteration, not one per model.
+covariance types runs its own EM.  The rows are packed into blocks of doubles
+and cached once.  Every EM iteration is one distributed pass over them: each
+task computes with numpy the responsibilities and the sufficient statistics
+(N_k, sum g x, sum g x x^T, sum ln L) of every model still being fitted, and
+hands over one vector of sums; Spark adds the vectors up (in a tree where there
+are many); the driver only sees k(1 + d + d^2) numbers per model and does the
+M-step.  All models of a sweep advance together, so a sweep costs one job per
+iteration, not one per model.  The k-means that the models start from likewise:
+MLlib finds the first centres for every k (side by side, the fits do not depend
+on each other), then all k take their steps together in passes of the same kind.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import RDD, StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -23,6 +30,9 @@ from pyspark.sql import functions as F
 
 REG = 1e-6
 COV_TYPES = ("full", "tied", "diag", "spherical")
+#: Rows that are worked on at once; bytes of rows in a task of an EM pass (tasks are not fewer than the cores);
+#: tasks whose sums go to the driver without a tree; fits of first centres side by side.
+ROWS, TASK_BYTES, TREE_FROM, FITS = 4096, 1 << 21, 64, 8
 
 
 def n_parameters(k: int, d: int, cov: str) -> int:
@@ -50,23 +60,22 @@ def _precisions(params):
 def log_resp(X: np.ndarray, params) -> tuple[np.ndarray, np.ndarray]:
     """Per row: log sum_k pi_k N(x | mu_k, S_k) and the log responsibilities."""
     chol, logdet, logw = _precisions(params)
-    mu = params["means"]
-    n, d = X.shape
-    k = mu.shape[0]
-    lp = np.empty((n, k))
-    for c in range(k):
-        z = np.linalg.solve(chol[c], (X - mu[c]).T)  # (d, n)
-        lp[:, c] = -0.5 * (d * math.log(2 * math.pi) + logdet[c] + (z * z).sum(axis=0)) + logw[c]
-    mx = lp.max(axis=1, keepdims=True)
-    lse = mx[:, 0] + np.log(np.exp(lp - mx).sum(axis=1))
-    return lse, lp - lse[:, None]
+    d = X.shape[1]
+    z = np.linalg.inv(chol) @ (X.T[None] - params["means"][:, :, None])  # (k, d, n)
+    lp = -0.5 * (d * math.log(2 * math.pi) + logdet[:, None] + np.einsum("kdn,kdn->kn", z, z)) + logw[:, None]
+    mx = lp.max(axis=0)
+    lse = mx + np.log(np.exp(lp - mx).sum(axis=0))
+    return lse, (lp - lse).T
 
 
-def _stats(X: np.ndarray, resp: np.ndarray) -> np.ndarray:
-    nk = resp.sum(axis=0)
-    sx = resp.T @ X
-    sxx = np.einsum("nk,ni,nj->kij", resp, X, X)
-    return np.concatenate([nk, sx.ravel(), sxx.ravel()])
+def _moments(X: np.ndarray) -> np.ndarray:
+    """1, x and x x^T of every row."""
+    return np.concatenate([np.ones((len(X), 1)), X, (X[:, :, None] * X[:, None, :]).reshape(len(X), -1)], axis=1)
+
+
+def _stats(moments: np.ndarray, resp: np.ndarray, d: int) -> np.ndarray:
+    s = resp.T @ moments
+    return np.concatenate([s[:, 0], s[:, 1:1 + d].ravel(), s[:, 1 + d:].ravel()])
 
 
 def _m_step(stats: np.ndarray, n: float, k: int, d: int, kind: str):
@@ -84,77 +93,108 @@ def _m_step(stats: np.ndarray, n: float, k: int, d: int, kind: str):
     return {"weights": nk / n, "means": mu, "covs": cov, "kind": kind}
 
 
-def _pass(df: DataFrame, models: dict, hard: dict | None = None) -> dict:
-    """One distributed pass: summed statistics per model (soft, or hard from labels)."""
-    def fn(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-            rows = []
-            for mid, params in models.items():
-                if hard is not None:
-                    k = hard[mid]
-                    resp = np.zeros((len(X), k))
-                    resp[np.arange(len(X)), pdf["_init"].to_numpy().astype(int) % k] = 1.0
-                    ll = 0.0
-                else:
-                    lse, lr = log_resp(X, params)
-                    resp = np.exp(lr)
-                    ll = float(lse.sum())
-                st = _stats(X, resp)
-                vals = np.concatenate([[float(len(X)), ll], st])
-                rows.append(pd.DataFrame({"model": mid, "slot": np.arange(len(vals)), "v": vals}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
-
-    cols = ["x"] + (["_init"] if hard is not None else [])
-    part = df.select(*cols).mapInPandas(fn, "model int, slot int, v double")
-    summed = part.groupBy("model", "slot").agg(F.sum("v").alias("v")).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in summed:
-        out.setdefault(r["model"], {})[r["slot"]] = r["v"]
-    return {m: np.array([s[i] for i in range(len(s))]) for m, s in out.items()}
+def _blocks(df: DataFrame, d: int) -> RDD:
+    """The column ``x`` as blocks of rows x d doubles."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = pc.list_value_length(batch.column("x"))
+                if sizes.null_count or pc.any(pc.not_equal(sizes, d)).as_py():
+                    raise ValueError(f"rows that are not of {d} numbers")
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.record_batch([pa.array([x.tobytes()])], ["x"])
+
+    def join(rows: Iterator) -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for r in rows:
+            held.append(np.frombuffer(r["x"]).reshape(-1, d))
+            size += len(held[-1])
+            if size >= ROWS:
+                yield np.concatenate(held)
+                held, size = [], 0
+        if held:
+            yield np.concatenate(held)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() * d * 8 / TASK_BYTES))
+    return df.select("x").mapInArrow(pack, "x binary").rdd.coalesce(tasks).mapPartitions(join)
+
+
+def _pass(blocks: RDD, d: int, models: dict, hard: bool = False) -> dict:
+    """One distributed pass: rows, log-likelihood and summed statistics per model, soft for its parameters, or hard
+    (``models`` has the centres of every k) for the nearest centre, the first on ties."""
+    ks = {m: m if hard else len(p["weights"]) for m, p in models.items()}
+    ends = np.cumsum([0, *[2 + k * (1 + d + d * d) for k in ks.values()]])
+
+    def fn(of_task: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+        out = np.zeros(ends[-1])
+        for rows in of_task:
+            for i in range(0, len(rows), ROWS):
+                X = rows[i:i + ROWS]
+                moments = _moments(X)
+                for at, (m, params) in zip(ends, models.items()):
+                    if hard:
+                        resp, ll = np.zeros((len(X), m)), 0.0
+                        resp[np.arange(len(X)), ((X[:, None] - params[None]) ** 2).sum(axis=2).argmin(axis=1)] = 1.0
+                    else:
+                        lse, lr = log_resp(X, params)
+                        resp, ll = np.exp(lr), float(lse.sum())
+                    st = _stats(moments, resp, d)
+                    out[at] += len(X)
+                    out[at + 1] += ll
+                    out[at + 2:at + 2 + len(st)] += st
+        yield out
+
+    summed = blocks.mapPartitions(fn).treeReduce(np.add, depth=1 if blocks.getNumPartitions() <= TREE_FROM else 2)
+    return {m: summed[a:b] for m, a, b in zip(models, ends, ends[1:])}
+
+
+def _first_centres(df: DataFrame, ks: list[int], seed: int) -> dict[int, np.ndarray]:
+    """MLlib's starting centres (k-means||) for every k > 1, of the vector column ``v``."""
+    fit = inheritable_thread_target(df.sparkSession)(
+        lambda k: np.array(KMeans(k=k, seed=seed, featuresCol="v", predictionCol="_k", maxIter=0).fit(df).clusterCenters()))
+    with ThreadPoolExecutor(FITS) as pool:
+        return dict(zip(ks, pool.map(fit, ks)))
+
+
+def _kmeans(blocks: RDD, d: int, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The centres after MLlib's k-means steps from ``centres``: a centre without rows stays, a k is done once no centre
+    moves by more than the tolerance.  One pass a step for all k."""
+    settings, centres = KMeans(), dict(centres)
+    live = list(centres)
+    for _ in range(settings.getMaxIter()):
+        if not live:
+            break
+        st = _pass(blocks, d, {k: centres[k] for k in live}, hard=True)
+        for k in list(live):
+            old = centres[k]
+            nk, sx = st[k][2:2 + len(old), None], st[k][2 + k:2 + k + k * d].reshape(k, d)[:len(old)]
+            centres[k] = np.where(nk > 0, sx / np.maximum(nk, 1), old)
+            if (((centres[k] - old) ** 2).sum(axis=1) <= settings.getTol() ** 2).all():
+                live.remove(k)
+    return centres
 
 
 def em_sweep(df: DataFrame, configs: list[tuple[int, str]], x_col: str = "x", seed: int = 0,
              max_iter: int = 100, tol: float = 1e-3) -> list[dict]:
     """Fit one mixture per (k, covariance type) config; returns their parameters,
     mean log-likelihood, BIC and iteration count.  Initialised from k-means."""
-    spark = df.sparkSession
+    blocks = None
     data = df.select(F.col(x_col).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         d = len(data.first()["x"])
         ks = sorted({k for k, _ in configs})
-        vec = data.withColumn("v", array_to_vector("x"))
-        init_cols = {}
-        for k in ks:
-            if k == 1:
-                init_cols[k] = F.lit(0)
-            else:
-                km = KMeans(k=k, seed=seed, featuresCol="v", predictionCol=f"_k{k}").fit(vec)
-                vec = km.transform(vec)
-                init_cols[k] = F.col(f"_k{k}")
-        models, kinds, hard = {}, {}, {}
-        for mid, (k, kind) in enumerate(configs):
-            models[mid] = None
-            kinds[mid] = (k, kind)
-            hard[mid] = k
-        # Initial M-step from hard k-means labels: one pass per distinct k.
-        params = {}
-        for k in ks:
-            mids = [m for m in models if kinds[m][0] == k]
-            init_df = vec.select("x", init_cols[k].alias("_init"))
-            st = _pass(init_df, {m: None for m in mids}, {m: k for m in mids})
-            for m in mids:
-                n = st[m][0]
-                params[m] = _m_step(st[m][2:], n, k, d, kinds[m][1])
-        state = {m: {"params": params[m], "ll": -np.inf, "iter": 0, "done": False, "hist": []} for m in models}
+        first = _first_centres(data.withColumn("v", array_to_vector("x")), [k for k in ks if k > 1], seed)
+        blocks = _blocks(data, d).persist(StorageLevel.MEMORY_AND_DISK)
+        kinds = dict(enumerate(configs))
+        # Initial M-step from hard k-means labels: one pass, the models of a k share its statistics.
+        centres = _kmeans(blocks, d, first) | {k: np.zeros((1, d)) for k in ks if k == 1}
+        st = _pass(blocks, d, centres, hard=True)
+        params = {m: _m_step(st[k][2:], st[k][0], k, d, kind) for m, (k, kind) in kinds.items()}
+        state = {m: {"params": params[m], "ll": -np.inf, "iter": 0, "done": False, "hist": []} for m in kinds}
         for _ in range(max_iter):
             active = {m: s["params"] for m, s in state.items() if not s["done"]}
             if not active:
                 break
-            st = _pass(data, active)
+            st = _pass(blocks, d, active)
             for m in active:
                 n, ll = st[m][0], st[m][1] / st[m][0]
                 k, kind = kinds[m]
@@ -166,7 +206,7 @@ def em_sweep(df: DataFrame, configs: list[tuple[int, str]], x_col: str = "x", se
                 s["ll"] = ll
                 s["params"] = _m_step(st[m][2:], n, k, d, kind)
         # Final likelihood under the final parameters (one more pass for all).
-        st = _pass(data, {m: s["params"] for m, s in state.items()})
+        st = _pass(blocks, d, {m: s["params"] for m, s in state.items()})
         out = []
         for m, s in state.items():
             k, kind = kinds[m]
@@ -176,6 +216,8 @@ def em_sweep(df: DataFrame, configs: list[tuple[int, str]], x_col: str = "x", se
                         "loglik_history": s["hist"] + [ll / n]})
         return out
     finally:
+        if blocks is not None:
+            blocks.unpersist()
         data.unpersist()
 
 

@@ -948,16 +948,17 @@ def lda_blocks(spark, sf):
     return tp.doc_blocks(lda_docs(spark, sf))
 
 
-def lda_model(spark, sf):
-    """The topic model of the descriptions, fitted once for all queries on the same files."""
-    return tp.stored_fit(spark, [f"{sf}/documents.parquet"], lambda: lda_blocks(spark, sf), k=5, seed=42)
+def lda_model(spark, sf, blocks=None):
+    """The topic model of the descriptions, fitted once for all queries on the same files (``blocks``: theirs, if they are stored already)."""
+    return tp.stored_fit(spark, [f"{sf}/documents.parquet"], lambda: lda_blocks(spark, sf) if blocks is None else blocks, k=5, seed=42)
 
 
 def clustering_features(spark, sf):
     """clustering_feature: topic class of the text, type-token redundancy, coherence
     of the first 10 sentences, text words and sentences (999 where undefined)."""
     docs = lda_docs(spark, sf)
-    t = tp.topic_distribution(lda_model(spark, sf), lda_blocks(spark, sf)).select("identifier", tp.topic_class("topics").alias("topic_class"))
+    blocks = lda_blocks(spark, sf)  # once, for the fit and for what it says of them
+    t = tp.topic_distribution(lda_model(spark, sf, blocks), blocks).select("identifier", tp.topic_class("topics").alias("topic_class"))
     p = mt.length_features_text(mt.prepare(docs, summary=None))
     # numbers only go through the join, no tokens or sentences
     p = p.select("identifier", mt.redundancy_ttr(F.col("tokens")).alias("redundancy"),
