@@ -9,20 +9,19 @@ hands over one vector of sums; Spark adds the vectors up (in a tree where there
 are many); the driver only sees k(1 + d + d^2) numbers per model and does the
 M-step.  All models of a sweep advance together, so a sweep costs one job per
 iteration, not one per model.  The k-means that the models start from likewise:
-MLlib finds the first centres for every k (side by side, the fits do not depend
-on each other), then all k take their steps together in passes of the same kind.
+MLlib finds the first centres for every k, then all k take their steps together
+in passes of the same kind.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import RDD, StorageLevel, inheritable_thread_target
+from pyspark import RDD, StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 REG = 1e-6
 COV_TYPES = ("full", "tied", "diag", "spherical")
 #: Rows that are worked on at once; bytes of rows in a task of an EM pass (tasks are not fewer than the cores);
-#: tasks whose sums go to the driver without a tree; fits of first centres side by side.
-ROWS, TASK_BYTES, TREE_FROM, FITS = 4096, 1 << 21, 64, 8
+#: tasks whose sums go to the driver without a tree.
+ROWS, TASK_BYTES, TREE_FROM = 4096, 1 << 21, 64
 
 
 def n_parameters(k: int, d: int, cov: str) -> int:
@@ -149,10 +148,9 @@ def _pass(blocks: RDD, d: int, models: dict, hard: bool = False) -> dict:
 
 def _first_centres(df: DataFrame, ks: list[int], seed: int) -> dict[int, np.ndarray]:
     """MLlib's starting centres (k-means||) for every k > 1, of the vector column ``v``."""
-    fit = inheritable_thread_target(df.sparkSession)(
-        lambda k: np.array(KMeans(k=k, seed=seed, featuresCol="v", predictionCol="_k", maxIter=0).fit(df).clusterCenters()))
-    with ThreadPoolExecutor(FITS) as pool:
-        return dict(zip(ks, pool.map(fit, ks)))
+    def fit(k: int) -> np.ndarray:
+        return np.array(KMeans(k=k, seed=seed, featuresCol="v", predictionCol="_k", maxIter=0).fit(df).clusterCenters())
+    return {k: fit(k) for k in ks}
 
 
 def _kmeans(blocks: RDD, d: int, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
